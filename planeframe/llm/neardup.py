@@ -12,9 +12,10 @@ The forest holds the signatures in several sorted orders (trees):
 2. *Open regions.* A region is what shares the least-depth prefix in one of all the trees. A region whose
    members are one component is closed: nothing in it can change the result. That is the adaptive depth:
    regions end as deep as their neighbours already settle them, and only open ones are taken at the least
-   depth. Crowded open regions are cut into tiles; a task compares two tiles, so no task holds
-   a whole region, and pairs of one component are skipped. Size ratio and signature agreement (five
-   standard deviations below the threshold) decide which pairs are worth a full comparison.
+   depth. Size ratio and signature agreement (five standard deviations below the threshold) decide which pairs are worth a
+   full comparison, pairs of one component are skipped, and a pair is looked at in its first common region only. Regions
+   of up to SMALL documents name their pairs; larger ones are cut into tiles that travel with their texts, a task compares
+   two tiles and returns a forest of confirmed links, so no task holds a whole region and no region emits its pairs.
 
 With ``trees = 32`` of depth 3 a pair at exactly 0.75 is missed with probability 2e-8, a pair at 0.8 with 2e-10.
 There is no cap on regions, partners or candidates.
@@ -39,7 +40,8 @@ from .components import components
 WORDS = 5
 TREES, DEPTH = 32, 3
 ORDERS, ORDER_DEPTH = 4, 16
-TILE = 512
+TILE = 256
+SMALL = 64
 HASHES = TREES * DEPTH
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -159,15 +161,19 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
-    """The candidate pairs (a, b) that link on their full sets.
+def texts_of(ids: DataFrame, docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), one row each.
 
-    Only the texts that some pair names travel: their ids are broadcast while there are at most
-    ``broadcast_ids`` (8 MB), else joined by a shuffle.
+    The ids are broadcast while there are at most ``broadcast_ids`` (8 MB), so no other text travels; beyond that they are joined by a shuffle.
     """
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    ids = written(ids.distinct(), "ids")
     few = ids.count() <= broadcast_ids
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) that link on their full sets."""
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
     pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(batches(_verify), "a long, b long")
@@ -179,43 +185,86 @@ def _agreement(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) ->
     return (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb)) & ((a == b).mean(-1) >= floor)
 
 
-def _tile_pairs(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs between the two tiles of one task, or within one tile; rows: (side, rep, comp, n, sig)."""
-    side, rep, comp, n = (np.array([r[k] for r in rows]) for k in range(4))
-    sig = np.frombuffer(b"".join(r[4] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
-    left, right = (np.flatnonzero(side != 1), np.flatnonzero(side == 1))
-    within = not len(right)
-    right = left if within else right
-    out = []
-    for i in left:
-        js = right[right > i] if within else right
-        js = js[comp[js] != comp[i]]
-        if len(js):
-            out.append((i, js[_agreement(sig[js], sig[i], n[js], n[i])]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a = np.concatenate([np.full(len(js), rep[i]) for i, js in out])
-    b = np.concatenate([rep[js] for _, js in out])
-    return np.minimum(a, b), np.maximum(a, b)
-
-
-def _region_pairs(it):
-    """Rows sorted by (region, i, j): the candidate pairs of each group; a group has two tiles at most."""
-    key, held = None, []
-
-    def done():
-        a, b = _tile_pairs(held)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in it:
-        for region, i, j, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if (region, i, j) != key:
-                if len(held) > 1:
-                    yield done()
-                key, held = (region, i, j), []
-            held.append(row)
-    if len(held) > 1:
-        yield done()
+def _first_tree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first tree in which pairs of signatures share their region: a pair is looked at there only."""
+    return (a == b).reshape(*np.broadcast_shapes(a.shape, b.shape)[:-1], TREES, DEPTH).all(-1).argmax(-1)
+
+
+def _shared(h: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many of the sorted hashes ``h`` each of the other sets has."""
+    every = np.concatenate(others)
+    hit = h[np.minimum(np.searchsorted(h, every), len(h) - 1)] == every
+    return np.add.reduceat(hit, np.cumsum([0, *map(len, others[:-1])]))
+
+
+class _Group:
+    """The rows of one task's tiles: [(side, rep, comp, n, sig, text or None)] in region ``tree``."""
+
+    def __init__(self, tree: int, rows: list[list]):
+        rows.sort(key=lambda r: (r[0], r[1]))
+        self.tree, self.rows = tree, rows
+        self.side, self.rep, self.comp, self.n = (np.array([r[k] for r in rows]) for k in range(4))
+        self.sig = np.frombuffer(b"".join(r[4] for r in rows), ">u4").astype(np.uint32).reshape(len(rows), HASHES)
+        self.split = int((self.side == 0).sum())
+        self.within = self.split == len(rows)
+
+    def candidates(self):
+        """(i, js): rows of different components whose sizes and signatures allow a link."""
+        for i in range(self.split):
+            js = np.arange(i + 1 if self.within else self.split, len(self.rows))
+            js = js[self.comp[js] != self.comp[i]]
+            js = js[_agreement(self.sig[js], self.sig[i], self.n[js], self.n[i])]
+            js = js[_first_tree(self.sig[js], self.sig[i]) == self.tree]
+            if len(js):
+                yield i, js
+
+    def pairs(self) -> list[tuple[int, int]]:
+        return [tuple(sorted((int(self.rep[i]), int(self.rep[j])))) for i, js in self.candidates() for j in js]
+
+    def links(self, step: int = 64) -> list[tuple[int, int]]:
+        """A forest of confirmed links between the components, likeliest partners first."""
+        sets: dict[int, np.ndarray] = {}
+        found = []
+
+        def of(k):
+            if k not in sets:
+                sets[k] = shingle_hashes(self.rows[k][5])
+            return sets[k]
+
+        for i, js in self.candidates():
+            js = js[np.argsort(-(self.sig[js] == self.sig[i]).sum(1), kind="stable")]
+            while len(js):
+                now, js = js[:step], js[step:]
+                both = _shared(of(i), [of(k) for k in now])
+                for k in now[100 * both >= 75 * (self.n[i] + self.n[now] - both)]:
+                    if self.comp[k] != self.comp[i]:
+                        found.append((int(self.rep[i]), int(self.rep[k])))
+                        self.comp[self.comp == self.comp[k]] = self.comp[i]
+                js = js[self.comp[js] != self.comp[i]]
+        return found
+
+
+def _groups(result):
+    """A mapInArrow function over rows sorted by (region, i, j): ``result`` of each group; a group has two tiles at most."""
+
+    def run(it):
+        key, held = None, []
+
+        def done():
+            found = result(_Group(key[3], held)) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in it:
+            for *new, side, rep, comp, n, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if new != key:
+                    if held:
+                        yield done()
+                    key, held = new, []
+                held.append([side, rep, comp, n, sig, text])
+        if held:
+            yield done()
+
+    return run
 
 
 def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -224,25 +273,28 @@ def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _open_region_pairs(reps: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs of different components that share a region in some tree."""
+def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What open regions add: candidate pairs (a, b) of the small ones, confirmed links of the crowded ones."""
     reps = written(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps")
-    tree = f"transform(sequence(0, {TREES - 1}), t -> xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})))"
-    rows = reps.select("rep", "comp", F.explode(F.expr(tree)).alias("region"))
-    regions = written(
-        rows.groupBy("region").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("m > 1 and low <> high").drop("low", "high"), "regions"
-    )
+    trees = f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})) as region))"
+    rows = reps.select("rep", "comp", F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "t.tree", "t.region")
+    regions = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    regions = written(regions.where("m > 1 and low <> high").drop("low", "high"), "regions")
     two = regions.where("m = 2").select("a", "b").distinct()
     light = reps.select("rep", "sig", "n")
     two = two.join(light.toDF("a", "sa", "na"), "a").join(light.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(batches(_agreeing), "a long, b long")
-    crowded = regions.where("m > 2").select("region", F.ceil(F.col("m") / TILE).cast("int").alias("tiles"))
-    tiled = rows.join(crowded, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
+    key = ["region", "i", "j", "tree"]
+    open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
+    small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep").join(reps, "rep")
+    small = small.select(*key, "side", "rep", "comp", "n", "sig", F.lit(None).cast("string").alias("text")).repartition("region").sortWithinPartitions(*key)
+    crowded = open_rows.where(f"m > {SMALL}").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
     spread = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
-    tiled = tiled.select("region", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "p.side", "rep").join(reps, "rep")
-    grouped = tiled.select("region", "i", "j", "side", "rep", "comp", F.col("n"), "sig").repartition("region", "i", "j").sortWithinPartitions("region", "i", "j")
-    many = grouped.mapInArrow(_region_pairs, "a long, b long")
-    return two.unionAll(many).distinct()
+    crowded = written(crowded.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep"), "crowded")
+    texts = texts_of(crowded.select(F.col("rep").alias("doc_id")), docs).select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
+    tiles = crowded.join(texts, "rep").select(*key, "side", "rep", "comp", "n", "sig", "text").repartition("region", "i", "j").sortWithinPartitions(*key)
+    pairs = two.unionAll(small.mapInArrow(_groups(_Group.pairs), "a long, b long")).distinct()
+    return pairs, tiles.mapInArrow(_groups(_Group.links), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -257,8 +309,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = written(_deep_neighbours(reps), "pairs")
     links = written(confirmed(pairs, docs), "links")
     comps = written(components(links), "components")
-    more = written(_open_region_pairs(reps, comps), "pairs")
-    links2 = confirmed(more, docs)
+    more, links2 = _open_regions(reps, comps, docs)
+    links2 = confirmed(written(more, "pairs"), docs).unionAll(links2)
     stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionAll(links2).unionAll(_shared_ids(same_id, usable)))
     named = signed.join(classes, "print", "left").withColumn("node", F.coalesce("rep", "doc_id"))
