@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP3_SQL, op3_decontaminate
+from .mixing import op5_mix_sources
 from .neardup import OP8_SQL, op8_lsh_forest
+from .sharding import op10_lpt_shards
+from .sst import op2_sorted_tables
 
 QUERIES = {
+    "op2_sorted_tables": op2_sorted_tables,
+    "op3_decontaminate": op3_decontaminate,
+    "op5_mix_sources": op5_mix_sources,
     "op8_lsh_forest": op8_lsh_forest,
+    "op10_lpt_shards": op10_lpt_shards,
 }
 
 ORACLES = {
+    "op3_decontaminate": OP3_SQL,
     "op8_lsh_forest": OP8_SQL,
 }
