@@ -40,7 +40,7 @@ from .components import components
 WORDS = 5
 TREES, DEPTH = 32, 3
 ORDERS, ORDER_DEPTH = 4, 16
-TILE = 256
+TILE = 1024
 SMALL = 64
 HASHES = TREES * DEPTH
 
