@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,13 @@ from .common import new_path, one_thread, small_batches, table, written
 
 MAGIC = b"PFSSTAB1"
 BLOCK_BYTES = 64 << 10
-FILE_BYTES = 32 << 20
+FILE_BYTES = 256 << 20
 INDEX = struct.Struct("<9s9sQII")
 BITS, PROBES = 10, 7
 END_ID = 2
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: The byte alphabet: bytes that print stand for themselves, the others for the letters from 256 on.
+_BYTE_LETTERS = {b: (b if b in _PRINTABLE else 256 + k) for k, b in enumerate(sorted(set(range(256)) - _PRINTABLE))} | {b: b for b in _PRINTABLE}
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -61,10 +65,10 @@ def _probes(key: bytes, bits: int) -> list[int]:
 
 
 class TableWriter:
-    """Builds one file in memory from (key, ids as bytes) in key order."""
+    """Writes one file from (key, ids as bytes) in key order to a stream; blocks leave as they fill, index and keys stay until the end."""
 
-    def __init__(self, width: int):
-        self.width, self.out, self.index, self.keys = width, bytearray(), [], []
+    def __init__(self, width: int, stream):
+        self.width, self.stream, self.size, self.index, self.keys = width, stream, 0, [], []
         self.block, self.first, self.last, self.entries, self.n_tokens = bytearray(), None, None, 0, 0
         self.zip = zstandard.ZstdCompressor(level=1)
 
@@ -85,11 +89,15 @@ class TableWriter:
     def end_block(self) -> None:
         if self.entries:
             packed = self.zip.compress(bytes(self.block))
-            self.index.append(INDEX.pack(self.first, self.last, len(self.out), len(packed), self.entries))
-            self.out += packed
+            self.index.append(INDEX.pack(self.first, self.last, self.size, len(packed), self.entries))
+            self._put(packed)
             self.block, self.entries = bytearray(), 0
 
-    def finish(self) -> bytes:
+    def _put(self, raw: bytes) -> None:
+        self.stream.write(raw)
+        self.size += len(raw)
+
+    def finish(self) -> None:
         self.end_block()
         index = b"".join(self.index)
         bits = max(64, BITS * len(self.keys))
@@ -98,9 +106,9 @@ class TableWriter:
             for p in _probes(key, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         bloom = bloom.tobytes()
-        footer = {"width": self.width, "docs": len(self.keys), "tokens": self.n_tokens, "index": [len(self.out), len(index)], "bloom": [len(self.out) + len(index), len(bloom)], "bits": bits, "crc32": [zlib.crc32(index), zlib.crc32(bloom)]}
+        footer = {"width": self.width, "docs": len(self.keys), "tokens": self.n_tokens, "index": [self.size, len(index)], "bloom": [self.size + len(index), len(bloom)], "bits": bits, "crc32": [zlib.crc32(index), zlib.crc32(bloom)]}
         tail = json.dumps(footer).encode()
-        return bytes(self.out) + index + bloom + tail + struct.pack("<I", len(tail)) + MAGIC
+        self._put(index + bloom + tail + struct.pack("<I", len(tail)) + MAGIC)
 
 
 class TableReader:
@@ -167,35 +175,72 @@ class Encoder:
     """Whole-text token ids with the tokenizers library, remembering the ids of space-parted pieces.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its pieces between spaces and
-    line ends, one after the other. The memory is emptied when it holds ``keep`` pieces.
+    line ends, one after the other. New pieces of lower-case letters go to the tokenizer's model as the one word they are, a full stop or
+    comma after a letter is a word of its own, and capitals below U+0250 are lower-cased as the tokenizer does; each of these short cuts is taken only where
+    the tokenizer shows on probes that it agrees. All else goes to the tokenizer whole. The memory has two generations of ``keep`` pieces: the old one goes when the young one is full.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 250_000):
         one_thread()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.kind, self.keep, self.memo = f"<u{self.width}", keep, {"": b""}
-        self.end = b"" if end_id is None else np.array([end_id], self.kind).tobytes()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.code, self.keep, self.memo, self.old = "H" if self.width == 2 else "I", keep, {}, {}
+        self.end = b"" if end_id is None else array(self.code, [end_id]).tobytes()
+        self.model = self.tokenizer.model
+        self.letters_alone = all(self._word(w) == self._whole([w])[0] for w in ("a", "water", "stra\u00dfe", "\u00e9t\u00e9", "ma\u00f1ana"))
+        self.lower = all(self._whole([w])[0] == self._whole([w.lower()])[0] for w in ("WATER", "Abc", "Q", "\u00c9T\u00c9", "\u00d1o"))
+        self.stops_part = self._whole(["water.", "\u00e9,"]) == [self._whole([a])[0] + self._whole([b])[0] for a, b in (("water", "."), ("\u00e9", ","))]
+
+    def _word(self, word: str) -> bytes:
+        """Ids of a word of lower-case letters by the tokenizer's model alone, in the byte alphabet."""
+        mapped = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _whole(self, pieces: list[str]) -> list[bytes]:
+        return [array(self.code, got.ids).tobytes() for got in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of new pieces by the tokenizer."""
+        plain = [p for p in pieces if p.isalpha() and p.islower() and max(p) < "\u0250"] if self.letters_alone else []
+        found = {p: self._word(p) for p in plain}
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._whole(rest)))
+        return found
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > self.keep:
-            self.memo = {"": b""}
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.memo[piece] = np.array(got.ids, self.kind).tobytes()
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self.memo) > self.keep:
+            self.memo, self.old = {}, self.memo
+        memo, old, plans, new = self.memo, self.old, [], set()
+        for p in pieces:
+            if p in old or not p:
+                memo[p] = old.get(p, b"")
+                continue
+            base, tail = p, ""
+            if max(p) < "\u0250" and "\u0130" not in p:
+                if self.lower:
+                    base = p.lower()
+                if self.stops_part and base[-1] in ".," and base[-2:-1].isalpha():
+                    base, tail = base[:-1], base[-1]
+            plans.append((p, base, tail))
+            new.update(x for x in (base, tail) if x not in memo)
+        memo.update((x, old[x]) for x in new if x in old)
+        memo.update(self._encode([x for x in new if x not in memo]))
+        memo.update((p, memo[base] + memo[tail] if tail else memo[base]) for p, base, tail in plans)
 
     def __call__(self, text: str | None) -> bytes:
         pieces = (text or "").replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.memo.__getitem__, pieces)) + self.end
         except KeyError:
-            pass
-        memo = self.memo
-        self._learn([p for p in set(pieces) if p not in memo])
-        if self.memo is not memo:  # emptied: learn what this text still needs
-            self._learn([p for p in set(pieces) if p not in self.memo])
-        return b"".join([self.memo[p] for p in pieces]) + self.end
+            wanted = set(pieces)
+            self._learn(wanted.difference(self.memo))
+            left = wanted.difference(self.memo)  # the memory was emptied: the rest of this text anew
+            if left:
+                self._learn(left)
+            return b"".join([self.memo[p] for p in pieces]) + self.end
 
 
 _encoders: dict = {}
@@ -211,23 +256,25 @@ def _writer(folder: str, tokenizer: str, end_id: int | None, file_bytes: int):
     def run(it):
         encode, part = encoder(tokenizer, end_id), TaskContext.get().partitionId()
         fs, root = pafs.FileSystem.from_uri(folder)
-        made, out = 0, None
+        made, out, temporary = 0, None, ""
 
         def put():
             nonlocal made
-            raw, name = out.finish(), f"part-{part:06d}-{made:04d}.sst"
-            fs.create_dir(root, recursive=True)
-            with fs.open_output_stream(temporary := f"{root}/.{name}.{uuid.uuid4().hex}") as f:
-                f.write(raw)
+            out.finish()
+            out.stream.close()
+            name = f"part-{part:06d}-{made:04d}.sst"
             fs.move(temporary, f"{root}/{name}")
             made += 1
-            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "part": [part], "seq": [made - 1], "docs": [len(out.keys)], "tokens": [out.n_tokens], "bytes": [len(raw)]}, schema=_MANIFEST_ARROW)
+            return pa.RecordBatch.from_pydict({"file": [f"{folder}/{name}"], "part": [part], "seq": [made - 1], "docs": [len(out.keys)], "tokens": [out.n_tokens], "bytes": [out.size]}, schema=_MANIFEST_ARROW)
 
         for batch in it:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                out = out or TableWriter(encode.width)
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    temporary = f"{root}/.part-{part:06d}-{made:04d}.{uuid.uuid4().hex}"
+                    out = TableWriter(encode.width, fs.open_output_stream(temporary))
                 out.add(key_of(doc_id), encode(text))
-                if len(out.out) >= file_bytes:
+                if out.size >= file_bytes:
                     yield put()
                     out = None
         if out:
