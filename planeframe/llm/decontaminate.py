@@ -109,23 +109,46 @@ def _scanner(patterns, key: int):
     return run
 
 
-def scanned(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """(doc_id, text, n_words, hit: a byte for each word, items) of every document row."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def _slices(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int):
+    """(broadcast patterns, their name) of each slice of the benchmark."""
+    small_batches(docs.sparkSession)
     items = benchmark.select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total * WINDOW // max_pattern_bytes))
-    out = docs.select("doc_id", "text")
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k)
         rows = [tuple(r) for r in part.collect()]
-        patterns = spark.sparkContext.broadcast(rows)
-        key = hash((k, hashlib.sha256(repr(rows).encode("utf-8", "replace")).hexdigest()))
+        yield docs.sparkSession.sparkContext.broadcast(rows), hash((k, hashlib.sha256(repr(rows).encode("utf-8", "replace")).hexdigest()))
+
+
+def scanned(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """(doc_id, text, n_words, hit: a byte for each word, items) of every document row."""
+    out = docs.select("doc_id", "text")
+    for patterns, key in _slices(docs, benchmark, max_pattern_bytes):
         out = out.mapInArrow(_scanner(patterns, key), _HITS)
     return out
 
 
+def _cleaner(patterns, key: int):
+    def run(it):
+        if key not in _built:
+            _built.clear()
+            _built[key] = Automaton(patterns.value)
+        for batch in it:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array([_built[key].scan(t)[1] is None for t in texts], pa.bool_()))
+
+    return run
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """The documents without any hit word, all columns as they are."""
+    out = docs.toDF(*["text" if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)])
+    for patterns, key in _slices(docs, benchmark, max_pattern_bytes):
+        out = out.mapInArrow(_cleaner(patterns, key), out.schema)
+    return out.toDF(*docs.columns)
+
+
 def _report(it):
     for batch in it:
         if not batch.num_rows:

@@ -324,6 +324,17 @@ def _shared_ids(same_id: DataFrame, usable: DataFrame) -> DataFrame:
     return same_id.join(several, "a", "left_semi")
 
 
+def without_near_duplicates(docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
+    """One document of each group of near duplicates, the one of smallest doc_id, all columns as they are; one row of each repeated doc_id."""
+    found = written(near_duplicates(docs), "groups")
+    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    few = gone.count() <= broadcast_ids
+    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    if not found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
