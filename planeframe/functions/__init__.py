@@ -1 +1 @@
-"""planeframe.functions"""
+"""Column functions: pixel layout, names, text and timing."""

@@ -1 +1 @@
-"""planeframe.operators"""
+"""Operators over frames: validation, admission, gap fill, summaries, tiling."""

@@ -1,4 +1,511 @@
 """All queries over the driver tables and the SQL that gives the same rows."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import json
+from dataclasses import replace
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import dataset
+from ..functions import layout, names, text
+from ..model import Settings
+from ..operators import admission, summary, tiling
+from ..sources import files, shards, tiff_codec, zarr_meta
+from ..sources.readers import zarr_plane
+from ..streaming.append import FrameAppender, append_stream
+from ..workspace import new_path
+from .adapter import ADMITTED_SQL, DENSE_SQL, EVENTS_SQL, LOG, ORDER, SPARSE_SQL, dense, events, plane_frames, plane_settings, sparse, table
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL where there is one."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# admission -----------------------------------------------------------------------------------------------------------
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.admitted(events(spark, sf_dir), LOG, ORDER, bucket=F.col("hour"))
+
+
+def _planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return admission.ifd_numbers(admission.filled(_judged(spark, sf_dir).where("accepted"), LOG))
+
+
+@query(f"with {ADMITTED_SQL} select position_index, plane_index, is_fill, t, c, z from pls")
+def gap_fill(spark, sf_dir):
+    return _planes(spark, sf_dir).select("position_index", "plane_index", "is_fill", "t", "c", "z")
+
+
+@query(f"""with {ADMITTED_SQL} select event_id, position_index, plane_index, next_before, accepted, case when accepted then null else '{admission.LATE}' end as reason,
+  case when auto then plane_index // 8 else t end as t, case when auto then ((plane_index // 2) % 4)::int else c end as c, case when auto then (plane_index % 2)::int else z end as z from ad""")
+def admit(spark, sf_dir):
+    return _judged(spark, sf_dir).select("event_id", "position_index", "plane_index", "next_before", "accepted", "reason", "t", "c", "z")
+
+
+@query(f"""with {EVENTS_SQL}, p as (select *, case when t is not null then (t * 4 + c) * 2 + z end as plane,
+  sum(case when t is null then 1 else 0 end) over (partition by position_index order by us, event_id rows unbounded preceding)::bigint as a from ev where t is null or t < 10),
+b as (select *, coalesce(lag(a) over w, 0) + greatest(0, coalesce(max(plane + 1 - a) over (w rows between unbounded preceding and 1 preceding), 0)) as n
+  from p window w as (partition by position_index order by us, event_id))
+select event_id, case when plane is null and n >= 80 then '{admission.FULL}' when plane < n then '{admission.LATE}' end as reason from b""")
+def admit_bounded(spark, sf_dir):
+    s = replace(LOG, time_count=10)
+    return admission.admitted(events(spark, sf_dir).where("t is null or t < 10"), s, ORDER).select("event_id", "reason")
+
+
+@query(f"with {ADMITTED_SQL} select event_id, (row_number() over (order by us, event_id) - 1)::bigint as output_index from ok")
+def output_index(spark, sf_dir):
+    return admission.output_index(_judged(spark, sf_dir).where("accepted"), ORDER, bucket=F.col("hour")).select("event_id", F.col("output_index").cast("long").alias("output_index"))
+
+
+@query(f"with {ADMITTED_SQL} select position_index, (row_number() over (partition by position_index order by plane_index) - 1)::bigint as ifd, is_fill, event_id from pls")
+def ifd_assign(spark, sf_dir):
+    return _planes(spark, sf_dir).select("position_index", "ifd", "is_fill", "event_id")
+
+
+@query(f"with {EVENTS_SQL} select event_id, (hour * 4 + c) * 2 + z as tcz, (z * 9000 + hour) * 4 + c as ztc, (c * 2 + z) * 9000 + hour as czt from ev")
+def plane_index(spark, sf_dir):
+    bounded = replace(LOG, time_count=9000)
+    index = lambda s: admission.plane_index(s, F.col("hour"), F.col("c"), F.col("z"))
+    return events(spark, sf_dir).select("event_id", index(LOG).alias("tcz"), index(replace(bounded, acquisition_order="ZTC")).alias("ztc"), index(replace(bounded, acquisition_order="CZT")).alias("czt"))
+
+
+@query("""select event_id, event_id // 8 as t1, ((event_id // 2) % 4)::int as c1, (event_id % 2)::int as z1,
+  (event_id // 4) % 100 as t2, (event_id % 4)::int as c2, (event_id // 400)::int as z2 from events""")
+def plane_coords(spark, sf_dir):
+    a = admission.plane_coordinates(LOG, F.col("event_id"))
+    b = admission.plane_coordinates(replace(LOG, time_count=100, acquisition_order="ZTC"), F.col("event_id"))
+    return table(spark, sf_dir, "events").select("event_id", *[a[k].alias(f"{k}1") for k in "tcz"], *[b[k].alias(f"{k}2") for k in "tcz"])
+
+
+# validation ----------------------------------------------------------------------------------------------------------
+@query("""select event_id, stride >= 8 and 60 + event_id % 10 = stride * 8 as ok from (select event_id, case when event_id % 12 = 0 or event_id % 5 = 0 then 8 else event_id % 12 end as stride from events)""")
+def validate_layout(spark, sf_dir):
+    stride = F.when(F.col("event_id") % 5 == 0, 0).otherwise(F.col("event_id") % 12)
+    return table(spark, sf_dir, "events").select("event_id", admission.layout_ok(LOG, 60 + F.col("event_id") % 10, stride).alias("ok"))
+
+
+@query(f"""select event_id, case when not (user_id % 4 between 0 and 2 and event_id % 5 between 0 and 3 and event_id % 3 between 0 and 1 and event_id % 7 - 2 >= -1) then '{admission.OUTSIDE}'
+  when value > 150 or value < 5 or event_type = 'error' then '{admission.METADATA}' end as reason from events""")
+def validate_frames(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    exposure = F.when(F.col("value") > 150, float("inf")).when(F.col("value") < 5, -1.0).otherwise(F.col("value"))
+    rows = e.select(
+        "event_id", (F.col("user_id") % 4).cast("int").alias("position_index"), (F.col("event_id") % 7 - 2).alias("t"), (F.col("event_id") % 5).cast("int").alias("c"), (F.col("event_id") % 3).cast("int").alias("z"), exposure.alias("exposure_ms"),
+        F.struct(F.lit(1.0).alias("x_um"), F.lit(None).cast("double").alias("y_um"), F.lit(None).cast("double").alias("z_um")).alias("stage"), F.create_map(F.when(F.col("event_type") == "error", "").otherwise("k"), F.lit("v")).alias("metadata"),
+    )
+    return admission.validated(rows, LOG, layout=False).select("event_id", "reason")
+
+
+_UUID = "'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)"
+
+
+@query(f"""with u as (select page_id, md5(url) as h from pages), v as (select page_id, case page_id % 5 when 0 then {_UUID} when 1 then upper({_UUID}) when 2 then replace({_UUID}, '-', '') when 3 then replace({_UUID}, 'a', 'g') else {_UUID} || ' ' end as u from u)
+select page_id, regexp_full_match(u, 'urn:uuid:[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}') as valid from v""")
+def uuid_check(spark, sf_dir):
+    u = F.expr(_UUID)
+    k = F.col("page_id") % 5
+    rows = table(spark, sf_dir, "pages").withColumn("h", F.md5("url")).withColumn("u", F.when(k == 0, u).when(k == 1, F.upper(u)).when(k == 2, F.replace(u, F.lit("-"), F.lit(""))).when(k == 3, F.replace(u, F.lit("a"), F.lit("g"))).otherwise(F.concat(u, F.lit(" "))))
+    return rows.select("page_id", F.col("u").rlike(r"\Aurn:uuid:[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z").alias("valid"))
+
+
+# layout --------------------------------------------------------------------------------------------------------------
+@query("""select p_partkey, b as bytes_per_pixel, b * 8 as storage_bits, w * b as row_bytes, case when s = 0 then w * b else s end as stride, case b when 1 then 'Mono8' else 'Mono16' end as format_name, b - 1 as format_id
+from (select p_partkey, p_size * 100 as w, (p_partkey % 2 + 1)::int as b, (p_partkey % 3) * 7000 as s from part)""")
+def layout_sizes(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 2 == 0, "uint8").otherwise("uint16")
+    width = F.col("p_size") * 100
+    return table(spark, sf_dir, "part").select("p_partkey", layout.bytes_per_pixel(kind).alias("bytes_per_pixel"), layout.storage_bits(kind).alias("storage_bits"), layout.packed_row_bytes(width, kind).alias("row_bytes"), layout.frame_stride((F.col("p_partkey") % 3) * 7000, width, kind).alias("stride"), layout.pixel_format_name(kind).alias("format_name"), layout.pixel_format_id(kind).alias("format_id"))
+
+
+@query(f"select vec_id, array_to_string(list_transform(list_filter(range(0, 64), lambda i: i % 8 < 6), lambda i: v[i + 1]::varchar), ',') as samples from (select vec_id, {DENSE_SQL} as v from embeddings)")
+def destride(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(layout.destrided(dense(), F.lit(8), F.lit(6)).cast("array<string>"), ",").alias("samples"))
+
+
+@query("""with p as (select p_partkey, p_size * 700 as row_bytes, (p_partkey % 50 + 1) * 20 as height from part),
+r as (select *, least(greatest(65536 // row_bytes, 1), height) as per from p)
+select p_partkey, per as rows_per_strip, first_row, least(per, height - first_row) as rows from (select *, unnest(range(0, height, per)) as first_row from r)""")
+def tiff_strips(spark, sf_dir):
+    row, height = F.col("p_size").cast("long") * 700, (F.col("p_partkey") % 50 + 1) * 20
+    rows = table(spark, sf_dir, "part").select("p_partkey", layout.rows_per_strip(row, height).alias("rows_per_strip"), F.explode(layout.strips(row, height)).alias("strip"))
+    return rows.select("p_partkey", "rows_per_strip", "strip.first_row", "strip.rows")
+
+
+@query("""select p_partkey, color as xml_color, hex as hex_color, ((1::bigint << (p_size % 16 + 1)) - 1) as window_end from
+(select p_partkey, p_size, case when rgba >= 2147483648 then rgba - 4294967296 else rgba end as color, case when rgb is null then 'FFFFFF' else lpad(printf('%X', (rgb & 16777215)::bigint), 6, '0') end as hex from
+(select p_partkey, p_size, rgb, ((rgb & 16777215) << 8) | 255 as rgba from (select p_partkey, p_size, case when p_partkey % 7 <> 0 then p_partkey * 40503 end as rgb from part)))""")
+def colors(spark, sf_dir):
+    rgb = F.when(F.col("p_partkey") % 7 != 0, F.col("p_partkey") * 40503)
+    return table(spark, sf_dir, "part").select("p_partkey", layout.xml_color(rgb).alias("xml_color"), layout.hex_color(rgb).alias("hex_color"), layout.window_end(F.col("p_size") % 16 + 1).alias("window_end"))
+
+
+# names ---------------------------------------------------------------------------------------------------------------
+@query("""select s_suppkey, case when s_suppkey % 4 = 0 then '' when s_suppkey % 4 = 1 then s_suppkey::varchar when s_suppkey % 4 = 2 then s_name else s_name || '_' || s_nationkey || '_' || (s_suppkey % 9) end as series_name from supplier""")
+def series_name(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    row, column = F.when(k == 3, F.col("s_nationkey")), F.when(k == 3, F.col("s_suppkey") % 9)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", names.series_name(F.when(k == 0, 1).otherwise(2), k > 1, F.col("s_suppkey"), F.col("s_name"), row, column).alias("series_name"))
+
+
+@query("""select c_custkey, root, root || '/' || regexp_extract(root, '([^/]*)$', 1) || '_p' || case when c_custkey < 1000 then lpad(c_custkey::varchar, 3, '0') else c_custkey::varchar end || '.ome.tiff' as path
+from (select c_custkey, regexp_replace('/data/' || c_name || case c_custkey % 4 when 0 then '.ome.tiff' when 1 then '.OME.TIF' when 2 then '.tiff' else '' end, '(?i)\\.ome\\.tiff?$', '') as root from customer)""")
+def tiff_paths(spark, sf_dir):
+    k = F.col("c_custkey") % 4
+    path = F.concat(F.lit("/data/"), F.col("c_name"), F.when(k == 0, ".ome.tiff").when(k == 1, ".OME.TIF").when(k == 2, ".tiff").otherwise(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", names.tiff_root(path).alias("root"), names.position_tiff_path(path, F.col("c_custkey")).alias("path"))
+
+
+@query("""select s_suppkey, case when s_suppkey % 3 = 0 then 'Position ' || (s_suppkey + 1) else s_name end as position, case when s_suppkey % 5 = 0 then 'Channel ' || (s_suppkey + 1) else s_name end as channel,
+  case when s_suppkey % 2 = 0 then 'Image' else 'Image ' || case when s_suppkey % 3 = 0 then 'Position ' || (s_suppkey + 1) else s_name end end as image from supplier""")
+def default_names(spark, sf_dir):
+    k = F.col("s_suppkey")
+    position = names.position_name(F.when(k % 3 == 0, "").otherwise(F.col("s_name")), k)
+    channel = names.channel_name(F.when(k % 5 != 0, F.col("s_name")), k)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", position.alias("position"), channel.alias("channel"), names.image_name(F.lit("Image"), F.when(k % 2 == 0, 1).otherwise(2), position).alias("image"))
+
+
+# text ----------------------------------------------------------------------------------------------------------------
+@query("select conv_id, turn, md5(replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;')) as escaped from (select conv_id, turn, '<\"' || turn || '\"> & ''' || text as x from conversations)")
+def escape(spark, sf_dir):
+    x = F.concat(F.lit('<"'), F.col("turn").cast("string"), F.lit('"> & \''), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.xml_escaped(x)).alias("escaped"))
+
+
+@query("""select conv_id, turn, md5(to_json(x)::varchar) as escaped from (select conv_id, turn, '"' || turn || '\\' || chr(9) || chr(10) || chr(13) || text as x from conversations)""")
+def escape_json(spark, sf_dir):
+    x = F.concat(F.lit('"'), F.col("turn").cast("string"), F.lit("\\\t\n\r"), F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(text.json_escaped(x)).alias("escaped"))
+
+
+@query("""select page_id, case when regexp_matches(x, '[,"\\n\\r]') then '"' || replace(x, '"', '""') || '"' else x end as field from (select page_id, case page_id % 4 when 0 then url when 1 then url || ', "a"' when 2 then '"' else url || chr(10) end as x from pages)""")
+def csv_field(spark, sf_dir):
+    k = F.col("page_id") % 4
+    x = F.when(k == 0, F.col("url")).when(k == 1, F.concat("url", F.lit(', "a"'))).when(k == 2, '"').otherwise(F.concat("url", F.lit("\n")))
+    return table(spark, sf_dir, "pages").select("page_id", text.csv_escaped(x).alias("field"))
+
+
+@query(f"with {EVENTS_SQL} select event_id, case when event_id % 10 = 0 then '' else strftime(make_timestamp((us // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' end as iso from ev")
+def iso_ts(spark, sf_dir):
+    ns = F.when(F.col("event_id") % 10 == 0, 0).otherwise(F.col("timestamp_ns") + F.col("event_id") % 1000)
+    return events(spark, sf_dir).select("event_id", text.iso_timestamp(ns).alias("iso"))
+
+
+@query("""select p_partkey, case when p_partkey % 4 <> 0 then p_size::bigint end as size, case when p_partkey % 4 <> 0 then -p_partkey end as other from part""")
+def xml_int(spark, sf_dir):
+    x = F.when(F.col("p_partkey") % 4 != 0, F.format_string('<Pixels Name="9x" SizeT="%d" Size="-%d" SizeT="1"/>', F.col("p_size"), F.col("p_partkey"))).otherwise('<Pixels SizeT="x"/>')
+    return table(spark, sf_dir, "part").select("p_partkey", text.xml_integer(x, "SizeT").alias("size"), text.xml_integer(x, " Size").alias("other"))
+
+
+@query(f"""with {EVENTS_SQL} select event_id, case when timestamp_ns >= {(1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000} then (timestamp_ns - {(1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000}) // 1000000 end::bigint as delta_ms,
+  case when event_id % 3 = 0 then 5000 else round(value * 1000) end::bigint as exposure_us from ev where value > 0.001""")
+def timing(spark, sf_dir):
+    start = (1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000
+    exposure = F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value"))
+    rows = events(spark, sf_dir).where("value > 0.001")
+    return rows.select("event_id", F.floor(text.delta_ms(F.col("timestamp_ns"), start)).cast("long").alias("delta_ms"), F.round(text.effective_exposure(exposure, 5.0) * 1000).cast("long").alias("exposure_us"))
+
+
+# summaries -----------------------------------------------------------------------------------------------------------
+@query(f"with {ADMITTED_SQL} select position_index, count(*) as planes, greatest(1, max(t) + 1) as size_t, max(t) + 1 as size_t_grown from pls group by 1")
+def series_size(spark, sf_dir):
+    return summary.series_sizes(_planes(spark, sf_dir), LOG)
+
+
+_STAGED = "case when event_id % 11 = 0 then event_id * 2 end as sx, case when event_id % 5 = 0 then event_id end as sy"
+
+
+@query(f"""with {ADMITTED_SQL}, st as (select position_index, plane_index, {_STAGED} from ok), f as (select position_index, min(plane_index) as at from st where sx is not null or sy is not null group by 1)
+select st.position_index, (case when st.position_index = 0 then 1500 else sx * 1000 end)::bigint as x_nm, (case when st.position_index = 1 then 2500 else sy * 1000 end)::bigint as y_nm, (case when st.position_index = 1 then -3000 end)::bigint as z_nm
+from st join f on f.position_index = st.position_index and f.at = st.plane_index""")
+def stage_label(spark, sf_dir):
+    k = F.col("event_id")
+    stage = F.struct(F.when(k % 11 == 0, k * 2).cast("double").alias("x_um"), F.when(k % 5 == 0, k).cast("double").alias("y_um"), F.lit(None).cast("double").alias("z_um"))
+    found = summary.stage_labels(_planes(spark, sf_dir).withColumn("stage", stage), LOG)
+    return found.select("position_index", *[F.round(F.col(f"{a}_um") * 1000).cast("long").alias(f"{a}_nm") for a in "xyz"])
+
+
+@query(f"with {ADMITTED_SQL} select position_index, bool_or(coalesce(event_type = 'error' and position_index > 0, false)) as annotated from ok group by 1")
+def annotations(spark, sf_dir):
+    note = F.when((F.col("event_type") == "error") & (F.col("position_index") > 0), F.create_map(F.lit("k"), F.col("props"))).otherwise(F.create_map().cast("map<string,string>"))
+    return summary.has_annotations(_planes(spark, sf_dir).withColumn("metadata", note))
+
+
+@query("select event_id, (event_id * 7 % 100 + 1) as payload_bytes, coalesce(sum(event_id * 7 % 100 + 1) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0)::bigint as payload_offset from events")
+def binary_offsets(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") * 7 % 100 + 1).alias("payload_bytes"))
+    return summary.payload_offsets(rows, ("event_id",), ("user_id",)).select("event_id", "payload_bytes", "payload_offset")
+
+
+# tiles ---------------------------------------------------------------------------------------------------------------
+_GRID = plane_settings("grid", "ome-zarr")
+_GRID_SQL = """g as (select vec_id, sy, sx, k, sy * 2 + k // 2 as cy, sx * 2 + k % 2 as cx from embeddings, unnest([0, 1]) as a(sy), unnest([0, 1]) as b(sx), unnest([0, 1, 2, 3]) as d(k)),
+h as (select *, cy < 3 and cx < 3 as inside, cy * 3 as y0, cx * 3 as x0 from g)"""
+
+
+@query(f"""with {_GRID_SQL} select vec_id, sy as shard_y, sx as shard_x, k as chunk_index, cy as chunk_y, cx as chunk_x, inside as in_image, case when inside then least(3, 8 - y0) else 0 end as copy_h, case when inside then least(3, 8 - x0) else 0 end as copy_w,
+  '0/c/' || vec_id || '/0/' || vec_id % 4 || '/' || sy || '/' || sx as path from h""")
+def chunk_grid(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").alias("t"), F.lit(0).alias("c"), (F.col("vec_id") % 4).alias("z"))
+    return tiling.chunk_grid(rows, _GRID).select("vec_id", "shard_y", "shard_x", "chunk_index", "chunk_y", "chunk_x", "in_image", "copy_h", "copy_w", "path")
+
+
+_TILE_SQL = f"""{_GRID_SQL}, t as (select h.vec_id, cy, cx, list_transform(range(0, 9), lambda q: case when y0 + q // 3 < 8 and x0 + q % 3 < 8 then v[(y0 + q // 3) * 8 + x0 + q % 3 + 1] else 0 end) as tile
+from h join (select vec_id, {SPARSE_SQL} as v from embeddings) e on e.vec_id = h.vec_id where inside)"""
+
+
+def _tiles(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v"), F.col("vec_id").alias("t"), F.lit(0).alias("c"), F.lit(0).alias("z"))
+    grid = tiling.chunk_grid(rows, _GRID).where("in_image")
+    return grid.withColumn("tile", tiling.tile_of(F.col("v"), _GRID, F.col("y0"), F.col("x0")))
+
+
+@query(f"with {_TILE_SQL} select vec_id, cy as chunk_y, cx as chunk_x, array_to_string(list_transform(tile, lambda x: x::varchar), ',') as samples from t")
+def tile(spark, sf_dir):
+    return _tiles(spark, sf_dir).select("vec_id", "chunk_y", "chunk_x", F.array_join(F.col("tile").cast("array<string>"), ",").alias("samples"))
+
+
+@query(f"with {_TILE_SQL} select vec_id, count(*) filter (where len(list_filter(tile, lambda x: x <> 0)) = 0) as empty_chunks, count(*) as chunks from t group by 1")
+def zero_chunks(spark, sf_dir):
+    empty = ~F.exists("tile", lambda x: x != 0)
+    return _tiles(spark, sf_dir).groupBy("vec_id").agg(F.sum(empty.cast("long")).alias("empty_chunks"), F.count("*").alias("chunks"))
+
+
+# whole datasets ------------------------------------------------------------------------------------------------------
+def _samples(raw):
+    """Bytes as comma-parted numbers."""
+    pairs = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.conv(F.hex(F.substring(raw, k, F.lit(1))), 16, 10))
+    return F.array_join(pairs, ",")
+
+
+_NUMBERS = "array_to_string(list_transform(v, lambda x: x::varchar), ',')"
+
+
+def _written(spark, sf_dir, kind: str, samples, **more) -> Settings:
+    path = new_path(spark, kind)
+    if kind != "ome-zarr":
+        path = f"{path}/planes.{'ome.tiff' if kind == 'ome-tiff' else kind}"
+    s = plane_settings(path, kind, z_count=4 if kind.startswith("ome") else 1, frame_metadata_path=f"{path}.csv" if kind == "binary" else "", **more)
+    dataset.write(plane_frames(spark, sf_dir, samples), s)
+    return s
+
+
+@query(f"select vec_id // 4 as t, 0 as c, (vec_id % 4)::int as z, {_NUMBERS} as samples from (select row_number() over (order by vec_id) - 1 as vec_id, {SPARSE_SQL} as v from embeddings)")
+def read_zarr(spark, sf_dir):
+    s = _written(spark, sf_dir, "ome-zarr", sparse())
+    rows = dataset.scan(spark, s.output_path, "ome-zarr")
+    n = table(spark, sf_dir, "embeddings").count()
+    return rows.where(F.col("frame_number") < n).select("t", "c", "z", _samples(F.col("bytes")).alias("samples"))
+
+
+_PAGES = "row_number() over (order by vec_id) - 1"
+
+
+@query(f"select {_PAGES} as frame_number, vec_id::varchar as frame_index, (vec_id * 1000 + 1704067200000000000)::varchar as timestamp_ns, 'cam, ' || label as camera_id, {_NUMBERS} as samples from (select vec_id, label, {DENSE_SQL} as v from embeddings)")
+def read_tiff(spark, sf_dir):
+    s = _written(spark, sf_dir, "tiff", dense())
+    rows = dataset.scan(spark, s.output_path, "tiff")
+    return rows.select("frame_number", F.col("frame_index").cast("string").alias("frame_index"), F.col("timestamp_ns").cast("string").alias("timestamp_ns"), "camera_id", _samples(F.col("bytes")).alias("samples"))
+
+
+@query(f"select {_PAGES} as frame_number, 8 as significant_bits, {_NUMBERS} as samples from (select vec_id, {DENSE_SQL} as v from embeddings)")
+def read_ome_tiff(spark, sf_dir):
+    s = _written(spark, sf_dir, "ome-tiff", dense())
+    return dataset.scan(spark, s.output_path, "ome-tiff").select("frame_number", "significant_bits", _samples(F.col("bytes")).alias("samples"))
+
+
+@query(f"select {_PAGES} as frame_number, vec_id::varchar as frame_index, 'cam, ' || label as camera_id, 8::bigint as stride, {_NUMBERS} as samples from (select vec_id, label, {DENSE_SQL} as v from embeddings)")
+def read_binary(spark, sf_dir):
+    s = _written(spark, sf_dir, "binary", dense())
+    rows = dataset.scan(spark, s.output_path, "binary", s.frame_metadata_path)
+    return rows.select("frame_number", F.col("frame_index").cast("string").alias("frame_index"), "camera_id", "stride", _samples(F.col("bytes")).alias("samples"))
+
+
+@query("""select line from (select 'camera_id,frame_index,timestamp_ns,width,height,bits_per_sample,stride,pixel_format,pixel_format_id,payload_bytes,source_roi_x,source_roi_y,source_roi_width,source_roi_height' as line
+union all select '"cam, ' || label || '",' || vec_id || ',' || (vec_id * 1000 + 1704067200000000000) || ',8,8,8,8,Mono8,0,64,0,0,0,0' from embeddings)""")
+def binary_csv(spark, sf_dir):
+    s = _written(spark, sf_dir, "binary", dense())
+    return spark.read.text(s.frame_metadata_path).select(F.col("value").alias("line"))
+
+
+@query(f"""select 'ome-zarr' as kind, {_NUMBERS} as samples from (select {DENSE_SQL} as v from embeddings where vec_id = 6) union all select 'tiff', {_NUMBERS} from (select {DENSE_SQL} as v from embeddings where vec_id = 6)
+union all select 'ome-tiff', {_NUMBERS} from (select {DENSE_SQL} as v from embeddings where vec_id = 6) union all select 'binary', {_NUMBERS} from (select {DENSE_SQL} as v from embeddings where vec_id = 6)""")
+def point_lookup(spark, sf_dir):
+    """Frame 6 of each format, by the key that the format has; vec_id counts from 0."""
+    found = []
+    for kind in ("ome-zarr", "tiff", "ome-tiff", "binary"):
+        s = _written(spark, sf_dir, kind, dense())
+        row = dataset.frame(spark, dataset.Location(kind, s.output_path, s.frame_metadata_path, frame_number=6, t=1, z=2))
+        found.append((kind, ",".join(map(str, bytes(row["bytes"])))))
+    return spark.createDataFrame(found, "kind string, samples string")
+
+
+@query("""select vec_id, 'planeframe.frame-metadata.v1' as schema, 'cam, ' || label as camera_id, vec_id::varchar as frame_index, 8 as bits_per_sample, 'Mono8' as pixel_format, 0 as pixel_format_id from embeddings""")
+def tiff_json_meta(spark, sf_dir):
+    s = _written(spark, sf_dir, "tiff", dense())
+    schema = "schema string, camera_id string, frame_index string, bits_per_sample int, pixel_format string, pixel_format_id int"
+    path = s.output_path
+
+    def pages(it):
+        for pdf in it:
+            for _ in range(len(pdf)):
+                with files.opened(path) as f:
+                    reader = tiff_codec.PageReader(f)
+                    yield pd.DataFrame({"text": [reader.values(x, tiff_codec.DESCRIPTION).decode() for x in reader.directories()]})
+
+    rows = spark.range(1, numPartitions=1).mapInPandas(pages, "text string").select(F.from_json("text", schema).alias("d")).select("d.*")
+    return rows.select(F.col("frame_index").cast("long").alias("vec_id"), "*")
+
+
+@query(f"""with {_TILE_SQL}, n as (select row_number() over (order by vec_id) - 1 as k, vec_id from embeddings)
+select k // 4 as t, (k % 4)::int as z, (cy // 2)::int as shard_y, (cx // 2)::int as shard_x, ((cy % 2) * 2 + cx % 2)::int as chunk_index, len(list_filter(tile, lambda x: x <> 0)) > 0 as stored from t join n using (vec_id)
+union all select k // 4, (k % 4)::int, sy, sx, q, false from n, unnest([0, 1]) as a(sy), unnest([0, 1]) as b(sx), unnest([0, 1, 2, 3]) as d(q) where sy * 2 + q // 2 >= 3 or sx * 2 + q % 2 >= 3""")
+def shard_index(spark, sf_dir):
+    s = _written(spark, sf_dir, "ome-zarr", sparse())
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{s.output_path}/0/c")
+
+    def entries(it):
+        for pdf in it:
+            out = []
+            for path, raw in zip(pdf.path, pdf.content):
+                t, _, z, y, x = map(int, path.rsplit("/", 5)[1:])
+                out += [(t, z, y, x, k, e is not None) for k, e in enumerate(shards.shard_index(raw, 4))]
+            yield pd.DataFrame(out, columns=["t", "z", "shard_y", "shard_x", "chunk_index", "stored"])
+
+    return rows.select("path", "content").mapInPandas(entries, "t long, z int, shard_y int, shard_x int, chunk_index int, stored boolean")
+
+
+@query("select vec_id, true as same, true as shards_agree from embeddings")
+def shard_bytes(spark, sf_dir):
+    """Building, reading and pasting the shards of each plane again, compressed and raw, 8 and 16 bits; equal pixels give equal bytes."""
+
+    def check(it):
+        for pdf in it:
+            same, agree = [], []
+            for v in pdf.v:
+                ok, equal = True, True
+                for kind, compressed in (("uint8", True), ("uint8", False), ("uint16", True)):
+                    s = replace(_GRID, pixel_type=kind, compression=compressed)
+                    plane = np.array(v).reshape(8, 8).astype(tiling.dtype(s))
+                    parts, again = [], []
+                    for y, x, tiles in tiling.shard_tiles(plane, s):
+                        raw = shards.build_shard(tiles, s)
+                        parts.append((y, x, shards.read_shard(raw, 4, s.chunk, tiling.dtype(s), compressed)))
+                        again.append(raw == shards.build_shard(tiles, s))
+                    ok &= bool((tiling.paste_tiles(s, parts) == plane).all())
+                    equal &= all(again)
+                same.append(ok)
+                agree.append(equal)
+            yield pd.DataFrame({"vec_id": pdf.vec_id, "same": same, "shards_agree": agree})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(check, "vec_id long, same boolean, shards_agree boolean")
+
+
+@query("select vec_id, true as strips, true as chunks from embeddings")
+def codec_roundtrip(spark, sf_dir):
+    """TIFF strips and Zarr chunks of each plane, encoded and decoded, 8 and 16 bits, compressed and raw."""
+
+    def check(it):
+        for pdf in it:
+            strips, chunks = [], []
+            for v in pdf.v:
+                a = b = True
+                for kind in ("uint8", "uint16"):
+                    for compressed in (True, False):
+                        s = replace(_GRID, pixel_type=kind, compression=compressed)
+                        plane = (np.array(v).reshape(8, 8) * (1 if kind == "uint8" else 251)).astype(tiling.dtype(s))
+                        code = tiff_codec.ADOBE_DEFLATE if compressed else tiff_codec.NONE
+                        got = [tiff_codec.decode_strip(x, 8, 8, tiling.dtype(s), code, 2 if compressed else 1) for x in tiff_codec.encode_strips(plane, s)]
+                        a &= bool((np.concatenate(got) == plane).all())
+                        b &= shards.decode_chunk(shards.encode_chunk(plane, s), plane.nbytes, compressed) == plane.tobytes()
+                strips.append(a)
+                chunks.append(b)
+            yield pd.DataFrame({"vec_id": pdf.vec_id, "strips": strips, "chunks": chunks})
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(check, "vec_id long, strips boolean, chunks boolean")
+
+
+@query("""select vec_id::varchar as "frameIndex", (row_number() over (order by vec_id) - 1)::varchar as "outputIndex", ((row_number() over (order by vec_id) - 1) // 4)::varchar as t, 0 as c, ((row_number() over (order by vec_id) - 1) % 4)::int as z,
+  (vec_id * 1000 + 1704067200000000000)::varchar as "timestampNs", vec_id as delta_us from embeddings""")
+def frames_jsonl(spark, sf_dir):
+    s = _written(spark, sf_dir, "ome-zarr", sparse())
+    schema = "outputIndex string, t string, c int, z int, frameIndex string, timestampNs string, deltaTMs double"
+    rows = spark.read.schema(schema).json(f"{s.output_path}/{zarr_meta.frames_name(s)}")
+    return rows.select("frameIndex", "outputIndex", "t", "c", "z", "timestampNs", F.round(F.col("deltaTMs") * 1000).cast("long").alias("delta_us"))
+
+
+@query("""select 'shape' as key, '[' || ((count(*) + 3) // 4) || ', 1, 4, 8, 8]' as value from embeddings union all select 'chunk', '[1, 1, 1, 6, 6]' union all select 'inner', '[1, 1, 1, 3, 3]' union all select 'codec', 'zstd' union all select 'axes', 't,c,z,y,x' union all select 'type', 'uint8'""")
+def zarr_meta_documents(spark, sf_dir):
+    s = _written(spark, sf_dir, "ome-zarr", sparse())
+    array, group = (json.loads(files.read(f"{s.output_path}/{p}zarr.json")) for p in ("0/", ""))
+    inner = array["codecs"][0]["configuration"]
+    rows = [("shape", array["shape"]), ("chunk", array["chunk_grid"]["configuration"]["chunk_shape"]), ("inner", inner["chunk_shape"]), ("codec", inner["codecs"][1]["name"]), ("axes", ",".join(a["name"] for a in group["attributes"]["ome"]["multiscales"][0]["axes"])), ("type", array["data_type"])]
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "key string, value string")
+
+
+@query("select (row_number() over (order by vec_id) - 1)::bigint as ifd, (row_number() over (order by vec_id) - 1) // 4 as first_t, ((row_number() over (order by vec_id) - 1) % 4)::bigint as first_z, vec_id as delta_us from embeddings")
+def ome_xml_planes(spark, sf_dir):
+    """TiffData and Plane elements of the document in the first page."""
+    s = _written(spark, sf_dir, "ome-tiff", dense())
+    with files.opened(s.output_path) as f:
+        reader = tiff_codec.PageReader(f)
+        document = reader.values(next(reader.directories()), tiff_codec.DESCRIPTION).decode()
+    rows = spark.createDataFrame([(document,)], "x string")
+    data = rows.select(F.posexplode(F.regexp_extract_all("x", F.lit(r"<TiffData [^>]*>"), F.lit(0))).alias("k", "e"))
+    plane = rows.select(F.posexplode(F.regexp_extract_all("x", F.lit(r"<Plane [^>]*>"), F.lit(0))).alias("k", "p"))
+    both = data.join(plane, "k")
+    return both.select(text.xml_integer(F.col("e"), "IFD").alias("ifd"), text.xml_integer(F.col("e"), "FirstT").alias("first_t"), text.xml_integer(F.col("e"), "FirstZ").alias("first_z"), F.round(F.regexp_extract("p", r'DeltaT="([^"]*)"', 1).cast("double") * 1000).cast("long").alias("delta_us"))
+
+
+@query(f"with {ADMITTED_SQL} select position_index, plane_index, is_fill, t, c, z from pls")
+def stream_admit(spark, sf_dir):
+    """The log in four micro-batches by time gives the planes of the whole log."""
+    folder = new_path(spark, "stream")
+    e = events(spark, sf_dir)
+    edges = e.agg(F.min("us"), F.max("us")).first()
+    step = F.floor((F.col("us") - edges[0]) * 4 / (edges[1] - edges[0] + 1)).cast("int")
+    rows = e.withColumn("seq", (F.col("us") - edges[0]) * 100_000 + F.col("event_id") % 100_000).withColumn("bytes", F.unhex(F.lit("00" * 64)))
+    appender = FrameAppender(replace(LOG, output_path=f"{folder}/log.ome.tiff", format="ome-tiff", overwrite=True), f"{folder}/staging")
+    for k in range(4):
+        appender.append(rows.where(step == k), k)
+    planes = spark.read.parquet(f"{folder}/staging/planes/*")
+    return planes.select("position_index", "plane_index", "is_fill", "t", "c", "z")
+
+
+@query(f"select vec_id // 4 as t, (vec_id % 4)::int as z, {_NUMBERS} as samples from (select row_number() over (order by vec_id) - 1 as vec_id, {SPARSE_SQL} as v from embeddings)")
+def stream_zarr(spark, sf_dir):
+    """A streaming query that appends planes to a Zarr dataset, then a scan of it."""
+    folder = new_path(spark, "stream")
+    source = plane_frames(spark, sf_dir, sparse())
+    n = source.count()
+    cut = n // 2
+    for k, part in enumerate((source.where(F.col("seq") < cut), source.where(F.col("seq") >= cut))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    appender = FrameAppender(plane_settings(f"{folder}/planes.ome.zarr", "ome-zarr", z_count=4), f"{folder}/staging")
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    append_stream(stream, appender, f"{folder}/checkpoint").awaitTermination()
+    appender.close(spark)
+    rows = dataset.scan(spark, f"{folder}/planes.ome.zarr", "ome-zarr").where(F.col("frame_number") < n)
+    return rows.select("t", "z", _samples(F.col("bytes")).alias("samples"))
+
+
+@query(f"select vec_id, {_NUMBERS} as samples from (select vec_id, {SPARSE_SQL} as v from embeddings where vec_id < 8)")
+def chunk_reassembly(spark, sf_dir):
+    """Planes pasted from shard files by group path, without Spark's reader."""
+    s = _written(spark, sf_dir, "ome-zarr", sparse())
+    array = zarr_meta.parse_array(files.read(f"{s.output_path}/0/zarr.json"))
+    rows = [(k, ",".join(map(str, zarr_plane(s.output_path, array, k // 4, 0, k % 4).ravel().tolist()))) for k in range(8)]
+    return spark.createDataFrame(rows, "vec_id long, samples string")

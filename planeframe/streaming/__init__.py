@@ -1 +1 @@
-"""planeframe.streaming"""
+"""Live append: micro-batches of frames into a dataset."""
