@@ -115,6 +115,8 @@ def dense(words: list[str]) -> np.ndarray:
 
 def values(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
     """The machine's value of each word: the highest of its windows; NONE for words of fewer than three letters."""
+    if len(words) > 20_000:
+        return np.concatenate([values(words[i : i + 20_000], weights, bias) for i in range(0, len(words), 20_000)])
     out = np.full(len(words), NONE)
     for at, rows in _by_length(words):
         ids, w, norm = features(rows)
@@ -149,10 +151,9 @@ def _spread(words: list[str], n: int) -> list[str]:
     """Farthest-first choice of n words by kernel, the first word first."""
     if len(words) <= n:
         return words
-    x = dense(words)
     near, chosen = np.full(len(words), -1.0, np.float32), [0]
     for _ in range(n - 1):
-        near = np.maximum(near, x @ x[chosen[-1]])
+        near = np.maximum(near, _kernel(words, dense([words[chosen[-1]]]))[:, 0])
         chosen.append(int(near.argmin()))
     return [words[k] for k in dict.fromkeys(chosen)]
 
@@ -174,14 +175,15 @@ def _telling(toxic: list[set[str]], clean: list[set[str]], chance: float = 1e-3)
         seen: dict[str, int] = {}
         for words in side:
             for g in set().union(*(_groups_of(_bare(w)) for w in words)) if words else ():
-                seen[g] = seen.get(g, 0) + 1
-        counts.append(seen)
+                if not counts or g in counts[0]:  # clean documents only matter where a toxic one has the group
+                    seen[g] = seen.get(g, 0) + 1
+        counts.append({g: k for g, k in seen.items() if k >= 3} if not counts else seen)
     share = len(toxic) / (len(toxic) + len(clean))
     limit = math.log(chance / max(1, len(counts[0])))
     found = []
     for g, k in counts[0].items():
         n = k + counts[1].get(g, 0)
-        if k >= 3 and (n - k) * share <= 0.02 * k * (1 - share):
+        if (n - k) * share <= 0.02 * k * (1 - share):
             tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(k, n + 1))
             p = math.log(tail) if tail > 0 else -700.0
             if p <= limit:
@@ -191,8 +193,10 @@ def _telling(toxic: list[set[str]], clean: list[set[str]], chance: float = 1e-3)
 
 def train_words(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, float] | None:
     """Labelled documents [(toxic, text)] -> (a weight for each letter triple, bias)."""
-    toxic = [pieces(t) for y, t in docs if y]
-    clean = [pieces(t) for y, t in docs if not y]
+    known: dict[str, str] = {}  # one object for each word, however many documents have it
+    bags = [(y, {known.setdefault(w, w) for w in pieces(t)}) for y, t in docs]
+    toxic, clean = [b for y, b in bags if y], [b for y, b in bags if not y]
+    del bags, known
     if not toxic or not clean:
         return None
     marks_of = _telling(toxic, clean)
@@ -215,9 +219,10 @@ def train_words(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, seed: i
     rare = [every[k + 5000] for k in rng.permutation(max(0, len(every) - 5000))]
     every = every[:5000] + rare
     marks = dense(_spread(positive[:1500], landmarks * 2 // 3) + _spread(every[:1500], landmarks // 3))
+    del toxic, clean, often, rare
     machine = _machine(positive, every[:15_000], marks)
     for _ in range(2):
-        hard = np.argsort(-values(every[:300_000], *machine), kind="stable")[:8_000]
+        hard = np.argsort(-values(every[:200_000], *machine), kind="stable")[:8_000]
         machine = _machine(positive, every[:10_000] + [every[k] for k in hard], marks)
     return machine
 
@@ -227,15 +232,21 @@ def _machine(positive: list[str], negative: list[str], marks: np.ndarray) -> tup
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
-    x = np.hstack([_kernel(positive + negative, marks) @ root, np.ones((len(positive) + len(negative), 1))])
+    x = np.ones((len(positive) + len(negative), root.shape[1] + 1))
+    x[:, :-1] = _kernel(positive + negative, marks) @ root
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     weight = np.r_[np.full(len(positive), 1 / len(positive)), np.full(len(negative), 6 / len(negative))]
     ridge = 1e-4 * np.eye(x.shape[1])
     w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of the squared hinge: a weighted ridge over the rows inside the margin
-        inside = y * (x @ w) < 1
-        xs, ws = x[inside], weight[inside]
-        new = np.linalg.solve((xs * ws[:, None]).T @ xs + ridge, (xs * ws[:, None]).T @ y[inside])
+        inside = np.flatnonzero(y * (x @ w) < 1)
+        left, right = ridge.copy(), np.zeros(x.shape[1])
+        for i in range(0, len(inside), 2048):
+            at = inside[i : i + 2048]
+            scaled = x[at] * weight[at, None]
+            left += scaled.T @ x[at]
+            right += scaled.T @ y[at]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -270,9 +281,8 @@ def train(docs: list[tuple[int, str]]) -> dict | None:
     for fold in (0, 1):
         half = train_words([d for k, d in enumerate(docs) if k % 2 == fold]) or machine
         rest = [d for k, d in enumerate(docs) if k % 2 != fold]
-        words = sorted(set().union(*(pieces(t) for _, t in rest)))
-        value = dict(zip(words, values(words, half[0], half[1])))
-        points += [top_two([value[w] for w in pieces(t)]) for _, t in rest]
+        for _, t in rest:
+            points.append(top_two(values(list(pieces(t)), half[0], half[1]).tolist()))
         labels += [bool(y) for y, _ in rest]
     return {"weights": machine[0], "bias": machine[1], "platt": _platt(np.array(points), np.array(labels))}
 
