@@ -58,14 +58,15 @@ def source_key() -> Column:
     return F.concat(F.when(F.col("source").isNull(), "n").otherwise("v"), F.coalesce("source", F.lit("")))
 
 
-#: Rows that share these are told apart by a running number in the order of their texts' hashes.
-COPIES = Window.partitionBy("doc_id", "skey", "size")
+def _copy_number(text_hash) -> Column:
+    """Rows of one doc_id, source and size are told apart by a running number in the order of their texts' hashes."""
+    return F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(text_hash))
 
 
 def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their offset in their source's line, and the sources with targets."""
     base = docs.select("doc_id", "source", source_key().alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
-    base = written(base.withColumn("copy", F.row_number().over(COPIES.orderBy("print"))).drop("print"), "sizes")
+    base = written(base.withColumn("copy", _copy_number("print")).drop("print"), "sizes")
     n_docs = base.count()
     buckets = 64
     while buckets * 10_000 < n_docs and buckets < 1 << 20:
@@ -136,7 +137,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     if placed.where("copy > 1").isEmpty():
         keyed = keyed.withColumn("copy", F.lit(1))
     else:
-        keyed = keyed.withColumn("copy", F.row_number().over(COPIES.orderBy(F.xxhash64("text"))))
+        keyed = keyed.withColumn("copy", _copy_number(F.xxhash64("text")))
     joined = keyed.join(runs, F.col("doc_id").eqNullSafe(F.col("_run_doc_id")) & (F.col("skey") == F.col("_run_skey")) & (F.col("size") == F.col("_run_size")) & (F.col("copy") == F.col("_run_copy")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("_ranges", lambda r: F.slice("_words", (r["from_word"] + 1).cast("int"), (r["to_word"] - r["from_word"]).cast("int")))), " ")
