@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass
 
@@ -98,7 +99,8 @@ def frame(spark: SparkSession, where: Location):
     try:
         found = rows.collect()
     except Exception as e:
-        raise PlaneFrameError(f"frame cannot be read: {str(e)[:500]}") from e
+        told = re.search(r"PlaneFrameError: (.*)", str(e))
+        raise PlaneFrameError(f"frame cannot be read: {told[1] if told else str(e)[:500]}") from e
     if len(found) != 1:
         raise PlaneFrameError("frame is outside the dataset")
     return found[0]
