@@ -23,19 +23,33 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+#: Up to so many admitted frames their metadata is broadcast to the payloads, which then stay where they are.
+BROADCAST_FRAMES = 200_000
+
+
 def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(planes to write, rejected frames) of an input; planes of OME formats are admitted, filled and numbered."""
+    """(planes to write, rejected frames) of an input; planes of OME formats are admitted, filled and numbered.
+
+    Windows see the frames without their payloads, cut into ranges of ``seq`` (or ``bucket``); accepted frames then meet their payload once. ``seq`` must
+    be unique within a position.
+    """
     rows = as_frames(df)
-    if s.format == "binary":
-        rows = admission.validated(rows, s, coordinates=False)
-    elif s.format == "tiff":
-        rows = admission.validated(rows, s)
-    else:
-        accepted, rejected = admission.split(rows, s, bucket=bucket)
-        planes = admission.filled(admission.output_index(accepted), s, max_gap)
-        return planes, rejected
-    good = rows.where("reason is null").drop("reason").withColumns({"is_fill": F.lit(False), "output_index": F.col("seq"), "plane_index": F.col("seq")})
-    return good, rows.where("reason is not null")
+    if s.format in ("binary", "tiff"):
+        checked = admission.validated(rows, s, coordinates=s.format == "tiff")
+        good = checked.where("reason is null").drop("reason").withColumns({"is_fill": F.lit(False), "output_index": F.col("seq"), "plane_index": F.col("seq")})
+        return good, checked.where("reason is not null").drop("bytes")
+    checked = admission.validated(rows, s).drop("bytes")
+    if not checked.groupBy("position_index", "seq").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        raise PlaneFrameError("seq repeats within a position, so frames have no order")
+    bucket = admission.order_buckets(checked) if bucket is None else bucket
+    judged = admission.admitted(checked.where("reason is null").drop("reason"), s, bucket=bucket)
+    rejected = checked.where("reason is not null").unionByName(judged.where("not accepted").select(*checked.columns))
+    accepted = admission.output_index(judged.where("accepted").drop("reason", "accepted"), bucket=bucket)
+    few = accepted.count() <= BROADCAST_FRAMES
+    payload = rows.select("position_index", "seq", "bytes")
+    real = payload.join(F.broadcast(accepted) if few else accepted, ["position_index", "seq"]).withColumn("is_fill", F.lit(False))
+    gaps = admission.fills(accepted, s, max_gap).withColumn("is_fill", F.lit(True))
+    return real.unionByName(gaps, allowMissingColumns=True), rejected
 
 
 def write(df: DataFrame, settings: Settings, strict: bool = True, bucket: Column | None = None, max_gap: int | None = None) -> DataFrame:
@@ -60,6 +74,8 @@ def write(df: DataFrame, settings: Settings, strict: bool = True, bucket: Column
         planes = planes.repartition(1).sortWithinPartitions("plane_index")
     planes = planes.withColumns({"camera_id": F.coalesce("camera_id", F.lit("")), "frame_index": F.coalesce("frame_index", F.lit(0).cast("decimal(20,0)")), "timestamp_ns": F.coalesce("timestamp_ns", F.lit(0).cast("decimal(20,0)")), "exposure_ms": F.coalesce("exposure_ms", F.lit(0.0))})
     planes.write.format("planeframe").option("settings", s.to_json()).mode("append").save()
+    if s.format == "ome-zarr":
+        writers.write_lines(planes.where("not is_fill").drop("bytes"), s)
     return rejected
 
 

@@ -124,6 +124,15 @@ def admitted(df: DataFrame, s: Settings, order: tuple[str, ...] = ("seq",), buck
     return df.drop("_plane", "_a", "_m", "_a0", "_m0", "_bucket", "_start_a", "_start_m")
 
 
+def order_buckets(df: DataFrame, column: str = "seq", rows: int = 100_000) -> Column | None:
+    """Ranges of an integer order column of about ``rows`` rows each if it is spread evenly; None where one range is enough."""
+    low, high, n = df.agg(F.min(column), F.max(column), F.count("*")).first()
+    if not n or n <= rows:
+        return None
+    width = max(1, (high - low + 1) * rows // n)
+    return F.call_function("div", F.col(column) - F.lit(low), F.lit(width).cast("long"))
+
+
 def fills(accepted: DataFrame, s: Settings, max_gap: int | None = None) -> DataFrame:
     """(position_index, plane_index, t, c, z) of every plane that accepted frames skip; ``max_gap`` is a guard that raises."""
     gap = F.col("plane_index") - F.col("next_before")

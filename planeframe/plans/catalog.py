@@ -57,13 +57,18 @@ def admit(spark, sf_dir):
 
 
 @query(f"""with {EVENTS_SQL}, p as (select *, case when t is not null then (t * 4 + c) * 2 + z end as plane,
-  sum(case when t is null then 1 else 0 end) over (partition by position_index order by us, event_id rows unbounded preceding)::bigint as a from ev where t is null or t < 10),
+  sum(case when t is null then 1 else 0 end) over (partition by position_index order by us, event_id rows unbounded preceding)::bigint as a from ev where t is null or t < 500),
 b as (select *, coalesce(lag(a) over w, 0) + greatest(0, coalesce(max(plane + 1 - a) over (w rows between unbounded preceding and 1 preceding), 0)) as n
   from p window w as (partition by position_index order by us, event_id))
-select event_id, case when plane is null and n >= 80 then '{admission.FULL}' when plane < n then '{admission.LATE}' end as reason from b""")
+select event_id, case when plane is null and n >= 4000 then '{admission.FULL}' when plane < n then '{admission.LATE}' end as reason from b
+union all select event_id, '{admission.OUTSIDE}' from ev where t >= 500""")
 def admit_bounded(spark, sf_dir):
-    s = replace(LOG, time_count=10)
-    return admission.admitted(events(spark, sf_dir).where("t is null or t < 10"), s, ORDER).select("event_id", "reason")
+    """A bounded log: frames outside are rejected before admission, and the positions become full."""
+    s = replace(LOG, time_count=500)
+    rows = events(spark, sf_dir)
+    inside = admission.coordinates_ok(s, *(F.col(c) for c in ("position_index", "t", "c", "z")))
+    judged = admission.admitted(rows.where(inside), s, ORDER, bucket=F.col("hour")).select("event_id", "reason")
+    return judged.unionByName(rows.where(~inside).select("event_id", F.lit(admission.OUTSIDE).alias("reason")))
 
 
 @query(f"with {ADMITTED_SQL} select event_id, (row_number() over (order by us, event_id) - 1)::bigint as output_index from ok")
@@ -211,12 +216,11 @@ def xml_int(spark, sf_dir):
 
 
 @query(f"""with {EVENTS_SQL} select event_id, case when timestamp_ns >= {(1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000} then (timestamp_ns - {(1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000}) // 1000000 end::bigint as delta_ms,
-  case when event_id % 3 = 0 then 5000 else round(value * 1000) end::bigint as exposure_us from ev where value > 0.001""")
+  case when event_id % 3 = 0 then 5000 else case when value > 0 then round(value * 1000) else 5000 end end::bigint as exposure_us from ev""")
 def timing(spark, sf_dir):
     start = (1_704_067_200_000_000 + 86_400_000_000 * 30) * 1000
     exposure = F.when(F.col("event_id") % 3 == 0, 0.0).otherwise(F.col("value"))
-    rows = events(spark, sf_dir).where("value > 0.001")
-    return rows.select("event_id", F.floor(text.delta_ms(F.col("timestamp_ns"), start)).cast("long").alias("delta_ms"), F.round(text.effective_exposure(exposure, 5.0) * 1000).cast("long").alias("exposure_us"))
+    return events(spark, sf_dir).select("event_id", F.floor(text.delta_ms(F.col("timestamp_ns"), start)).cast("long").alias("delta_ms"), F.round(text.effective_exposure(exposure, 5.0) * 1000).cast("long").alias("exposure_us"))
 
 
 # summaries -----------------------------------------------------------------------------------------------------------
@@ -502,10 +506,15 @@ def stream_zarr(spark, sf_dir):
     return rows.select("t", "z", _samples(F.col("bytes")).alias("samples"))
 
 
-@query(f"select vec_id, {_NUMBERS} as samples from (select vec_id, {SPARSE_SQL} as v from embeddings where vec_id < 8)")
+@query(f"select vec_id, {_NUMBERS} as samples from (select {_PAGES} as vec_id, {SPARSE_SQL} as v from embeddings)")
 def chunk_reassembly(spark, sf_dir):
     """Planes pasted from shard files by group path, without Spark's reader."""
     s = _written(spark, sf_dir, "ome-zarr", sparse())
-    array = zarr_meta.parse_array(files.read(f"{s.output_path}/0/zarr.json"))
-    rows = [(k, ",".join(map(str, zarr_plane(s.output_path, array, k // 4, 0, k % 4).ravel().tolist()))) for k in range(8)]
-    return spark.createDataFrame(rows, "vec_id long, samples string")
+    group = s.output_path
+
+    def planes(it):
+        array = zarr_meta.parse_array(files.read(f"{group}/0/zarr.json"))
+        for pdf in it:
+            yield pd.DataFrame({"vec_id": pdf.id, "samples": [",".join(map(str, zarr_plane(group, array, k // 4, 0, k % 4).ravel().tolist())) for k in pdf.id]})
+
+    return spark.range(table(spark, sf_dir, "embeddings").count()).mapInPandas(planes, "vec_id long, samples string")

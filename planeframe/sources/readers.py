@@ -100,13 +100,16 @@ class PlaneReader(DataSourceReader):
         for position, path in self._tiff_files():
             if not self._keep(position_index=position):
                 continue
-            if "frame_number" in self.wanted:
-                n = self.wanted["frame_number"]
-                out.append(Part("tiff", path, position, n, n + 1, self.wanted))
-                continue
             with files.opened(path) as f:
-                pages = sum(1 for _ in PageReader(f).directories())
-            out += [Part("tiff", path, position, k, min(pages, k + PAGES_A_TASK), self.wanted) for k in range(0, pages, PAGES_A_TASK)]
+                reader, starts = PageReader(f), []
+                for pages, _ in enumerate(reader.directories(), 1):
+                    if pages % PAGES_A_TASK == 1:
+                        starts.append(reader.at)
+                    if pages - 1 == self.wanted.get("frame_number"):
+                        out.append(Part("tiff", path, position, pages - 1, pages, {"at": reader.at}))
+                        break
+            if "frame_number" not in self.wanted:
+                out += [Part("tiff", path, position, k * PAGES_A_TASK, min(pages, (k + 1) * PAGES_A_TASK), {"at": at}) for k, at in enumerate(starts)]
         return out
 
     def _binary_parts(self):
@@ -139,18 +142,13 @@ class PlaneReader(DataSourceReader):
 
     def _tiff(self, part: Part):
         with files.opened(part.path) as f:
-            reader, bits = PageReader(f), None
-            found = False
-            for k, fields in enumerate(reader.directories()):
-                if k == 0:
-                    text = (reader.values(fields, DESCRIPTION) or b"").decode("utf-8", "replace")
-                    m = re.search(r'SignificantBits="(\d+)"', text) if "<OME" in text else None
-                    bits = int(m[1]) if m else None
-                if part.start <= k < part.stop:
-                    found = True
-                    yield self._page(part, reader, fields, k, bits)
-            if not found:
-                raise PlaneFrameError(f"TIFF file has no page {part.start}: {part.path}")
+            reader = PageReader(f)
+            text = (reader.values(next(reader.directories()), DESCRIPTION) or b"").decode("utf-8", "replace")
+            m = re.search(r'SignificantBits="(\d+)"', text) if "<OME" in text else None
+            for k, fields in enumerate(reader.directories(part.wanted["at"]), part.start):
+                if k >= part.stop:
+                    break
+                yield self._page(part, reader, fields, k, int(m[1]) if m else None)
 
     def _page(self, part: Part, reader: PageReader, fields: dict, k: int, bits: int | None):
         width, height, storage = reader.geometry(fields)

@@ -122,21 +122,22 @@ class PageReader:
         (version,) = struct.unpack(self.order + "H", head[2:4])
         if version not in (42, 43):
             raise PlaneFrameError("not a TIFF file")
-        self.big = version == 43
+        self.big, self.at = version == 43, 0
         self.first = struct.unpack(self.order + "Q", head[8:16])[0] if self.big else struct.unpack(self.order + "I", head[4:8])[0]
 
     def _at(self, offset: int, n: int) -> bytes:
         self.file.seek(offset)
         return self.file.read(n)
 
-    def directories(self, pixels_of: int | None = None):
-        """Yields the fields of each page: {tag: (type, count, place of the value)}."""
-        at, seen = self.first, set()
+    def directories(self, start: int | None = None):
+        """Yields the fields of each page from the directory at ``start`` on: {tag: (type, count, place of the value)}; ``self.at`` is where it begins."""
+        at, seen = start or self.first, set()
         count, entry, pointer = ("Q", 20, "Q") if self.big else ("H", 12, "I")
         while at:
             if at in seen:
                 raise PlaneFrameError("TIFF directories form a loop")
             seen.add(at)
+            self.at = at
             size = struct.calcsize(count)
             raw = self._at(at, size)
             if len(raw) < size:

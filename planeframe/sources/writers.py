@@ -11,6 +11,8 @@ import json
 import os
 from dataclasses import dataclass
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.text import csv_field
@@ -28,9 +30,10 @@ ROI = ("x", "y", "width", "height")
 
 @dataclass
 class Written(WriterCommitMessage):
+    """What a task made: files, and by position the planes of a TIFF file or the number of times of a Zarr array."""
+
     files: list
     planes: dict
-    lines: dict
 
 
 def tiff_description(s: Settings, row: dict) -> bytes:
@@ -82,9 +85,43 @@ def write_zarr_metadata(s: Settings, reach: dict[int, int]) -> None:
         files.write(f"{zarr_group(s, k)}/0/zarr.json", zarr_meta.array_document(s, reach.get(k, 0)))
 
 
+def write_lines(frames: DataFrame, s: Settings, path=None) -> None:
+    """The frame lines of each position, in output order, one file and one task for each: ``path(position)`` or beside the position's group.
+
+    ``frames`` are the real ones without their payloads; a task streams its rows. Positions without frames get an empty file.
+    """
+    text = s.to_json()
+    target = path or (lambda k: f"{zarr_group(s, k)}/{zarr_meta.frames_name(s)}")
+
+    def write(it):
+        settings = Settings.from_json(text)
+        current = out = hidden = None
+        for batch in it:
+            for row in batch.to_pylist():
+                if row["position_index"] != current:
+                    if out:
+                        out.close()
+                        files.replace(hidden, target(current))
+                        yield pa.RecordBatch.from_pydict({"position_index": pa.array([current], pa.int32())})
+                    current = row["position_index"]
+                    hidden = files.temporary(target(current))
+                    out = files.stream(hidden)
+                out.write((zarr_meta.frame_line(settings, row) + "\n").encode())
+        if out:
+            out.close()
+            files.replace(hidden, target(current))
+            yield pa.RecordBatch.from_pydict({"position_index": pa.array([current], pa.int32())})
+
+    ordered = frames.repartition("position_index").sortWithinPartitions("position_index", "output_index")
+    done = {r.position_index for r in ordered.mapInArrow(write, "position_index int").collect()}
+    for k in range(s.position_count):
+        if k not in done:
+            files.write(target(k), b"")
+
+
 class PlaneWriter(DataSourceArrowWriter):
-    def __init__(self, settings: str, frames_lines: bool):
-        self.settings, self.lines = settings, frames_lines
+    def __init__(self, settings: str):
+        self.settings = settings
 
     # tasks --------------------------------------------------------------------
     def write(self, iterator):
@@ -93,16 +130,14 @@ class PlaneWriter(DataSourceArrowWriter):
         return {"ome-zarr": self._zarr, "ome-tiff": self._pages, "tiff": self._pages, "binary": self._binary}[s.format](s, rows)
 
     def _zarr(self, s: Settings, rows) -> Written:
-        made, planes, lines = [], {}, {}
+        planes: dict[int, int] = {}
         for row in rows:
             position = row["position_index"]
             group = zarr_group(s, position)
             for y, x, tiles in shard_tiles(packed_plane(row["bytes"], s, row["stride"] or 0), s):
                 files.write(f"{group}/0/c/{row['t']}/{row['c']}/{row['z']}/{y}/{x}", build_shard(tiles, s))
             planes[position] = max(planes.get(position, 0), row["t"] + 1)
-            if self.lines and not row["is_fill"]:
-                lines.setdefault(position, []).append((row["output_index"], zarr_meta.frame_line(s, row)))
-        return Written(made, planes, lines)
+        return Written([], planes)
 
     def _pages(self, s: Settings, rows) -> Written:
         made, planes = [], {}
@@ -135,7 +170,7 @@ class PlaneWriter(DataSourceArrowWriter):
             elif not known:
                 known.append(True)
         close()
-        return Written(made, planes, {})
+        return Written(made, planes)
 
     def _binary(self, s: Settings, rows) -> Written:
         raw = index = None
@@ -147,11 +182,11 @@ class PlaneWriter(DataSourceArrowWriter):
             raw.write(row["bytes"])
             index.write(index_line(s, row).encode())
         if raw is None:
-            return Written([], {}, {})
+            return Written([], {})
         for f, source, target in zip((raw, index), hidden, (s.output_path, s.frame_metadata_path)):
             f.close()
             files.replace(source, target)
-        return Written([s.output_path, s.frame_metadata_path], {}, {})
+        return Written([s.output_path, s.frame_metadata_path], {})
 
     # driver -------------------------------------------------------------------
     def commit(self, messages) -> None:
@@ -159,15 +194,9 @@ class PlaneWriter(DataSourceArrowWriter):
         messages = [m for m in messages if m is not None]
         if s.format == "ome-zarr":
             reach: dict[int, int] = {}
-            lines: dict[int, list] = {}
             for m in messages:
                 for k, n in m.planes.items():
                     reach[k] = max(reach.get(k, 0), n)
-                for k, part in m.lines.items():
-                    lines.setdefault(k, []).extend(part)
-            for k in range(s.position_count if self.lines else 0):
-                text = "".join(line + "\n" for _, line in sorted(lines.get(k, [])))
-                files.write(f"{zarr_group(s, k)}/{zarr_meta.frames_name(s)}", text.encode())
             write_zarr_metadata(s, reach)
         elif s.format == "ome-tiff":
             found = {k: planes for m in messages for k, planes in m.planes.items()}
@@ -192,7 +221,7 @@ class PlaneSource(DataSource):
         return "planeframe"
 
     def writer(self, schema, overwrite: bool):
-        return PlaneWriter(self.options["settings"], self.options.get("lines", "true") == "true")
+        return PlaneWriter(self.options["settings"])
 
     def schema(self):
         from .readers import SCHEMA

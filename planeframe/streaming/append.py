@@ -71,11 +71,10 @@ class FrameAppender:
     def _grow(self, planes: DataFrame, batch_id: int, reach: dict[int, int]) -> None:
         """Shards of the batch, then the documents. The writer's own commit would only know this batch, so its documents are written again for all."""
         s = self.settings
-        lines = planes.where("not is_fill").drop("bytes")
-        _defaults(planes).write.format("planeframe").option("settings", s.to_json()).option("lines", "false").mode("append").save()
-        for k in range(s.position_count):
-            mine = sorted((r.asDict(recursive=True) for r in lines.where(F.col("position_index") == k).collect()), key=lambda r: r["output_index"])
-            files.write(f"{self.staging}/lines/{k}/{batch_id:09d}.jsonl", "".join(zarr_meta.frame_line(s, r) + "\n" for r in mine).encode())
+        lines = _defaults(planes).where("not is_fill").drop("bytes")
+        _defaults(planes).write.format("planeframe").option("settings", s.to_json()).mode("append").save()
+        staging = self.staging
+        writers.write_lines(lines, s, lambda k: f"{staging}/lines/{k}/{batch_id:09d}.jsonl")
         writers.write_zarr_metadata(s, reach)
 
     def flush(self, spark) -> None:
