@@ -117,3 +117,30 @@ def _positions(df: DataFrame) -> DataFrame:
 
 def op1_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
+
+
+_NORMAL = r"trim(regexp_replace(lower({}), '[ \t\n\r\f\v]+', ' ', 'g'))"
+OP1_SQL = rf"""
+with m as (select row_number() over () as r, conv_id, turn, role, coalesce(replace(text, chr(13) || chr(10), chr(10)), '') as x from conversations),
+l as (select r, unnest(string_split(x, chr(10))) as line, generate_subscripts(string_split(x, chr(10)), 1) as k from m),
+q as (select *, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+') as head from l),
+z as (select *, len(head) - len(replace(head, '>', '')) as level, substr(line, len(head) + 1) as rest from q),
+n as (select *, lead(level, 1, 0) over (partition by r order by k) as next_level, k - row_number() over (partition by r, level order by k) as run from z),
+own as (select r, trim(string_agg(line, chr(10) order by k), chr(10)) as own from n
+  where level = 0 and not (next_level > 0 and regexp_full_match(trim(line), '(?i)(?:on\b.*|.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*')) group by r),
+p as (select r, level, min(k) as nr, {_NORMAL.format("string_agg(rest, chr(10) order by k)")} as h from n where level > 0 group by r, level, run),
+quoted as (select * from p where h <> ''),
+part as (select r, own as u from own union select r, unnest(regexp_split_to_array(own, '\n\s*\n')) from own union select r, unnest(string_split(own, chr(10))) from own),
+unit as (select distinct r, {_NORMAL.format("u")} as h from part),
+offer as (select h, conv_id, turn from unit join m using (r) where h <> '' and conv_id is not null and turn is not null),
+near as (select h, conv_id, min(turn) as turn from offer group by 1, 2),
+far as (select h, min(struct_pack(conv_id := conv_id, turn := turn)) as far from near group by 1),
+link as (select quoted.r, level, nr, case when near.turn < m.turn then struct_pack(conv_id := m.conv_id, turn := near.turn) when far.conv_id <> m.conv_id then far end as original
+  from quoted join m using (r) left join near on near.h = quoted.h and near.conv_id = m.conv_id left join far on far.h = quoted.h),
+s as (select r, count(*) as n_quotes, max(level) as max_level, count(original) as n_linked, arg_min(original, (level, nr)) filter (where original is not null) as original from link group by r),
+pos as (select *, row_number() over w - 1 as position, lag(turn) over w as before from m window w as (partition by conv_id order by turn nulls first, role, x)),
+k as (select pos.*, coalesce(n_quotes, 0) as n_quotes, coalesce(max_level, 0)::int as max_level, coalesce(n_linked, 0) as n_linked, original,
+  case when original is not null then 'quote' when position > 0 then 'previous' else 'first' end as reply_kind from pos left join s using (r))
+select conv_id, turn, role, position, n_quotes, max_level, n_linked, reply_kind, case reply_kind when 'quote' then original.conv_id when 'previous' then conv_id end as reply_conv,
+  case reply_kind when 'quote' then original.turn when 'previous' then before end as reply_turn, coalesce(own, '') as text from k left join own using (r)
+"""

@@ -6,7 +6,7 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .embed_dedup import OP4_SQL, op4_int8_tiles
 from .mixing import op5_mix_sources
 from .neardup import OP8_SQL, op8_lsh_forest
-from .quotes import op1_quotation_links
+from .quotes import OP1_SQL, op1_quotation_links
 from .secret_scan import op9_secret_network
 from .sharding import op10_lpt_shards
 from .sst import op2_sorted_tables
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_quotation_links": OP1_SQL,
     "op3_decontaminate": OP3_SQL,
     "op4_int8_tiles": OP4_SQL,
     "op8_lsh_forest": OP8_SQL,

@@ -200,7 +200,7 @@ class Encoder:
         return array(self.code, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def _whole(self, pieces: list[str]) -> list[bytes]:
-        return [array(self.code, got.ids).tobytes() for got in self.tokenizer.encode_batch(pieces, add_special_tokens=False)]
+        return [array(self.code, self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes() for p in pieces]
 
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         """Ids of new pieces by the tokenizer."""
@@ -236,10 +236,10 @@ class Encoder:
             return b"".join(map(self.memo.__getitem__, pieces)) + self.end
         except KeyError:
             wanted = set(pieces)
-            self._learn(wanted.difference(self.memo))
-            left = wanted.difference(self.memo)  # the memory was emptied: the rest of this text anew
-            if left:
-                self._learn(left)
+            memo = self.memo
+            self._learn(wanted.difference(memo))
+            if self.memo is not memo:  # it was emptied: the rest of this text anew
+                self._learn(wanted.difference(self.memo))
             return b"".join([self.memo[p] for p in pieces]) + self.end
 
 

@@ -1,4 +1,8 @@
-from planeframe.llm.quotes import linked, parse
+import random
+
+from planeframe.llm.quotes import OP1_SQL, linked, op1_quotation_links, parse
+
+from ..oracle import compare
 
 SCHEMA = "conv_id long, turn long, role string, text string, position string"
 
@@ -38,3 +42,24 @@ def test_positions_are_gapless_over_ranges(spark):
 
 def test_empty(spark):
     assert linked(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_against_sql(spark, tmp_path):
+    """Random threads with nested quotes, the SQL over the same table."""
+    rng = random.Random(9)
+    said, rows = ["hello there", "one\ntwo lines", "para one\n\npara two"], []
+    for conv in range(12):
+        for turn in range(rng.randint(1, 9)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                mark = rng.choice(["> ", ">> ", "> > ", ">", "  > "])
+                lines += (["On Monday someone wrote:"] if rng.random() < 0.3 else []) + [mark + x.upper() for x in rng.choice(said).split("\n")]
+                if rng.random() < 0.5:
+                    lines.append(f"word {rng.randint(0, 30)}")
+            lines.append(rng.choice(["ok", f"new text {conv} {turn}", "", "wrote:"]))
+            text = rng.choice(["\n", "\r\n"]).join(lines)
+            said.append(parse(text)[0] or "ok")
+            rows.append((conv, turn, rng.choice(["u", "a"]), text if rng.random() < 0.95 else None))
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
+    compare(spark, str(tmp_path), op1_quotation_links, OP1_SQL)
