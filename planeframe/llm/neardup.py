@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, table, utf8, written
+from .common import batches, forget, small_batches, table, utf8, written
 from .components import components
 
 WORDS = 5
@@ -161,19 +161,25 @@ def _verify(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
+def _scratch(df: DataFrame, name: str, tables: list) -> DataFrame:
+    """A written table that ``tables`` remembers for deletion."""
+    tables.append(written(df, name))
+    return tables[-1]
+
+
+def texts_of(ids: DataFrame, docs: DataFrame, tables: list, broadcast_ids: int = 500_000) -> DataFrame:
     """(doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), one row each.
 
     The ids are broadcast while there are at most ``broadcast_ids`` (8 MB), so no other text travels; beyond that they are joined by a shuffle.
     """
-    ids = written(ids.distinct(), "ids")
+    ids = _scratch(ids.distinct(), "ids", tables)
     few = ids.count() <= broadcast_ids
     return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
     """The candidate pairs (a, b) that link on their full sets."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs)
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, tables)
     pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
     pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(batches(_verify), "a long, b long")
@@ -273,13 +279,13 @@ def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: list) -> tuple[DataFrame, DataFrame]:
     """What open regions add: candidate pairs (a, b) of the small ones, confirmed links of the crowded ones."""
-    reps = written(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps")
+    reps = _scratch(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
     trees = f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})) as region))"
     rows = reps.select("rep", "comp", F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "t.tree", "t.region")
     regions = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    regions = written(regions.where("m > 1 and low <> high").drop("low", "high"), "regions")
+    regions = _scratch(regions.where("m > 1 and low <> high").drop("low", "high"), "regions", tables)
     two = regions.where("m = 2").select("a", "b").distinct()
     light = reps.select("rep", "sig", "n")
     two = two.join(light.toDF("a", "sa", "na"), "a").join(light.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(batches(_agreeing), "a long, b long")
@@ -290,8 +296,8 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame) -> tuple[D
     crowded = open_rows.where(f"m > {SMALL}").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
     spread = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
-    crowded = written(crowded.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep"), "crowded")
-    texts = texts_of(crowded.select(F.col("rep").alias("doc_id")), docs).select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
+    crowded = _scratch(crowded.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep"), "crowded", tables)
+    texts = texts_of(crowded.select(F.col("rep").alias("doc_id")), docs, tables).select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
     tiles = crowded.join(texts, "rep").select(*key, "side", "rep", "comp", "n", "sig", "text").repartition("region", "i", "j").sortWithinPartitions(*key)
     pairs = two.unionAll(small.mapInArrow(_groups(_Group.pairs), "a long, b long")).distinct()
     return pairs, tiles.mapInArrow(_groups(_Group.links), "a long, b long")
@@ -303,16 +309,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs), "signed")
     usable = signed.where("print is not null and doc_id is not null")
     classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    reps = written(usable.join(classes, "print").where("doc_id = rep").dropDuplicates(["rep", "print"]).select("rep", "sig", F.col("n_shingles").alias("n")), "reps")
+    tables: list[DataFrame] = []
+    reps = _scratch(usable.join(classes, "print").where("doc_id = rep").dropDuplicates(["rep", "print"]).select("rep", "sig", F.col("n_shingles").alias("n")), "reps", tables)
     # rows that repeat a doc_id with another text link its classes through that id
     same_id = usable.join(classes, "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    pairs = written(_deep_neighbours(reps), "pairs")
-    links = written(confirmed(pairs, docs), "links")
-    comps = written(components(links), "components")
-    more, links2 = _open_regions(reps, comps, docs)
-    links2 = confirmed(written(more, "pairs"), docs).unionAll(links2)
+    pairs = _scratch(_deep_neighbours(reps), "pairs", tables)
+    links = _scratch(confirmed(pairs, docs, tables), "links", tables)
+    comps = components(links)
+    more, links2 = _open_regions(reps, comps, docs, tables)
+    links2 = confirmed(_scratch(more, "pairs", tables), docs, tables).unionAll(links2)
     stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     final = components(stars.unionAll(links2).unionAll(_shared_ids(same_id, usable)))
+    for t in tables:  # the components are written: nothing reads these again
+        forget(t)
     named = signed.join(classes, "print", "left").withColumn("node", F.coalesce("rep", "doc_id"))
     out = named.join(final, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), "doc_id"))
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -40,3 +40,21 @@ def test_stages(spark, sf):
     assert after.count() == before.count()
     rows = after.orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+
+
+def test_edge_documents(spark, sf, edge):
+    """Nulls, empty and very long texts, repeated rows and clashing columns go through every stage."""
+    docs = edge
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        if name != "token_tables":
+            assert out.columns == edge.columns
+        path = new_path(spark, "t")
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+    assert docs.count() > 0
+
+
+def test_empty_documents(spark, sf, docs_of):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs_of([]), sf).count() == 0
