@@ -180,7 +180,7 @@ class Encoder:
     the tokenizer shows on probes that it agrees. All else goes to the tokenizer whole. The memory has two generations of ``keep`` pieces: the old one goes when the young one is full.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 250_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 600_000):
         one_thread()
         from tokenizers import Tokenizer
 
