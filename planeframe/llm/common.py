@@ -72,6 +72,18 @@ def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "replace")
 
 
+_held: dict = {}
+
+
+def held(key: tuple, build: Callable):
+    """What ``build`` makes, kept in this Python worker until another key is asked for: workers are reused, so one operator's
+    model, automaton or memory must not stay while the next one fills its own."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = build()
+    return _held[key]
+
+
 def one_thread() -> None:
     """Keeps native libraries in Python workers from starting threads of their own."""
     for name in ("TOKENIZERS_PARALLELISM", "RAYON_NUM_THREADS", "OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):

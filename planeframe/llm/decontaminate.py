@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, utf8
+from .common import held, small_batches, table, utf8
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 64 << 20
@@ -82,15 +82,11 @@ def spans_of(text: str, mask: np.ndarray) -> list[dict]:
 
 
 _HITS = "doc_id long, text string, n_words long, hit binary, items array<string>"
-_built: dict[int, Automaton] = {}
 
 
 def _scanner(patterns, key: int):
     def run(it):
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton(patterns.value)
-        machine = _built[key]
+        machine = held(("automaton", key), lambda: Automaton(patterns.value))
         for batch in it:
             if not batch.num_rows:
                 continue
@@ -131,12 +127,10 @@ def scanned(docs: DataFrame, benchmark: DataFrame, max_pattern_bytes: int = MAX_
 
 def _cleaner(patterns, key: int):
     def run(it):
-        if key not in _built:
-            _built.clear()
-            _built[key] = Automaton(patterns.value)
+        machine = held(("automaton", key), lambda: Automaton(patterns.value))
         for batch in it:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            yield batch.filter(pa.array([_built[key].scan(t)[1] is None for t in texts], pa.bool_()))
+            yield batch.filter(pa.array([machine.scan(t)[1] is None for t in texts], pa.bool_()))
 
     return run
 

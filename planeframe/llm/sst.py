@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, one_thread, small_batches, table, written
+from .common import held, new_path, one_thread, small_batches, table, written
 
 MAGIC = b"PFSSTAB1"
 BLOCK_BYTES = 64 << 10
@@ -180,7 +180,7 @@ class Encoder:
     the tokenizer shows on probes that it agrees. All else goes to the tokenizer whole. The memory has two generations of ``keep`` pieces: the old one goes when the young one is full.
     """
 
-    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 600_000):
+    def __init__(self, path: str, end_id: int | None = END_ID, keep: int = 400_000):
         one_thread()
         from tokenizers import Tokenizer
 
@@ -243,13 +243,8 @@ class Encoder:
             return b"".join([self.memo[p] for p in pieces]) + self.end
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str, end_id: int | None) -> Encoder:
-    if (path, end_id) not in _encoders:
-        _encoders[path, end_id] = Encoder(path, end_id)
-    return _encoders[path, end_id]
+    return held(("encoder", path, end_id), lambda: Encoder(path, end_id))
 
 
 def _writer(folder: str, tokenizer: str, end_id: int | None, file_bytes: int):

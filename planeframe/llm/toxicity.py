@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import held, small_batches, table
 
 LAMBDA, SPAN, LONGEST = 0.5, 7, 24
 LETTERS, START, STOP = 32, 31, 30
@@ -317,19 +317,14 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(np.c_[points, np.ones(len(points))] @ self.model["platt"], -30, 30)))
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def _scoring(model, key: int, finish):
     def run(it):
-        if key not in _scorers:
-            _scorers.clear()
-            _scorers[key] = Scorer(model.value)
+        scorer = held(("toxicity", key), lambda: Scorer(model.value))
         for batch in it:
             if batch.num_rows:
                 at = batch.schema.get_field_index("text")
                 texts = batch.column(at).to_pylist()
-                score = np.concatenate([_scorers[key](texts[i : i + 250]) for i in range(0, len(texts), 250)])
+                score = np.concatenate([scorer(texts[i : i + 250]) for i in range(0, len(texts), 250)])
                 yield finish(batch, score)
 
     return run

@@ -18,7 +18,7 @@ from collections import deque
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import batches, one_thread, small_batches, table
+from .common import batches, held, one_thread, small_batches, table
 
 END = "\0"
 
@@ -108,14 +108,10 @@ class Counter:
         return words, tokens
 
 
-_counters: dict[str, Counter] = {}
-
-
 def _counting(path: str):
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if path not in _counters:
-            _counters[path] = Counter(path)
-        found = [_counters[path](t) for t in batch.column(1).to_pylist()]
+        counter = held(("counter", path), lambda: Counter(path))
+        found = [counter(t) for t in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([w for w, _ in found], pa.int64()), pa.array([t for _, t in found], pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
     return count
