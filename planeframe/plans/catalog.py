@@ -24,13 +24,13 @@ QUERIES: dict = {}
 ORACLES: dict = {}
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
+def query(sql: str | None = None, name: str = ""):
+    """Registers a query under ``name`` or its function's name, with its SQL where there is one."""
 
     def add(fn):
-        QUERIES[fn.__name__] = fn
+        QUERIES[name or fn.__name__] = fn
         if sql:
-            ORACLES[fn.__name__] = sql
+            ORACLES[name or fn.__name__] = sql
         return fn
 
     return add
@@ -129,7 +129,7 @@ def uuid_check(spark, sf_dir):
 
 # layout --------------------------------------------------------------------------------------------------------------
 @query("""select p_partkey, b as bytes_per_pixel, b * 8 as storage_bits, w * b as row_bytes, case when s = 0 then w * b else s end as stride, case b when 1 then 'Mono8' else 'Mono16' end as format_name, b - 1 as format_id
-from (select p_partkey, p_size * 100 as w, (p_partkey % 2 + 1)::int as b, (p_partkey % 3) * 7000 as s from part)""")
+from (select p_partkey, p_size * 100 as w, (p_partkey % 2 + 1)::int as b, (p_partkey % 3) * 7000 as s from part)""", name="layout")
 def layout_sizes(spark, sf_dir):
     kind = F.when(F.col("p_partkey") % 2 == 0, "uint8").otherwise("uint16")
     width = F.col("p_size") * 100
@@ -175,7 +175,7 @@ def tiff_paths(spark, sf_dir):
 
 
 @query("""select s_suppkey, case when s_suppkey % 3 = 0 then 'Position ' || (s_suppkey + 1) else s_name end as position, case when s_suppkey % 5 = 0 then 'Channel ' || (s_suppkey + 1) else s_name end as channel,
-  case when s_suppkey % 2 = 0 then 'Image' else 'Image ' || case when s_suppkey % 3 = 0 then 'Position ' || (s_suppkey + 1) else s_name end end as image from supplier""")
+  case when s_suppkey % 2 = 0 then 'Image' else 'Image ' || case when s_suppkey % 3 = 0 then 'Position ' || (s_suppkey + 1) else s_name end end as image from supplier""", name="names")
 def default_names(spark, sf_dir):
     k = F.col("s_suppkey")
     position = names.position_name(F.when(k % 3 == 0, "").otherwise(F.col("s_name")), k)
@@ -318,6 +318,44 @@ def read_zarr(spark, sf_dir):
 _PAGES = "row_number() over (order by vec_id) - 1"
 
 
+def _page_tags(spark, path: str) -> DataFrame:
+    """The tags of every page of a file."""
+    tags = {"width": tiff_codec.WIDTH, "height": tiff_codec.HEIGHT, "bits": tiff_codec.BITS, "compression": tiff_codec.COMPRESSION, "predictor": tiff_codec.PREDICTOR, "rows_per_strip": tiff_codec.ROWS_PER_STRIP}
+
+    def pages(it):
+        for pdf in it:
+            for _ in range(len(pdf)):
+                with files.opened(path) as f:
+                    reader = tiff_codec.PageReader(f)
+                    rows = [{"page": k, "described": tiff_codec.DESCRIPTION in x} | {n: reader.values(x, t)[0] for n, t in tags.items()} for k, x in enumerate(reader.directories())]
+                yield pd.DataFrame(rows)
+
+    return spark.range(1, numPartitions=1).mapInPandas(pages, "page long, described boolean, " + ", ".join(f"{n} long" for n in tags))
+
+
+_TAGS_SQL = "8::bigint as width, 8::bigint as height, 8::bigint as bits, 8::bigint as compression, 2::bigint as predictor, 8::bigint as rows_per_strip"
+
+
+@query(f"select row_number() over (order by vec_id) - 1 as page, true as described, {_TAGS_SQL} from embeddings")
+def write_tiff(spark, sf_dir):
+    return _page_tags(spark, _written(spark, sf_dir, "tiff", dense()).output_path)
+
+
+@query(f"select row_number() over (order by vec_id) - 1 as page, row_number() over (order by vec_id) = 1 as described, {_TAGS_SQL} from embeddings")
+def write_ome_tiff(spark, sf_dir):
+    return _page_tags(spark, _written(spark, sf_dir, "ome-tiff", dense()).output_path)
+
+
+@query("""select '0/c/' || k // 4 || '/0/' || k % 4 || '/' || sy || '/' || sx as path, true as shard from (select row_number() over (order by vec_id) - 1 as k from embeddings), unnest([0, 1]) as a(sy), unnest([0, 1]) as b(sx)
+union all select unnest(['0/zarr.json', 'zarr.json', 'planeframe.frames.jsonl']), false""")
+def write_zarr(spark, sf_dir):
+    """Every file of a dataset."""
+    root = _written(spark, sf_dir, "ome-zarr", sparse()).output_path
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    inside = F.element_at(F.split("path", root.rsplit("/", 1)[1] + "/"), 2)
+    return rows.select(inside.alias("path"), inside.startswith("0/c/").alias("shard"))
+
+
 @query(f"select {_PAGES} as frame_number, vec_id::varchar as frame_index, (vec_id * 1000 + 1704067200000000000)::varchar as timestamp_ns, 'cam, ' || label as camera_id, {_NUMBERS} as samples from (select vec_id, label, {DENSE_SQL} as v from embeddings)")
 def read_tiff(spark, sf_dir):
     s = _written(spark, sf_dir, "tiff", dense())
@@ -451,7 +489,7 @@ def frames_jsonl(spark, sf_dir):
     return rows.select("frameIndex", "outputIndex", "t", "c", "z", "timestampNs", F.round(F.col("deltaTMs") * 1000).cast("long").alias("delta_us"))
 
 
-@query("""select 'shape' as key, '[' || ((count(*) + 3) // 4) || ', 1, 4, 8, 8]' as value from embeddings union all select 'chunk', '[1, 1, 1, 6, 6]' union all select 'inner', '[1, 1, 1, 3, 3]' union all select 'codec', 'zstd' union all select 'axes', 't,c,z,y,x' union all select 'type', 'uint8'""")
+@query("""select 'shape' as key, '[' || ((count(*) + 3) // 4) || ', 1, 4, 8, 8]' as value from embeddings union all select 'chunk', '[1, 1, 1, 6, 6]' union all select 'inner', '[1, 1, 1, 3, 3]' union all select 'codec', 'zstd' union all select 'axes', 't,c,z,y,x' union all select 'type', 'uint8'""", name="zarr_meta")
 def zarr_meta_documents(spark, sf_dir):
     s = _written(spark, sf_dir, "ome-zarr", sparse())
     array, group = (json.loads(files.read(f"{s.output_path}/{p}zarr.json")) for p in ("0/", ""))
@@ -460,7 +498,7 @@ def zarr_meta_documents(spark, sf_dir):
     return spark.createDataFrame([(k, str(v)) for k, v in rows], "key string, value string")
 
 
-@query("select (row_number() over (order by vec_id) - 1)::bigint as ifd, (row_number() over (order by vec_id) - 1) // 4 as first_t, ((row_number() over (order by vec_id) - 1) % 4)::bigint as first_z, vec_id as delta_us from embeddings")
+@query("select (row_number() over (order by vec_id) - 1)::bigint as ifd, (row_number() over (order by vec_id) - 1) // 4 as first_t, ((row_number() over (order by vec_id) - 1) % 4)::bigint as first_z, vec_id as delta_us from embeddings", name="ome_xml")
 def ome_xml_planes(spark, sf_dir):
     """TiffData and Plane elements of the document in the first page."""
     s = _written(spark, sf_dir, "ome-tiff", dense())
