@@ -40,7 +40,8 @@ from .components import components
 WORDS = 5
 TREES, DEPTH = 32, 3
 ORDERS, ORDER_DEPTH = 4, 16
-TILE = 1024
+#: A tile has about so many documents, and about so many shingles (16 MB of hashes), whichever makes it smaller.
+TILE, TILE_SHINGLES = 1024, 2_000_000
 SMALL = 64
 HASHES = TREES * DEPTH
 
@@ -293,7 +294,9 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: li
     open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
     small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep").join(reps, "rep")
     small = small.select(*key, "side", "rep", "comp", "n", "sig", F.lit(None).cast("string").alias("text")).repartition("region").sortWithinPartitions(*key)
-    crowded = open_rows.where(f"m > {SMALL}").withColumn("tiles", F.ceil(F.col("m") / TILE).cast("int")).withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
+    crowded = open_rows.where(f"m > {SMALL}").join(reps.select("rep", "n"), "rep")
+    weights = crowded.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    crowded = crowded.join(weights, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
     spread = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
     crowded = _scratch(crowded.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep"), "crowded", tables)
