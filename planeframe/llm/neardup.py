@@ -284,7 +284,7 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: li
     """What open regions add: candidate pairs (a, b) of the small ones, confirmed links of the crowded ones."""
     reps = _scratch(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
     trees = f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})) as region))"
-    rows = reps.select("rep", "comp", F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "t.tree", "t.region")
+    rows = reps.select("rep", "comp", F.col("n").cast("int").alias("n"), F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "n", "t.tree", "t.region")
     regions = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     regions = _scratch(regions.where("m > 1 and low <> high").drop("low", "high"), "regions", tables)
     two = regions.where("m = 2").select("a", "b").distinct()
@@ -294,7 +294,7 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: li
     open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
     small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep").join(reps, "rep")
     small = small.select(*key, "side", "rep", "comp", "n", "sig", F.lit(None).cast("string").alias("text")).repartition("region").sortWithinPartitions(*key)
-    crowded = open_rows.where(f"m > {SMALL}").join(reps.select("rep", "n"), "rep")
+    crowded = open_rows.where(f"m > {SMALL}")
     weights = crowded.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
     crowded = crowded.join(weights, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
