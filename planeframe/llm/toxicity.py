@@ -11,7 +11,7 @@ trained on witnesses against the words of negative sentences, in the space of la
 space is explicit, the trained machine folds to one weight for each letter triple, and a word costs a few hundred look-ups.
 
 A document's score is a logistic function of its two highest word values, calibrated on values that machines trained on the other half of the documents gave.
-At most ``per_class`` labelled documents of each label are collected for training (2,000, lowest hash of doc_id first).
+At most ``per_class`` labelled documents of each label are collected for training (1,200, lowest hash of doc_id first).
 
 Edge cases: null and empty texts have the lowest value and a score like any other; repeated rows are scored alike; words longer than
 LONGEST are read in overlapping windows; without labels of both kinds all scores are 0; null labels are not used; a null doc_id is not held out.
@@ -19,6 +19,9 @@ LONGEST are read in overlapping windows; without labels of both kinds all scores
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import math
 import re
 from functools import lru_cache
@@ -33,7 +36,7 @@ from .common import held, small_batches, table
 LAMBDA, SPAN, LONGEST = 0.5, 7, 24
 LETTERS, START, STOP = 32, 31, 30
 LANDMARKS = 192
-PER_CLASS = 2000
+PER_CLASS = 1200
 CUT = 0.7
 NONE = -4.0
 MARKS = ".,;:!?\"'()*|-"
@@ -222,7 +225,7 @@ def train_words(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, seed: i
     del toxic, clean, often, rare
     machine = _machine(positive, every[:15_000], marks)
     for _ in range(2):
-        hard = np.argsort(-values(every[:200_000], *machine), kind="stable")[:8_000]
+        hard = np.argsort(-values(every[:150_000], *machine), kind="stable")[:5_000]
         machine = _machine(positive, every[:10_000] + [every[k] for k in hard], marks)
     return machine
 
@@ -275,6 +278,7 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def train(docs: list[tuple[int, str]]) -> dict | None:
     """Labelled documents -> {weights, bias, platt}; None where one of the labels is missing."""
     machine = train_words(docs)
+    gc.collect()
     if machine is None:
         return None
     points, labels = [], []
@@ -330,8 +334,16 @@ def _scoring(model, key: int, finish):
     return run
 
 
+def _give_back() -> None:
+    """Returns what training used to the system, where the C library can: the driver lives on."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _shared_model(docs: DataFrame, labels: DataFrame, per_class: int):
     model = train(labelled(docs, labels, per_class))
+    _give_back()
     key = 0 if model is None else hash((model["weights"].tobytes(), model["bias"]))
     small_batches(docs.sparkSession)
     return docs.sparkSession.sparkContext.broadcast(model), key
