@@ -11,7 +11,7 @@ trained on witnesses against the words of negative sentences, in the space of la
 space is explicit, the trained machine folds to one weight for each letter triple, and a word costs a few hundred look-ups.
 
 A document's score is a logistic function of its two highest word values, calibrated on values that machines trained on the other half of the documents gave.
-At most ``per_class`` labelled documents of each label are collected for training (1,200, lowest hash of doc_id first).
+At most ``per_class`` labelled documents of each label are collected for training (2,000, lowest hash of doc_id first).
 
 Edge cases: null and empty texts have the lowest value and a score like any other; repeated rows are scored alike; words longer than
 LONGEST are read in overlapping windows; without labels of both kinds all scores are 0; null labels are not used; a null doc_id is not held out.
@@ -36,7 +36,7 @@ from .common import held, small_batches, table
 LAMBDA, SPAN, LONGEST = 0.5, 7, 24
 LETTERS, START, STOP = 32, 31, 30
 LANDMARKS = 192
-PER_CLASS = 1200
+PER_CLASS = 2000
 CUT = 0.7
 NONE = -4.0
 MARKS = ".,;:!?\"'()*|-"
