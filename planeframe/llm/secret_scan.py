@@ -8,7 +8,7 @@ reads WIDTH characters around it as classes, with a mark on the candidate's own
 outside the candidate, one hidden layer. It is trained on labelled findings: the base findings of a bounded sample of documents, with their key words
 as they stand and with other random secrets put in their place, against words, identifiers, dates, numbers and addresses
 in the contexts of the same sample. The threshold is the highest that keeps RECALL of the held-out findings, after a
-temperature is fitted on them, and at least FLOOR.
+temperature is fitted on them.
 
 Edge cases: null and empty texts have no spans; texts are read whole; repeated rows are scanned alike; without findings in the sample
 the network is trained on the made ones in plain contexts.
@@ -36,7 +36,7 @@ CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z0-9+/_=\-]*[0-9])(?=[A-
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
 FILTERS, KERNEL, HIDDEN = 24, 5, 16
-RECALL, FLOOR = 0.99, 0.9
+RECALL, UNSEEN = 0.99, 0.5  # UNSEEN: the threshold where no finding was held out to set it by
 SAMPLE = 2000
 
 _CLASSES = [string.digits, "abcdef", "ghijklm", "nopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "=", ":", "_-", ".,", "\"'", " ", "\n\t", "@#&?%"]
@@ -78,7 +78,7 @@ class Network:
     def __init__(self, rng: np.random.Generator):
         n = lambda *shape, scale: (rng.standard_normal(shape) * scale).astype(np.float32)
         self.p = {"conv": n(KERNEL, N_CLASSES + 1, FILTERS, scale=0.2), "cb": np.zeros(FILTERS, np.float32), "hid": n(3 * FILTERS + 1, HIDDEN, scale=0.15), "hb": np.zeros(HIDDEN, np.float32), "out": n(HIDDEN, scale=0.3), "ob": np.zeros(1, np.float32)}
-        self.temperature, self.threshold = 1.0, FLOOR
+        self.temperature, self.threshold = 1.0, UNSEEN
 
     def _input(self, codes: np.ndarray, mark: np.ndarray) -> np.ndarray:
         x = np.zeros((*codes.shape, N_CLASSES + 1), np.float32)
@@ -135,7 +135,7 @@ class Network:
         loss = lambda t: np.logaddexp(0, np.where(y > 0, -logit, logit) / t).mean()
         self.temperature = min(np.geomspace(0.25, 8, 41), key=loss)
         p = np.sort(self.probability(codes[y > 0], mark[y > 0]))
-        self.threshold = max(FLOOR, float(p[int(len(p) * (1 - RECALL))])) if len(p) else FLOOR
+        self.threshold = float(p[int(len(p) * (1 - RECALL))]) if len(p) else UNSEEN
 
     def probability(self, codes: np.ndarray, mark: np.ndarray) -> np.ndarray:
         parts = [self.forward(codes[i : i + 256], mark[i : i + 256])[0] for i in range(0, len(codes), 256)]

@@ -66,6 +66,18 @@ def test_held_out_recall(network):
     assert sum(any(k == "cnn" for k, _, _ in x) for x in miss) <= 20
 
 
+def test_threshold_keeps_recall():
+    """Findings that the network is unsure of lower the threshold; none is dropped beyond what RECALL leaves."""
+    rng = np.random.default_rng(5)
+    y = np.repeat([1.0, 0.0], 1000)
+    logit = np.where(y > 0, 1.0, -1.0) + rng.standard_normal(2000)
+    network = S.Network(rng)
+    network.forward = lambda codes, mark: (codes[:, 0], None)
+    network.calibrate(logit[:, None], logit[:, None], y)
+    found = network.probability(logit[:, None], logit[:, None]) >= network.threshold
+    assert found[y > 0].mean() >= S.RECALL
+
+
 def test_scan(docs_of, edge):
     docs = edge.unionAll(docs_of([(100 + k, t) for k, t in enumerate(TEXTS)]))
     rows = S.secrets(docs).collect()
