@@ -6,15 +6,15 @@ Passages and own texts are normalised (lower case, white space collapsed) and ha
 offers its whole own text, each of its paragraphs and each of its lines.
 
 A passage links to the first message of the same conversation before the quoting one that offers it, else to the first other
-message of all (by conversation and turn). A message replies to what the first linked passage of its lowest level
+message of another conversation (by conversation and turn, null conversations first). A message replies to what the first linked passage of its lowest level
 names, else to the message before it. ``position`` numbers a conversation by turn, gapless from 0; originals stand before
 their quotations, so this is a reply order.
 
-The joins meet one row for each (passage hash, conversation) and (passage hash), both minima, so a text that a third of all messages share
-adds no pairs. Positions are counted over ranges of turns, so a conversation with a third of all rows is no single task's.
+The joins meet one row for each (passage hash, conversation), the least turn, and one for each passage hash, its two least conversations, of which
+one is not the quoting one; so a text that a third of all messages share adds no pairs. Positions are counted over ranges of turns, so a conversation with a third of all rows is no single task's.
 
 Edge cases: null and empty texts have no quotes and an empty own text, which offers nothing; null conversations are one
-conversation, null turns come first; rows that repeat a message are numbered one by one and linked alike.
+conversation, which offers and links like any other, null turns come first and offer nothing; rows that repeat a message are numbered one by one and linked alike.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ from .common import batches, small_batches, table, written
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _ATTRIBUTION = re.compile(r"^(?:on\b.*|.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$", re.I)
 TURNS = 1024
+SALTS = 64
 
 
 def normalised(text: str) -> str:
@@ -77,20 +78,29 @@ def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(quotes, quote), pa.array(units, pa.list_(pa.binary())), batch.column(4)], ["conv_id", "turn", "role", "own", "quotes", "units", "mid"])
 
 
+def _originals(quoted: DataFrame, units: DataFrame) -> DataFrame:
+    """Adds to quoted passages (hash, conv_id, turn, ...) the original (conv_id, turn) among the offers (hash, conv_id, turn), or null."""
+    near = units.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
+    salted = near.withColumn("salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)))
+    least = salted.withColumn("k", F.row_number().over(Window.partitionBy("hash", "salt").orderBy(F.col("conv_id").asc_nulls_first()))).where("k <= 2")
+    far = least.groupBy("hash").agg(F.slice(F.sort_array(F.collect_list(F.struct("conv_id", F.col("near_turn").alias("turn")))), 1, 2).alias("far"))
+    near = near.select(F.col("hash").alias("near_hash"), F.col("conv_id").alias("near_conv"), "near_turn")
+    links = quoted.join(near, (F.col("hash") == F.col("near_hash")) & F.col("conv_id").eqNullSafe(F.col("near_conv")), "left").join(far, "hash", "left")
+    inside = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
+    outside = F.get(F.filter("far", lambda x: ~x["conv_id"].eqNullSafe(F.col("conv_id"))), F.lit(0))
+    return links.withColumn("original", F.coalesce(inside, outside)).drop("near_hash", "near_conv", "near_turn", "far")
+
+
 def linked(messages: DataFrame) -> DataFrame:
     """Messages (conv_id, turn, role, text) -> one row for each, with position, quotes, what it replies to, and its own text."""
     small_batches(messages.sparkSession)
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    m = m.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text"))
+    # nulls add nothing to a hash: the last two tell a null conversation from a null turn
+    m = m.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), 1), F.when(F.col("turn").isNull(), 2)))
     parsed = written(m.mapInArrow(batches(_parsed), "conv_id long, turn long, role string, own string, quotes array<struct<at:int,level:int,hash:binary>>, units array<binary>, mid long"), "messages")
     quoted = parsed.where("size(quotes) > 0").select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.at", "q.level", "q.hash").distinct()
-    units = parsed.select(F.explode("units").alias("hash"), "conv_id", "turn").where("conv_id is not null and turn is not null")
-    near = units.groupBy("hash", "conv_id").agg(F.min("turn").alias("near_turn"))
-    far = near.groupBy("hash").agg(F.min(F.struct("conv_id", F.col("near_turn").alias("turn"))).alias("far"))
-    links = quoted.join(near, ["hash", "conv_id"], "left").join(far, "hash", "left")
-    inside = F.when(F.col("near_turn") < F.col("turn"), F.struct("conv_id", F.col("near_turn").alias("turn")))
-    outside = F.when(F.col("far.conv_id") != F.col("conv_id"), F.col("far"))
-    links = links.withColumn("original", F.coalesce(inside, outside))
+    units = parsed.select(F.explode("units").alias("hash"), "conv_id", "turn").where("turn is not null")
+    links = _originals(quoted, units)
     first = F.min(F.when(F.col("original").isNotNull(), F.struct("level", "at", "original")))
     by_message = links.groupBy("mid").agg(F.count("original").alias("n_linked"), first.getField("original").alias("original"))
     placed = _positions(parsed.select("conv_id", "turn", "role", "own", "mid", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max("quotes.level"), F.lit(0)).alias("max_level")))

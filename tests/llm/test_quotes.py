@@ -33,6 +33,18 @@ def test_links(spark):
     assert out[2, None, ""].position == 0 and out[None, 0, ""].reply_kind == "first"
 
 
+def test_other_conversations(spark):
+    """The first offer of all may be the quoting conversation's own, too late; null conversations offer and link."""
+    rows = [
+        (1, 3, "u", "> shared words\nearly", "x"), (1, 9, "a", "shared words", "x"), (2, 0, "a", "shared words", "x"), (3, 1, "a", "shared words", "x"),
+        (None, 4, "u", "> shared words\nfrom nowhere", "x"), (None, 1, "a", "said nowhere", "x"), (None, 5, "u", "> said nowhere\nagain", "x"), (4, 0, "u", "> said nowhere\nelsewhere", "x"),
+    ]
+    out = {r.text: (r.reply_kind, r.reply_conv, r.reply_turn) for r in linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out["early"] == ("quote", 2, 0)
+    assert out["from nowhere"] == ("quote", 1, 9)
+    assert out["again"] == ("quote", None, 1) and out["elsewhere"] == ("quote", None, 1)
+
+
 def test_positions_are_gapless_over_ranges(spark):
     rows = [(7, t, "u", f"m{t}", "x") for t in range(0, 5000, 3)]
     out = sorted((r.turn, r.position, r.reply_turn) for r in linked(spark.createDataFrame(rows, SCHEMA)).collect())
