@@ -6,12 +6,14 @@ Passages and own texts are normalised (lower case, white space collapsed) and ha
 offers its whole own text, each of its paragraphs and each of its lines.
 
 A passage links to the first message of the same conversation before the quoting one that offers it, else to the first other
-message of another conversation (by conversation and turn, null conversations first). A message replies to what the first linked passage of its lowest level
+message of another conversation (by conversation and turn, null conversations first). A passage of two or more lines or paragraphs
+that none offers whole links by the same rule to messages whose own text has it as consecutive lines or consecutive paragraphs (blank lines do not count). A message replies to what the first linked passage of its lowest level
 names, else to the message before it. ``position`` numbers a conversation by turn, gapless from 0; originals stand before
 their quotations, so this is a reply order.
 
 The joins meet one row for each (passage hash, conversation), the least turn, and one for each passage hash, its two least conversations, of which
-one is not the quoting one; so a text that a third of all messages share adds no pairs. Positions are counted over ranges of turns, so a conversation with a third of all rows is no single task's.
+one is not the quoting one; so a text that a third of all messages share adds no pairs. Trimmed quotes meet originals by their first two lines or
+paragraphs and their number, each such pair once however many passages have it, and only the runs so found are hashed and offered. Positions are counted over ranges of turns, so a conversation with a third of all rows is no single task's.
 
 Edge cases: null and empty texts have no quotes and an empty own text, which offers nothing; null conversations are one
 conversation, which offers and links like any other, null turns come first and offer nothing; rows that repeat a message are numbered one by one and linked alike.
@@ -61,21 +63,62 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, str]]]:
     return "\n".join(own).strip("\n"), [(level, "\n".join(x)) for level, x, _ in passages if normalised("\n".join(x))]
 
 
-def offers(own: str) -> set[bytes]:
+def sequences(text: str) -> dict[str, list[str]]:
+    """Normalised lines and paragraphs, without blank ones."""
+    parts = {"line": text.split("\n"), "paragraph": re.split(r"\n\s*\n", text)}
+    return {kind: [n for x in xs if (n := normalised(x))] for kind, xs in parts.items()}
+
+
+def offers(own: str, units: dict[str, list[str]]) -> set[bytes]:
     """Hashes of the whole own text, its paragraphs and its lines."""
-    parts = {own, *re.split(r"\n\s*\n", own), *own.split("\n")}
-    return {h for p in parts if (h := passage_hash(p))}
+    return {h for x in {own, *units["line"], *units["paragraph"]} if (h := passage_hash(x))}
+
+
+def anchors(units: dict[str, list[str]], every: bool) -> list[dict]:
+    """The pairs of neighbouring lines and paragraphs, or the first pair of each: hash, kind, place, and number of units from there on."""
+    found = []
+    for kind, xs in units.items():
+        for at in range(len(xs) - 1 if every else min(1, len(xs) - 1)):
+            pair = f"{kind}\n{xs[at]}\n{xs[at + 1]}".encode("utf-8", "replace")
+            found.append({"anchor": hashlib.blake2b(pair, digest_size=16).digest(), "kind": kind, "start": at, "n": len(xs) - at})
+    return found
+
+
+_ANCHOR = pa.struct([("anchor", pa.binary()), ("kind", pa.string()), ("start", pa.int32()), ("n", pa.int32())])
+_QUOTED = pa.struct([("at", pa.int32()), ("level", pa.int32()), ("hash", pa.binary()), ("runs", pa.list_(_ANCHOR))])
+_ANCHORS = "array<struct<anchor:binary,kind:string,start:int,n:int>>"
 
 
 def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    own, quotes, units = [], [], []
+    own, quotes, units, pairs = [], [], [], []
     for text in batch.column(3).to_pylist():
         o, passages = parse(text)
         own.append(o)
-        quotes.append([{"at": k, "level": level, "hash": passage_hash(x)} for k, (level, x) in enumerate(passages)])
-        units.append(sorted(offers(o)))
-    quote = pa.list_(pa.struct([("at", pa.int32()), ("level", pa.int32()), ("hash", pa.binary())]))
-    return pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.string()), pa.array(quotes, quote), pa.array(units, pa.list_(pa.binary())), batch.column(4)], ["conv_id", "turn", "role", "own", "quotes", "units", "mid"])
+        quotes.append([{"at": k, "level": level, "hash": passage_hash(x), "runs": anchors(sequences(x), False)} for k, (level, x) in enumerate(passages)])
+        seen = sequences(o)
+        units.append(sorted(offers(o, seen)))
+        pairs.append(anchors(seen, True))
+    arrays = [pa.array(own, pa.string()), pa.array(quotes, pa.list_(_QUOTED)), pa.array(units, pa.list_(pa.binary())), pa.array(pairs, pa.list_(_ANCHOR))]
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays, batch.column(4)], ["conv_id", "turn", "role", "own", "quotes", "units", "pairs", "mid"])
+
+
+def _run_hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """(conv_id, turn, own, wanted runs) -> (conv_id, turn, hashes of those runs)."""
+    out = []
+    for own, wanted in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+        units = sequences(own)
+        out.append(sorted({passage_hash(" ".join(units[w["kind"]][w["start"] : w["start"] + w["n"]])) for w in wanted}))
+    return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.list_(pa.binary()))], ["conv_id", "turn", "units"])
+
+
+def _runs(parsed: DataFrame, passages: DataFrame) -> DataFrame:
+    """Offers (hash, conv_id, turn) of the runs of lines and paragraphs that begin and are as long as one of the passages (runs)."""
+    needed = passages.select(F.explode("runs").alias("r")).select("r.anchor", F.col("r.n").alias("n")).distinct()
+    pairs = parsed.where("size(pairs) > 0 and turn is not null").select("mid", F.explode("pairs").alias("p")).select("mid", "p.anchor", "p.kind", "p.start", F.col("p.n").alias("room"))
+    wanted = pairs.join(needed, "anchor").where("n <= room").groupBy("mid").agg(F.collect_set(F.struct("kind", "start", "n")).alias("wanted"))
+    own = parsed.select("conv_id", "turn", "own", "mid").join(wanted, "mid").select("conv_id", "turn", "own", "wanted")
+    hashed = own.mapInArrow(batches(_run_hashes), "conv_id long, turn long, units array<binary>")
+    return hashed.select(F.explode("units").alias("hash"), "conv_id", "turn")
 
 
 def _originals(quoted: DataFrame, units: DataFrame) -> DataFrame:
@@ -97,10 +140,12 @@ def linked(messages: DataFrame) -> DataFrame:
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     # nulls add nothing to a hash: the last two tell a null conversation from a null turn
     m = m.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), 1), F.when(F.col("turn").isNull(), 2)))
-    parsed = written(m.mapInArrow(batches(_parsed), "conv_id long, turn long, role string, own string, quotes array<struct<at:int,level:int,hash:binary>>, units array<binary>, mid long"), "messages")
-    quoted = parsed.where("size(quotes) > 0").select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.at", "q.level", "q.hash").distinct()
+    parsed = written(m.mapInArrow(batches(_parsed), f"conv_id long, turn long, role string, own string, quotes array<struct<at:int,level:int,hash:binary,runs:{_ANCHORS}>>, units array<binary>, pairs {_ANCHORS}, mid long"), "messages")
+    quoted = parsed.where("size(quotes) > 0").select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.at", "q.level", "q.hash", "q.runs").distinct()
     units = parsed.select(F.explode("units").alias("hash"), "conv_id", "turn").where("turn is not null")
-    links = _originals(quoted, units)
+    links = written(_originals(quoted, units), "links")
+    trimmed = links.where("original is null and size(runs) > 0").drop("original")
+    links = links.where("original is not null or size(runs) = 0").unionByName(_originals(trimmed, _runs(parsed, trimmed)))
     first = F.min(F.when(F.col("original").isNotNull(), F.struct("level", "at", "original")))
     by_message = links.groupBy("mid").agg(F.count("original").alias("n_linked"), first.getField("original").alias("original"))
     placed = _positions(parsed.select("conv_id", "turn", "role", "own", "mid", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max("quotes.level"), F.lit(0)).alias("max_level")))

@@ -45,6 +45,19 @@ def test_other_conversations(spark):
     assert out["again"] == ("quote", None, 1) and out["elsewhere"] == ("quote", None, 1)
 
 
+def test_trimmed_quotes(spark):
+    """Two lines of three, two paragraphs of three, wrapped anew; not lines of different places or messages."""
+    rows = [
+        (1, 0, "u", "alpha one\nbeta two\ngamma three", "x"), (1, 1, "a", "first para\n\nsecond para\nof two lines\n\nthird para", "x"), (1, 2, "u", "alpha one\nelse", "x"),
+        (1, 3, "u", "> Beta  two\n> gamma three\nlast lines", "x"), (1, 4, "u", "> second para of\n> two lines\n>\n> third para\nlast paragraphs", "x"),
+        (1, 5, "u", "> alpha one\n> gamma three\nwith a gap", "x"), (1, 6, "u", "> gamma three\n> first para\nover messages", "x"), (2, 0, "u", "> alpha one\n> beta two\nelsewhere", "x"),
+        (2, 1, "u", "> alpha one\n> beta two\n> gamma three\n> more\ntoo long", "x"),
+    ]
+    out = {r.text: (r.reply_kind, r.reply_conv, r.reply_turn, r.n_linked) for r in linked(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out["last lines"] == ("quote", 1, 0, 1) and out["last paragraphs"] == ("quote", 1, 1, 1) and out["elsewhere"] == ("quote", 1, 0, 1)
+    assert out["with a gap"] == ("previous", 1, 4, 0) and out["over messages"] == ("previous", 1, 5, 0) and out["too long"] == ("previous", 2, 0, 0)
+
+
 def test_positions_are_gapless_over_ranges(spark):
     rows = [(7, t, "u", f"m{t}", "x") for t in range(0, 5000, 3)]
     out = sorted((r.turn, r.position, r.reply_turn) for r in linked(spark.createDataFrame(rows, SCHEMA)).collect())
