@@ -3,11 +3,12 @@
 Base kinds, each leftmost and non-overlapping: ``assign`` (a key word, = or :, a value of six or more characters), ``access``
 (AKIA and at least 20 characters) and ``hex`` (24 or more hex digits). They always stay.
 
-A candidate is every run of MIN_LENGTH or more of ``A-Z a-z 0-9 + / _ = -`` that has a letter and a digit and overlaps no base span. The network
+A candidate is every run of MIN_LENGTH or more non-blank characters, or what base spans leave of it where that is as long. The network
 reads WIDTH characters around it as classes, with a mark on the candidate's own places: one convolution, maxima inside and
 outside the candidate, one hidden layer. It is trained on labelled findings: the base findings of a bounded sample of documents, with their key words
-as they stand and with other random secrets put in their place, against words, identifiers, dates, numbers and addresses
-in the contexts of the same sample. The threshold is the highest that keeps RECALL of the held-out findings, after a
+as they stand and with other random secrets put in their place, against the sample's own runs, words, identifiers, dates, numbers and addresses
+in the contexts of the same sample. Short secrets, passwords with signs and those of letters or digits only are made after lead words alone,
+as nothing but the context tells them from words and numbers. The threshold is the highest that keeps RECALL of the held-out findings, after a
 temperature is fitted on them.
 
 Edge cases: null and empty texts have no spans; texts are read whole; repeated rows are scanned alike; without findings in the sample
@@ -31,8 +32,8 @@ KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-MIN_LENGTH = 16
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=\-])(?=[A-Za-z0-9+/_=\-]*[0-9])(?=[A-Za-z0-9+/_=\-]*[A-Za-z])[A-Za-z0-9+/_=\-]{16,}")
+MIN_LENGTH = 8
+CANDIDATE = re.compile(r"\S{%d,}" % MIN_LENGTH)
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
 FILTERS, KERNEL, HIDDEN = 24, 5, 16
@@ -57,7 +58,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    return [m.span() for m in CANDIDATE.finditer(text) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    """Runs of MIN_LENGTH or more non-blank characters outside the base spans."""
+    found, k, covers = [], 0, sorted((s, e) for _, s, e in base)
+    for m in CANDIDATE.finditer(text):
+        at, end = m.span()
+        while k < len(covers) and covers[k][1] <= at:
+            k += 1
+        for s, e in covers[k:]:
+            if s >= end:
+                break
+            if s - at >= MIN_LENGTH:
+                found.append((at, s))
+            at = max(at, e)
+        if end - at >= MIN_LENGTH:
+            found.append((at, end))
+    return found
 
 
 def encode(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,11 +152,39 @@ class Network:
         p = np.sort(self.probability(codes[y > 0], mark[y > 0]))
         self.threshold = float(p[int(len(p) * (1 - RECALL))]) if len(p) else UNSEEN
 
+    def sure(self, logit: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -30, 30)))
+
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """The convolution's sums for every three classes, and for every two after them."""
+        t = self.p["conv"][:, :N_CLASSES].copy()
+        t[:, 0] = 0
+        return (t[0][:, None, None] + t[1][None, :, None] + t[2][None, None]).reshape(-1, FILTERS), (t[3][:, None] + t[4][None]).reshape(-1, FILTERS)
+
+    def quick(self, codes: np.ndarray, length: int, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Logits, as of ``forward``, of candidates of one length: codes from BEFORE places before to AFTER places behind each."""
+        p = self.p
+        codes = np.pad(codes.astype(np.int32), ((0, 0), (0, min(KERNEL, INSIDE - length))))
+        n = codes.shape[1] - KERNEL + 1
+        pairs = codes[:, :-1] * N_CLASSES + codes[:, 1:]
+        mark = np.zeros(codes.shape[1], np.float32)
+        mark[BEFORE : BEFORE + length] = 1
+        conv = tables[0][pairs[:, :n] * N_CLASSES + codes[:, 2 : 2 + n]]
+        conv += tables[1][pairs[:, 3 : 3 + n]]
+        conv += np.lib.stride_tricks.sliding_window_view(mark, KERNEL) @ p["conv"][:, -1] + p["cb"]
+        np.maximum(conv, 0, out=conv)
+        a = BEFORE - KERNEL // 2
+        inside = conv[:, a : a + length]
+        outside = np.maximum(conv[:, :a].max(1), conv[:, a + length :].max(1))
+        features = np.concatenate([inside.max(1), outside, inside.sum(1) / length, np.full((len(codes), 1), length / INSIDE, np.float32)], 1)
+        return np.maximum(features @ p["hid"] + p["hb"], 0) @ p["out"] + p["ob"]
+
     def probability(self, codes: np.ndarray, mark: np.ndarray) -> np.ndarray:
         parts = [self.forward(codes[i : i + 256], mark[i : i + 256])[0] for i in range(0, len(codes), 256)]
-        return 1 / (1 + np.exp(-np.clip(np.concatenate(parts) / self.temperature, -30, 30))) if parts else np.zeros(0)
+        return self.sure(np.concatenate(parts)) if parts else np.zeros(0)
 
 
+_LEADS = ("", "key: ", "credential=", "bearer ", "pwd is ")
 _LOWER, _ALNUM = string.ascii_lowercase, string.ascii_letters + string.digits
 
 
@@ -165,7 +208,14 @@ def _made(rng: np.random.Generator, secret: bool) -> str:
     ][kind]()
 
 
-def training_rows(texts: list[str], rng: np.random.Generator, most: int = 6000):
+def _weak(rng: np.random.Generator) -> str:
+    """A random secret that only its context tells from other text: short, of letters or digits alone, or with signs."""
+    n = int(rng.integers(MIN_LENGTH, 25))
+    chars = [_ALNUM, _LOWER, string.ascii_letters, string.digits, _ALNUM + "!@#$%.^&*?"][rng.integers(0, 5)]
+    return "".join(rng.choice(list(chars), n))
+
+
+def training_rows(texts: list[str], rng: np.random.Generator, most: int = 12_000):
     """Labelled findings of the sample: (codes, marks, labels)."""
     rows, plain = [], []
     for text in texts:
@@ -180,13 +230,20 @@ def training_rows(texts: list[str], rng: np.random.Generator, most: int = 6000):
                 made = _made(rng, secret)
                 rows.append((*encode(head + made + tail, len(head), len(head) + len(made)), float(secret)))
         words = text[:100_000].split()
+        own = candidates(text[:100_000], base)
+        for k in rng.integers(0, len(own), 4) if own else ():
+            rows += [(*encode(text, *own[k]), 0.0)]
         plain += [" ".join(words[k : k + 3]) for k in rng.integers(0, max(1, len(words) - 3), 3)] if len(words) > 6 else []
     for around in plain or ["a b c"]:
         made = _made(rng, False)
         rows.append((*encode(f"{around} {made} {around}", len(around) + 1, len(around) + 1 + len(made)), 0.0))
         made = _made(rng, True)
-        lead = ["", "key: ", "credential=", "bearer ", "pwd is "][rng.integers(0, 5)]
+        lead = _LEADS[rng.integers(0, 5)]
         rows.append((*encode(f"{around} {lead}{made} {around}", len(around) + 1 + len(lead), len(around) + 1 + len(lead) + len(made)), 1.0))
+        weak, lead = _weak(rng), _LEADS[rng.integers(1, 5)]
+        rows.append((*encode(f"{around} {lead}{weak} {around}", len(around) + 1 + len(lead), len(around) + 1 + len(lead) + len(weak)), 1.0))
+        if lead[-1] != " ":  # as candidates have it: one run from the lead on
+            rows.append((*encode(f"{around} {lead}{weak} {around}", len(around) + 1, len(around) + 1 + len(lead) + len(weak)), 1.0))
     at = rng.permutation(len(rows))[:most]
     return tuple(np.array([rows[k][c] for k in at]) for c in range(3))
 
@@ -202,17 +259,36 @@ def trained(texts: list[str], seed: int = 11) -> Network:
     return network
 
 
+def _highest(texts: list[str], where: list[tuple[int, int, int]], network: Network) -> np.ndarray:
+    """The probability of each candidate (text, start, end)."""
+    if not where:
+        return np.zeros(0)
+    gap = np.zeros(BEFORE, np.int8)
+    codes = np.concatenate([gap, *(x for t in texts for x in (_CLASS[np.frombuffer(t.encode("latin-1", "replace"), np.uint8)], gap))])
+    begins = np.cumsum([BEFORE, *(len(t) + BEFORE for t in texts)])
+    text, start, end = np.array(where, np.int64).T
+    start, end = start + begins[text], end + begins[text]
+    size = end - start
+    tables, out = network.tables(), np.zeros(len(where))
+    for n in np.unique(np.minimum(size, INSIDE)).tolist():
+        rows = np.flatnonzero(size == n)
+        for i in range(0, len(rows), 256):
+            at = rows[i : i + 256]
+            out[at] = network.sure(network.quick(codes[start[at, None] - BEFORE + np.arange(BEFORE + n + AFTER)], n, tables))
+    for k in np.flatnonzero(size > INSIDE).tolist():
+        t, s, e = where[k]
+        out[k] = network.probability(*map(np.array, zip(encode(texts[t], s, e))))[0]
+    return out
+
+
 def all_spans(texts: list[str], network: Network) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text; the network sees all candidates of the texts at once."""
     bases = [base_spans(t) for t in texts]
     where = [(k, s, e) for k, t in enumerate(texts) for s, e in candidates(t, bases[k])]
     extra: dict[int, list] = {}
-    for i in range(0, len(where), 4096):
-        part = where[i : i + 4096]
-        codes, mark = map(np.array, zip(*(encode(texts[k], s, e) for k, s, e in part)))
-        for (k, s, e), p in zip(part, network.probability(codes, mark)):
-            if p >= network.threshold:
-                extra.setdefault(k, []).append(("cnn", s, e))
+    for (k, s, e), p in zip(where, _highest(texts, where, network).tolist()):
+        if p >= network.threshold:
+            extra.setdefault(k, []).append(("cnn", s, e))
     return [(b, sorted(b + extra.get(k, []), key=lambda s: (s[1], KINDS.index(s[0])))) for k, b in enumerate(bases)]
 
 

@@ -78,6 +78,32 @@ def test_threshold_keeps_recall():
     assert found[y > 0].mean() >= S.RECALL
 
 
+def test_every_long_run_is_a_candidate():
+    text = "pw hunter2hunter abcdefghij 1234567890 p@ss!w%rd.9 short x=" + "a1" * 12 + "/QwErTyUiOp é"
+    assert [text[s:e] for s, e in S.candidates(text, S.base_spans(text))] == ["hunter2hunter", "abcdefghij", "1234567890", "p@ss!w%rd.9", "/QwErTyUiOp"]
+    rng = random.Random(4)
+    for _ in range(200):
+        text = "".join(rng.choice(["token", "=", " ", "abcdef0123" * 3, "AKIA", "X7", "'", "secret: ", "é", "-"]) for _ in range(30))
+        base, left = S.base_spans(text), list(text)
+        for _, s, e in base:
+            left[s:e] = " " * (e - s)
+        assert S.candidates(text, base) == [m.span() for m in re.finditer(r"\S{8,}", "".join(left))]
+
+
+def test_quick_scores(network):
+    text = "a pwd is x7!kQ2#z and " + "word/" * 6 + "abcdefghijk " + "0123456789abc" + " end"
+    where = [(0, s, e) for s, e in S.candidates(text, [])]
+    codes, mark = map(np.array, zip(*(S.encode(text, s, e) for _, s, e in where)))
+    assert np.allclose(S._highest([text], where, network), network.probability(codes, mark), atol=1e-5)
+
+
+def test_weak_secrets(network):
+    """Secrets that were no candidates before, found by their context."""
+    rng = np.random.default_rng(7)
+    hit = [S.all_spans([f"of the and over pwd is {S._weak(rng)} and the"], network)[0][1] for _ in range(200)]
+    assert sum(any(k == "cnn" for k, _, _ in x) for x in hit) >= 160
+
+
 def test_scan(docs_of, edge):
     docs = edge.unionAll(docs_of([(100 + k, t) for k, t in enumerate(TEXTS)]))
     rows = S.secrets(docs).collect()
