@@ -4,7 +4,8 @@ Base kinds, each leftmost and non-overlapping: ``assign`` (a key word, = or :, a
 (AKIA and at least 20 characters) and ``hex`` (24 or more hex digits). They always stay.
 
 A candidate is every run of MIN_LENGTH or more non-blank characters, or what base spans leave of it where that is as long. The network
-reads WIDTH characters around it as classes, with a mark on the candidate's own places: one convolution, maxima inside and
+reads WIDTH characters around it as classes, with a mark on the candidate's own places; one longer than INSIDE is read whole in windows
+of INSIDE characters, STEP apart, and has the highest probability of them. The network is one convolution, maxima inside and
 outside the candidate, one hidden layer. It is trained on labelled findings: the base findings of a bounded sample of documents, with their key words
 as they stand and with other random secrets put in their place, against the sample's own runs, words, identifiers, dates, numbers and addresses
 in the contexts of the same sample. Short secrets, passwords with signs and those of letters or digits only are made after lead words alone,
@@ -36,6 +37,7 @@ MIN_LENGTH = 8
 CANDIDATE = re.compile(r"\S{%d,}" % MIN_LENGTH)
 BEFORE, INSIDE, AFTER = 24, 48, 8
 WIDTH = BEFORE + INSIDE + AFTER
+STEP = INSIDE // 2
 FILTERS, KERNEL, HIDDEN = 24, 5, 16
 RECALL, UNSEEN = 0.99, 0.5  # UNSEEN: the threshold where no finding was held out to set it by
 SAMPLE = 2000
@@ -75,11 +77,17 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, i
     return found
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """A candidate as it is, or the overlapping windows of a long one."""
+    if end - start <= INSIDE:
+        return [(start, end)]
+    return [(s, s + INSIDE) for s in [*range(start, end - INSIDE, STEP), end - INSIDE]]
+
+
 def encode(text: str, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Character classes (0: no character) of the window and the mark of the candidate; long candidates show their two ends."""
+    """Character classes (0: no character) of what is around a window and in it, and the mark of the window."""
     left, right = text[max(0, start - BEFORE) : start], text[end : end + AFTER]
     own = text[start:end]
-    own = own if len(own) <= INSIDE else own[: INSIDE // 2] + own[-(INSIDE // 2) :]
     out, mark = np.zeros(WIDTH, np.int8), np.zeros(WIDTH, np.float32)
     for part, at in ((left, BEFORE - len(left)), (own, BEFORE), (right, BEFORE + len(own))):
         out[at : at + len(part)] = _CLASS[np.frombuffer(part.encode("latin-1", "replace"), np.uint8)]
@@ -215,6 +223,25 @@ def _weak(rng: np.random.Generator) -> str:
     return "".join(rng.choice(list(chars), n))
 
 
+def _labelled(text: str, start: int, end: int, secret: bool) -> list[tuple]:
+    return [(*encode(text, s, e), float(secret)) for s, e in windows(start, end)]
+
+
+def _chained(rng: np.random.Generator, around: str) -> list[tuple]:
+    """A secret within a path or chain of keys: the windows with most a window can have of it are findings, those with none are not."""
+    word = lambda: "".join(rng.choice(list(_LOWER), int(rng.integers(3, 9))))
+    sign = ["/", "_", "-", "=", "&", "/"][rng.integers(0, 6)]
+    head, tail = (sign.join(word() for _ in range(rng.integers(6, 14))) for _ in range(2))
+    made = _made(rng, True)
+    text, at = f"{around} {head}{sign}{made}{sign}{tail} {around}", len(around) + len(head) + 2
+    rows = []
+    for s, e in windows(len(around) + 1, len(text) - len(around) - 1):
+        shared = min(e, at + len(made)) - max(s, at)
+        if shared <= 0 or shared >= min(len(made), STEP):
+            rows.append((*encode(text, s, e), float(shared > 0)))
+    return rows
+
+
 def training_rows(texts: list[str], rng: np.random.Generator, most: int = 12_000):
     """Labelled findings of the sample: (codes, marks, labels)."""
     rows, plain = [], []
@@ -224,26 +251,26 @@ def training_rows(texts: list[str], rng: np.random.Generator, most: int = 12_000
             if kind == "assign":
                 s, e = ASSIGN.match(text, s).span(2)
             if e - s >= MIN_LENGTH:
-                rows.append((*encode(text, s, e), 1.0))
+                rows += _labelled(text, s, e, True)
             head, tail = text[max(0, s - BEFORE) : s], text[e : e + AFTER]
             for secret in (True, False):
                 made = _made(rng, secret)
-                rows.append((*encode(head + made + tail, len(head), len(head) + len(made)), float(secret)))
+                rows += _labelled(head + made + tail, len(head), len(head) + len(made), secret)
         words = text[:100_000].split()
         own = candidates(text[:100_000], base)
         for k in rng.integers(0, len(own), 4) if own else ():
-            rows += [(*encode(text, *own[k]), 0.0)]
+            rows += _labelled(text, *own[k], False)
         plain += [" ".join(words[k : k + 3]) for k in rng.integers(0, max(1, len(words) - 3), 3)] if len(words) > 6 else []
     for around in plain or ["a b c"]:
-        made = _made(rng, False)
-        rows.append((*encode(f"{around} {made} {around}", len(around) + 1, len(around) + 1 + len(made)), 0.0))
-        made = _made(rng, True)
-        lead = _LEADS[rng.integers(0, 5)]
-        rows.append((*encode(f"{around} {lead}{made} {around}", len(around) + 1 + len(lead), len(around) + 1 + len(lead) + len(made)), 1.0))
+        made, at = _made(rng, False), len(around) + 1
+        rows += _labelled(f"{around} {made} {around}", at, at + len(made), False)
+        made, lead = _made(rng, True), _LEADS[rng.integers(0, 5)]
+        rows += _labelled(f"{around} {lead}{made} {around}", at + len(lead), at + len(lead) + len(made), True)
         weak, lead = _weak(rng), _LEADS[rng.integers(1, 5)]
-        rows.append((*encode(f"{around} {lead}{weak} {around}", len(around) + 1 + len(lead), len(around) + 1 + len(lead) + len(weak)), 1.0))
+        rows += _labelled(f"{around} {lead}{weak} {around}", at + len(lead), at + len(lead) + len(weak), True)
         if lead[-1] != " ":  # as candidates have it: one run from the lead on
-            rows.append((*encode(f"{around} {lead}{weak} {around}", len(around) + 1, len(around) + 1 + len(lead) + len(weak)), 1.0))
+            rows += _labelled(f"{around} {lead}{weak} {around}", at, at + len(lead) + len(weak), True)
+        rows += _chained(rng, around)
     at = rng.permutation(len(rows))[:most]
     return tuple(np.array([rows[k][c] for k in at]) for c in range(3))
 
@@ -260,7 +287,7 @@ def trained(texts: list[str], seed: int = 11) -> Network:
 
 
 def _highest(texts: list[str], where: list[tuple[int, int, int]], network: Network) -> np.ndarray:
-    """The probability of each candidate (text, start, end)."""
+    """The probability of each candidate (text, start, end), the highest of its windows."""
     if not where:
         return np.zeros(0)
     gap = np.zeros(BEFORE, np.int8)
@@ -271,13 +298,18 @@ def _highest(texts: list[str], where: list[tuple[int, int, int]], network: Netwo
     size = end - start
     tables, out = network.tables(), np.zeros(len(where))
     for n in np.unique(np.minimum(size, INSIDE)).tolist():
-        rows = np.flatnonzero(size == n)
+        rows = np.flatnonzero(np.minimum(size, INSIDE) == n)
+        if n == INSIDE:  # one row for each window, from the first place and every STEP places, the last one at the candidate's end
+            count = -(-(size[rows] - INSIDE) // STEP) + 1
+            rows = np.repeat(rows, count)
+            place = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
+            first = np.minimum(start[rows] + place * STEP, end[rows] - INSIDE)
+        else:
+            first = start[rows]
         for i in range(0, len(rows), 256):
-            at = rows[i : i + 256]
-            out[at] = network.sure(network.quick(codes[start[at, None] - BEFORE + np.arange(BEFORE + n + AFTER)], n, tables))
-    for k in np.flatnonzero(size > INSIDE).tolist():
-        t, s, e = where[k]
-        out[k] = network.probability(*map(np.array, zip(encode(texts[t], s, e))))[0]
+            at = first[i : i + 256]
+            p = network.sure(network.quick(codes[at[:, None] - BEFORE + np.arange(BEFORE + n + AFTER)], n, tables))
+            np.maximum.at(out, rows[i : i + 256], p)
     return out
 
 

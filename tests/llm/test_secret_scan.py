@@ -104,6 +104,24 @@ def test_weak_secrets(network):
     assert sum(any(k == "cnn" for k, _, _ in x) for x in hit) >= 160
 
 
+def test_secret_in_a_long_run(network):
+    """Long runs are read whole: a secret in the middle counts as one alone, and windows leave no place out."""
+    for end in range(49, 400):
+        read = S.windows(0, end)
+        assert read[0][0] == 0 and read[-1][1] == end and all(b - a == S.INSIDE for a, b in read) and all(c[0] - b[0] <= S.STEP for b, c in zip(read, read[1:]))
+    rng = np.random.default_rng(8)
+    path = "/the/over/and/thing/of/ertion/ing/over/thand/of/the/"
+    hit, miss = 0, 0
+    for _ in range(100):
+        text = f"see {path}{S._made(rng, True)}{path} and"
+        hit += any(k == "cnn" for k, _, _ in S.all_spans([text], network)[0][1])
+        miss += any(k == "cnn" for k, _, _ in S.all_spans([f"see {path}{path[int(rng.integers(0, 20)):]} and"], network)[0][1])
+        where = [(0, s, e) for s, e in S.candidates(text, [])]
+        rows = [S.encode(text, s, e) for s, e in S.windows(*where[0][1:])]
+        assert np.allclose(S._highest([text], where, network)[0], network.probability(*map(np.array, zip(*rows))).max(), atol=1e-5)
+    assert hit >= 85 and miss <= 10
+
+
 def test_scan(docs_of, edge):
     docs = edge.unionAll(docs_of([(100 + k, t) for k, t in enumerate(TEXTS)]))
     rows = S.secrets(docs).collect()
