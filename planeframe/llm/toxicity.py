@@ -5,12 +5,17 @@ places from first to last, weigh LAMBDA to the power of the places they span; th
 no letters are places without a letter, so inserted characters and gaps lower a match but do not hide it. Runs of single characters parted
 by spaces or signs are read as one more word.
 
-Sentences are bags of words. From labelled documents, sentences of clean ones are negative; a sentence of a toxic one is positive
+The machine reads a sentence in two ways: as a bag of blank-separated words, and as all windows of neighbouring letter runs that together take at most
+LONGEST places, where what parts two runs (blanks, signs, digits, at most GAP characters without a sentence's end) is one place without a letter. So runs glued by signs are also read alone, and
+parts of a word with blanks between are also read together. A window is evaluated in full only where a bound of its value is over the highest word of its document,
+which leaves the maximum as it is.
+
+For training, sentences are bags of words. From labelled documents, sentences of clean ones are negative; a sentence of a toxic one is positive
 where a word has letter groups that go with the label, and that word is its witness. The machine (squared hinge, Newton steps) is
 trained on witnesses against the words of negative sentences, in the space of landmarks picked from both by farthest-first search. As the kernel's feature
 space is explicit, the trained machine folds to one weight for each letter triple, and a word costs a few hundred look-ups.
 
-A document's score is a logistic function of its two highest word values, calibrated on values that machines trained on the other half of the documents gave.
+A document's score is a logistic function of its highest value, of words and windows, and its second highest word value, calibrated on values that machines trained on the other half of the documents gave.
 At most ``per_class`` labelled documents of each label are collected for training (2,000, lowest hash of doc_id first).
 
 Edge cases: null and empty texts have the lowest value and a score like any other; repeated rows are scored alike; words longer than
@@ -33,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import held, small_batches, table
 
-LAMBDA, SPAN, LONGEST = 0.5, 7, 24
+LAMBDA, SPAN, LONGEST, GAP = 0.5, 7, 24, 4
 LETTERS, START, STOP = 32, 31, 30
 LANDMARKS = 192
 PER_CLASS = 2000
@@ -256,6 +261,87 @@ def _machine(positive: list[str], negative: list[str], marks: np.ndarray) -> tup
     return (root @ w[:-1]) @ marks, float(w[-1])
 
 
+def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' letter codes with every gap as one place, and of each letter run: start, end, text, whether it may join the next one."""
+    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
+    sizes = np.array([len(x) for x in points], np.int64)
+    chars = np.concatenate(points) if points else np.zeros(0, np.uint32)
+    codes = _CODES[np.minimum(chars, len(_CODES) - 1)]
+    for k in np.flatnonzero(chars >= len(_CODES)).tolist():
+        codes[k] = 27 + int(chars[k]) % 3 if chr(chars[k]).isalpha() else 0
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    letter = codes > 0
+    breaks = np.ones(len(codes), bool)
+    breaks[1:] = owner[1:] != owner[:-1]
+    first = letter & (breaks | ~np.r_[False, letter[:-1]])
+    last = letter & (np.r_[breaks[1:], True] | ~np.r_[letter[1:], False])
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    stops = np.r_[0, np.cumsum((chars == 10) | (chars == 33) | (chars == 63))]
+    joins = np.zeros(len(start), bool)
+    if len(start) > 1:
+        gap = start[1:] - end[:-1]
+        joins[:-1] = (owner[start[1:]] == owner[start[:-1]]) & (gap <= GAP) & (stops[start[1:]] == stops[end[:-1]])
+    size = end - start
+    at = np.cumsum(size + 1) - size - 1  # one place without a letter behind each run
+    out = np.zeros(int((size + 1).sum()), np.int64)
+    keep = np.flatnonzero(letter)
+    out[np.arange(len(keep)) + np.repeat(np.arange(len(start)), size)] = codes[keep]
+    return out, at, at + size, owner[start], joins
+
+
+def highest_windows(texts: list[str | None], weights: np.ndarray, bias: float, least: np.ndarray) -> np.ndarray:
+    """The highest value of the texts' windows of neighbouring letter runs, or ``least`` where none is higher."""
+    codes, start, end, owner, joins = _runs(texts)
+    best = np.array(least, np.float64)
+    if not len(start):
+        return best
+    grid = np.arange(LETTERS) > 0
+    valid = (grid[:, None, None] & grid[None, :, None] & grid[None, None]).ravel()
+    table = np.where(valid, weights, 0).astype(np.float32)
+    groups: dict[int, list[np.ndarray]] = {}
+    left, right = np.arange(len(start)), np.arange(len(start))
+    while len(left):
+        n = end[right] - start[left] + 2
+        fits = n <= LONGEST
+        left, right, n = left[fits], right[fits], n[fits]
+        some = n - 2 - (right - left) >= 3
+        for k in np.unique(n[some]).tolist():
+            groups.setdefault(k, []).append(left[some & (n == k)])
+        on = joins[right]
+        left, right = left[on], right[on] + 1
+    for n, parts in groups.items():
+        rows = np.concatenate(parts)
+        at, weight = _triples(n)
+        weight = weight.astype(np.float32)
+        step = max(64, 60_000 // len(weight))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            x = np.empty((n, len(part)), np.int64)
+            x[0], x[-1] = START, STOP
+            x[1:-1] = codes[start[part] + np.arange(n - 2)[:, None]]
+            ids = (x * LETTERS**2)[at[0]]
+            ids += (x * LETTERS)[at[1]]
+            ids += x[at[2]]
+            dot = weight @ table.take(ids)
+            _, one, like = np.unique((1 << np.arange(n)) @ (x > 0), return_index=True, return_inverse=True)
+            there = x[:, one] > 0
+            norm2 = ((weight * weight) @ (there[at[0]] & there[at[1]] & there[at[2]]))[like]
+            # repeated triples only make the norm greater, so a positive sum over this norm is a bound
+            bound = np.where(dot > 0, dot / np.sqrt(np.maximum(norm2, 1e-12)), 0) + bias + 1e-4
+            over = np.flatnonzero(bound > best[owner[part]])
+            if len(over):
+                ids, w, norm = features(x[:, over].T.astype(np.int64))
+                np.maximum.at(best, owner[part[over]], (w * weights[ids]).sum(1) / np.maximum(norm, 1e-12) + bias)
+    return best
+
+
+def points_of(texts: list[str | None], tops: list[tuple[float, float]], weights: np.ndarray, bias: float) -> np.ndarray:
+    """Rows of what the logistic function reads, from the two highest word values of each text."""
+    points = np.array(tops, np.float64).reshape(-1, 2)
+    points[:, 0] = highest_windows(texts, weights, bias, points[:, 0])
+    return points
+
+
 def top_two(found: list[float]) -> tuple[float, float]:
     best = sorted(found, reverse=True)[:2] + [NONE, NONE]
     return best[0], best[1]
@@ -285,8 +371,9 @@ def train(docs: list[tuple[int, str]]) -> dict | None:
     for fold in (0, 1):
         half = train_words([d for k, d in enumerate(docs) if k % 2 == fold]) or machine
         rest = [d for k, d in enumerate(docs) if k % 2 != fold]
-        for _, t in rest:
-            points.append(top_two(values(list(pieces(t)), half[0], half[1]).tolist()))
+        tops = [top_two(values(list(pieces(t)), half[0], half[1]).tolist()) for _, t in rest]
+        for i in range(0, len(rest), 250):
+            points += points_of([t for _, t in rest[i : i + 250]], tops[i : i + 250], half[0], half[1]).tolist()
         labels += [bool(y) for y, _ in rest]
     return {"weights": machine[0], "bias": machine[1], "platt": _platt(np.array(points), np.array(labels))}
 
@@ -317,7 +404,7 @@ class Scorer:
         memo = self.memo
         new = list(set().union(*bags).difference(memo)) if bags else []
         memo.update(zip(new, values(new, self.model["weights"], self.model["bias"]).tolist()))
-        points = np.array([top_two([memo[w] for w in bag]) for bag in bags]).reshape(-1, 2)
+        points = points_of(texts, [top_two([memo[w] for w in bag]) for bag in bags], self.model["weights"], self.model["bias"])
         return 1 / (1 + np.exp(-np.clip(np.c_[points, np.ones(len(points))] @ self.model["platt"], -30, 30)))
 
 

@@ -68,6 +68,30 @@ def test_held_out_accuracy_and_spelling(spark, docs_of):
     assert {r.doc_id: r.score for r in T.scores(docs, turned).collect()} == {i: r.score for i, r in got.items()}
 
 
+def test_windows_of_letter_runs():
+    """Parts of a word with blanks between, and words glued by signs, are predicted; windows give what their strings give."""
+    model = T.train([(y, t) for _, t, y in corpus(600, 1)])
+    scorer = T.Scorer(model)
+    clean = "than er th ou st in ha reer ea tion an "
+    for w in ("id iot", "scum bag", "cl own", "worth less", "you,idiot,go", "a/idiot/b", "thanstouin,scumbag,hareerea", "(id)iot"):
+        assert scorer([clean + w + " anth re"])[0] >= T.CUT, w
+    assert scorer([clean + "anth re", None, ""]).max() < T.CUT
+    rng, weights, bias = random.Random(3), model["weights"], model["bias"]
+    texts = ["", None, *(" ".join(rng.choice(["idiot", "id", "iot", "re,st", "x", "scum-bag", "ea1ou", "end!\nnew", "日本語", "é"]) for _ in range(rng.randint(1, 12))) for _ in range(60))]
+    want = []
+    for t in texts:
+        runs = [(m.start(), m.end()) for m in T.re.finditer(r"[^\W\d_]+", t or "")]
+        best = T.NONE
+        for i in range(len(runs)):
+            for j in range(i, len(runs)):
+                gaps = [t[runs[k][1] : runs[k + 1][0]] for k in range(i, j)]
+                joined = " ".join(t[a:b] for a, b in runs[i : j + 1])
+                if all(len(g) <= T.GAP and not set(g) & set("!?\n") for g in gaps) and len(joined) + 2 <= T.LONGEST:
+                    best = max(best, T.values([joined], weights, bias)[0])
+        want.append(best)
+    assert np.allclose(T.highest_windows(texts, weights, bias, np.full(len(texts), T.NONE)), want, atol=1e-4)
+
+
 def test_edge(spark, docs_of, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in T.scores(edge, none).collect()} == {0.0}
