@@ -1,25 +1,27 @@
 """Toxicity by a support vector machine over a gapped subsequence string kernel with Nystrom landmarks.
 
-The kernel of two words is the gap-weighted subsequence kernel of order three: every three letters in order, at most SPAN
-places from first to last, weigh LAMBDA to the power of the places they span; the kernel is the normalised inner product. Characters that are
-no letters are places without a letter, so inserted characters and gaps lower a match but do not hide it. Runs of single characters parted
-by spaces or signs are read as one more word.
-
-The machine reads a sentence in two ways: as a bag of blank-separated words, and as all windows of neighbouring letter runs that together take at most
-LONGEST places, where what parts two runs (blanks, signs, digits, at most GAP characters without a sentence's end) is one place without a letter. So runs glued by signs are also read alone, and
-parts of a word with blanks between are also read together. A window is evaluated in full only where a bound of its value is over the highest word of its document,
-which leaves the maximum as it is.
-
-For training, sentences are bags of words. From labelled documents, sentences of clean ones are negative; a sentence of a toxic one is positive
-where a word has letter groups that go with the label, and that word is its witness. The machine (squared hinge, Newton steps) is
-trained on witnesses against the words of negative sentences, in the space of landmarks picked from both by farthest-first search. As the kernel's feature
-space is explicit, the trained machine folds to one weight for each letter triple, and a word costs a few hundred look-ups.
-
-A document's score is a logistic function of its highest value, of words and windows, and its second highest word value, calibrated on values that machines trained on the other half of the documents gave.
-At most ``per_class`` labelled documents of each label are collected for training (2,000, lowest hash of doc_id first).
-
-Edge cases: null and empty texts have the lowest value and a score like any other; repeated rows are scored alike; words longer than
-LONGEST are read in overlapping windows; without labels of both kinds all scores are 0; null labels are not used; a null doc_id is not held out.
+The kernel of two strings is the gap-weighted subsequence kernel of order three: every three letters in order, at most SPAN
+places from first to last, weigh LAMBDA to the power of the places they span; the kernel is the normalised inner product. Both ends of a string count as
+letters. Characters that are no letters are places without a letter, so inserted characters and gaps lower a match but do not hide it. Letters are
+lower-cased and lose their accents; a to z have codes of their own, all other letters share 35 codes so that neighbours in an alphabet differ.
+
+A sentence is the set of its windows: all runs of neighbouring letter runs of two letters or more that take at most LONGEST places, where what parts two runs (blanks, signs, digits,
+at most GAP characters) is one place without a letter. So words are read alone, runs glued by signs are also read alone, and spelled-out or
+parted words are also read together. A letter run longer than that is read in overlapping windows of 22 and of 8 places. A sentence's value is the highest of its windows'.
+
+The machine is trained on sentences of labelled documents (multiple-instance learning): sentences of clean documents are negative in all their windows; a
+sentence of a toxic document is positive where a window of it has a positive value that almost no clean sentence reaches, and that window is its witness. The first witnesses are words with letter groups that go with the label; then
+witnesses and the highest windows of all clean sentences are chosen by the machine itself and it is trained again. Each machine (squared hinge, Newton steps) lives in the
+space of landmarks picked from both sides by farthest-first search. As the kernel's feature space is explicit, it folds to one weight for each letter triple.
+
+Scoring never builds a window that cannot matter: sums over places and their running totals give every window's value up to repeated triples, which only
+lower it, in a few operations; windows whose bound is above a document's second highest sentence are evaluated in full.
+
+A document's score is a logistic function of its two highest sentence values, calibrated on values that machines trained on the other half of the documents gave.
+The bounds of the training sample are the fields of ``Training``; scoring has none.
+
+Edge cases: null and empty texts have the lowest value and a score like any other; repeated rows are scored alike; texts of more than PART characters are read in parts that
+end with a sentence (where a part has no sentence's end, at a blank, with OVERLAP characters read twice); without labels of both kinds all scores are 0; null labels are not used; a null doc_id is not held out.
 """
 
 from __future__ import annotations
@@ -28,7 +30,11 @@ import contextlib
 import ctypes
 import gc
 import math
+import pickle
 import re
+import unicodedata
+import zlib
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -39,25 +45,50 @@ from pyspark.sql import functions as F
 from .common import held, small_batches, table
 
 LAMBDA, SPAN, LONGEST, GAP = 0.5, 7, 24, 4
-LETTERS, START, STOP = 32, 31, 30
-LANDMARKS = 192
-PER_CLASS = 2000
+LETTERS, START, STOP = 64, 63, 62
+OTHERS = 35
+PLACES = LONGEST - 2
+PIECES = ((PLACES, PLACES // 2), (8, 4))  # sizes and steps of the windows of longer runs
+PART, OVERLAP = 1_000_000, 200
 CUT = 0.7
 NONE = -4.0
-MARKS = ".,;:!?\"'()*|-"
-_SPELLED = re.compile(r"(?<!\S)\w(?:[ .*_\-]+\w){2,}(?!\S)")
-_SENTENCE = re.compile(r"[.!?\n]+")
-_CODES = np.zeros(0x3000, np.int64)
-for _c in range(0x3000):
-    _s = chr(_c)
-    if _s.isalpha():
-        _CODES[_c] = _c - 96 if 97 <= _c <= 122 else 27 + _c % 3
+_WORD = re.compile(r"[^\W\d_]+")
+
+
+@dataclass(frozen=True)
+class Training:
+    """What the machine learns from: at most ``per_class`` labelled documents of each label, lowest hash of doc_id first, of at most ``longest`` bytes each;
+    ``landmarks`` chosen from all witnesses and ``pool`` clean windows; ``negatives`` clean windows drawn at random and the ``hard`` highest of all of them, in each of ``rounds``;
+    a sentence is positive only where its value is higher than that of all clean sentences but the share ``noise``."""
+
+    per_class: int = 2000
+    longest: int = 65_536
+    landmarks: int = 192
+    pool: int = 2000
+    negatives: int = 8000
+    hard: int = 4000
+    rounds: int = 2
+    noise: float = 0.001
+    seed: int = 5
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def _code(c: int) -> int:
+    s = chr(c)
+    if not s.isalpha():
+        return 0
+    base = ord(unicodedata.normalize("NFKD", s)[0])
+    return base - 96 if 97 <= base <= 122 else 27 + base % OTHERS
+
+
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    return np.array([_code(c) for c in range(0x10000)], np.int64)
+
+
 @lru_cache(maxsize=None)
 def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (3, k) of all subsequences of three in n places, and their weights."""
@@ -66,17 +97,10 @@ def _triples(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, LAMBDA ** (at[2] - at[0] + 1 - 3.0)
 
 
-def letters(word: str) -> np.ndarray:
-    """Letter codes of a word from its first to its last letter, with START and STOP around; 0 for what is no letter. Empty below three letters."""
-    codes = [_CODES[c] if (c := ord(x)) < 0x3000 else 27 + c % 3 if x.isalpha() else 0 for x in word]
-    some = [k for k, c in enumerate(codes) if c]
-    return np.array([START, *codes[some[0] : some[-1] + 1], STOP] if len(some) >= 3 else [], np.int64)
-
-
-def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of equally long words -> triple ids, weights (0 where a place is no letter), norms. Repeats of a triple are summed in the norm."""
-    at, weight = _triples(codes.shape[1])
-    a, b, c = codes[:, at[0]], codes[:, at[1]], codes[:, at[2]]
+def features(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code rows of equal length, ends included -> triple ids, weights (0 where a place is no letter), norms. Repeats of a triple are summed in the norm."""
+    at, weight = _triples(rows.shape[1])
+    a, b, c = rows[:, at[0]], rows[:, at[1]], rows[:, at[2]]
     ids = (a * LETTERS + b) * LETTERS + c
     w = np.where((a > 0) & (b > 0) & (c > 0), weight, 0.0)
     order = np.argsort(ids, axis=1)
@@ -89,262 +113,394 @@ def features(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ids, w, np.sqrt(norm2)
 
 
-def windows(word: str) -> list[np.ndarray]:
-    codes = letters(word)
-    if len(codes) <= LONGEST:
-        return [codes] if len(codes) else []
-    return [codes[i : i + LONGEST] for i in range(0, len(codes) - LONGEST // 2, LONGEST // 2)]
-
-
-def _by_length(words: list[str]):
-    """(word numbers, code rows) for each length, in blocks."""
-    groups: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for k, word in enumerate(words):
-        for codes in windows(word):
-            at, rows = groups.setdefault(len(codes), ([], []))
-            at.append(k)
-            rows.append(codes)
-    for at, rows in groups.values():
-        at, rows = np.array(at), np.array(rows)
-        step = max(1, 400_000 // max(1, len(_triples(rows.shape[1])[1])))
-        for i in range(0, len(at), step):
-            yield at[i : i + step], rows[i : i + step]
-
-
-def dense(words: list[str]) -> np.ndarray:
-    """Normalised feature vectors of a few words, their windows summed."""
-    out = np.zeros((len(words), LETTERS**3), np.float32)
-    for at, rows in _by_length(words):
-        ids, w, norm = features(rows)
-        np.add.at(out, (np.repeat(at, ids.shape[1]), ids.ravel()), (w / np.maximum(norm, 1e-12)[:, None]).ravel().astype(np.float32))
-    norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.maximum(norms, 1e-12)
-
-
-def values(words: list[str], weights: np.ndarray, bias: float) -> np.ndarray:
-    """The machine's value of each word: the highest of its windows; NONE for words of fewer than three letters."""
-    if len(words) > 20_000:
-        return np.concatenate([values(words[i : i + 20_000], weights, bias) for i in range(0, len(words), 20_000)])
-    out = np.full(len(words), NONE)
-    for at, rows in _by_length(words):
-        ids, w, norm = features(rows)
-        np.maximum.at(out, at, np.maximum(NONE, (w * weights[ids]).sum(1) / np.maximum(norm, 1e-12) + bias))
-    return out
+class Strings:
+    """Windows as strings of their own: code rows by length with their features."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.size = len(rows)
+        lengths = np.array([len(r) for r in rows], np.int64)
+        self.groups = []
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            for i in range(0, len(at), 2000):
+                ids, w, norm = features(np.array([rows[k] for k in at[i : i + 2000]]))
+                self.groups.append((at[i : i + 2000], ids, (w / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)))
+
+    def dot(self, weights: np.ndarray) -> np.ndarray:
+        """Inner products with one weight for each triple."""
+        out = np.zeros(self.size)
+        for at, ids, w in self.groups:
+            out[at] = (w * weights[ids]).sum(1)
+        return out
+
+    def dense(self, k: int) -> np.ndarray:
+        """The feature vector of one string."""
+        out = np.zeros(LETTERS**3, np.float32)
+        for at, ids, w in self.groups:
+            for row in np.flatnonzero(at == k):
+                np.add.at(out, ids[row], w[row])
+        return out
+
+    def kernel(self, marks: Landmarks) -> np.ndarray:
+        out = np.zeros((self.size, len(marks.rows)), np.float32)
+        for at, ids, w in self.groups:
+            where = marks.place[ids]
+            got = np.zeros((len(at), len(marks.rows)), np.float32)
+            for k in range(ids.shape[1]):
+                got += w[:, k, None] * marks.by_triple[where[:, k]]
+            out[at] = got
+        return out
 
 
-def pieces(text: str | None) -> set[str]:
-    """The distinct words of a text, lower case, and its spelled-out runs."""
-    low = (text or "").lower()
-    found = set(low.split())
-    return found | set(_SPELLED.findall(low)) if _SPELLED.search(low) else found
+class Landmarks:
+    """Feature vectors of the landmarks over the triples that any of them has."""
 
+    def __init__(self, rows: list[np.ndarray]):
+        self.rows, strings = rows, Strings(rows)
+        self.triples = np.unique(np.concatenate([ids.ravel() for _, ids, _ in strings.groups]))
+        self.place = np.full(LETTERS**3, len(self.triples), np.int64)
+        self.place[self.triples] = np.arange(len(self.triples))
+        self.by_triple = np.zeros((len(self.triples) + 1, len(rows)), np.float32)  # the last row: triples of no landmark
+        for at, ids, w in strings.groups:
+            np.add.at(self.by_triple, (self.place[ids], at[:, None]), w)
 
-def _kernel(words: list[str], marks: np.ndarray) -> np.ndarray:
-    """Kernel of words with landmark rows; words without features are zero rows."""
-    out = np.zeros((len(words), len(marks)), np.float32)
-    by_triple = np.ascontiguousarray(marks.T)
-    for at, rows in _by_length(words):
-        ids, w, norm = features(rows)
-        w = (w / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
-        for i in range(0, len(at), 512):
-            part = slice(i, i + 512)
-            got = np.zeros((len(at[part]), len(marks)), np.float32)
-            for k in range(ids.shape[1]):
-                got += w[part, k, None] * by_triple[ids[part, k]]
-            np.maximum.at(out, at[part], got)
-    return out
 
-
-def _spread(words: list[str], n: int) -> list[str]:
-    """Farthest-first choice of n words by kernel, the first word first."""
-    if len(words) <= n:
-        return words
-    near, chosen = np.full(len(words), -1.0, np.float32), [0]
+def spread(rows: list[np.ndarray], n: int) -> list[np.ndarray]:
+    """Farthest-first choice of n strings by kernel, the first one first."""
+    if len(rows) <= n:
+        return rows
+    strings, chosen, near = Strings(rows), [0], np.full(len(rows), -1.0)
     for _ in range(n - 1):
-        near = np.maximum(near, _kernel(words, dense([words[chosen[-1]]]))[:, 0])
+        near = np.maximum(near, strings.dot(strings.dense(chosen[-1])))
         chosen.append(int(near.argmin()))
-    return [words[k] for k in dict.fromkeys(chosen)]
+    return [rows[k] for k in dict.fromkeys(chosen)]
 
 
-def _groups_of(word: str) -> set[str]:
-    """Letter groups whose documents are counted: inner groups of four, and beginnings of three to eight."""
-    return {word[i : i + 4] for i in range(max(1, len(word) - 3))} | {"^" + word[:n] for n in range(3, min(8, len(word)) + 1)}
-
-
-def _bare(word: str) -> str:
-    return word.strip(MARKS)
-
-
-def _telling(toxic: list[set[str]], clean: list[set[str]], chance: float = 1e-3) -> dict[str, int]:
-    """The letter groups that mark toxic documents, clearest first: clean documents almost never have them, and that any group of as many
-    documents came out so by chance, over all groups, is less likely than ``chance``."""
-    counts: list[dict[str, int]] = []
-    for side in (toxic, clean):
-        seen: dict[str, int] = {}
-        for words in side:
-            for g in set().union(*(_groups_of(_bare(w)) for w in words)) if words else ():
-                if not counts or g in counts[0]:  # clean documents only matter where a toxic one has the group
-                    seen[g] = seen.get(g, 0) + 1
-        counts.append({g: k for g, k in seen.items() if k >= 3} if not counts else seen)
-    share = len(toxic) / (len(toxic) + len(clean))
-    limit = math.log(chance / max(1, len(counts[0])))
-    found = []
-    for g, k in counts[0].items():
-        n = k + counts[1].get(g, 0)
-        if (n - k) * share <= 0.02 * k * (1 - share):
-            tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(k, n + 1))
-            p = math.log(tail) if tail > 0 else -700.0
-            if p <= limit:
-                found.append((p, -len(g), g))
-    return {g: k for k, (_, _, g) in enumerate(sorted(found))}
-
-
-def train_words(docs: list[tuple[int, str]], landmarks: int = LANDMARKS, seed: int = 5) -> tuple[np.ndarray, float] | None:
-    """Labelled documents [(toxic, text)] -> (a weight for each letter triple, bias)."""
-    known: dict[str, str] = {}  # one object for each word, however many documents have it
-    bags = [(y, {known.setdefault(w, w) for w in pieces(t)}) for y, t in docs]
-    toxic, clean = [b for y, b in bags if y], [b for y, b in bags if not y]
-    del bags, known
-    if not toxic or not clean:
-        return None
-    marks_of = _telling(toxic, clean)
-    witnesses: dict[str, int] = {}
-    for y, text in docs:
-        for sentence in _SENTENCE.split(text or "") if y else ():
-            scored = sorted((min((marks_of[g] for g in _groups_of(w) if g in marks_of), default=len(marks_of)), w.strip(MARKS)) for w in map(_bare, pieces(sentence)))
-            if scored and scored[0][0] < len(marks_of):
-                witnesses[scored[0][1]] = witnesses.get(scored[0][1], 0) + 1
-    positive = [w for w, _ in sorted(witnesses.items(), key=lambda x: (-x[1], x[0])) if windows(w)][:4000]
-    rng = np.random.default_rng(seed)
-    often: dict[str, int] = {}
-    for words in clean:
-        for w in set(map(_bare, words)):
-            often[w] = often.get(w, 0) + 1
-    every = [w for w, _ in sorted(often.items(), key=lambda x: (-x[1], x[0])) if windows(w)]
-    every = [w for w in every if w not in witnesses]
-    if not positive or not every:
-        return None
-    rare = [every[k + 5000] for k in rng.permutation(max(0, len(every) - 5000))]
-    every = every[:5000] + rare
-    marks = dense(_spread(positive[:1500], landmarks * 2 // 3) + _spread(every[:1500], landmarks // 3))
-    del toxic, clean, often, rare
-    machine = _machine(positive, every[:15_000], marks)
-    for _ in range(2):
-        hard = np.argsort(-values(every[:150_000], *machine), kind="stable")[:5_000]
-        machine = _machine(positive, every[:10_000] + [every[k] for k in hard], marks)
-    return machine
-
-
-def _machine(positive: list[str], negative: list[str], marks: np.ndarray) -> tuple[np.ndarray, float]:
-    """The machine in the space of the landmarks, folded to (a weight for each letter triple, bias)."""
-    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
+def machine(positive: list[np.ndarray], negative: list[np.ndarray], marks: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """The squared-hinge machine in the space of the landmarks, folded to (a weight for each letter triple, bias)."""
+    marks = Landmarks(marks)
+    value, vector = np.linalg.eigh(marks.by_triple.T.astype(np.float64) @ marks.by_triple)
     keep = value > 1e-4 * value.max()
     root = vector[:, keep] / np.sqrt(value[keep])
     x = np.ones((len(positive) + len(negative), root.shape[1] + 1))
-    x[:, :-1] = _kernel(positive + negative, marks) @ root
+    x[:, :-1] = Strings(positive + negative).kernel(marks) @ root
     y = np.r_[np.ones(len(positive)), -np.ones(len(negative))]
     weight = np.r_[np.full(len(positive), 1 / len(positive)), np.full(len(negative), 6 / len(negative))]
     ridge = 1e-4 * np.eye(x.shape[1])
     w = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of the squared hinge: a weighted ridge over the rows inside the margin
-        inside = np.flatnonzero(y * (x @ w) < 1)
-        left, right = ridge.copy(), np.zeros(x.shape[1])
-        for i in range(0, len(inside), 2048):
-            at = inside[i : i + 2048]
-            scaled = x[at] * weight[at, None]
-            left += scaled.T @ x[at]
-            right += scaled.T @ y[at]
-        new = np.linalg.solve(left, right)
+        inside = y * (x @ w) < 1
+        scaled = x[inside] * weight[inside, None]
+        new = np.linalg.solve(ridge + scaled.T @ x[inside], scaled.T @ y[inside])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
-    return (root @ w[:-1]) @ marks, float(w[-1])
-
-
-def _runs(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' letter codes with every gap as one place, and of each letter run: start, end, text, whether it may join the next one."""
-    points = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
-    sizes = np.array([len(x) for x in points], np.int64)
-    chars = np.concatenate(points) if points else np.zeros(0, np.uint32)
-    codes = _CODES[np.minimum(chars, len(_CODES) - 1)]
-    for k in np.flatnonzero(chars >= len(_CODES)).tolist():
-        codes[k] = 27 + int(chars[k]) % 3 if chr(chars[k]).isalpha() else 0
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    letter = codes > 0
-    breaks = np.ones(len(codes), bool)
-    breaks[1:] = owner[1:] != owner[:-1]
-    first = letter & (breaks | ~np.r_[False, letter[:-1]])
-    last = letter & (np.r_[breaks[1:], True] | ~np.r_[letter[1:], False])
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    stops = np.r_[0, np.cumsum((chars == 10) | (chars == 33) | (chars == 63))]
-    joins = np.zeros(len(start), bool)
-    if len(start) > 1:
-        gap = start[1:] - end[:-1]
-        joins[:-1] = (owner[start[1:]] == owner[start[:-1]]) & (gap <= GAP) & (stops[start[1:]] == stops[end[:-1]])
-    size = end - start
-    at = np.cumsum(size + 1) - size - 1  # one place without a letter behind each run
-    out = np.zeros(int((size + 1).sum()), np.int64)
-    keep = np.flatnonzero(letter)
-    out[np.arange(len(keep)) + np.repeat(np.arange(len(start)), size)] = codes[keep]
-    return out, at, at + size, owner[start], joins
-
-
-def highest_windows(texts: list[str | None], weights: np.ndarray, bias: float, least: np.ndarray) -> np.ndarray:
-    """The highest value of the texts' windows of neighbouring letter runs, or ``least`` where none is higher."""
-    codes, start, end, owner, joins = _runs(texts)
-    best = np.array(least, np.float64)
-    if not len(start):
-        return best
-    grid = np.arange(LETTERS) > 0
-    valid = (grid[:, None, None] & grid[None, :, None] & grid[None, None]).ravel()
-    table = np.where(valid, weights, 0).astype(np.float32)
-    groups: dict[int, list[np.ndarray]] = {}
-    left, right = np.arange(len(start)), np.arange(len(start))
-    while len(left):
-        n = end[right] - start[left] + 2
-        fits = n <= LONGEST
-        left, right, n = left[fits], right[fits], n[fits]
-        some = n - 2 - (right - left) >= 3
-        for k in np.unique(n[some]).tolist():
-            groups.setdefault(k, []).append(left[some & (n == k)])
-        on = joins[right]
-        left, right = left[on], right[on] + 1
-    for n, parts in groups.items():
-        rows = np.concatenate(parts)
-        at, weight = _triples(n)
-        weight = weight.astype(np.float32)
-        step = max(64, 60_000 // len(weight))
-        for i in range(0, len(rows), step):
-            part = rows[i : i + step]
-            x = np.empty((n, len(part)), np.int64)
-            x[0], x[-1] = START, STOP
-            x[1:-1] = codes[start[part] + np.arange(n - 2)[:, None]]
-            ids = (x * LETTERS**2)[at[0]]
-            ids += (x * LETTERS)[at[1]]
-            ids += x[at[2]]
-            dot = weight @ table.take(ids)
-            _, one, like = np.unique((1 << np.arange(n)) @ (x > 0), return_index=True, return_inverse=True)
-            there = x[:, one] > 0
-            norm2 = ((weight * weight) @ (there[at[0]] & there[at[1]] & there[at[2]]))[like]
-            # repeated triples only make the norm greater, so a positive sum over this norm is a bound
-            bound = np.where(dot > 0, dot / np.sqrt(np.maximum(norm2, 1e-12)), 0) + bias + 1e-4
-            over = np.flatnonzero(bound > best[owner[part]])
-            if len(over):
-                ids, w, norm = features(x[:, over].T.astype(np.int64))
-                np.maximum.at(best, owner[part[over]], (w * weights[ids]).sum(1) / np.maximum(norm, 1e-12) + bias)
-    return best
-
-
-def points_of(texts: list[str | None], tops: list[tuple[float, float]], weights: np.ndarray, bias: float) -> np.ndarray:
-    """Rows of what the logistic function reads, from the two highest word values of each text."""
-    points = np.array(tops, np.float64).reshape(-1, 2)
-    points[:, 0] = highest_windows(texts, weights, bias, points[:, 0])
-    return points
-
-
-def top_two(found: list[float]) -> tuple[float, float]:
-    best = sorted(found, reverse=True)[:2] + [NONE, NONE]
-    return best[0], best[1]
+    weights = np.zeros(LETTERS**3)
+    weights[marks.triples] = marks.by_triple[:-1] @ (root @ w[:-1])
+    return weights, float(w[-1])
+
+
+def _ends(valid: np.ndarray) -> np.ndarray:
+    """(5, n) from (6, n) of the six places from an end inwards, 1 where there is a letter: squared weights of the triples of
+    that end and two places, the farther one at most q places away, q = 1 to 5."""
+    return np.cumsum([valid[q] * valid[:q].sum(0) * LAMBDA ** (2 * (q - 1.0)) for q in range(1, 6)], axis=0)
+
+
+@lru_cache(maxsize=1)
+def _squares() -> np.ndarray:
+    """For each pattern of letters on seven places: squared weights of the triples that begin at the first and reach 2 to 6 places on."""
+    bits = (np.arange(128)[:, None] >> np.arange(7)) & 1
+    reach = [bits[:, 0] * bits[:, k] * bits[:, 1:k].sum(1) * LAMBDA ** (2 * (k - 2.0)) for k in range(2, 7)]
+    return np.cumsum(reach, axis=0)
+
+
+class Sentences:
+    """Texts as one line of codes, six empty places at both ends, with their windows: from run ``left`` to run ``right``."""
+
+    def __init__(self, texts: list[str | None]):
+        points = [np.frombuffer((t or "").lower().encode("utf-32-le", "replace"), np.uint32) for t in texts]
+        sizes = np.array([len(x) for x in points], np.int64)
+        chars = np.concatenate(points) if points else np.zeros(0, np.uint32)
+        codes = _codes()[np.minimum(chars, 0xFFFF)]
+        for k in np.flatnonzero(chars > 0xFFFF).tolist():
+            codes[k] = _code(int(chars[k]))
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        letter = codes > 0
+        breaks = np.ones(len(codes), bool)
+        breaks[1:] = owner[1:] != owner[:-1]
+        start = np.flatnonzero(letter & (breaks | ~np.r_[False, letter[:-1]]))
+        end = np.flatnonzero(letter & (np.r_[breaks[1:], True] | ~np.r_[letter[1:], False])) + 1
+        blank = np.r_[(chars[1:] == 32) | (chars[1:] == 9), True] | np.r_[breaks[1:], True]
+        stops = (chars == 10) | (chars == 33) | (chars == 63) | ((chars == 46) & blank)
+        number = np.r_[0, np.cumsum(stops | breaks)]  # of the sentence before a place; a text begins a new one
+        joins = np.zeros(len(start), bool)
+        if len(start) > 1:
+            joins[:-1] = (start[1:] - end[:-1] <= GAP) & (number[start[1:] + 1] == number[end[:-1]])
+        size = end - start
+        at = np.cumsum(size + 1) - size - 1 + 6  # one place without a letter behind each run
+        self.codes = np.zeros(int((size + 1).sum()) + 12, np.int64)
+        keep = np.flatnonzero(letter)
+        self.codes[6 + np.arange(len(keep)) + np.repeat(np.arange(len(start)), size)] = codes[keep]
+        _, sentence = np.unique(number[start + 1], return_inverse=True)
+        text = owner[start]
+        long = np.flatnonzero(size > PLACES)
+        more = [(at[k] + i, at[k] + min(i + n, size[k]), k) for k in long.tolist() for n, step in PIECES for i in range(0, max(1, int(size[k]) - n + step), step)]
+        first, last, of = (np.array(x, np.int64) for x in (zip(*more) if more else ((), (), ())))
+        self.start, self.end = np.r_[at, first], np.r_[at + size, last]
+        self.text, self.sentence = np.r_[text, text[of]], np.r_[sentence, sentence[of]]
+        self.joins = np.r_[joins, np.zeros(len(of), bool)]
+        self.n_texts, self.n_sentences = len(texts), int(sentence.max()) + 1 if len(sentence) else 0
+        left, right = [], []
+        a = b = np.arange(len(self.start))
+        while len(a):
+            fits = self.end[b] - self.start[a] <= PLACES
+            a, b = a[fits], b[fits]
+            some = self.end[b] - self.start[a] - (b - a) >= 2
+            left.append(a[some]), right.append(b[some])
+            on = self.joins[b]
+            a, b = a[on], b[on] + 1
+        self.left, self.right = np.concatenate(left or [a]), np.concatenate(right or [b])
+
+    def strings(self, windows: np.ndarray) -> list[np.ndarray]:
+        """The code rows of windows, ends included."""
+        out = []
+        for a, b in zip(self.start[self.left[windows]].tolist(), self.end[self.right[windows]].tolist()):
+            row = np.empty(b - a + 2, np.int64)
+            row[0], row[-1], row[1:-1] = START, STOP, self.codes[a:b]
+            out.append(row)
+        return out
+
+    def bounds(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """Upper bounds of the windows' values, equal to them where no triple repeats and the value is over the bias."""
+        if not len(self.left):
+            return np.zeros(0)
+        grid = np.arange(LETTERS) > 0
+        table = np.where((grid[:, None, None] & grid[None, :, None] & grid[None, None]).ravel(), weights, 0).astype(np.float32)
+        x, n = self.codes, len(self.codes) - 6
+        reach = np.zeros((5, n + 6), np.float32)  # of each place: triples that begin there and reach 2 to 6 places on
+        for i in range(0, n, 1 << 15):
+            y = x[i : min(n, i + (1 << 15)) + 6]
+            m = len(y) - 6
+            first = y[:m] * LETTERS**2
+            pairs = [None] + [first + y[j : j + m] * LETTERS for j in range(1, 6)]
+            total = np.zeros(m, np.float32)
+            for k in range(2, 7):
+                third = y[k : k + m]
+                part = table.take(pairs[1] + third)
+                for j in range(2, k):
+                    part += table.take(pairs[j] + third)
+                total += part * np.float32(LAMBDA ** (k - 2))
+                reach[k - 2, i : i + m] = total
+        there = (x > 0).astype(np.int64)
+        pattern = sum(there[j : j + n] << j for j in range(7) if j < 6)
+        pattern += np.r_[there[6:]] << 6
+        squares = _squares()
+        start, end = self.start, self.end
+        s, e = x[start + np.arange(6)[:, None]], x[end - 1 - np.arange(6)[:, None]]
+        heads = np.cumsum([sum(table[(START * LETTERS + s[p]) * LETTERS + s[q]] for p in range(q)) * LAMBDA ** (q - 1.0) for q in range(1, 6)], axis=0)
+        tails = np.cumsum([sum(table[(e[q] * LETTERS + e[p]) * LETTERS + STOP] for p in range(q)) * LAMBDA ** (q - 1.0) for q in range(1, 6)], axis=0)
+        back = end - 3 - np.arange(4)[:, None]  # triples that begin 3 to 6 places before the end and stay inside
+        none = np.zeros((1, len(end)))
+        inner = np.r_[none, np.cumsum(reach[np.arange(4)[:, None], back], axis=0)]
+        inner2 = np.r_[none, np.cumsum(squares[np.arange(4)[:, None], pattern[np.minimum(back, n - 1)]], axis=0)]
+        run = np.r_[0.0, np.cumsum(reach[4], dtype=np.float64)]
+        run2 = np.r_[0.0, np.cumsum(squares[4][pattern])]
+        out = np.empty(len(self.left))
+        heads2, tails2 = _ends((s > 0).astype(np.int64)), _ends((e > 0).astype(np.int64))
+        for i in range(0, len(out), 1 << 16):
+            a, b = self.left[i : i + (1 << 16)], self.right[i : i + (1 << 16)]
+            p, q = start[a], end[b]
+            size = q - p
+            near, edge, cut = np.minimum(size - 2, 4), np.minimum(size - 2, 4), np.maximum(p, q - 6)
+            dot = run[cut] - run[p] + inner[near, b] + heads[edge, a] + tails[edge, b]
+            norm2 = run2[cut] - run2[p] + inner2[near, b] + heads2[edge, a] + tails2[edge, b]
+            short = np.flatnonzero(size <= 5)
+            for k in range(5):  # both ends and one letter between
+                at = short[size[short] > k]
+                c = x[p[at] + k]
+                dot[at] += table[(START * LETTERS + c) * LETTERS + STOP] * LAMBDA ** (size[at] - 1.0)
+                norm2[at] += (c > 0) * LAMBDA ** (2 * (size[at] - 1.0))
+            out[i : i + (1 << 16)] = np.where(dot > 0, dot / np.sqrt(np.maximum(norm2, 1e-12)), 0) + bias + 1e-4
+        return out
+
+    def exact(self, windows: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
+        return Strings(self.strings(windows)).dot(weights) + bias if len(windows) else np.zeros(0)
+
+    def highest(self, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each sentence with a window: the window of highest bound; and the sentence."""
+        owner = self.sentence[self.left]
+        best = np.full(self.n_sentences, -np.inf)
+        np.maximum.at(best, owner, bounds)
+        at = np.flatnonzero(bounds == best[owner])
+        sentence, first = np.unique(owner[at], return_index=True)
+        return at[first], sentence
+
+    def top_two(self, weights: np.ndarray, bias: float) -> np.ndarray:
+        """The two highest sentence values of each text, NONE where there is none."""
+        out = np.full((self.n_texts, 2), NONE)
+        if not len(self.left):
+            return out
+        bounds = self.bounds(weights, bias)
+        owner, text = self.sentence[self.left], self.text[self.left]
+        window, sentence = self.highest(bounds)
+        of = text[window]
+        order = np.lexsort((-bounds[window], of))
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        probe = order[rank < 2]
+        values = np.full(len(bounds), NONE)
+        values[window[probe]] = self.exact(window[probe], weights, bias)
+        floor = np.full(self.n_texts, np.inf)
+        np.minimum.at(floor, of[probe], values[window[probe]])
+        left = bounds > floor[text]
+        left[window[probe]] = False
+        left = np.flatnonzero(left)
+        values[left] = self.exact(left, weights, bias)
+        best = np.full(self.n_sentences, NONE)
+        np.maximum.at(best, owner, values)
+        order = np.lexsort((-best[sentence], of))
+        rank = np.arange(len(order)) - np.searchsorted(of[order], of[order])
+        for k in (0, 1):
+            at = order[rank == k]
+            out[of[at], k] = np.maximum(NONE, best[sentence[at]])
+        return out
+
+
+def parts(text: str | None) -> list[str]:
+    """A text as it is, or a very long one in parts."""
+    text, out = text or "", []
+    while len(text) > PART:
+        cut = max(text.rfind(x, PART // 2, PART) for x in "\n!?") + 1
+        if cut:
+            out.append(text[:cut])
+            text = text[cut:]
+        else:
+            cut = text.rfind(" ", PART // 2, PART) + 1 or PART
+            out.append(text[:cut])
+            back = text.rfind(" ", cut - OVERLAP, cut - 1) + 1
+            text = text[back or cut :]
+    return [*out, text]
+
+
+def _chunks(texts: list[str], limit: int = PART):
+    """Slices of a list that hold about ``limit`` characters."""
+    at = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield at, k
+            at, size = k, 0
+        size += len(t)
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def points_of(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
+    """The two highest sentence values of each text."""
+    cut = [parts(t) for t in texts]
+    flat, owner = [p for x in cut for p in x], np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+    tops = [Sentences(flat[a:b]).top_two(weights, bias) for a, b in _chunks(flat)]
+    tops = np.concatenate(tops) if tops else np.zeros((0, 2))
+    if len(flat) == len(texts):
+        return tops
+    return np.array([np.sort(tops[owner == k].ravel())[::-1][:2] for k in range(len(texts))]).reshape(-1, 2)
+
+
+# training ------------------------------------------------------------------------------------------------------------
+def _groups_of(word: str) -> set[str]:
+    """Letter groups whose documents are counted: inner groups of four, and beginnings of three to eight."""
+    return {word[i : i + 4] for i in range(max(1, len(word) - 3))} | {"^" + word[:n] for n in range(3, min(8, len(word)) + 1)}
+
+
+def first_witnesses(docs: list[tuple[int, str]], chance: float = 1e-3) -> list[str]:
+    """Of each toxic document the word whose letter group marks toxic documents most clearly, if any does: clean documents almost never have the group, and that any group of as many
+    documents came out so by chance, over all groups, is less likely than ``chance``; where there is no such group at all, the five least likely by chance serve."""
+    words: dict[str, int] = {}
+    bags = [np.array([words.setdefault(w, len(words)) for w in sorted(set(_WORD.findall((t or "").lower())))], np.int64) for _, t in docs]
+    groups: dict[str, int] = {}
+    of_word = [[groups.setdefault(g, len(groups)) for g in sorted(_groups_of(w))] for w in words]
+    size = np.array([len(g) for g in of_word], np.int64)
+    begin, flat = np.r_[0, np.cumsum(size)], np.array([g for x in of_word for g in x], np.int64)
+    counts = np.zeros((2, len(groups)), np.int64)
+    in_clean = np.zeros(len(words), np.int64)
+    for (y, _), bag in zip(docs, bags):
+        if len(bag):
+            counts[int(bool(y)), np.unique(np.concatenate([flat[begin[w] : begin[w + 1]] for w in bag.tolist()]))] += 1
+            in_clean[bag] += not y
+    share = sum(bool(y) for y, _ in docs) / len(docs)
+    limit = math.log(chance / max(1, int((counts[1] >= 3).sum())))
+    rare = (counts[1] >= 3) & (counts[0] * share <= 0.02 * counts[1] * (1 - share))
+    names = list(groups)
+    told = []
+    for g in np.flatnonzero(rare).tolist():
+        n, k = int(counts[:, g].sum()), int(counts[1, g])
+        tail = sum(math.exp(math.lgamma(n + 1) - math.lgamma(j + 1) - math.lgamma(n - j + 1) + j * math.log(share) + (n - j) * math.log1p(-share)) for j in range(k, n + 1))
+        told.append((math.log(tail) if tail > 0 else -700.0, -k, names[g], g))
+    told.sort()
+    place = np.full(len(groups) + 1, len(told))
+    for k, (p, _, _, g) in enumerate(told):
+        if p <= limit or (told[0][0] > limit and k < 5):
+            place[g] = k
+    of = np.array([min(place[x], default=len(told)) for x in of_word], np.int64)
+    of[in_clean > 0] = len(told)
+    names = list(words)
+    clearest = {int(bag[of[bag].argmin()]) for (y, _), bag in zip(docs, bags) if y and len(bag) and of[bag].min() < len(told)}
+    return sorted(names[w] for w in clearest)
+
+
+def _distinct(rows: list[np.ndarray]) -> list[np.ndarray]:
+    return list({r.tobytes(): r for r in rows}.values())
+
+
+def train_machine(docs: list[tuple[int, str]], how: Training = Training()) -> tuple[np.ndarray, float] | None:
+    """Labelled documents [(toxic, text)] -> (a weight for each letter triple, bias); None where one of the labels is missing."""
+    toxic, clean = [t for y, t in docs if y], [t for y, t in docs if not y]
+    if not toxic or not clean:
+        return None
+    words = Sentences(first_witnesses(docs))
+    positive = seeds = _distinct(words.strings(np.flatnonzero(words.left == words.right)))
+    sides = [[Sentences(side[a:b]) for a, b in _chunks([t or "" for t in side], 500_000)] for side in (toxic, clean)]
+    windows = sum(len(s.left) for s in sides[1])
+    if not positive or not windows:
+        return None
+    rng = np.random.default_rng(how.seed)
+    drawn = np.sort(rng.permutation(windows)[: how.negatives])
+    begin = np.cumsum([0, *(len(s.left) for s in sides[1])])
+    negative = _distinct([r for s, lo, hi in zip(sides[1], begin, begin[1:]) for r in s.strings(drawn[(drawn >= lo) & (drawn < hi)] - lo)])
+    pool = [negative[k] for k in rng.permutation(len(negative))[: how.pool]]
+    model = machine(positive, negative, spread(positive, how.landmarks * 2 // 3) + spread(pool, how.landmarks // 3))
+    for _ in range(how.rounds):
+        usual = np.concatenate([_sentence_bounds(s, model) for s in sides[1]])
+        least = max(0.0, float(np.quantile(usual, 1 - how.noise)))
+        positive, hard = _distinct(seeds + _positive(sides[0], model, least)), _hardest(sides[1], model, how.hard)
+        marks = spread(positive, how.landmarks * 2 // 3) + spread(hard or pool, how.landmarks // 6) + spread(pool, how.landmarks // 6)
+        model = machine(positive, _distinct(negative + hard), marks)
+    return model
+
+
+def _sentence_bounds(s: Sentences, model: tuple[np.ndarray, float]) -> np.ndarray:
+    bounds = s.bounds(*model)
+    return bounds[s.highest(bounds)[0]]
+
+
+def _positive(chunks: list[Sentences], model: tuple[np.ndarray, float], least: float) -> list[np.ndarray]:
+    """The witnesses of the positive sentences, those with a value over ``least``."""
+    out = []
+    for s in chunks:
+        bounds = s.bounds(*model)
+        at = s.highest(bounds)[0]
+        at = at[bounds[at] > least]
+        out += s.strings(at[s.exact(at, *model) > least])
+    return out
+
+
+def _hardest(chunks: list[Sentences], model: tuple[np.ndarray, float], n: int) -> list[np.ndarray]:
+    """The n distinct clean windows of highest bound, over all of them."""
+    best: dict[bytes, tuple[float, np.ndarray]] = {}
+    for s in chunks:
+        bounds = s.bounds(*model)
+        at = np.argsort(-bounds, kind="stable")[: 4 * n]
+        best |= {r.tobytes(): (b, r) for b, r in zip(bounds[at].tolist(), s.strings(at))}
+        best = dict(sorted(best.items(), key=lambda x: (-x[1][0], x[0]))[:n])
+    return [r for _, r in best.values()]
 
 
 def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -361,50 +517,68 @@ def _platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: list[tuple[int, str]]) -> dict | None:
-    """Labelled documents -> {weights, bias, platt}; None where one of the labels is missing."""
-    machine = train_words(docs)
-    gc.collect()
-    if machine is None:
+def train_part(docs: list[tuple[int, str]], part: int, how: Training = Training()):
+    """Part 0: the machine of all documents. Parts 1 and 2: (sentence values, labels) of one half by a machine of the other."""
+    if part == 0:
+        return train_machine(docs, how)
+    side = [zlib.crc32(b"%d" % k) >> 7 & 1 for k in range(len(docs))]
+    half, rest = [d for k, d in zip(side, docs) if k == part - 1], [d for k, d in zip(side, docs) if k != part - 1]
+    model = train_machine(half, how) or train_machine(docs, how)
+    return None if model is None else (points_of([t for _, t in rest], *model), np.array([bool(y) for y, _ in rest]))
+
+
+def assembled(found: list) -> dict | None:
+    """The three parts -> {weights, bias, platt}."""
+    if found[0] is None:
         return None
-    points, labels = [], []
-    for fold in (0, 1):
-        half = train_words([d for k, d in enumerate(docs) if k % 2 == fold]) or machine
-        rest = [d for k, d in enumerate(docs) if k % 2 != fold]
-        tops = [top_two(values(list(pieces(t)), half[0], half[1]).tolist()) for _, t in rest]
-        for i in range(0, len(rest), 250):
-            points += points_of([t for _, t in rest[i : i + 250]], tops[i : i + 250], half[0], half[1]).tolist()
-        labels += [bool(y) for y, _ in rest]
-    return {"weights": machine[0], "bias": machine[1], "platt": _platt(np.array(points), np.array(labels))}
-
-
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> list[tuple[int, str]]:
-    """The training documents: not held out, at most ``per_class`` of each label, lowest hash of doc_id first."""
+    x, y = (np.concatenate([f[k] for f in found[1:]]) for k in (0, 1))
+    return {"weights": found[0][0], "bias": found[0][1], "platt": _platt(x, y)}
+
+
+def train(docs: list[tuple[int, str]], how: Training = Training()) -> dict | None:
+    """Labelled documents -> {weights, bias, platt}; None where one of the labels is missing."""
+    return assembled([train_part(docs, part, how) for part in range(3)])
+
+
+def labelled(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> list[tuple[int, str]]:
+    """The training documents: not held out, at most ``per_class`` rows of each label and ``longest`` bytes each, lowest hash of doc_id first."""
     marks = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = None
+    ids = rows = None
     for y in (0, 1):
-        part = marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text").collect()
-    return [(r.toxic, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+        part = marks.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.per_class)
+        ids = part if ids is None else ids.unionAll(part)
+    texts = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= how.longest).join(F.broadcast(ids), "doc_id")
+    for y in (0, 1):  # an id may stand for many rows
+        part = texts.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(how.per_class)
+        rows = part if rows is None else rows.unionAll(part)
+    return [(r.toxic, r.text) for r in sorted(rows.collect(), key=lambda r: (r.doc_id, r.text or ""))]
+
+
+def train_in_tasks(spark: SparkSession, docs: list[tuple[int, str]], how: Training = Training()) -> dict | None:
+    """``train``, with its three parts as three tasks."""
+    sent = spark.sparkContext.broadcast(docs)
+
+    def run(it):
+        for batch in it:
+            for part in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(train_part(sent.value, part, how))])], ["part", "model"])
+
+    found = {r.part: pickle.loads(r.model) for r in spark.range(0, 3, 1, 3).mapInArrow(run, "part long, model binary").collect()}
+    sent.destroy()
+    return assembled([found[k] for k in range(3)])
 
 
+# scoring -------------------------------------------------------------------------------------------------------------
 class Scorer:
-    """Document scores, remembering words' values; the memory is emptied at ``keep`` words."""
+    """Document scores of a model; all 0 without one."""
 
-    def __init__(self, model: dict | None, keep: int = 400_000):
-        self.model, self.keep, self.memo = model, keep, {}
+    def __init__(self, model: dict | None):
+        self.model = model
 
     def __call__(self, texts: list[str | None]) -> np.ndarray:
         if self.model is None:
             return np.zeros(len(texts))
-        bags = [pieces(t) for t in texts]
-        if len(self.memo) > self.keep:
-            self.memo = {}
-        memo = self.memo
-        new = list(set().union(*bags).difference(memo)) if bags else []
-        memo.update(zip(new, values(new, self.model["weights"], self.model["bias"]).tolist()))
-        points = points_of(texts, [top_two([memo[w] for w in bag]) for bag in bags], self.model["weights"], self.model["bias"])
+        points = points_of(texts, self.model["weights"], self.model["bias"])
         return 1 / (1 + np.exp(-np.clip(np.c_[points, np.ones(len(points))] @ self.model["platt"], -30, 30)))
 
 
@@ -413,32 +587,31 @@ def _scoring(model, key: int, finish):
         scorer = held(("toxicity", key), lambda: Scorer(model.value))
         for batch in it:
             if batch.num_rows:
-                at = batch.schema.get_field_index("text")
-                texts = batch.column(at).to_pylist()
-                score = np.concatenate([scorer(texts[i : i + 250]) for i in range(0, len(texts), 250)])
-                yield finish(batch, score)
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield finish(batch, scorer(texts))
 
     return run
 
 
 def _give_back() -> None:
-    """Returns what training used to the system, where the C library can: the driver lives on."""
+    """Returns what the sample used to the system, where the C library can: the driver lives on."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def _shared_model(docs: DataFrame, labels: DataFrame, per_class: int):
-    model = train(labelled(docs, labels, per_class))
+def _shared_model(docs: DataFrame, labels: DataFrame, how: Training):
+    spark = docs.sparkSession
+    model = train_in_tasks(spark, labelled(docs, labels, how), how)
     _give_back()
     key = 0 if model is None else hash((model["weights"].tobytes(), model["bias"]))
-    small_batches(docs.sparkSession)
-    return docs.sparkSession.sparkContext.broadcast(model), key
+    small_batches(spark)
+    return spark.sparkContext.broadcast(model), key
 
 
-def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def scores(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     """Documents (doc_id, text) -> (doc_id, held_out, score, predicted), one row for each input row."""
-    model, key = _shared_model(docs, labels, per_class)
+    model, key = _shared_model(docs, labels, how)
 
     def finish(batch, score):
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= CUT).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
@@ -447,9 +620,9 @@ def scores(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Da
     return rows.mapInArrow(_scoring(model, key, finish), "doc_id long, held_out boolean, score double, predicted int")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> DataFrame:
     """The documents whose score is under CUT, all columns as they are."""
-    model, key = _shared_model(docs, labels, per_class)
+    model, key = _shared_model(docs, labels, how)
     names = [f"_{i}" for i in range(len(docs.columns))]
     plain = docs.toDF(*[("text" if c == "text" else n) for c, n in zip(docs.columns, names)])
     kept = plain.mapInArrow(_scoring(model, key, lambda batch, score: batch.filter(pa.array(score < CUT))), plain.schema)
