@@ -1,6 +1,8 @@
+import math
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from planeframe.llm import mixing
@@ -54,8 +56,8 @@ def test_contract(docs_of):
 
 def test_slots_and_blocks(docs_of, spark):
     docs = docs_of(ROWS)
-    parts, placed, sources = mixing.mix(docs, block=16, shards=4)
-    slots = mixing.slots(sources, 16, 4)
+    parts, placed, sources = mixing.mix(docs, block=16, shard_blocks=40)
+    slots = mixing.slots(sources, 16, 40)
     n = {r.skey: r for r in sources.collect()}
     for key, rows in ((k, slots.where(F.col("skey") == k).collect()) for k in n):
         blocks = [(r["pass"], r.block) for r in rows]
@@ -70,7 +72,102 @@ def test_slots_and_blocks(docs_of, spark):
                 at += size
         assert at == n[key].source_size
     assert parts.selectExpr("sum(to_word - from_word)").first()[0] == slots.selectExpr("sum(words)").first()[0]
-    assert slots.select("shard").distinct().count() == 4
+    per_shard = [r["count"] for r in slots.groupBy("shard").count().orderBy("shard").collect()]
+    assert len(per_shard) > 4 and set(per_shard[:-1]) == {40} and per_shard[-1] <= 40
+
+
+def hashed(*values):
+    """Spark's xxhash64 of longs, ints (given as (int,)) and strings; None is skipped."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def permuted(value, size, *key):
+    b = max(1, math.ceil(math.sqrt(size)))
+    a = max(1, -(-size // b))
+    while True:
+        x, y = divmod(value, b)
+        for r in range(6):
+            if r % 2 == 0:
+                x = (x + hashed(*key, (r,), y) % a) % a
+            else:
+                y = (y + hashed(*key, (r,), x) % b) % b
+        value = x * b + y
+        if value < size:
+            return value
+
+
+def brute_force(rows, block, shard_blocks, seed=mixing.SEED):
+    """{(doc_id, size, taken, first shard, shards): rows} from the texts alone."""
+    lines = {}
+    for i, t, s in rows:
+        n = len(WORD.findall(t or ""))
+        lines.setdefault("n" if s is None else "v" + s, []).append((hashed((seed,), i, n) % 64, i is not None, i or 0, n, i))
+    want = targets({None if k == "n" else k[1:]: sum(x[3] for x in v) for k, v in lines.items()})
+    slots, total = [], 0
+    for key in sorted(lines):
+        words = sum(x[3] for x in lines[key])
+        take = math.floor(want[None if key == "n" else key[1:]] + 0.5)
+        if not words or not take:
+            continue
+        full, tail = divmod(words, block)
+        each = full + (tail > 0)
+        count = take // words * each + -(-(take % words) // block)
+        taken = 0
+        for k in range(count):
+            turn, place = divmod(k, each)
+            got = min(tail if place == full else block, take - taken) if k < count - 1 else take - taken
+            slots.append([key, k, full if place == full else permuted(place, full, seed, key, turn), got, total + k])
+            taken += got
+        total += count
+    drawn = Counter((permuted(g, total, seed) // shard_blocks, key) for key, _, _, _, g in slots)
+    out, start = Counter(), {}
+    shard_of = {key: [j for j in sorted({j for j, _ in drawn}) for _ in range(drawn[j, key])] for key in lines}
+    for key, docs in lines.items():
+        mine = [x for x in slots if x[0] == key]
+        at = 0
+        for _, _, _, n, i in sorted(docs):
+            got, shards = 0, set()
+            for _, k, b, words, _ in mine:
+                shared = min(at + n, b * block + words) - max(at, b * block)
+                if shared > 0:
+                    got += shared
+                    shards.add(shard_of[key][k])
+            out[i, n, got, min(shards, default=None), len(shards)] += 1
+            at += n
+    return out
+
+
+def test_against_brute_force(docs_of, monkeypatch):
+    """Every row, from texts to words taken and shards. Without the draw, slots would fill the shards source by source."""
+    rows = [(k, " ".join(["w"] * (k * 13 % 47)), ["b", "a", "é", None, "tiny"][0 if k % 3 else k % 5]) for k in range(120)]
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda docs: whole(docs, 8, 16))
+    got = mixing.taken_words(docs_of(rows)).collect()
+    want = brute_force(rows, 8, 16)
+    assert Counter((r.doc_id, r.size, r.taken, r.first_shard, r.n_shards) for r in got) == want
+    parts, _, _ = whole(docs_of(rows), 8, 16)
+    sources = [r["count(DISTINCT skey)"] for r in parts.groupBy("shard").agg(F.countDistinct("skey")).collect()]
+    assert sum(n > 1 for n in sources) > len(sources) * 0.8
+
+
+def test_permutations(spark):
+    """Every size gives a permutation, none of which is a rotation or a reflection; keys give different ones."""
+    rows = spark.createDataFrame([(n, k, i) for n in [*range(1, 40), 97, 577, 1050, 4096] for k in (0, 1) for i in range(n)], "m long, k long, i long")
+    got = {}
+    for r in rows.withColumn("p", F.expr(mixing.permuted("i", "m", "17L", "'vx'", "k"))).orderBy("m", "k", "i").collect():
+        got.setdefault((r.m, r.k), []).append(r.p)
+        if r.i < 50:
+            assert r.p == permuted(r.i, r.m, 17, "vx", r.k)
+    for (n, k), p in got.items():
+        assert sorted(p) == list(range(n))
+        if n > 20:
+            assert max(Counter((b - a) % n for a, b in zip(p, p[1:])).values()) < max(6, 0.1 * n)
+            assert p != got[n, 1 - k]
 
 
 def test_mixed_documents(docs_of):
