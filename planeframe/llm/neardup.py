@@ -10,19 +10,21 @@ The forest holds the signatures in several sorted orders (trees):
    candidate when their longest common prefix reaches the least depth. Confirmed neighbours join whole
    families with a number of checks that is linear in the documents.
 2. *Open regions.* A region is what shares the least-depth prefix in one of all the trees. A region whose
-   members are one component is closed: nothing in it can change the result. That is the adaptive depth:
-   regions end as deep as their neighbours already settle them, and only open ones are taken at the least
-   depth. Size ratio and signature agreement (five standard deviations below the threshold) decide which pairs are worth a
-   full comparison, pairs of one component are skipped, and a pair is looked at in its first common region only. Regions
-   of up to SMALL documents name their pairs; larger ones are cut into tiles that travel with their texts, a task compares
-   two tiles and returns a forest of confirmed links, so no task holds a whole region and no region emits its pairs.
+   members are one component is closed: nothing in it can change the result. Of open ones, regions of up to SMALL documents name
+   their pairs. A larger one grows deeper where it is too large: by the depths of LEAVES its prefix is lengthened, and the first, shallowest
+   part of at most SMALL documents is a leaf of its own depth. Leaves are compared, and regions that are still open return to the least depth, where they are cut into tiles.
+   Size ratio and signature agreement (five standard deviations below the threshold) decide which pairs are worth a
+   full comparison, pairs of one component are skipped, and at the least depth a pair is looked at in its first common region only. Leaves and pairs of
+   tiles travel twice: first signatures alone, which tell the documents that have a pair worth comparing, then these with their texts; a task returns a
+   forest of confirmed links, so no task holds a whole region and no region emits its pairs.
 
 With ``trees = 32`` of depth 3 a pair at exactly 0.75 is missed with probability 2e-8, a pair at 0.8 with 2e-10.
-There is no cap on regions, partners or candidates.
+There is no cap on regions, partners or candidates. Sets are compared as 64-bit hashes of their shingles: in two documents of a million shingles
+some two different ones share a hash with probability 1e-7, which could move the similarity by 1e-6.
 
 Edge cases: null or blank texts have no shingles and link with nothing; a text of one to four words is one shingle; rows
 with equal sets are one class; a null doc_id is its own row with a null component and is kept; rows that
-repeat a doc_id are one node of the link graph.
+repeat a doc_id are one node of the link graph, whatever their texts. ``without_near_duplicates`` looks at rows: one with another text under the same doc_id is another document.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ ORDERS, ORDER_DEPTH = 4, 16
 #: A tile has about so many documents, and about so many shingles (16 MB of hashes), whichever makes it smaller.
 TILE, TILE_SHINGLES = 1024, 2_000_000
 SMALL = 64
+LEAVES = (6, 9, 12)
 HASHES = TREES * DEPTH
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -103,18 +106,39 @@ def signature(hashes: np.ndarray) -> bytes:
 
 def _sign(batch: pa.RecordBatch) -> pa.RecordBatch:
     n, prints, sigs = [], [], []
-    for text in batch.column(1).to_pylist():
+    for text in batch.column(2).to_pylist():
         h = shingle_hashes(text)
         n.append(len(h))
         prints.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
         sigs.append(signature(h) if len(h) else None)
-    return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "print", "sig"])
+    return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "body", "n_shingles", "print", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, print, sig) of every row."""
+    """(doc_id, body, n_shingles, print, sig) of every row; body is a hash of the text."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(batches(_sign), "doc_id long, n_shingles long, print binary, sig binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("body"), "text").mapInArrow(batches(_sign), "doc_id long, body long, n_shingles long, print binary, sig binary")
+
+
+def _near(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
+
+
+class _Nodes:
+    """Names of rows in the link graph: doc_id, or for a doc_id that stands for several texts a hash of it and of the text."""
+
+    def __init__(self, signed: DataFrame, tables: list, broadcast_ids: int = 500_000):
+        seen = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("body").alias("low"), F.max("body").alias("high"))
+        self.several = _scratch(seen.where("low <> high").select(F.col("doc_id").alias("several")), "several", tables)
+        n = self.several.count()
+        self.some, self.few = n > 0, n <= broadcast_ids
+
+    def named(self, df: DataFrame) -> DataFrame:
+        """``df`` (doc_id, body, ...) with node."""
+        if not self.some:
+            return df.withColumn("node", F.col("doc_id"))
+        joined = df.join(_near(self.several, self.few), F.col("doc_id") == F.col("several"), "left")
+        return joined.withColumn("node", F.when(F.col("several").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "body"))).drop("several")
 
 
 def _neighbours(it):
@@ -169,20 +193,19 @@ def _scratch(df: DataFrame, name: str, tables: list) -> DataFrame:
 
 
 def texts_of(ids: DataFrame, docs: DataFrame, tables: list, broadcast_ids: int = 500_000) -> DataFrame:
-    """(doc_id, text) of the documents in ``ids`` (doc_id, repeats allowed), one row each.
+    """(node, text) of the documents (node, text) in ``ids`` (node, repeats allowed).
 
     The ids are broadcast while there are at most ``broadcast_ids`` (8 MB), so no other text travels; beyond that they are joined by a shuffle.
     """
     ids = _scratch(ids.distinct(), "ids", tables)
-    few = ids.count() <= broadcast_ids
-    return docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return docs.select("node", "text").join(_near(ids, ids.count() <= broadcast_ids), "node", "left_semi")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
     """The candidate pairs (a, b) that link on their full sets."""
-    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, tables)
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")
-    pairs = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+    texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, tables)
+    pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return pairs.select("a", "b", "x", "y").mapInArrow(batches(_verify), "a long, b long")
 
 
@@ -205,7 +228,7 @@ def _shared(h: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 class _Group:
-    """The rows of one task's tiles: [(side, rep, comp, n, sig, text or None)] in region ``tree``."""
+    """The rows of one task's tiles: [(side, rep, comp, n, sig, text or None)] in a region of ``tree`` (-1: a leaf)."""
 
     def __init__(self, tree: int, rows: list[list]):
         rows.sort(key=lambda r: (r[0], r[1]))
@@ -221,13 +244,21 @@ class _Group:
             js = np.arange(i + 1 if self.within else self.split, len(self.rows))
             js = js[self.comp[js] != self.comp[i]]
             js = js[_agreement(self.sig[js], self.sig[i], self.n[js], self.n[i])]
-            js = js[_first_tree(self.sig[js], self.sig[i]) == self.tree]
+            if self.tree >= 0:
+                js = js[_first_tree(self.sig[js], self.sig[i]) == self.tree]
             if len(js):
                 yield i, js
 
     def pairs(self) -> list[tuple[int, int]]:
         return [tuple(sorted((int(self.rep[i]), int(self.rep[j])))) for i, js in self.candidates() for j in js]
 
+    def worth(self) -> list[int]:
+        """The rows that are in a pair worth comparing."""
+        found = np.zeros(len(self.rows), bool)
+        for i, js in self.candidates():
+            found[i] = found[js] = True
+        return np.flatnonzero(found).tolist()
+
     def links(self, step: int = 64) -> list[tuple[int, int]]:
         """A forest of confirmed links between the components, likeliest partners first."""
         sets: dict[int, np.ndarray] = {}
@@ -251,100 +282,195 @@ class _Group:
         return found
 
 
-def _groups(result):
-    """A mapInArrow function over rows sorted by (region, i, j): ``result`` of each group; a group has two tiles at most."""
+_KEY = ["region", "i", "j", "tree"]
+_MEMBER = "region long, i int, j int, tree int, side int, rep long"
+
+
+def _grouped(it):
+    """The groups (key, rows) of rows sorted by (region, i, j); a group has two tiles at most."""
+    key, rows = None, []
+    for batch in it:
+        for *new, side, rep, comp, n, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if new != key:
+                if len(rows) > 1:
+                    yield key, rows
+                key, rows = new, []
+            rows.append([side, rep, comp, n, sig, text])
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _edges(result):
+    """A mapInArrow function: the pairs that ``result`` gives for each group."""
 
     def run(it):
-        key, held = None, []
-
-        def done():
-            found = result(_Group(key[3], held)) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in it:
-            for *new, side, rep, comp, n, sig, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if new != key:
-                    if held:
-                        yield done()
-                    key, held = new, []
-                held.append([side, rep, comp, n, sig, text])
-        if held:
-            yield done()
+        for key, rows in _grouped(it):
+            found = result(_Group(key[3], rows))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _members_worth(it):
+    """A mapInArrow function: of each group, the members that are in a pair worth comparing."""
+    types = [pa.int64(), *[pa.int32()] * 4, pa.int64()]
+    for key, rows in _grouped(it):
+        group = _Group(key[3], rows)
+        at = group.worth()
+        if at:
+            columns = [*([v] * len(at) for v in key), [int(group.side[k]) for k in at], [int(group.rep[k]) for k in at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*_KEY, "side", "rep"])
+
+
+def _carrying(members: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members with their representatives' columns (and text, if these have one), each group in one task and together."""
+    text = F.col("text") if "text" in reps.columns else F.lit(None).cast("string").alias("text")
+    return members.join(reps, "rep").select(*_KEY, "side", "rep", "comp", "n", "sig", text).repartition("region", "i", "j").sortWithinPartitions(*_KEY)
+
+
+def _compared(members: DataFrame, reps: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
+    """Confirmed links (a, b) within groups of members (region, i, j, tree, side, rep): signatures first, texts where they are needed."""
+    worth = _scratch(_carrying(members, reps).mapInArrow(_members_worth, _MEMBER), "worth", tables)
+    texts = texts_of(worth.select(F.col("rep").alias("node")), docs, tables).withColumnRenamed("node", "rep")
+    return _carrying(worth, reps.join(texts, "rep")).mapInArrow(_edges(_Group.links), "a long, b long")
+
+
 def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
     x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), ">u4").reshape(batch.num_rows, HASHES) for k in (2, 4))
     keep = _agreement(x, y, *(batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 5)))
     return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
 
-def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: list) -> tuple[DataFrame, DataFrame]:
-    """What open regions add: candidate pairs (a, b) of the small ones, confirmed links of the crowded ones."""
-    reps = _scratch(reps.join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
-    trees = f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})) as region))"
-    rows = reps.select("rep", "comp", F.col("n").cast("int").alias("n"), F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "n", "t.tree", "t.region")
+def _judged(reps: DataFrame, comps: DataFrame, tables: list) -> DataFrame:
+    """Representatives with their present component."""
+    named = reps.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    return _scratch(named.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
+
+
+def _leaves(crowded: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of the leaves of crowded regions (region, tree, rep): parts of one to SMALL documents, at the least of the depths LEAVES that has so few."""
+    # a tree that grows deeper goes on with the hashes of the trees after it
+    prefix = lambda d: F.expr(f"xxhash64(region, {d}, substring(concat(sig, sig), {4 * DEPTH} * tree + 1, {4 * d}))")
+    rows = crowded.join(reps.select("rep", "n", "sig"), "rep")
+    parts = rows.select("rep", "n", F.col("region").alias("up"), F.posexplode(F.array(*map(prefix, LEAVES))).alias("level", "leaf"), F.array("region", *map(prefix, LEAVES)).alias("path"))
+    parts = parts.select("rep", "n", "leaf", F.element_at("path", F.col("level") + 1).alias("up"))
+    sizes = parts.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.first("up").alias("up"))
+    fits = (F.col("m") <= SMALL) & (F.col("total") <= TILE_SHINGLES)
+    # a part lies in a leaf already where the part above it fits
+    above = sizes.where(fits).select(F.col("leaf").alias("up"))
+    leaves = sizes.where(fits & (F.col("m") > 1)).join(above, "up", "left_anti").select("leaf")
+    members = parts.select("rep", "leaf").join(leaves, "leaf")
+    return members.select(F.col("leaf").alias("region"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("tree"), F.lit(0).alias("side"), "rep")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Regions (region, m, a, b) of more than one component; a and b are the least and the greatest member."""
     regions = rows.groupBy("region").agg(F.count("*").alias("m"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.min("comp").alias("low"), F.max("comp").alias("high"))
-    regions = _scratch(regions.where("m > 1 and low <> high").drop("low", "high"), "regions", tables)
-    two = regions.where("m = 2").select("a", "b").distinct()
-    light = reps.select("rep", "sig", "n")
-    two = two.join(light.toDF("a", "sa", "na"), "a").join(light.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(batches(_agreeing), "a long, b long")
-    key = ["region", "i", "j", "tree"]
-    open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
-    small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep").join(reps, "rep")
-    small = small.select(*key, "side", "rep", "comp", "n", "sig", F.lit(None).cast("string").alias("text")).repartition("region").sortWithinPartitions(*key)
-    crowded = open_rows.where(f"m > {SMALL}")
-    weights = crowded.groupBy("region").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    crowded = crowded.join(weights, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
+    return regions.where("m > 1 and low <> high").drop("low", "high")
+
+
+def _tiled(crowded: DataFrame, reps: DataFrame) -> DataFrame:
+    """Members of the pairs of tiles of regions (region, tree, rep)."""
+    weights = crowded.join(reps.select("rep", "n"), "rep").groupBy("region").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
+    placed = crowded.join(weights, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
     spread = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
-    crowded = _scratch(crowded.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep"), "crowded", tables)
-    texts = texts_of(crowded.select(F.col("rep").alias("doc_id")), docs, tables).select(F.col("doc_id").alias("rep"), "text").join(reps, "rep")
-    tiles = crowded.join(texts, "rep").select(*key, "side", "rep", "comp", "n", "sig", "text").repartition("region", "i", "j").sortWithinPartitions(*key)
-    pairs = two.unionAll(small.mapInArrow(_groups(_Group.pairs), "a long, b long")).distinct()
-    return pairs, tiles.mapInArrow(_groups(_Group.links), "a long, b long")
+    return placed.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row for each input row."""
-    docs = docs.select("doc_id", "text")
-    signed = written(signatures(docs), "signed")
-    usable = signed.where("print is not null and doc_id is not null")
-    classes = usable.groupBy("print").agg(F.min("doc_id").alias("rep"))
-    tables: list[DataFrame] = []
-    reps = _scratch(usable.join(classes, "print").where("doc_id = rep").dropDuplicates(["rep", "print"]).select("rep", "sig", F.col("n_shingles").alias("n")), "reps", tables)
-    # rows that repeat a doc_id with another text link its classes through that id
-    same_id = usable.join(classes, "print").where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
+    """``comps`` with all that open regions add to them."""
+    judged = _judged(reps, comps, tables)
+    trees = f"transform(sequence(0, {TREES - 1}), t -> struct(t as tree, xxhash64(t, substring(sig, {4 * DEPTH} * t + 1, {4 * DEPTH})) as region))"
+    rows = judged.select("rep", "comp", F.explode(F.expr(trees)).alias("t")).select("rep", "comp", "t.tree", "t.region")
+    regions = _scratch(_open(rows), "regions", tables)
+    light = judged.select("rep", "sig", "n")
+    two = regions.where("m = 2").select("a", "b").distinct()
+    two = two.join(light.toDF("a", "sa", "na"), "a").join(light.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(batches(_agreeing), "a long, b long")
+    open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
+    small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep")
+    pairs = two.unionAll(_carrying(small, judged).mapInArrow(_edges(_Group.pairs), "a long, b long")).distinct()
+    crowded = _scratch(open_rows.where(f"m > {SMALL}").select("region", "tree", "rep"), "crowded", tables)
+    links = confirmed(_scratch(pairs, "pairs", tables), docs, tables)
+    if crowded.isEmpty():
+        return components(_stars_of(comps).unionAll(links))
+    deeper = _compared(_scratch(_leaves(crowded, judged), "leaves", tables), judged, docs, tables)
+    comps = components(_stars_of(comps).unionAll(links).unionAll(deeper))
+    tables.append(comps)
+    judged = _judged(judged, comps, tables)
+    still = _open(crowded.join(judged.select("rep", "comp"), "rep")).select("region")
+    tiles = _scratch(_tiled(crowded.join(still, "region", "left_semi"), judged), "tiles", tables)
+    return components(_stars_of(comps).unionAll(_compared(tiles, judged, docs, tables)))
+
+
+def _stars_of(comps: DataFrame) -> DataFrame:
+    return comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _linked(docs: DataFrame, tables: list) -> tuple[DataFrame, DataFrame, DataFrame, _Nodes]:
+    """(rows with node, classes by print, components of nodes, names) of documents (doc_id, text); all written."""
+    signed = _scratch(signatures(docs), "signed", tables)
+    nodes = _Nodes(signed, tables)
+    signed = nodes.named(signed)
+    docs = nodes.named(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("body"), "text"))
+    usable = signed.where("print is not null and node is not null")
+    classes = _scratch(usable.groupBy("print").agg(F.min("node").alias("rep")), "classes", tables)
+    reps = usable.join(classes, "print").where("node = rep").dropDuplicates(["rep"]).select("rep", "sig", F.col("n_shingles").alias("n"))
+    reps = _scratch(reps, "reps", tables)
     pairs = _scratch(_deep_neighbours(reps), "pairs", tables)
-    links = _scratch(confirmed(pairs, docs, tables), "links", tables)
-    comps = components(links)
-    more, links2 = _open_regions(reps, comps, docs, tables)
-    links2 = confirmed(_scratch(more, "pairs", tables), docs, tables).unionAll(links2)
-    stars = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    final = components(stars.unionAll(links2).unionAll(_shared_ids(same_id, usable)))
-    for t in tables:  # the components are written: nothing reads these again
+    comps = components(_scratch(confirmed(pairs, docs, tables), "links", tables))
+    tables.append(comps)
+    return signed, classes, _open_regions(reps, comps, docs, tables), nodes
+
+
+def _done(out: DataFrame, name: str, tables: list) -> DataFrame:
+    """``out`` written, the tables behind it deleted."""
+    out = written(out, name)
+    for t in tables:
         forget(t)
-    named = signed.join(classes, "print", "left").withColumn("node", F.coalesce("rep", "doc_id"))
-    out = named.join(final, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), "doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return out
 
 
-def _shared_ids(same_id: DataFrame, usable: DataFrame) -> DataFrame:
-    """Links (doc_id, rep) for those doc_ids that stand for several sets."""
-    several = usable.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("a"))
-    return same_id.join(several, "a", "left_semi")
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row for each input row."""
+    tables: list[DataFrame] = []
+    signed, classes, comps, nodes = _linked(docs.select("doc_id", "text"), tables)
+    tables.append(comps)
+    named = signed.join(classes, "print", "left").withColumn("node", F.coalesce("rep", "node"))
+    if nodes.some:  # rows that share a doc_id are one node: link them, then name each component by its least doc_id
+        shared = named.join(_near(nodes.several, nodes.few), F.col("doc_id") == F.col("several")).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+        comps = components(_stars_of(comps).unionAll(shared))
+        tables.append(comps)
+        least = named.where("doc_id is not null").join(comps, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+        comps = comps.join(least, "component").select("node", F.col("least").alias("component"))
+    out = named.join(comps, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), "doc_id"))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return _done(out, "groups", tables)
 
 
 def without_near_duplicates(docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:
-    """One document of each group of near duplicates, the one of smallest doc_id, all columns as they are; one row of each repeated doc_id."""
-    found = written(near_duplicates(docs), "groups")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    few = gone.count() <= broadcast_ids
-    out = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-    if not found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out
+    """One document of each group of near duplicates, the one of smallest doc_id, all columns as they are; one of rows with the same doc_id and text."""
+    tables: list[DataFrame] = []
+    signed, classes, comps, _ = _linked(docs.select("doc_id", "text"), tables)
+    tables.append(comps)
+    rows = signed.where("doc_id is not null").join(classes, "print", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+    rows = rows.select("doc_id", "body", F.coalesce("component", "rep").alias("component"))
+    best = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("best"))
+    gone = rows.join(best, "component").where(F.struct("doc_id", "body") != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct()
+    gone = _scratch(gone, "gone", tables)
+    again = _scratch(signed.where("doc_id is not null").groupBy("doc_id", "body").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("again_id"), F.col("body").alias("again_body")), "again", tables)
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    at = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    key, body = F.col(at["doc_id"]), F.xxhash64(at["text"])
+    n = gone.count()
+    kept = plain.join(_near(gone, n <= broadcast_ids), (key == F.col("gone_id")) & (body == F.col("gone_body")), "left_anti")
+    n = again.count()
+    if n:
+        again, same = _near(again, n <= broadcast_ids), (key == F.col("again_id")) & (body == F.col("again_body"))
+        row = F.struct(*plain.columns)
+        once = kept.join(again, same, "left_semi").groupBy(key.alias("k"), body.alias("b")).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+        kept = kept.join(again, same, "left_anti").unionAll(once)
+    return kept.toDF(*docs.columns)
 
 
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,11 +69,31 @@ def test_against_brute_force(docs_of):
 
 
 def test_crowded_regions(docs_of, monkeypatch):
-    """Small limits send regions through the tiles."""
+    """Small limits send regions through leaves and tiles."""
     monkeypatch.setattr(neardup, "SMALL", 3)
     monkeypatch.setattr(neardup, "TILE", 8)
-    rows = rows_of(3, 4, 40)
-    assert got(docs_of(rows)) == brute(rows)
+    for depths in ((6, 9, 12), (4,)):
+        monkeypatch.setattr(neardup, "LEAVES", depths)
+        rows = rows_of(3, 4, 40)
+        assert got(docs_of(rows)) == brute(rows)
+
+
+def test_leaves_have_a_depth_of_their_own(spark, monkeypatch):
+    """Parts of a crowded region end where they are small, each at its own depth; what stays crowded at the last one is in none."""
+    monkeypatch.setattr(neardup, "SMALL", 3)
+    head, rows, rep = [1, 2, 3], [], 0
+    for third, sizes in ((10, [2]), (20, [2, 2]), (30, [4])):  # small at depth 6; at depth 9; too large at 12 as well
+        for k, n in enumerate(sizes):
+            for _ in range(n):
+                sig = head + [third] * 3 + [k] * 3 + list(range(7, 94))
+                rows.append((rep, 5, bytearray(b"".join(x.to_bytes(4, "big") for x in sig))))
+                rep += 1
+    reps = spark.createDataFrame(rows, "rep long, n int, sig binary")
+    crowded = reps.selectExpr("99L as region", "0 as tree", "rep")
+    leaves = {}
+    for r in neardup._leaves(crowded, reps).collect():
+        leaves.setdefault(r.region, set()).add(r.rep)
+    assert sorted(map(sorted, leaves.values())) == [[0, 1], [2, 3], [4, 5]]
 
 
 def test_hashes_are_the_set():
@@ -85,7 +105,7 @@ def test_hashes_are_the_set():
 
 
 def test_one_of_each_group_stays(docs_of):
-    rows = rows_of(4, 20, 4) + EDGE
+    rows = rows_of(4, 20, 4) + [r for r in EDGE if r[0] != 3]  # 3 would stand for two texts
     docs = docs_of(rows)
     kept = neardup.without_near_duplicates(docs)
     assert kept.columns == docs.columns
@@ -94,5 +114,25 @@ def test_one_of_each_group_stays(docs_of):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_rows_of_one_id_with_other_texts_stay(docs_of):
+    """Only rows whose text really is a copy go, however many texts a doc_id stands for; results do not depend on the other rows."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(200)]
+    text = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(4)]
+    rows = [(1, text[0]), (1, text[1]), (1, text[1]), (2, text[1]), (2, text[2] + " x"), (3, text[2]), (4, text[3]), (-5, text[0] + " y"), (6, None), (6, None), (6, ""), (None, text[0])]
+    kept = neardup.without_near_duplicates(docs_of(rows)).collect()
+    want = [(-5, text[0] + " y"), (1, text[1]), (2, text[2] + " x"), (4, text[3]), (6, None), (6, ""), (None, text[0])]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted(want, key=str)
+    assert got(docs_of(rows)) == brute(rows)
+
+
+def test_clashing_names(docs_of):
+    docs = docs_of([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")])
+    for name in ("_gone", "gone_id", "_0", "again_id", "body", "node", "rep"):
+        renamed = docs.withColumnRenamed("lang", name)
+        kept = neardup.without_near_duplicates(renamed)
+        assert kept.columns == renamed.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
 def test_empty(docs_of):
     assert neardup.near_duplicates(docs_of([])).collect() == []
