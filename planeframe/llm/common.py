@@ -12,14 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new local folder that is then set for the session."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder in spark.checkpoint.dir, whole with its file system, so that Spark and pyarrow mean the same place.
+
+    A cluster must name one. Where it is unset and Spark runs in this process alone (local mode, as in tests), a new local folder is set for the session."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="planeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(found)
+    where = spark._jvm.org.apache.hadoop.fs.Path(found)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().replace("file:/", "file:///", 1).replace("file:////", "file:///", 1).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -46,6 +52,14 @@ def forget(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def done(out: DataFrame, name: str, tables: list[DataFrame]) -> DataFrame:
+    """``out`` written, the intermediate tables behind it deleted."""
+    out = written(out, name)
+    for t in tables:
+        forget(t)
+    return out
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what one Arrow batch of long texts takes: at most ``rows`` rows and 16 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

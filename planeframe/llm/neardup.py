@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, forget, small_batches, table, utf8, written
+from .common import batches, done, small_batches, table, utf8, written
 from .components import components
 
 WORDS = 5
@@ -423,14 +423,6 @@ def _linked(docs: DataFrame, tables: list) -> tuple[DataFrame, DataFrame, DataFr
     return signed, classes, _open_regions(reps, comps, docs, tables), nodes
 
 
-def _done(out: DataFrame, name: str, tables: list) -> DataFrame:
-    """``out`` written, the tables behind it deleted."""
-    out = written(out, name)
-    for t in tables:
-        forget(t)
-    return out
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) -> (doc_id, n_shingles, component_id, kept), one row for each input row."""
     tables: list[DataFrame] = []
@@ -445,7 +437,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         comps = comps.join(least, "component").select("node", F.col("least").alias("component"))
     out = named.join(comps, "node", "left").withColumn("component_id", F.least(F.coalesce("component", "node"), "doc_id"))
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-    return _done(out, "groups", tables)
+    return done(out, "groups", tables)
 
 
 def without_near_duplicates(docs: DataFrame, broadcast_ids: int = 500_000) -> DataFrame:

@@ -50,6 +50,12 @@ def test_hot_vector(spark):
     assert got[3] == (500, 0) and got[1000] == (500, 0)
 
 
+def test_labels_of_text(spark):
+    long = "a label of more than sixty-four bytes, which no key of a hash function would hold "
+    rows = spark.createDataFrame([(1, [1.0, 0.0], long), (2, [1.0, 0.01], long), (3, [1.0, 0.0], "b"), (4, [1.0, 0.0], "")], "vec_id long, embedding array<float>, label string")
+    assert {r.vec_id: r.component_id for r in embedding_links(rows).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def test_empty(spark):
     assert embedding_links(table(spark, [])).collect() == []
 
