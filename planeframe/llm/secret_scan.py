@@ -7,10 +7,10 @@ A candidate is every run of MIN_LENGTH or more non-blank characters, or what bas
 reads WIDTH characters around it as classes, with a mark on the candidate's own places; one longer than INSIDE is read whole in windows
 of INSIDE characters, STEP apart, and has the highest probability of them. The network is one convolution, maxima inside and
 outside the candidate, one hidden layer. It is trained on labelled findings: the base findings of a bounded sample of documents, with their key words
-as they stand and with other random secrets put in their place, against the sample's own runs, words, identifiers, dates, numbers and addresses
+as they stand and with other random secrets put in their place, against the sample's own runs (some at random, more of those that a first network takes for findings), words, identifiers, dates, numbers and addresses
 in the contexts of the same sample. Short secrets, passwords with signs and those of letters or digits only are made after lead words alone,
-as nothing but the context tells them from words and numbers. The threshold is the highest that keeps RECALL of the held-out findings, after a
-temperature is fitted on them.
+as nothing but the context tells them from words and numbers. Every fifth document of the sample, with all that is made from it, is held out: the threshold is the
+highest that keeps RECALL of such findings with 95 % certainty, after a temperature is fitted on them. The bounds of the sample are the fields of ``Training``.
 
 Edge cases: null and empty texts have no spans; texts are read whole; repeated rows are scanned alike; without findings in the sample
 the network is trained on the made ones in plain contexts.
@@ -21,13 +21,14 @@ from __future__ import annotations
 import hashlib
 import re
 import string
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import done, forget, small_batches, table, written
 
 KINDS = ("assign", "access", "hex", "cnn")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -40,7 +41,23 @@ WIDTH = BEFORE + INSIDE + AFTER
 STEP = INSIDE // 2
 FILTERS, KERNEL, HIDDEN = 24, 5, 16
 RECALL, UNSEEN = 0.99, 0.5  # UNSEEN: the threshold where no finding was held out to set it by
-SAMPLE = 2000
+KEYED = r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}"
+HELD_OUT = 5  # every so many documents of the sample is held out of training
+
+
+@dataclass(frozen=True)
+class Training:
+    """What the network learns from: at most ``documents`` rows, half of them with a key word, lowest hash of doc_id first, of at most ``longest`` bytes each;
+    in each the ``findings`` first base findings, ``own`` runs and ``contexts`` places for made strings; of all that ``rows`` rows drawn at random; and ``hard`` runs, drawn from all that a first network finds in the sample's texts."""
+
+    documents: int = 2000
+    longest: int = 65_536
+    findings: int = 20
+    own: int = 4
+    contexts: int = 3
+    rows: int = 12_000
+    hard: int = 3_000
+    seed: int = 11
 
 _CLASSES = [string.digits, "abcdef", "ghijklm", "nopqrstuvwxyz", "ABCDEF", "GHIJKLMNOPQRSTUVWXYZ", "+/", "=", ":", "_-", ".,", "\"'", " ", "\n\t", "@#&?%"]
 N_CLASSES = len(_CLASSES) + 3
@@ -153,12 +170,13 @@ class Network:
                     self.p[k] = (self.p[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
 
     def calibrate(self, codes, mark, y) -> None:
-        """Temperature of least log loss on held-out rows, then the highest threshold with RECALL of their findings."""
+        """Temperature of least log loss on held-out rows, then the highest threshold that keeps RECALL of all such findings, as far as the held-out ones tell (95 % sure)."""
         logit = self.forward(codes, mark)[0]
         loss = lambda t: np.logaddexp(0, np.where(y > 0, -logit, logit) / t).mean()
         self.temperature = min(np.geomspace(0.25, 8, 41), key=loss)
         p = np.sort(self.probability(codes[y > 0], mark[y > 0]))
-        self.threshold = float(p[int(len(p) * (1 - RECALL))]) if len(p) else UNSEEN
+        missed = len(p) * (1 - RECALL) - 1.645 * (len(p) * (1 - RECALL) * RECALL) ** 0.5
+        self.threshold = float(p[max(0, int(missed))]) if len(p) else UNSEEN
 
     def sure(self, logit: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(logit / self.temperature, -30, 30)))
@@ -242,47 +260,71 @@ def _chained(rng: np.random.Generator, around: str) -> list[tuple]:
     return rows
 
 
-def training_rows(texts: list[str], rng: np.random.Generator, most: int = 12_000):
-    """Labelled findings of the sample: (codes, marks, labels)."""
-    rows, plain = [], []
-    for text in texts:
+def training_rows(texts: list[str], rng: np.random.Generator, how: Training = Training()):
+    """Labelled findings of the sample: (codes, marks, labels, number of the document)."""
+    rows, document, plain = [], [], []
+
+    def add(found: list[tuple], k: int) -> None:
+        rows.extend(found)
+        document.extend([k] * len(found))
+
+    for k, text in enumerate(texts):
         base = base_spans(text)
-        for kind, s, e in base[:20]:
+        for kind, s, e in base[: how.findings]:
             if kind == "assign":
                 s, e = ASSIGN.match(text, s).span(2)
             if e - s >= MIN_LENGTH:
-                rows += _labelled(text, s, e, True)
+                add(_labelled(text, s, e, True), k)
             head, tail = text[max(0, s - BEFORE) : s], text[e : e + AFTER]
             for secret in (True, False):
                 made = _made(rng, secret)
-                rows += _labelled(head + made + tail, len(head), len(head) + len(made), secret)
-        words = text[:100_000].split()
-        own = candidates(text[:100_000], base)
-        for k in rng.integers(0, len(own), 4) if own else ():
-            rows += _labelled(text, *own[k], False)
-        plain += [" ".join(words[k : k + 3]) for k in rng.integers(0, max(1, len(words) - 3), 3)] if len(words) > 6 else []
-    for around in plain or ["a b c"]:
+                add(_labelled(head + made + tail, len(head), len(head) + len(made), secret), k)
+        words, own = text.split(), candidates(text, base)
+        for c in rng.integers(0, len(own), how.own) if own else ():
+            add(_labelled(text, *own[c], False), k)
+        if len(words) > 6:
+            plain += [(k, " ".join(words[c : c + 3])) for c in rng.integers(0, max(1, len(words) - 3), how.contexts)]
+    if not plain:  # nothing to learn contexts from: three random words each
+        word = lambda: "".join(rng.choice(list(_LOWER), int(rng.integers(2, 9))))
+        plain = [(len(texts) + c, f"{word()} {word()} {word()}") for c in range(600)]
+    for k, around in plain:
         made, at = _made(rng, False), len(around) + 1
-        rows += _labelled(f"{around} {made} {around}", at, at + len(made), False)
+        add(_labelled(f"{around} {made} {around}", at, at + len(made), False), k)
         made, lead = _made(rng, True), _LEADS[rng.integers(0, 5)]
-        rows += _labelled(f"{around} {lead}{made} {around}", at + len(lead), at + len(lead) + len(made), True)
+        add(_labelled(f"{around} {lead}{made} {around}", at + len(lead), at + len(lead) + len(made), True), k)
         weak, lead = _weak(rng), _LEADS[rng.integers(1, 5)]
-        rows += _labelled(f"{around} {lead}{weak} {around}", at + len(lead), at + len(lead) + len(weak), True)
+        add(_labelled(f"{around} {lead}{weak} {around}", at + len(lead), at + len(lead) + len(weak), True), k)
         if lead[-1] != " ":  # as candidates have it: one run from the lead on
-            rows += _labelled(f"{around} {lead}{weak} {around}", at, at + len(lead) + len(weak), True)
-        rows += _chained(rng, around)
-    at = rng.permutation(len(rows))[:most]
-    return tuple(np.array([rows[k][c] for k in at]) for c in range(3))
-
-
-def trained(texts: list[str], seed: int = 11) -> Network:
-    rng = np.random.default_rng(seed)
-    codes, mark, y = training_rows(texts, rng)
-    y = y.astype(np.float32)
-    cut = max(1, len(y) * 4 // 5)
-    network = Network(rng)
-    network.train(codes[:cut], mark[:cut], y[:cut], rng)
-    network.calibrate(codes[cut:], mark[cut:], y[cut:])
+            add(_labelled(f"{around} {lead}{weak} {around}", at, at + len(lead) + len(weak), True), k)
+        add(_chained(rng, around), k)
+    at = rng.permutation(len(rows))[: how.rows]
+    return (*(np.array([rows[r][c] for r in at]) for c in range(3)), np.array(document)[at])
+
+
+def _hard(texts: list[str], network: Network, rng: np.random.Generator, n: int) -> list[tuple]:
+    """Runs outside the base spans that the network takes for findings, as other strings: n of them."""
+    found = []
+    for at in range(0, len(texts), 250):
+        for text, (_, spans) in zip(texts[at : at + 250], all_spans(texts[at : at + 250], network)):
+            found += [(text, s, e) for kind, s, e in spans if kind == "cnn"]
+    return [row for k in rng.permutation(len(found))[:n] for row in _labelled(*found[k], False)]
+
+
+def trained(texts: list[str], how: Training = Training()) -> Network:
+    """The network, its temperature and threshold set by documents that it has not seen."""
+    rng = np.random.default_rng(how.seed)
+    codes, mark, y, document = training_rows(texts, rng, how)
+    y, held = y.astype(np.float32), document % HELD_OUT == HELD_OUT - 1
+    seen = [t for k, t in enumerate(texts) if k % HELD_OUT != HELD_OUT - 1]
+    learn = codes[~held], mark[~held], y[~held]
+    for last in (False, True):
+        network = Network(np.random.default_rng(how.seed))
+        network.train(*learn, rng)
+        network.calibrate(codes[held], mark[held], y[held])
+        more = [] if last else _hard(seen, network, rng, how.hard)
+        if not more:
+            break
+        learn = tuple(np.concatenate([x, np.array([row[c] for row in more], x.dtype)]) for c, x in enumerate(learn))
     return network
 
 
@@ -341,20 +383,26 @@ def _scan(network):
     return run
 
 
-def secrets(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Documents (doc_id, text) -> (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row for each input row.
-
-    The network is trained on at most ``sample`` documents, half of them with a key word, lowest hash of doc_id first."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    keyed = F.col("text").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{16}")
-    marked = docs.where("text is not null and doc_id is not null").select("doc_id", keyed.alias("keyed"), F.xxhash64("doc_id").alias("h"))
+def sampled(docs: DataFrame, how: Training = Training()) -> list[str]:
+    """The texts of the sample; each text is searched for key words once, ids travel without texts."""
+    marked = docs.where("text is not null and doc_id is not null").where(F.octet_length("text") <= how.longest)
+    marked = written(marked.select("doc_id", F.col("text").rlike(KEYED).alias("keyed"), F.xxhash64("doc_id").alias("h")), "keyed")
     ids = None
     for flag in (True, False):
-        part = marked.where(F.col("keyed") == flag).orderBy("h", "doc_id").limit(sample // 2).select("doc_id")
+        part = marked.where(F.col("keyed") == flag).orderBy("h", "doc_id").limit(how.documents // 2).select("doc_id")
         ids = part if ids is None else ids.unionAll(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.distinct()), "doc_id").collect()
-    network = trained([r.text or "" for r in sorted(rows, key=lambda r: (r.doc_id, r.text or ""))])
+    ids = done(ids.distinct(), "ids", [marked])
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= how.longest).join(F.broadcast(ids), "doc_id")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(how.documents).collect()  # an id may stand for many rows
+    forget(ids)
+    return [r.text for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+
+
+def secrets(docs: DataFrame, how: Training = Training()) -> DataFrame:
+    """Documents (doc_id, text) -> (doc_id, n_assign, n_access, n_hex, base_sha256, spans), one row for each input row."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    network = trained(sampled(docs, how), how)
     return docs.select("doc_id", "text").mapInArrow(_scan(spark.sparkContext.broadcast(network)), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
