@@ -10,6 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workspace
 from .model import PlaneFrameError, Settings
 from .operators import admission
 from .operators.schema import frames as as_frames
@@ -23,33 +24,38 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
-#: Up to so many admitted frames their metadata is broadcast to the payloads, which then stay where they are.
-BROADCAST_FRAMES = 200_000
-
-
-def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: int | None = None) -> tuple[DataFrame, DataFrame]:
+def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: int | None = None, start: dict[int, int] | None = None, written_before: int = 0, tables: list | None = None) -> tuple[DataFrame, DataFrame]:
     """(planes to write, rejected frames) of an input; planes of OME formats are admitted, filled and numbered.
 
-    Windows see the frames without their payloads, cut into ranges of ``seq`` (or ``bucket``); accepted frames then meet their payload once. ``seq`` must
-    be unique within a position.
+    The input is evaluated twice: once without payloads, whose validated rows are written to the shared folder in ranges of ``seq``, and once for the payloads, which
+    accepted frames then meet in one join. Windows see the written rows only, range by range (or by ``bucket``). ``seq`` must be unique within a position, for plain TIFF and binary files
+    in the whole input. ``start`` and ``written_before`` are what earlier batches of a stream left; ``tables`` gets the written tables,
+    which the caller may forget when both results have been used.
     """
+    tables = [] if tables is None else tables
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(workspace.written(df, name))
+        return tables[-1]
+
     rows = as_frames(df)
-    if s.format in ("binary", "tiff"):
-        checked = admission.validated(rows, s, coordinates=s.format == "tiff")
-        good = checked.where("reason is null").drop("reason").withColumns({"is_fill": F.lit(False), "output_index": F.col("seq"), "plane_index": F.col("seq")})
-        return good, checked.where("reason is not null").drop("bytes")
-    checked = admission.validated(rows, s).drop("bytes")
-    if not checked.groupBy("position_index", "seq").agg(F.count("*").alias("k")).where("k > 1").isEmpty():
-        raise PlaneFrameError("seq repeats within a position, so frames have no order")
-    bucket = admission.order_buckets(checked) if bucket is None else bucket
-    judged = admission.admitted(checked.where("reason is null").drop("reason"), s, bucket=bucket)
-    rejected = checked.where("reason is not null").unionByName(judged.where("not accepted").select(*checked.columns))
-    accepted = admission.output_index(judged.where("accepted").drop("reason", "accepted"), bucket=bucket)
-    few = accepted.count() <= BROADCAST_FRAMES
+    plain = s.format in ("binary", "tiff")
+    checked = admission.validated(rows, s, coordinates=s.format != "binary").drop("bytes")
+    checked = kept(admission.ordered(checked), "checked")
+    key = ["seq"] if plain else ["position_index", "seq"]
+    if not checked.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
+        raise PlaneFrameError("seq repeats, so frames have no order" if plain else "seq repeats within a position, so frames have no order")
+    bucket = F.col("order_bucket") if bucket is None else bucket
     payload = rows.select("position_index", "seq", "bytes")
-    real = payload.join(F.broadcast(accepted) if few else accepted, ["position_index", "seq"]).withColumn("is_fill", F.lit(False))
+    if plain:
+        good = admission.output_index(checked.where("reason is null").drop("reason"), bucket=bucket)
+        good = good.withColumns({"is_fill": F.lit(False), "output_index": F.col("output_index") + written_before, "plane_index": F.col("seq")})
+        return payload.join(good.drop("order_bucket"), ["position_index", "seq"]), checked.where("reason is not null").drop("order_bucket")
+    accepted, rejected = admission.judged(checked, s, bucket=bucket, start=start)
+    accepted = kept(admission.output_index(accepted, bucket=bucket).withColumn("output_index", F.col("output_index") + written_before).drop("order_bucket"), "accepted")
+    real = payload.join(accepted, ["position_index", "seq"]).withColumn("is_fill", F.lit(False))
     gaps = admission.fills(accepted, s, max_gap).withColumn("is_fill", F.lit(True))
-    return real.unionByName(gaps, allowMissingColumns=True), rejected
+    return real.unionByName(gaps, allowMissingColumns=True), rejected.drop("order_bucket")
 
 
 def write(df: DataFrame, settings: Settings, strict: bool = True, bucket: Column | None = None, max_gap: int | None = None) -> DataFrame:
@@ -60,23 +66,23 @@ def write(df: DataFrame, settings: Settings, strict: bool = True, bucket: Column
     """
     s = settings.opened()
     register(df.sparkSession)
-    planes, rejected = planned(df, s, bucket, max_gap)
-    if strict:
-        bad = rejected.select("position_index", "seq", "reason").orderBy("seq").first()
-        if bad:
-            raise PlaneFrameError(f"frame {bad.seq} of position {bad.position_index}: {bad.reason}")
-    writers.prepare(s)
-    columns = ["position_index", "plane_index", "output_index", "t", "c", "z", "is_fill", "camera_id", "frame_index", "timestamp_ns", "stride", "source_roi", "exposure_ms", "stage", "metadata", "bytes"]
-    planes = planes.select(*columns)
-    if s.format == "ome-tiff":
-        planes = planes.repartition("position_index").sortWithinPartitions("position_index", "plane_index")
-    elif s.format in ("tiff", "binary"):
-        planes = planes.repartition(1).sortWithinPartitions("plane_index")
-    planes = planes.withColumns({"camera_id": F.coalesce("camera_id", F.lit("")), "frame_index": F.coalesce("frame_index", F.lit(0).cast("decimal(20,0)")), "timestamp_ns": F.coalesce("timestamp_ns", F.lit(0).cast("decimal(20,0)")), "exposure_ms": F.coalesce("exposure_ms", F.lit(0.0))})
-    planes.write.format("planeframe").option("settings", s.to_json()).mode("append").save()
-    if s.format == "ome-zarr":
-        writers.write_lines(planes.where("not is_fill").drop("bytes"), s)
-    return rejected
+    tables: list[DataFrame] = []
+    try:
+        planes, rejected = planned(df, s, bucket, max_gap, tables=tables)
+        if strict:
+            bad = rejected.select("position_index", "seq", "reason").orderBy("seq").first()
+            if bad:
+                raise PlaneFrameError(f"frame {bad.seq} of position {bad.position_index}: {bad.reason}")
+        writers.prepare(s)
+        columns = ["position_index", "plane_index", "output_index", "t", "c", "z", "is_fill", "camera_id", "frame_index", "timestamp_ns", "stride", "source_roi", "exposure_ms", "stage", "metadata", "bytes"]
+        planes = planes.select(*columns)
+        writers.together(writers.with_defaults(planes), s).write.format("planeframe").option("settings", s.to_json()).mode("append").save()
+        if s.format == "ome-zarr":
+            writers.write_lines(writers.with_defaults(planes.where("not is_fill").drop("bytes")), s)
+        return workspace.written(rejected, "rejected")
+    finally:
+        for t in tables:
+            workspace.forget(t)
 
 
 def scan(spark: SparkSession, path: str, kind: str, index: str = "", pixels: bool = True, vendor: str = "planeframe") -> DataFrame:

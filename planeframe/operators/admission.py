@@ -89,8 +89,10 @@ def admitted(df: DataFrame, s: Settings, order: tuple[str, ...] = ("seq",), buck
     next plane index of positions that have planes already, as a stream's earlier batches leave it.
     """
     floor = F.lit(0).cast("long")
-    for position, n in (start or {}).items():
-        floor = F.when(F.col("position_index") == position, F.lit(n).cast("long")).otherwise(floor)
+    if start:  # one row a position, so a join and not a branch for each of them
+        state = df.sparkSession.createDataFrame(list(start.items()), "_position int, _floor long")
+        df = df.join(state, F.col("position_index") == F.col("_position"), "left").drop("_position")
+        floor = F.coalesce("_floor", F.lit(0).cast("long"))
     auto = F.col("t").isNull()
     one = F.when(auto, F.lit(1).cast("long")).otherwise(0)
     df = df.withColumn("_plane", F.when(~auto, plane_index(s, F.col("t"), F.col("c"), F.col("z"))))
@@ -121,16 +123,13 @@ def admitted(df: DataFrame, s: Settings, order: tuple[str, ...] = ("seq",), buck
     at = plane_coordinates(s, F.col("plane_index"))
     take = auto & F.col("accepted")
     df = df.withColumns({k: F.when(take, v).otherwise(F.col(k)) for k, v in at.items()})
-    return df.drop("_plane", "_a", "_m", "_a0", "_m0", "_bucket", "_start_a", "_start_m")
+    return df.drop("_plane", "_a", "_m", "_a0", "_m0", "_bucket", "_start_a", "_start_m", "_floor")
 
 
-def order_buckets(df: DataFrame, column: str = "seq", rows: int = 100_000) -> Column | None:
-    """Ranges of an integer order column of about ``rows`` rows each if it is spread evenly; None where one range is enough."""
-    low, high, n = df.agg(F.min(column), F.max(column), F.count("*")).first()
-    if not n or n <= rows:
-        return None
-    width = max(1, (high - low + 1) * rows // n)
-    return F.call_function("div", F.col(column) - F.lit(low), F.lit(width).cast("long"))
+def ordered(df: DataFrame, column: str = "seq", name: str = "order_bucket") -> DataFrame:
+    """Adds ranges of an order column of about equally many rows each, however its values are spread. They hold for one evaluation: write the result."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionByRange(n, column).withColumn(name, F.spark_partition_id())
 
 
 def fills(accepted: DataFrame, s: Settings, max_gap: int | None = None) -> DataFrame:
@@ -152,10 +151,14 @@ def filled(accepted: DataFrame, s: Settings, max_gap: int | None = None) -> Data
 
 def split(df: DataFrame, s: Settings, order: tuple[str, ...] = ("seq",), bucket: Column | None = None, start: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """Frames -> (accepted, rejected with reason): validation first, then admission of what is valid."""
-    checked = validated(df, s)
-    judged = admitted(checked.where("reason is null").drop("reason"), s, order, bucket, start)
-    rejected = checked.where("reason is not null").unionByName(judged.where("not accepted").select(*df.columns, "reason"))
-    return judged.where("accepted").drop("reason", "accepted"), rejected
+    return judged(validated(df, s), s, order, bucket, start)
+
+
+def judged(checked: DataFrame, s: Settings, order: tuple[str, ...] = ("seq",), bucket: Column | None = None, start: dict[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Validated frames -> (accepted, rejected with reason)."""
+    found = admitted(checked.where("reason is null").drop("reason"), s, order, bucket, start)
+    rejected = checked.where("reason is not null").unionByName(found.where("not accepted").select(*checked.columns))
+    return found.where("accepted").drop("reason", "accepted"), rejected
 
 
 def output_index(accepted: DataFrame, order: tuple[str, ...] = ("seq",), bucket: Column | None = None) -> DataFrame:
@@ -165,7 +168,7 @@ def output_index(accepted: DataFrame, order: tuple[str, ...] = ("seq",), bucket:
     df = accepted.withColumn("_bucket", bucket)
     counts = df.groupBy("_bucket").agg(F.count("*").alias("_n"))
     counts = counts.select("_bucket", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    df = df.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1).join(F.broadcast(counts), "_bucket")
+    df = df.withColumn("_k", F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1).join(counts, "_bucket")
     return df.withColumn("output_index", F.col("_before") + F.col("_k")).drop("_bucket", "_before", "_k")
 
 

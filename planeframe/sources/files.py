@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import shutil
 import uuid
@@ -71,12 +72,17 @@ def replace(source: str, target: str) -> None:
 def write(path: str, raw: bytes) -> None:
     """Writes a temporary file beside ``path``, flushes it to disk and moves it there: readers see the old or the new file whole."""
     hidden = temporary(path)
-    with stream(hidden) as f:
-        f.write(raw)
-        f.flush()
-        if is_local(path):
-            os.fsync(f.fileno())
-    replace(hidden, path)
+    try:
+        with stream(hidden) as f:
+            f.write(raw)
+            f.flush()
+            if is_local(path):
+                os.fsync(f.fileno())
+        replace(hidden, path)
+    except BaseException:
+        with contextlib.suppress(OSError):
+            remove(hidden)
+        raise
 
 
 def remove(path: str) -> None:
@@ -96,3 +102,11 @@ def walk(path: str) -> list[str]:
     prefix = path[: len(path) - len(name)]
     found = fs.get_file_info(pafs.FileSelector(name, recursive=True, allow_not_found=True))
     return sorted(prefix + i.path for i in found if i.type == pafs.FileType.File and not i.base_name.startswith("."))
+
+
+def folders(path: str) -> list[str]:
+    """Names of the folders in a folder, in order."""
+    if is_local(path):
+        return sorted(e.name for e in os.scandir(local(path)) if e.is_dir())
+    fs, name = _fs(path)
+    return sorted(i.base_name for i in fs.get_file_info(pafs.FileSelector(name)) if i.type == pafs.FileType.Directory)

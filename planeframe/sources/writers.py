@@ -12,7 +12,8 @@ import os
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..functions.text import csv_field
@@ -85,6 +86,41 @@ def write_zarr_metadata(s: Settings, reach: dict[int, int]) -> None:
         files.write(f"{zarr_group(s, k)}/0/zarr.json", zarr_meta.array_document(s, reach.get(k, 0)))
 
 
+def with_defaults(planes: DataFrame) -> DataFrame:
+    """Planes with what a zero-filled one does not say."""
+    zero = F.lit(0).cast("decimal(20,0)")
+    return planes.withColumns({"camera_id": F.coalesce("camera_id", F.lit("")), "frame_index": F.coalesce("frame_index", zero), "timestamp_ns": F.coalesce("timestamp_ns", zero), "exposure_ms": F.coalesce("exposure_ms", F.lit(0.0))})
+
+
+def together(planes: DataFrame, s: Settings) -> DataFrame:
+    """Planes as a task must hold them: those of a TIFF or binary file in page order, those of a Zarr array as they are."""
+    if s.format == "ome-tiff":
+        return planes.repartition("position_index").sortWithinPartitions("position_index", "plane_index")
+    return planes if s.format == "ome-zarr" else planes.repartition(1).sortWithinPartitions("output_index")
+
+
+def join_lines(spark: SparkSession, s: Settings, folder: str) -> None:
+    """The frame lines of each position from the files of its batches, ``folder``/position/batch.jsonl, copied in batch order by a task for each position."""
+    text = s.to_json()
+
+    def copy(it):
+        settings = Settings.from_json(text)
+        for batch in it:
+            for k in batch.column(0).to_pylist():
+                target = f"{zarr_group(settings, k)}/{zarr_meta.frames_name(settings)}"
+                hidden = files.temporary(target)
+                with files.stream(hidden) as out:
+                    for path in files.walk(f"{folder}/{k}"):
+                        with files.opened(path) as f:
+                            while piece := f.read(1 << 20):
+                                out.write(piece)
+                files.replace(hidden, target)
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["id"])
+
+    n = min(s.position_count, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.range(0, s.position_count, 1, n).mapInArrow(copy, "id long").count()
+
+
 def write_lines(frames: DataFrame, s: Settings, path=None) -> None:
     """The frame lines of each position, in output order, one file and one task for each: ``path(position)`` or beside the position's group.
 
@@ -122,6 +158,8 @@ def write_lines(frames: DataFrame, s: Settings, path=None) -> None:
 class PlaneWriter(DataSourceArrowWriter):
     def __init__(self, settings: str):
         self.settings = settings
+        # what is there before the first task starts is no work of this job: an earlier batch, or the file that a flush replaces
+        self.grown = any(map(files.exists, targets(Settings.from_json(settings))))
 
     # tasks --------------------------------------------------------------------
     def write(self, iterator):
@@ -139,6 +177,18 @@ class PlaneWriter(DataSourceArrowWriter):
             planes[position] = max(planes.get(position, 0), row["t"] + 1)
         return Written([], planes)
 
+    @staticmethod
+    def _guarded(rows, hidden):
+        """The rows; if they or what is done with them fail, unfinished files go."""
+        done = False
+        try:
+            yield from rows
+            done = True
+        finally:
+            if not done:
+                for path in filter(None, hidden()):
+                    files.remove(path)
+
     def _pages(self, s: Settings, rows) -> Written:
         made, planes = [], {}
         writer = out = path = hidden = None
@@ -151,7 +201,7 @@ class PlaneWriter(DataSourceArrowWriter):
                 made.append(path)
 
         current = None
-        for row in rows:
+        for row in self._guarded(rows, lambda: [hidden]):
             position = 0 if s.format == "tiff" else row["position_index"]
             if position != current:
                 close()
@@ -175,7 +225,7 @@ class PlaneWriter(DataSourceArrowWriter):
     def _binary(self, s: Settings, rows) -> Written:
         raw = index = None
         hidden = [files.temporary(p) for p in (s.output_path, s.frame_metadata_path)]
-        for row in rows:
+        for row in self._guarded(rows, lambda: hidden):
             if raw is None:
                 raw, index = map(files.stream, hidden)
                 index.write((INDEX_HEADER + "\n").encode())
@@ -209,8 +259,11 @@ class PlaneWriter(DataSourceArrowWriter):
                 patch_description(files.local(path), ome_xml(s, series, uuids[k]).encode())
 
     def abort(self, messages) -> None:
-        for path in targets(Settings.from_json(self.settings)):
-            files.remove(path)
+        """A job that began the output removes it. One that added to it leaves it: files move into place whole, shards beyond the array document's
+        shape are not read, and the job that comes again replaces them."""
+        if not self.grown:
+            for path in targets(Settings.from_json(self.settings)):
+                files.remove(path)
 
 
 class PlaneSource(DataSource):

@@ -1,5 +1,6 @@
 from dataclasses import replace
 
+import pytest
 from pyspark.sql import functions as F
 
 from planeframe import dataset
@@ -44,3 +45,62 @@ def test_batches_equal_the_whole(spark, tmp_path):
                 assert files.read(f"{where[0]}/{p}/0/zarr.json") == files.read(f"{where[1]}/{p}/0/zarr.json")
         rejected = spark.read.parquet(f"{tmp_path}/stage-{kind}/rejected/*").select("seq").where(F.col("seq") >= 0).collect()
         assert sorted(r.seq for r in rejected) == [3, 6]
+
+
+def test_plain_files_grow(spark, tmp_path):
+    """TIFF and binary files hold the frames of all batches, by batch and then by seq, after each flush."""
+    rows = [(0, k, None, k + 1) for k in (3, 1, 2, 0, 9, 8, 5)]
+    for kind in ("tiff", "binary"):
+        path = str(tmp_path / f"run.{kind}")
+        s = Settings(width=2, height=2, pixel_type="uint8", output_path=path, format=kind, frame_metadata_path=f"{path}.csv" if kind == "binary" else "")
+        a = FrameAppender(s, str(tmp_path / f"stage-{kind}"))
+        read = lambda: [bytes(r.bytes)[0] for r in dataset.scan(spark, path, kind, s.frame_metadata_path).orderBy("frame_number").collect()]  # noqa: B023, E731
+        a.append(frames(spark, rows[:4]), 0)
+        a.flush(spark)
+        assert read() == [1, 2, 3, 4]
+        a.append(frames(spark, rows[4:]), 1)
+        a.append(frames(spark, rows[4:]), 1)
+        a.close(spark)
+        assert read() == [1, 2, 3, 4, 6, 9, 10]
+        assert FrameAppender(s, str(tmp_path / f"stage-{kind}")).state()["written"] == 7
+
+
+def broken(spark, rows):
+    """Frames whose last row fails while it is written."""
+    return frames(spark, rows).withColumn("bytes", F.when(F.col("seq") == rows[-1][1], F.raise_error(F.lit("the camera is gone"))).otherwise(F.col("bytes")))
+
+
+def test_a_failed_batch_spares_the_earlier_ones(spark, tmp_path, monkeypatch):
+    from planeframe.sources import writers
+
+    path = str(tmp_path / "run.zarr")
+    a = FrameAppender(replace(S, output_path=path, format="ome-zarr"), str(tmp_path / "stage"))
+    a.append(frames(spark, ROWS[:2]), 0)
+    before = pixels(spark, path, "ome-zarr")
+    assert before
+    with pytest.raises(Exception, match="camera"):
+        a.append(broken(spark, ROWS[2:4]), 1)
+    assert pixels(spark, path, "ome-zarr") == before
+    fine = writers.with_defaults
+    late = lambda planes: fine(planes).withColumn("bytes", F.when(F.col("seq") == 2, F.raise_error(F.lit("the disk is full"))).otherwise(F.col("bytes")))
+    monkeypatch.setattr(writers, "with_defaults", late)  # the writing job itself fails, and is aborted
+    with pytest.raises(Exception, match="disk"):
+        a.append(frames(spark, ROWS[2:4]), 1)
+    monkeypatch.setattr(writers, "with_defaults", fine)
+    assert pixels(spark, path, "ome-zarr") == before and a.state()["batch"] == 0
+    for k, cut in ((1, ROWS[2:4]), (2, ROWS[4:])):
+        a.append(frames(spark, cut), k)
+    a.close(spark)
+    dataset.write(frames(spark, ROWS), replace(S, output_path=str(tmp_path / "whole.zarr"), format="ome-zarr"), strict=False)
+    assert pixels(spark, path, "ome-zarr") == pixels(spark, str(tmp_path / "whole.zarr"), "ome-zarr")
+
+
+def test_a_failed_write_of_a_new_dataset_leaves_nothing(spark, tmp_path):
+    for kind, name in (("ome-zarr", "a.zarr"), ("tiff", "a.tiff"), ("ome-tiff", "a.ome.tiff")):
+        s = replace(S, output_path=str(tmp_path / kind / name), format=kind, position_count=1)
+        rows = [(0, k, None, k) for k in range(6)]
+        bad = frames(spark, rows).withColumn("bytes", F.when(F.col("seq") < 5, F.col("bytes")).otherwise(F.expr("if(octet_length(bytes) = 4, raise_error('gone'), bytes)")))
+        with pytest.raises(Exception, match="gone"):
+            dataset.write(bad, s)
+        left = [p for p in files.walk(str(tmp_path / kind))] if files.exists(str(tmp_path / kind)) else []
+        assert left == []
