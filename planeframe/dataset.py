@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from dataclasses import dataclass
@@ -19,9 +20,8 @@ from .sources.writers import PlaneSource
 
 
 def register(spark: SparkSession) -> None:
-    """Makes the format name known to a session and lets filters reach it."""
+    """Makes the format name known to a session."""
     spark.dataSource.register(PlaneSource)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: int | None = None, start: dict[int, int] | None = None, written_before: int = 0, tables: list | None = None) -> tuple[DataFrame, DataFrame]:
@@ -32,16 +32,12 @@ def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: i
     in the whole input. ``start`` and ``written_before`` are what earlier batches of a stream left; ``tables`` gets the written tables,
     which the caller may forget when both results have been used.
     """
-    tables = [] if tables is None else tables
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        tables.append(workspace.written(df, name))
-        return tables[-1]
-
     rows = as_frames(df)
     plain = s.format in ("binary", "tiff")
     checked = admission.validated(rows, s, coordinates=s.format != "binary").drop("bytes")
-    checked = kept(admission.ordered(checked), "checked")
+    checked = workspace.written(admission.ordered(checked), "checked")
+    if tables is not None:
+        tables.append(checked)
     key = ["seq"] if plain else ["position_index", "seq"]
     if not checked.groupBy(*key).agg(F.count("*").alias("k")).where("k > 1").isEmpty():
         raise PlaneFrameError("seq repeats, so frames have no order" if plain else "seq repeats within a position, so frames have no order")
@@ -52,7 +48,7 @@ def planned(df: DataFrame, s: Settings, bucket: Column | None = None, max_gap: i
         good = good.withColumns({"is_fill": F.lit(False), "output_index": F.col("output_index") + written_before, "plane_index": F.col("seq")})
         return payload.join(good.drop("order_bucket"), ["position_index", "seq"]), checked.where("reason is not null").drop("order_bucket")
     accepted, rejected = admission.judged(checked, s, bucket=bucket, start=start)
-    accepted = kept(admission.output_index(accepted, bucket=bucket).withColumn("output_index", F.col("output_index") + written_before).drop("order_bucket"), "accepted")
+    accepted = admission.output_index(accepted, bucket=bucket).withColumn("output_index", F.col("output_index") + written_before).drop("order_bucket")
     real = payload.join(accepted, ["position_index", "seq"]).withColumn("is_fill", F.lit(False))
     gaps = admission.fills(accepted, s, max_gap).withColumn("is_fill", F.lit(True))
     return real.unionByName(gaps, allowMissingColumns=True), rejected.drop("order_bucket")
@@ -85,10 +81,11 @@ def write(df: DataFrame, settings: Settings, strict: bool = True, bucket: Column
             workspace.forget(t)
 
 
-def scan(spark: SparkSession, path: str, kind: str, index: str = "", pixels: bool = True, vendor: str = "planeframe") -> DataFrame:
-    """All frames of a dataset; filters on its keys are pushed to the files."""
+def scan(spark: SparkSession, path: str, kind: str, index: str = "", pixels: bool = True, vendor: str = "planeframe", only: dict | None = None) -> DataFrame:
+    """The frames of a dataset, all or those with the wanted values of its keys: ``only={"t": range(70, 76), "c": 1, "z": [0, 2]}`` reads no other file, page or record."""
     register(spark)
-    return spark.read.format("planeframe").options(path=path, kind=kind, index=index, pixels=str(pixels).lower(), vendor=vendor).load()
+    wanted = {k: {"range": [v.start, v.stop]} if isinstance(v, range) and v.step == 1 else v if isinstance(v, int) else list(v) for k, v in (only or {}).items()}
+    return spark.read.format("planeframe").options(path=path, kind=kind, index=index, pixels=str(pixels).lower(), vendor=vendor, only=json.dumps(wanted)).load()
 
 
 @dataclass(frozen=True)
@@ -113,11 +110,11 @@ def frame(spark: SparkSession, where: Location):
         raise PlaneFrameError("binary frames need their index")
     if not files.exists(where.path):
         raise PlaneFrameError(f"dataset does not exist: {where.path}")
-    rows = scan(spark, where.path, where.kind, where.frame_metadata_path)
     if where.kind == "ome-zarr":
-        rows = rows.where((F.col("t") == where.t) & (F.col("c") == where.c) & (F.col("z") == where.z) & (F.col("position_index") == where.position_index))
+        only = {"position_index": where.position_index, "t": where.t, "c": where.c, "z": where.z}
     else:
-        rows = rows.where((F.col("frame_number") == where.frame_number) & (F.col("position_index") == where.position_index))
+        only = {"position_index": where.position_index, "frame_number": where.frame_number}
+    rows = scan(spark, where.path, where.kind, where.frame_metadata_path, only=only)
     try:
         found = rows.collect()
     except Exception as e:

@@ -82,9 +82,11 @@ def parse_integer(text: str) -> int | None:
 
 
 def iso_timestamp(ns: Column) -> Column:
-    """Nanoseconds since the epoch -> UTC text in milliseconds, cut off; empty for 0. The session time zone must be UTC."""
+    """Nanoseconds since the epoch -> UTC text in milliseconds, cut off; empty for 0. The session's time zone does not matter."""
     ms = F.call_function("div", ns.cast("decimal(20,0)"), F.lit(1000000).cast("decimal(20,0)")).cast("long")
-    return F.when(ns == 0, "").otherwise(F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+    day, second = F.call_function("div", ms, F.lit(86_400_000)).cast("int"), F.call_function("div", ms % 86_400_000, F.lit(1000))
+    whole = (F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(day, F.lit(0), F.lit(0), second.cast("decimal(18,6)"))).cast("string")
+    return F.when(ns == 0, "").otherwise(F.concat(F.replace(F.substring(whole, 1, 19), F.lit(" "), F.lit("T")), F.lit("."), F.lpad((ms % 1000).cast("string"), 3, "0"), F.lit("Z")))
 
 
 def iso_text(ns: int) -> str:
@@ -96,6 +98,26 @@ def iso_text(ns: int) -> str:
     return (datetime(1970, 1, 1) + timedelta(milliseconds=ns // 1_000_000)).isoformat(timespec="milliseconds") + "Z"
 
 
+def urn_uuid(text: Column) -> Column:
+    """Whether a text is urn:uuid: and a UUID, nothing else."""
+    return text.rlike(r"\Aurn:uuid:[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z")
+
+
+def csv_split(line: Column) -> Column:
+    """``csv_fields`` of a column: null where a quoted field does not end."""
+
+    @F.pandas_udf("array<string>")
+    def fields(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else csv_fields(x))
+
+    return fields(line)
+
+
+def integer(text: Column) -> Column:
+    """The long that the whole text is, or null: no blanks, no point, no exponent."""
+    return F.when(text.rlike(r"\A[+-]?[0-9]+\z"), text.try_cast("long"))
+
+
 def xml_integer(text: Column, name: str) -> Column:
     """The first Name="integer" in a text."""
     return F.nullif(F.regexp_extract(text, name + '="(-?[0-9]+)"', 1), F.lit("")).try_cast("long")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dataset
 from ..functions import layout, names, text
-from ..model import Settings
+from ..model import PlaneFrameError, Settings
 from ..operators import admission, summary, tiling
 from ..sources import files, shards, tiff_codec, zarr_meta
 from ..sources.readers import zarr_plane
@@ -124,7 +124,7 @@ def uuid_check(spark, sf_dir):
     u = F.expr(_UUID)
     k = F.col("page_id") % 5
     rows = table(spark, sf_dir, "pages").withColumn("h", F.md5("url")).withColumn("u", F.when(k == 0, u).when(k == 1, F.upper(u)).when(k == 2, F.replace(u, F.lit("-"), F.lit(""))).when(k == 3, F.replace(u, F.lit("a"), F.lit("g"))).otherwise(F.concat(u, F.lit(" "))))
-    return rows.select("page_id", F.col("u").rlike(r"\Aurn:uuid:[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\z").alias("valid"))
+    return rows.select("page_id", text.urn_uuid(F.col("u")).alias("valid"))
 
 
 # layout --------------------------------------------------------------------------------------------------------------
@@ -203,6 +203,33 @@ def csv_field(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.csv_escaped(x).alias("field"))
 
 
+@query("""select page_id, len(f)::int as n_fields, f[1] as first, f[2] as second, f[3] as third, x is null as open_ended from
+(select page_id, case page_id % 4 when 3 then null else 1 end as x, case page_id % 4 when 0 then [page_id::varchar, url, ''] when 1 then [url || ', "a"', page_id::varchar, 'x"y'] when 2 then ['', '"', url || chr(10)] end as f from pages)""")
+def csv_split(spark, sf_dir):
+    """Records with quoted commas, quotes and line ends, fields with quotes inside, and a quoted field that does not end."""
+    k, quoted = F.col("page_id") % 4, lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+    number, url = F.col("page_id").cast("string"), F.col("url")
+    line = F.when(k == 0, F.concat_ws(",", number, url, F.lit(""))).when(k == 1, F.concat_ws(",", quoted(F.concat(url, F.lit(', "a"'))), number, F.lit('x"y')))
+    line = line.when(k == 2, F.concat_ws(",", F.lit(""), quoted(F.lit('"')), quoted(F.concat(url, F.lit("\n"))))).otherwise(F.concat(number, F.lit(',"'), url))
+    fields = table(spark, sf_dir, "pages").select("page_id", text.csv_split(line).alias("f"))
+    at = lambda i: F.get("f", F.lit(i))
+    return fields.select("page_id", F.when(F.col("f").isNotNull(), F.size("f")).alias("n_fields"), at(0).alias("first"), at(1).alias("second"), at(2).alias("third"), F.col("f").isNull().alias("open_ended"))
+
+
+@query("select p_partkey, case p_partkey % 6 when 0 then p_size::bigint when 1 then -p_partkey when 2 then p_partkey end as value from part")
+def strict_integer(spark, sf_dir):
+    k, size, key = F.col("p_partkey") % 6, F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    x = F.when(k == 0, size).when(k == 1, F.concat(F.lit("-"), key)).when(k == 2, F.concat(F.lit("+00"), key)).when(k == 3, F.concat(F.lit(" "), key)).when(k == 4, F.concat(key, F.lit(".0"))).otherwise(F.concat(F.lit("9"), F.repeat(size, 20)))
+    return table(spark, sf_dir, "part").select("p_partkey", text.integer(x).alias("value"))
+
+
+@query("select p_partkey, printf('%.17g', p_retailprice * 1.1) as price, printf('%.17g', p_size / 7.0::double) as part from part")
+def number_text(spark, sf_dir):
+    """Doubles in 17 significant digits."""
+    size = F.col("p_size").cast("double")
+    return table(spark, sf_dir, "part").select("p_partkey", text.number_text(F.col("p_retailprice") * F.lit(1.1)).alias("price"), text.number_text(size / 7.0).alias("part"))
+
+
 @query(f"with {EVENTS_SQL} select event_id, case when event_id % 10 = 0 then '' else strftime(make_timestamp((us // 1000) * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' end as iso from ev")
 def iso_ts(spark, sf_dir):
     ns = F.when(F.col("event_id") % 10 == 0, 0).otherwise(F.col("timestamp_ns") + F.col("event_id") % 1000)
@@ -430,54 +457,62 @@ def shard_index(spark, sf_dir):
     return rows.select("path", "content").mapInPandas(entries, "t long, z int, shard_y int, shard_x int, chunk_index int, stored boolean")
 
 
-@query("select vec_id, true as same, true as shards_agree from embeddings")
+_HEX = "array_to_string(list_transform({}, lambda x: printf('%02X', (x)::bigint)), '')"
+_LE8 = "list_transform(range(0, 8), lambda i: ({} >> (8 * i)) & 255)"
+#: CRC-32C of a list of bytes, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::bigint, {}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(0, 8)), lambda x, i: xor(x >> 1, 2197175160 * (x & 1)))), 4294967295::bigint)"
+
+
+@query(f"""with {_TILE_SQL}, k as (select *, cy // 2 as sy, cx // 2 as sx, (cy % 2) * 2 + cx % 2 as slot, len(list_filter(tile, lambda x: x <> 0)) > 0 as stored from t),
+every as (select e.vec_id, a.sy, b.sx, d.slot from embeddings e, unnest([0, 1]) as a(sy), unnest([0, 1]) as b(sx), unnest([0, 1, 2, 3]) as d(slot)),
+s as (select every.*, coalesce(stored, false) as stored, tile, (count(*) filter (where stored) over (partition by every.vec_id, every.sy, every.sx order by every.slot rows between unbounded preceding and 1 preceding)) * 9 as place
+  from every left join k on k.vec_id = every.vec_id and k.sy = every.sy and k.sx = every.sx and k.slot = every.slot),
+f as (select vec_id, sy, sx, coalesce(string_agg(case when stored then {_HEX.format("tile")} end, '' order by slot), '') as body,
+  flatten(list(case when stored then list_concat({_LE8.format("place::bigint")}, {_LE8.format("9::bigint")}) else list_transform(range(0, 16), lambda i: 255::bigint) end order by slot)) as idx from s group by 1, 2, 3)
+select vec_id, sy::int as shard_y, sx::int as shard_x, body || {_HEX.format("idx")} as file, {_CRC.format("idx")}::bigint as check_sum from f""")
 def shard_bytes(spark, sf_dir):
-    """Building, reading and pasting the shards of each plane again, compressed and raw, 8 and 16 bits; equal pixels give equal bytes."""
+    """Shard files of each plane without compression, byte by byte: stored chunks, index entries, check sum of the index."""
+    raw_grid = replace(_GRID, compression=False)
 
-    def check(it):
+    def build(it):
         for pdf in it:
-            same, agree = [], []
-            for v in pdf.v:
-                ok, equal = True, True
-                for kind, compressed in (("uint8", True), ("uint8", False), ("uint16", True)):
-                    s = replace(_GRID, pixel_type=kind, compression=compressed)
-                    plane = np.array(v).reshape(8, 8).astype(tiling.dtype(s))
-                    parts, again = [], []
-                    for y, x, tiles in tiling.shard_tiles(plane, s):
-                        raw = shards.build_shard(tiles, s)
-                        parts.append((y, x, shards.read_shard(raw, 4, s.chunk, tiling.dtype(s), compressed)))
-                        again.append(raw == shards.build_shard(tiles, s))
-                    ok &= bool((tiling.paste_tiles(s, parts) == plane).all())
-                    equal &= all(again)
-                same.append(ok)
-                agree.append(equal)
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "same": same, "shards_agree": agree})
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(check, "vec_id long, same boolean, shards_agree boolean")
-
-
-@query("select vec_id, true as strips, true as chunks from embeddings")
+            out = []
+            for vec_id, v in zip(pdf.vec_id, pdf.v):
+                for y, x, tiles in tiling.shard_tiles(np.array(v).reshape(8, 8).astype("u1"), raw_grid):
+                    raw = shards.build_shard(tiles, raw_grid)
+                    out.append((vec_id, y, x, raw[:-4].hex().upper(), int.from_bytes(raw[-4:], "little")))
+            yield pd.DataFrame(out, columns=["vec_id", "shard_y", "shard_x", "file", "check_sum"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(build, "vec_id long, shard_y int, shard_x int, file string, check_sum long")
+
+
+_WIDE = "list_transform(v, lambda x: x * 251)"  # 16-bit samples
+
+
+@query(f"""with p as (select vec_id, {SPARSE_SQL} as v from embeddings), w as (select vec_id, v, {_WIDE} as u from p),
+d as (select *, list_transform(range(0, 64), lambda i: (case when i % 8 = 0 then u[i + 1] else u[i + 1] - u[i] + 65536 end) % 65536) as delta from w)
+select vec_id, {_HEX.format("v")} as chunk8, {_HEX.format("flatten(list_transform(u, lambda x: [x & 255, x >> 8]))")} as chunk16, {_HEX.format("flatten(list_transform(delta, lambda x: [x & 255, x >> 8]))")} as strip16,
+  {_HEX.format("v")} as raw_strip8 from d""")
 def codec_roundtrip(spark, sf_dir):
-    """TIFF strips and Zarr chunks of each plane, encoded and decoded, 8 and 16 bits, compressed and raw."""
+    """What the public codecs find in our chunks (zstd) and strips (deflate of horizontal differences; raw)."""
+    import zlib
 
-    def check(it):
+    import zstandard
+
+    def contents(it):
         for pdf in it:
-            strips, chunks = [], []
-            for v in pdf.v:
-                a = b = True
-                for kind in ("uint8", "uint16"):
-                    for compressed in (True, False):
-                        s = replace(_GRID, pixel_type=kind, compression=compressed)
-                        plane = (np.array(v).reshape(8, 8) * (1 if kind == "uint8" else 251)).astype(tiling.dtype(s))
-                        code = tiff_codec.ADOBE_DEFLATE if compressed else tiff_codec.NONE
-                        got = [tiff_codec.decode_strip(x, 8, 8, tiling.dtype(s), code, 2 if compressed else 1) for x in tiff_codec.encode_strips(plane, s)]
-                        a &= bool((np.concatenate(got) == plane).all())
-                        b &= shards.decode_chunk(shards.encode_chunk(plane, s), plane.nbytes, compressed) == plane.tobytes()
-                strips.append(a)
-                chunks.append(b)
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "strips": strips, "chunks": chunks})
-
-    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(check, "vec_id long, strips boolean, chunks boolean")
+            out = []
+            for vec_id, v in zip(pdf.vec_id, pdf.v):
+                narrow, wide = replace(_GRID, pixel_type="uint8"), replace(_GRID, pixel_type="uint16", significant_bits=16)
+                a = np.array(v).reshape(8, 8).astype("u1")
+                b = (np.array(v) * 251).reshape(8, 8).astype("<u2")
+                chunks = [zstandard.ZstdDecompressor().decompress(shards.encode_chunk(x, s)) for x, s in ((a, narrow), (b, wide))]
+                strip = b"".join(map(zlib.decompress, tiff_codec.encode_strips(b, wide)))
+                raw = b"".join(tiff_codec.encode_strips(a, replace(narrow, compression=False)))
+                out.append((vec_id, *(x.hex().upper() for x in (*chunks, strip, raw))))
+            yield pd.DataFrame(out, columns=["vec_id", "chunk8", "chunk16", "strip16", "raw_strip8"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", sparse().alias("v")).mapInPandas(contents, "vec_id long, chunk8 string, chunk16 string, strip16 string, raw_strip8 string")
 
 
 @query("""select vec_id::varchar as "frameIndex", (row_number() over (order by vec_id) - 1)::varchar as "outputIndex", ((row_number() over (order by vec_id) - 1) // 4)::varchar as t, 0 as c, ((row_number() over (order by vec_id) - 1) % 4)::int as z,
@@ -544,6 +579,54 @@ def stream_zarr(spark, sf_dir):
     return rows.select("t", "z", _samples(F.col("bytes")).alias("samples"))
 
 
+def _streamed(spark, sf_dir, kind: str) -> DataFrame:
+    """Planes in two micro-batches, flushed after each, into a plain file; then a scan of it."""
+    folder = new_path(spark, "stream")
+    path = f"{folder}/planes.{kind}"
+    s = plane_settings(path, kind, frame_metadata_path=f"{path}.csv" if kind == "binary" else "")
+    source = plane_frames(spark, sf_dir, dense())
+    cut = source.count() // 2
+    appender = FrameAppender(s, f"{folder}/staging")
+    for k, part in enumerate((source.where(F.col("seq") < cut), source.where(F.col("seq") >= cut))):
+        appender.append(part, k)
+        appender.flush(spark)
+    rows = dataset.scan(spark, path, kind, s.frame_metadata_path)
+    return rows.select("frame_number", F.col("frame_index").cast("string").alias("frame_index"), "camera_id", _samples(F.col("bytes")).alias("samples"))
+
+
+_STREAMED_SQL = f"select {_PAGES} as frame_number, vec_id::varchar as frame_index, 'cam, ' || label as camera_id, {_NUMBERS} as samples from (select vec_id, label, {DENSE_SQL} as v from embeddings)"
+
+
+@query(_STREAMED_SQL)
+def stream_tiff(spark, sf_dir):
+    return _streamed(spark, sf_dir, "tiff")
+
+
+@query(_STREAMED_SQL)
+def stream_binary(spark, sf_dir):
+    return _streamed(spark, sf_dir, "binary")
+
+
+@query(f"select 'empty' as what, 0::bigint as files, 0::bigint as frames union all select 'written again', (select count(*) + 3 from embeddings), (select ((count(*) + 3) // 4) * 4 from embeddings) union all select 'refused', 1, 0")
+def overwrite(spark, sf_dir):
+    """An input without frames makes no TIFF file; an output that is there is refused, or replaced whole where the settings allow it."""
+    frames = plane_frames(spark, sf_dir, dense())
+    folder = new_path(spark, "again")
+    none = plane_settings(f"{folder}/none.tiff", "tiff")
+    dataset.write(frames.limit(0), none)
+    s = plane_settings(f"{folder}/planes.zarr", "ome-zarr", z_count=4)
+    s = replace(s, chunk_width=8, chunk_height=8, shard_width_chunks=1, shard_height_chunks=1)
+    dataset.write(frames.where("seq < 3"), s)
+    refused = False
+    try:
+        dataset.write(frames.where("seq < 3"), replace(s, overwrite=False))
+    except PlaneFrameError:
+        refused = True
+    dataset.write(frames, s)
+    rows = [("empty", int(files.exists(none.output_path)), 0), ("written again", len(files.walk(s.output_path)), dataset.scan(spark, s.output_path, "ome-zarr", pixels=False).count()), ("refused", int(refused), 0)]
+    return spark.createDataFrame(rows, "what string, files long, frames long")
+
+
 @query(f"select vec_id, {_NUMBERS} as samples from (select {_PAGES} as vec_id, {SPARSE_SQL} as v from embeddings)")
 def chunk_reassembly(spark, sf_dir):
     """Planes pasted from shard files by group path, without Spark's reader."""

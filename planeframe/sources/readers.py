@@ -1,8 +1,11 @@
 """Reading frames: the reading side of the format name ``planeframe``.
 
 Options: ``path``; ``kind`` (ome-zarr, tiff or binary; OME-TIFF reads as tiff); ``index`` with the CSV of a binary file; ``pixels`` false
-leaves the pixels out. Equality filters on position_index, t, c, z and frame_number are pushed down and choose files,
-pages or byte ranges before anything is decoded (``spark.sql.python.filterPushdown.enabled``).
+leaves the pixels out; ``only`` has wanted values of position_index, t, c, z and frame_number as JSON: a number, a list, or {"range": [from, to]}. They choose files,
+pages or byte ranges before anything is decoded.
+
+Filters are not pushed down by Spark itself (``pushFilters``): Spark 4.1 keeps what was pushed last with the relation, so of two queries over one
+DataFrame, or two branches of one query, one would read the other's files.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSourceReader, InputPartition
 
 from ..functions.text import csv_fields
 from ..model import PIXEL_FORMATS, PlaneFrameError
@@ -31,6 +34,34 @@ KEYS = ("position_index", "t", "c", "z", "frame_number")
 PAGES_A_TASK = 64
 
 
+def tests_of(only: dict) -> list:
+    """Wanted values of keys (a number, a range, or numbers) as tests [(key, sign, value)]."""
+    out = []
+    for key, value in only.items():
+        if key not in KEYS:
+            raise ValueError(f"frames are chosen by {', '.join(KEYS)}, not by {key}")
+        if isinstance(value, range) and value.step == 1:
+            out += [(key, ">=", value.start), (key, "<", value.stop)]
+        else:
+            out.append((key, "in", [int(value)] if isinstance(value, int) else sorted(map(int, value))))
+    return out
+
+
+def passes(tests: list, **at) -> bool:
+    """Whether values of keys pass all tests; keys that are not given pass."""
+    return all(at[key] in value if sign == "in" else at[key] >= value if sign == ">=" else at[key] < value for key, sign, value in tests if key in at)
+
+
+def reach(tests: list, key: str, stop: int) -> tuple[int, int]:
+    """The first value of a key that may pass and the one after the last, within 0 and stop."""
+    first = 0
+    for k, sign, value in tests:
+        if k == key:
+            low, high = (value, stop) if sign == ">=" else (0, value) if sign == "<" else (min(value, default=0), max(value, default=-1) + 1)
+            first, stop = max(first, low), min(stop, high)
+    return first, max(first, stop)
+
+
 @dataclass
 class Part(InputPartition):
     kind: str
@@ -53,17 +84,12 @@ class PlaneReader(DataSourceReader):
         self.path, self.kind = options["path"], options["kind"].removeprefix("ome-") if options["kind"] != "ome-zarr" else "zarr"
         self.index, self.pixels = options.get("index", ""), options.get("pixels", "true") == "true"
         self.vendor = options.get("vendor", "planeframe")
-        self.wanted: dict[str, int] = {}
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in KEYS and f.attribute[0] not in self.wanted:
-                self.wanted[f.attribute[0]] = f.value
-            else:
-                yield f
+        self.tests = tests_of({k: range(*v["range"]) if isinstance(v, dict) else v for k, v in json.loads(options.get("only", "{}")).items()})
+        if self.kind != "zarr" and any(k in ("t", "c", "z") for k, _, _ in self.tests):
+            self.tests = [("position_index", "in", [])]  # these files do not say them
 
     def _keep(self, **at) -> bool:
-        return all(self.wanted.get(k, v) == v for k, v in at.items())
+        return passes(self.tests, **at)
 
     # planning -----------------------------------------------------------------
     def partitions(self):
@@ -83,10 +109,9 @@ class PlaneReader(DataSourceReader):
             if self._keep(position_index=position):
                 shape = zarr_meta.parse_array(files.read(f"{group}/0/zarr.json"))["shape"]
                 times = shape[0]
-                first, last = (self.wanted["t"], self.wanted["t"] + 1) if "t" in self.wanted else (0, times)
-                if 0 <= first < last <= times:
-                    step = max(1, PAGES_A_TASK // (shape[1] * shape[2]))
-                    out += [Part("zarr", group, position, t, min(last, t + step), self.wanted) for t in range(first, last, step)]
+                first, last = reach(self.tests, "t", times)
+                step = max(1, PAGES_A_TASK // (shape[1] * shape[2]))
+                out += [Part("zarr", group, position, t, min(last, t + step), {"tests": self.tests}) for t in range(first, last, step)]
         return out
 
     def _tiff_files(self) -> list[tuple[int, str]]:
@@ -100,16 +125,16 @@ class PlaneReader(DataSourceReader):
         for position, path in self._tiff_files():
             if not self._keep(position_index=position):
                 continue
+            first, last = reach(self.tests, "frame_number", 1 << 62)
             with files.opened(path) as f:
-                reader, starts = PageReader(f), []
-                for pages, _ in enumerate(reader.directories(), 1):
-                    if pages % PAGES_A_TASK == 1:
-                        starts.append(reader.at)
-                    if pages - 1 == self.wanted.get("frame_number"):
-                        out.append(Part("tiff", path, position, pages - 1, pages, {"at": reader.at}))
+                reader, starts, pages = PageReader(f), [], 0
+                for _ in reader.directories() if first < last else ():
+                    if pages >= first and (pages - first) % PAGES_A_TASK == 0:
+                        starts.append((pages, reader.at))
+                    pages += 1
+                    if pages >= last:
                         break
-            if "frame_number" not in self.wanted:
-                out += [Part("tiff", path, position, k * PAGES_A_TASK, min(pages, (k + 1) * PAGES_A_TASK), {"at": at}) for k, at in enumerate(starts)]
+            out += [Part("tiff", path, position, k, min(pages, k + PAGES_A_TASK), {"at": at, "tests": self.tests}) for k, at in starts]
         return out
 
     def _binary_parts(self):
@@ -136,7 +161,7 @@ class PlaneReader(DataSourceReader):
         chosen = [(t, c, z) for t in range(part.start, part.stop) for c in range(c_count) for z in range(z_count)]
         for t, c, z in chosen:
             number = (t * c_count + c) * z_count + z
-            if all(part.wanted.get(k, v) == v for k, v in (("c", c), ("z", z), ("frame_number", number))):
+            if passes(part.wanted["tests"], t=t, c=c, z=z, frame_number=number):
                 raw = zarr_plane(part.path, array, t, c, z).tobytes() if self.pixels else None
                 yield _row(part.position, number, t, c, z, width, height, array["pixel_type"], bits, raw)
 
@@ -148,6 +173,8 @@ class PlaneReader(DataSourceReader):
             for k, fields in enumerate(reader.directories(part.wanted["at"]), part.start):
                 if k >= part.stop:
                     break
+                if not passes(part.wanted["tests"], frame_number=k):
+                    continue
                 yield self._page(part, reader, fields, k, int(m[1]) if m else None)
 
     def _page(self, part: Part, reader: PageReader, fields: dict, k: int, bits: int | None):

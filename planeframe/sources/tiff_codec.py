@@ -14,7 +14,7 @@ SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12:
 CODES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION = 256, 257, 258, 259, 262, 270
 STRIP_OFFSETS, ORIENTATION, SAMPLES, ROWS_PER_STRIP, STRIP_BYTE_COUNTS, PLANAR, PREDICTOR, TILE_WIDTH, SAMPLE_FORMAT = 273, 274, 277, 278, 279, 284, 317, 322, 339
-NONE, ADOBE_DEFLATE, OLD_DEFLATE, PACKBITS = 1, 8, 32946, 32773
+NONE, LZW, ADOBE_DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 ASCII, SHORT, LONG, LONG8 = 2, 3, 4, 16
 HEADER = 16
 
@@ -38,6 +38,8 @@ def decode_strip(raw: bytes, rows: int, width: int, kind: np.dtype, compression:
         raw = zlib.decompress(raw)
     elif compression == PACKBITS:
         raw = _unpacked(raw)
+    elif compression == LZW:
+        raw = _lzw(raw, rows * width * kind.itemsize)
     elif compression != NONE:
         raise PlaneFrameError(f"TIFF compression {compression} is not supported")
     if len(raw) < rows * width * kind.itemsize:
@@ -62,6 +64,32 @@ def _unpacked(raw: bytes) -> bytes:
     return bytes(out)
 
 
+def _lzw(raw: bytes, size: int) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 empties the table, 257 ends. A code grows one bit earlier than the table needs it, as the format has it."""
+    table: list[bytes] = []
+    out, width, bits, held, last = bytearray(), 9, 0, 0, None
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257 or len(out) >= size:
+            break
+        if code == 256:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, None
+            continue
+        if not table or code > len(table) or (code == len(table) and last is None):
+            raise PlaneFrameError("TIFF strip holds an invalid LZW code")
+        now = table[code] if code < len(table) else last + last[:1]
+        out += now
+        if last is not None:
+            table.append(last + now[:1])
+        last = now
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return bytes(out)
+
+
 class PageWriter:
     """Writes pages to a stream from front to back. A page is held until the next one comes, since it names the next page's place."""
 

@@ -1,6 +1,6 @@
 """Appending a stream of frames to a dataset, batch by batch.
 
-Each batch is staged once, then admitted by the same expressions as a whole input, without its payloads and in ranges of ``seq``, starting from the next plane index that earlier batches
+Each batch is admitted by the same expressions as a whole input, without its payloads and in ranges of ``seq``, starting from the next plane index that earlier batches
 left; frames whose plane has passed are rejected for good, there is no lateness and no watermark. The state file names its batch: a batch that
 runs again after a failure starts from the same state and replaces the same files.
 
@@ -21,7 +21,6 @@ from pyspark.sql.streaming.query import StreamingQuery
 from .. import workspace
 from ..dataset import planned, register
 from ..model import Settings
-from ..operators.schema import frames as as_frames
 from ..sources import files, writers
 
 
@@ -50,16 +49,13 @@ class FrameAppender:
         again = batch_id == state["batch"]
         start = {int(k): n for k, n in state["before" if again else "next"].items()}
         written = state["written_before" if again else "written"]
-        raw = f"{self.staging}/raw/{batch_id:09d}"
-        as_frames(batch).write.mode("overwrite").parquet(raw)
         tables: list[DataFrame] = []
-        planes, rejected = planned(spark.read.parquet(raw), s, start=start, written_before=written, tables=tables)
+        planes, rejected = planned(batch, s, start=start, written_before=written, tables=tables)
         path = f"{self.staging}/planes/{batch_id:09d}"
         planes.write.mode("overwrite").parquet(path)
         rejected.write.mode("overwrite").parquet(f"{self.staging}/rejected/{batch_id:09d}")
         for t in tables:
             workspace.forget(t)
-        files.remove(raw)
         planes = spark.read.parquet(path)
         found = planes.groupBy("position_index").agg((F.max("plane_index") + 1).alias("next"), (F.max("t") + 1).alias("reach"), F.sum((~F.col("is_fill")).cast("long")).alias("real")).collect()
         after = {str(k): n for k, n in start.items()} | {str(r.position_index): r.next for r in found}

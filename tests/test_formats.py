@@ -288,7 +288,95 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
 def test_pushed_filters(spark, tmp_path):
     s = Settings(output_path=str(tmp_path / "p.ome.zarr"), format="ome-zarr", width=2, height=2, pixel_type="uint8")
     write(spark, [frame(k, full(4, k + 1)) for k in range(200)], s)
-    rows = dataset.scan(spark, s.output_path, "ome-zarr")
-    assert rows.rdd.getNumPartitions() == 4 and rows.where("t = 150").rdd.getNumPartitions() == 1
-    assert bytes(rows.where("t = 150").first().bytes) == full(4, 151)
-    assert dataset.scan(spark, s.output_path, "ome-zarr", pixels=False).where("t = 3").first().bytes is None
+    rows, some = dataset.scan(spark, s.output_path, "ome-zarr"), dataset.scan(spark, s.output_path, "ome-zarr", only={"t": 150})
+    assert rows.rdd.getNumPartitions() == 4 and some.rdd.getNumPartitions() == 1
+    assert bytes(some.first().bytes) == full(4, 151)
+    assert dataset.scan(spark, s.output_path, "ome-zarr", pixels=False, only={"t": 3}).first().bytes is None
+    with pytest.raises(ValueError):
+        from planeframe.sources.readers import tests_of
+
+        tests_of({"camera_id": 3})
+
+
+def test_filters_of_one_scan_do_not_mix(spark, tmp_path):
+    """Queries over one scan, and branches of one query, each see their own frames, also where Spark would push filters."""
+    s = Settings(output_path=str(tmp_path / "m.zarr"), format="ome-zarr", width=2, height=2, pixel_type="uint8")
+    write(spark, [frame(k, full(4, k + 1)) for k in range(100)], s)
+    for push in ("false", "true"):
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", push)
+        rows = dataset.scan(spark, s.output_path, "ome-zarr")
+        a, b = rows.where("t = 5"), rows.where("t = 6")
+        assert [r.t for r in a.unionAll(b).collect()] == [5, 6]
+        assert (rows.where("t < 3").count(), rows.count(), a.count(), b.first().t) == (3, 100, 1, 6)
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_wanted_ranges(spark, tmp_path):
+    """Ranges and lists of values choose files, pages and records before anything is decoded."""
+    paths = {kind: str(tmp_path / f"r.{kind}") for kind in ("ome-zarr", "tiff", "binary")}
+    for kind, path in paths.items():
+        s = Settings(output_path=path, format=kind, frame_metadata_path=f"{path}.csv", width=2, height=2, pixel_type="uint8")
+        write(spark, [frame(k, full(4, k + 1)) for k in range(200)], s)
+        key = "t" if kind == "ome-zarr" else "frame_number"
+        for only, want in ((range(70, 76), range(70, 76)), ([3, 199, 500], [3, 199]), (range(198, 1000), [198, 199]), (1, [1]), (range(5, 3), []), ([], []), (-1, []), (200, [])):
+            found = dataset.scan(spark, path, kind, f"{path}.csv", only={key: only})
+            assert sorted(bytes(r.bytes)[0] for r in found.collect()) == [k + 1 for k in want]
+            if only == range(70, 76):
+                assert found.rdd.getNumPartitions() == 1 < dataset.scan(spark, path, kind, f"{path}.csv").rdd.getNumPartitions()
+        assert dataset.scan(spark, path, kind, f"{path}.csv", only={"position_index": 1}).count() == 0
+    assert dataset.scan(spark, paths["tiff"], "tiff", only={"t": 3}).count() == 0
+
+
+def lzw(data: bytes) -> bytes:
+    """Codes as the TIFF format has them, for the test of the reading side."""
+    codes, table, held = [(256, 9)], {bytes([k]): k for k in range(256)}, b""
+    free, width = 258, 9
+    for k in data:
+        if held + bytes([k]) in table:
+            held += bytes([k])
+            continue
+        codes.append((table[held], width))
+        table[held + bytes([k])] = free
+        free += 1
+        width = 9 + (free >= 512) + (free >= 1024) + (free >= 2048)
+        if free == 4095:
+            codes.append((256, 12))
+            table, free, width = {bytes([j]): j for j in range(256)}, 258, 9
+        held = bytes([k])
+    codes += [(table[held], width)] if held else []
+    codes.append((257, 9 + (free >= 511) + (free >= 1023) + (free >= 2047)))
+    text = "".join(f"{c:0{w}b}" for c, w in codes)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def test_lzw_strips(spark, tmp_path):
+    # the example of the format: 7 7 7 8 8 7 7 6 6
+    known = "".join(f"{c:09b}" for c in (256, 7, 258, 8, 8, 258, 6, 6, 257)).ljust(88, "0")
+    assert tiff_codec._lzw(int(known, 2).to_bytes(11, "big"), 9) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    rng = np.random.default_rng(2)
+    for data in (rng.integers(0, 256, 20_000), rng.integers(0, 3, 50_000), np.zeros(9_000)):
+        raw = data.astype("u1").tobytes()
+        assert tiff_codec._lzw(lzw(raw), len(raw)) == raw
+    packed = lzw(bytes(range(6)))
+    entries = [(256, 3, 1, 3), (257, 3, 1, 2), (258, 3, 1, 8), (259, 3, 1, 5), (273, 4, 1, 200), (277, 3, 1, 1), (278, 3, 1, 2), (279, 4, 1, len(packed))]
+    head = struct.pack("<2sHI", b"II", 42, 8) + struct.pack("<H", len(entries)) + b"".join(struct.pack("<HHII", *e) for e in entries) + struct.pack("<I", 0)
+    (tmp_path / "l.tif").write_bytes(head.ljust(200, b"\0") + packed)
+    assert bytes(dataset.frame(spark, Location("tiff", str(tmp_path / "l.tif"))).bytes) == bytes(range(6))
+    with pytest.raises(PlaneFrameError, match="LZW"):
+        tiff_codec._lzw(b"\xff\xf0", 4)
+
+
+def test_times_in_any_zone(spark):
+    from pyspark.sql import functions as F
+
+    from planeframe.functions import text
+
+    stamps = [0, 1, 1_700_000_000_123_456_789, 1_711_850_400_000_000_000, 1_711_852_200_999_999_999, 2**64 - 1]  # the fourth falls into an hour that Berlin leaves out
+    rows = spark.createDataFrame([(str(x),) for x in stamps], "x string").select("x", text.iso_timestamp(F.col("x").cast("decimal(20,0)")).alias("iso"))
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "Europe/Berlin", "America/Los_Angeles"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert {int(r.x): r.iso for r in rows.collect()} == {x: text.iso_text(x) for x in stamps}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
