@@ -8,7 +8,7 @@ offers its whole own text, each of its paragraphs and each of its lines.
 A passage links to the first message of the same conversation before the quoting one that offers it, else to the first other
 message of another conversation (by conversation and turn, null conversations first). A passage of two or more lines or paragraphs
 that none offers whole links by the same rule to messages whose own text has it as consecutive lines or consecutive paragraphs (blank lines do not count). A message replies to what the first linked passage of its lowest level
-names, else to the message before it. ``position`` numbers a conversation by turn, gapless from 0; originals stand before
+names, else to the message before it. ``position`` numbers a conversation by turn (ties by role and a hash of the text), gapless from 0; originals stand before
 their quotations, so this is a reply order.
 
 The joins meet one row for each (passage hash, conversation), the least turn, and one for each passage hash, its two least conversations, of which
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, small_batches, table, written
+from .common import batches, done, small_batches, table, written
 
 _QUOTE = re.compile(r"[ \t]*((?:>[ \t]*)+)")
 _ATTRIBUTION = re.compile(r"^(?:on\b.*|.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$", re.I)
@@ -99,7 +99,7 @@ def _parsed(batch: pa.RecordBatch) -> pa.RecordBatch:
         units.append(sorted(offers(o, seen)))
         pairs.append(anchors(seen, True))
     arrays = [pa.array(own, pa.string()), pa.array(quotes, pa.list_(_QUOTED)), pa.array(units, pa.list_(pa.binary())), pa.array(pairs, pa.list_(_ANCHOR))]
-    return pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays, batch.column(4)], ["conv_id", "turn", "role", "own", "quotes", "units", "pairs", "mid"])
+    return pa.RecordBatch.from_arrays([*batch.columns[:3], *arrays, *batch.columns[4:]], ["conv_id", "turn", "role", "own", "quotes", "units", "pairs", "mid", "digest"])
 
 
 def _run_hashes(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -140,22 +140,24 @@ def linked(messages: DataFrame) -> DataFrame:
     m = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     # nulls add nothing to a hash: the last two tell a null conversation from a null turn
     m = m.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text", F.when(F.col("conv_id").isNull(), 1), F.when(F.col("turn").isNull(), 2)))
-    parsed = written(m.mapInArrow(batches(_parsed), f"conv_id long, turn long, role string, own string, quotes array<struct<at:int,level:int,hash:binary,runs:{_ANCHORS}>>, units array<binary>, pairs {_ANCHORS}, mid long"), "messages")
+    m = m.withColumn("digest", F.md5(F.coalesce(F.replace("text", F.lit("\r\n"), F.lit("\n")), F.lit(""))))
+    parsed = written(m.mapInArrow(batches(_parsed), f"conv_id long, turn long, role string, own string, quotes array<struct<at:int,level:int,hash:binary,runs:{_ANCHORS}>>, units array<binary>, pairs {_ANCHORS}, mid long, digest string"), "messages")
     quoted = parsed.where("size(quotes) > 0").select("mid", "conv_id", "turn", F.explode("quotes").alias("q")).select("mid", "conv_id", "turn", "q.at", "q.level", "q.hash", "q.runs").distinct()
     units = parsed.select(F.explode("units").alias("hash"), "conv_id", "turn").where("turn is not null")
-    links = written(_originals(quoted, units), "links")
+    links = first_links = written(_originals(quoted, units), "links")
     trimmed = links.where("original is null and size(runs) > 0").drop("original")
     links = links.where("original is not null or size(runs) = 0").unionByName(_originals(trimmed, _runs(parsed, trimmed)))
     first = F.min(F.when(F.col("original").isNotNull(), F.struct("level", "at", "original")))
     by_message = links.groupBy("mid").agg(F.count("original").alias("n_linked"), first.getField("original").alias("original"))
-    placed = _positions(parsed.select("conv_id", "turn", "role", "own", "mid", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max("quotes.level"), F.lit(0)).alias("max_level")))
+    placed = _positions(parsed.select("conv_id", "turn", "role", "own", "mid", "digest", F.size("quotes").cast("long").alias("n_quotes"), F.coalesce(F.array_max("quotes.level"), F.lit(0)).alias("max_level")))
     out = placed.join(by_message, "mid", "left")
     kind = F.when(F.col("original").isNotNull(), "quote").when(F.col("position") > 0, "previous").otherwise("first")
-    return out.select(
+    result = out.select(
         "conv_id", "turn", "role", "position", "n_quotes", "max_level", F.coalesce("n_linked", F.lit(0)).cast("long").alias("n_linked"), kind.alias("reply_kind"),
         F.when(kind == "quote", F.col("original.conv_id")).when(kind == "previous", F.col("conv_id")).alias("reply_conv"),
         F.when(kind == "quote", F.col("original.turn")).when(kind == "previous", F.col("before_turn")).alias("reply_turn"), F.col("own").alias("text"),
     )
+    return done(result, "conversations", [parsed, first_links])
 
 
 def _positions(df: DataFrame) -> DataFrame:
@@ -164,7 +166,7 @@ def _positions(df: DataFrame) -> DataFrame:
     sums = df.groupBy("conv", "range").agg(F.count("*").alias("n"), F.max("turn").alias("top"))
     earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("conv", "range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.max("top").over(earlier).alias("top_before"))
-    order = Window.partitionBy("conv", "range").orderBy(F.col("turn").asc_nulls_first(), "role", "mid")
+    order = Window.partitionBy("conv", "range").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "digest")
     df = df.withColumn("position", F.row_number().over(order) - 1).withColumn("before", F.lag("turn").over(order)).join(sums, ["conv", "range"])
     df = df.withColumn("before_turn", F.when(F.col("position") == 0, F.col("top_before")).otherwise(F.col("before"))).withColumn("position", F.col("position") + F.col("n_before"))
     return df.drop("conv", "range", "before", "n_before", "top_before")
@@ -187,13 +189,13 @@ p as (select r, level, min(k) as nr, {_NORMAL.format("string_agg(rest, chr(10) o
 quoted as (select * from p where h <> ''),
 part as (select r, own as u from own union select r, unnest(regexp_split_to_array(own, '\n\s*\n')) from own union select r, unnest(string_split(own, chr(10))) from own),
 unit as (select distinct r, {_NORMAL.format("u")} as h from part),
-offer as (select h, conv_id, turn from unit join m using (r) where h <> '' and conv_id is not null and turn is not null),
+offer as (select h, conv_id, turn from unit join m using (r) where h <> '' and turn is not null),
 near as (select h, conv_id, min(turn) as turn from offer group by 1, 2),
-far as (select h, min(struct_pack(conv_id := conv_id, turn := turn)) as far from near group by 1),
-link as (select quoted.r, level, nr, case when near.turn < m.turn then struct_pack(conv_id := m.conv_id, turn := near.turn) when far.conv_id <> m.conv_id then far end as original
-  from quoted join m using (r) left join near on near.h = quoted.h and near.conv_id = m.conv_id left join far on far.h = quoted.h),
+far as (select h, list(struct_pack(conv_id := conv_id, turn := turn) order by conv_id nulls first) as far from near group by 1),
+link as (select quoted.r, level, nr, case when near.turn < m.turn then struct_pack(conv_id := m.conv_id, turn := near.turn) else list_filter(far, lambda f: f.conv_id is distinct from m.conv_id)[1] end as original
+  from quoted join m using (r) left join near on near.h = quoted.h and near.conv_id is not distinct from m.conv_id left join far on far.h = quoted.h),
 s as (select r, count(*) as n_quotes, max(level) as max_level, count(original) as n_linked, arg_min(original, (level, nr)) filter (where original is not null) as original from link group by r),
-pos as (select *, row_number() over w - 1 as position, lag(turn) over w as before from m window w as (partition by conv_id order by turn nulls first, role, x)),
+pos as (select *, row_number() over w - 1 as position, lag(turn) over w as before from m window w as (partition by conv_id order by turn nulls first, role nulls first, md5(x))),
 k as (select pos.*, coalesce(n_quotes, 0) as n_quotes, coalesce(max_level, 0)::int as max_level, coalesce(n_linked, 0) as n_linked, original,
   case when original is not null then 'quote' when position > 0 then 'previous' else 'first' end as reply_kind from pos left join s using (r))
 select conv_id, turn, role, position, n_quotes, max_level, n_linked, reply_kind, case reply_kind when 'quote' then original.conv_id when 'previous' then conv_id end as reply_conv,

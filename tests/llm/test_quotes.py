@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from planeframe.llm.quotes import OP1_SQL, linked, op1_quotation_links, parse
 
 from ..oracle import compare
@@ -69,9 +71,10 @@ def test_empty(spark):
     assert linked(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_against_sql(spark, tmp_path):
-    """Random threads with nested quotes, the SQL over the same table."""
-    rng = random.Random(9)
+@pytest.mark.parametrize("seed", (9, 10))
+def test_against_sql(spark, tmp_path, seed):
+    """Random threads with nested quotes, null conversations and turns, turns and whole rows that repeat; the SQL over the same table."""
+    rng = random.Random(seed)
     said, rows = ["hello there", "one\ntwo lines", "para one\n\npara two"], []
     for conv in range(12):
         for turn in range(rng.randint(1, 9)):
@@ -84,7 +87,8 @@ def test_against_sql(spark, tmp_path):
             lines.append(rng.choice(["ok", f"new text {conv} {turn}", "", "wrote:"]))
             text = rng.choice(["\n", "\r\n"]).join(lines)
             said.append(parse(text)[0] or "ok")
-            rows.append((conv, turn, rng.choice(["u", "a"]), text if rng.random() < 0.95 else None))
+            at = None if rng.random() < 0.05 else turn // 2 if conv % 3 == 0 else turn
+            rows += [(None if conv == 11 else conv, at, rng.choice(["u", "a", None]), text if rng.random() < 0.95 else None)] * (2 if rng.random() < 0.1 else 1)
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "parts"))
     next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "conversations.parquet")
     compare(spark, str(tmp_path), op1_quotation_links, OP1_SQL)
