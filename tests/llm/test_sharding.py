@@ -61,3 +61,29 @@ def test_balance(docs_of):
 
 def test_empty(docs_of):
     assert rows_of(docs_of([])) == []
+
+
+def test_whole_query_against_the_heap(docs_of):
+    """Group by text, sort by size, pop the heap: the loads are the exact plan's, and those of the classes within their width."""
+    rng = random.Random(9)
+    texts = [str(rng.randint(0, 120)) * rng.randint(1, 4000) for _ in range(500)] + ["hot"] * 300 + [None] * 7
+    docs = docs_of(list(enumerate(texts)))
+    groups = Counter()
+    for t in texts:
+        groups[t] += len((t or "").encode()) + 1
+    heap = [(0, i) for i in range(8)]
+    for size in sorted(groups.values(), reverse=True):
+        load, i = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, i))
+    want = sorted(x for x, _ in heap)
+    for places in (None, 12):
+        loads, homes = Counter(), {}
+        for r in shard(docs, places=places).collect():
+            loads[r.shard] += r["size"]
+            homes.setdefault(texts[r.doc_id], set()).add(r.shard)
+        assert all(len(x) == 1 for x in homes.values())
+        got = sorted(loads.values())
+        if places is None:
+            assert got == want
+        else:
+            assert all(abs(a - b) <= 0.001 * b for a, b in zip(got, want))
