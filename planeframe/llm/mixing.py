@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import done, forget, table, written
 
 BLOCK = 1024
 SHARE, LIMIT = 1.5, 2
@@ -68,10 +68,10 @@ def _copy_number(text_hash) -> Column:
     return F.row_number().over(Window.partitionBy("doc_id", "skey", "size").orderBy(text_hash))
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents with their offset in their source's line, and the sources with targets."""
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The written sizes, the documents with their offset in their source's line, and the sources with targets."""
     base = docs.select("doc_id", "source", source_key().alias("skey"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("print"))
-    base = written(base.withColumn("copy", _copy_number("print")).drop("print"), "sizes")
+    base = sizes = written(base.withColumn("copy", _copy_number("print")).drop("print"), "sizes")
     n_docs = base.count()
     buckets = 64
     while buckets * 10_000 < n_docs and buckets < 1 << 20:
@@ -83,7 +83,7 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = written(sources, "sources")
     inside = F.sum("size").over(Window.partitionBy("skey", "bucket").orderBy("doc_id", "size", "copy").rowsBetween(Window.unboundedPreceding, -1))
     placed = base.withColumn("inside", F.coalesce(inside, F.lit(0))).join(before.hint("merge"), ["skey", "bucket"]).withColumn("at", F.col("before") + F.col("inside"))
-    return placed.select("doc_id", "skey", "size", "copy", "at"), sources
+    return sizes, placed.select("doc_id", "skey", "size", "copy", "at"), sources
 
 
 def permuted(value: str, size: str, *key: str) -> str:
@@ -132,8 +132,9 @@ def slots(sources: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOC
 def mix(docs: DataFrame, block: int = BLOCK, shard_blocks: int = SHARD_BLOCKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(parts, placed, sources). parts has a row for each document piece of each slot:
     skey, at and doc_id name the document, [from_word, to_word) what the slot takes of it, in shard, slot and pass."""
-    placed, sources = _placed(docs)
+    base, placed, sources = _placed(docs)
     placed = written(placed, "placed")
+    forget(base)
     pieces = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
     pieces = pieces.withColumn("from_word", F.expr(f"greatest(0L, block * {block} - at)")).withColumn("to_word", F.expr(f"least(size, (block + 1) * {block} - at)")).withColumn("start", F.expr(f"at + from_word - block * {block}"))
     parts = pieces.join(slots(sources, block, shard_blocks).hint("merge"), ["skey", "block"]).withColumn("to_word", F.expr("least(to_word, from_word + words - start)")).where("to_word > from_word")
@@ -154,7 +155,8 @@ def taken_words(docs: DataFrame) -> DataFrame:
     taken = held.groupBy("skey", "at").agg(F.sum("taken").alias("taken"), F.min("shard").alias("first_shard"), F.count("*").alias("n_shards")).withColumnRenamed("skey", "k").withColumnRenamed("at", "o")
     out = placed.join(taken.hint("merge"), (F.col("size") > 0) & (F.col("skey") == F.col("k")) & (F.col("at") == F.col("o")), "left")
     out = near_sources(out, sources.select("skey", "source_size", "target"))
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
+    out = out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard", F.coalesce("n_shards", F.lit(0)).alias("n_shards"))
+    return done(out, "taken", [placed, sources])
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

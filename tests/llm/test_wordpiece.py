@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -28,6 +29,25 @@ def test_against_greedy():
             assert machine.count(w) == greedy(w, pieces), (w, pieces)
 
 
+def test_whole_query_against_greedy(spark, sf):
+    """Counts of whole documents, each word greedily from the tokenizer's own vocabulary."""
+    public, tokenizers = pytest.importorskip("public_tokenizers"), pytest.importorskip("tokenizers")
+    path = public.path("word_bpe_49k.json")
+    with open(path, encoding="utf-8") as f:
+        pieces = {p.removesuffix("</w>") + END if p.endswith("</w>") else p for p in json.load(f)["model"]["vocab"]}
+    whole, memo = tokenizers.Tokenizer.from_file(path), {}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(rows) == len(got)
+    for r in rows:
+        words = [w for w, _ in whole.pre_tokenizer.pre_tokenize_str(whole.normalizer.normalize_str(r.text or ""))]
+        for w in words:
+            if w not in memo:
+                memo[w] = greedy(w, pieces)
+        assert got[r.doc_id] == (len(words), sum(memo[w] for w in words))
+
+
 def test_edge(spark, docs_of, edge):
     pytest.importorskip("public_tokenizers")
     got = sorted((tuple(r) for r in token_counts(edge).collect()), key=str)
