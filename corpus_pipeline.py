@@ -1,4 +1,9 @@
-"""From raw documents to token tables: each stage is written as Parquet and read again as the next one's documents."""
+"""From raw documents to token tables: each stage is written as Parquet and read again as the next one's documents.
+
+Edge cases, the same in all stages: a null text is an empty one; empty texts, null doc_ids and texts of any length go through every stage; columns of any name stay as they
+are, whatever a stage calls its own; rows that repeat a doc_id with another text are other documents, rows that repeat both leave the second stage as one; empty tables give
+empty tables, and tables without labels reject nothing. The mix drops documents without words, as nothing can be taken of them.
+"""
 
 from __future__ import annotations
 
@@ -41,7 +46,7 @@ STAGES = [
     ("token_tables", write_token_tables),
 ]
 
-#: The string-kernel machine cannot be expressed in SQL; tests/llm/test_pipeline.py holds the stages against brute force.
+#: The string-kernel machine cannot be expressed in SQL; tests/llm/test_pipeline.py holds the other stages against brute force, and this one against its model.
 ORACLE_SQL = None
 
 
