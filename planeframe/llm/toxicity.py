@@ -34,6 +34,7 @@ import pickle
 import re
 import unicodedata
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -238,7 +239,7 @@ class Sentences:
             joins[:-1] = (start[1:] - end[:-1] <= GAP) & (number[start[1:] + 1] == number[end[:-1]])
         size = end - start
         at = np.cumsum(size + 1) - size - 1 + 6  # one place without a letter behind each run
-        self.codes = np.zeros(int((size + 1).sum()) + 12, np.int64)
+        self.codes = np.zeros(int((size + 1).sum()) + 12, np.int8)
         keep = np.flatnonzero(letter)
         self.codes[6 + np.arange(len(keep)) + np.repeat(np.arange(len(start)), size)] = codes[keep]
         _, sentence = np.unique(number[start + 1], return_inverse=True)
@@ -246,19 +247,20 @@ class Sentences:
         long = np.flatnonzero(size > PLACES)
         more = [(at[k] + i, at[k] + min(i + n, size[k]), k) for k in long.tolist() for n, step in PIECES for i in range(0, max(1, int(size[k]) - n + step), step)]
         first, last, of = (np.array(x, np.int64) for x in (zip(*more) if more else ((), (), ())))
-        self.start, self.end = np.r_[at, first], np.r_[at + size, last]
-        self.text, self.sentence = np.r_[text, text[of]], np.r_[sentence, sentence[of]]
+        small = lambda a, b: np.r_[a, b].astype(np.int32)
+        self.start, self.end = small(at, first), small(at + size, last)
+        self.text, self.sentence = small(text, text[of]), small(sentence, sentence[of])
         self.joins = np.r_[joins, np.zeros(len(of), bool)]
         self.n_texts, self.n_sentences = len(texts), int(sentence.max()) + 1 if len(sentence) else 0
         left, right = [], []
-        a = b = np.arange(len(self.start))
+        a = b = np.arange(len(self.start), dtype=np.int32)
         while len(a):
             fits = self.end[b] - self.start[a] <= PLACES
             a, b = a[fits], b[fits]
             some = self.end[b] - self.start[a] - (b - a) >= 2
             left.append(a[some]), right.append(b[some])
             on = self.joins[b]
-            a, b = a[on], b[on] + 1
+            a, b = a[on], b[on] + np.int32(1)
         self.left, self.right = np.concatenate(left or [a]), np.concatenate(right or [b])
 
     def strings(self, windows: np.ndarray) -> list[np.ndarray]:
@@ -276,7 +278,7 @@ class Sentences:
             return np.zeros(0)
         grid = np.arange(LETTERS) > 0
         table = np.where((grid[:, None, None] & grid[None, :, None] & grid[None, None]).ravel(), weights, 0).astype(np.float32)
-        x, n = self.codes, len(self.codes) - 6
+        x, n = self.codes.astype(np.int64), len(self.codes) - 6
         reach = np.zeros((5, n + 6), np.float32)  # of each place: triples that begin there and reach 2 to 6 places on
         for i in range(0, n, 1 << 15):
             y = x[i : min(n, i + (1 << 15)) + 6]
@@ -381,7 +383,7 @@ def parts(text: str | None) -> list[str]:
     return [*out, text]
 
 
-def _chunks(texts: list[str], limit: int = PART):
+def _chunks(texts: list[str], limit: int = 250_000):
     """Slices of a list that hold about ``limit`` characters."""
     at = size = 0
     for k, t in enumerate(texts):
@@ -416,9 +418,11 @@ def first_witnesses(docs: list[tuple[int, str]], chance: float = 1e-3) -> list[s
     words: dict[str, int] = {}
     bags = [np.array([words.setdefault(w, len(words)) for w in sorted(set(_WORD.findall((t or "").lower())))], np.int64) for _, t in docs]
     groups: dict[str, int] = {}
-    of_word = [[groups.setdefault(g, len(groups)) for g in sorted(_groups_of(w))] for w in words]
-    size = np.array([len(g) for g in of_word], np.int64)
-    begin, flat = np.r_[0, np.cumsum(size)], np.array([g for x in of_word for g in x], np.int64)
+    flat, begin = array("q"), array("q", [0])
+    for w in words:
+        flat.extend([groups.setdefault(g, len(groups)) for g in sorted(_groups_of(w))])
+        begin.append(len(flat))
+    flat, begin = np.array(flat, np.int64), np.array(begin, np.int64)
     counts = np.zeros((2, len(groups)), np.int64)
     in_clean = np.zeros(len(words), np.int64)
     for (y, _), bag in zip(docs, bags):
@@ -439,7 +443,7 @@ def first_witnesses(docs: list[tuple[int, str]], chance: float = 1e-3) -> list[s
     for k, (p, _, _, g) in enumerate(told):
         if p <= limit or (told[0][0] > limit and k < 5):
             place[g] = k
-    of = np.array([min(place[x], default=len(told)) for x in of_word], np.int64)
+    of = np.minimum.reduceat(place[flat], begin[:-1]) if len(flat) else np.zeros(0, np.int64)  # no word is without a group
     of[in_clean > 0] = len(told)
     names = list(words)
     clearest = {int(bag[of[bag].argmin()]) for (y, _), bag in zip(docs, bags) if y and len(bag) and of[bag].min() < len(told)}
@@ -559,9 +563,11 @@ def train_in_tasks(spark: SparkSession, docs: list[tuple[int, str]], how: Traini
     sent = spark.sparkContext.broadcast(docs)
 
     def run(it):
+        held(("toxicity", "training"), int)  # what another operator left in this worker goes
         for batch in it:
             for part in batch.column(0).to_pylist():
                 yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([pickle.dumps(train_part(sent.value, part, how))])], ["part", "model"])
+        _give_back()
 
     found = {r.part: pickle.loads(r.model) for r in spark.range(0, 3, 1, 3).mapInArrow(run, "part long, model binary").collect()}
     sent.destroy()
@@ -589,12 +595,13 @@ def _scoring(model, key: int, finish):
             if batch.num_rows:
                 texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
                 yield finish(batch, scorer(texts))
+        _give_back()
 
     return run
 
 
 def _give_back() -> None:
-    """Returns what the sample used to the system, where the C library can: the driver lives on."""
+    """Returns free memory to the system, where the C library can: the driver and the workers live on."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
