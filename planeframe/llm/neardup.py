@@ -347,20 +347,21 @@ def _judged(reps: DataFrame, comps: DataFrame, tables: list) -> DataFrame:
     return _scratch(named.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
 
 
-def _leaves(crowded: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the leaves of crowded regions (region, tree, rep): parts of one to SMALL documents, at the least of the depths LEAVES that has so few."""
-    # a tree that grows deeper goes on with the hashes of the trees after it
-    prefix = lambda d: F.expr(f"xxhash64(region, {d}, substring(concat(sig, sig), {4 * DEPTH} * tree + 1, {4 * d}))")
-    rows = crowded.join(reps.select("rep", "n", "sig"), "rep")
-    parts = rows.select("rep", "n", F.col("region").alias("up"), F.posexplode(F.array(*map(prefix, LEAVES))).alias("level", "leaf"), F.array("region", *map(prefix, LEAVES)).alias("path"))
-    parts = parts.select("rep", "n", "leaf", F.element_at("path", F.col("level") + 1).alias("up"))
-    sizes = parts.groupBy("leaf").agg(F.count("*").alias("m"), F.sum("n").alias("total"), F.first("up").alias("up"))
-    fits = (F.col("m") <= SMALL) & (F.col("total") <= TILE_SHINGLES)
-    # a part lies in a leaf already where the part above it fits
-    above = sizes.where(fits).select(F.col("leaf").alias("up"))
-    leaves = sizes.where(fits & (F.col("m") > 1)).join(above, "up", "left_anti").select("leaf")
-    members = parts.select("rep", "leaf").join(leaves, "leaf")
-    return members.select(F.col("leaf").alias("region"), F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("tree"), F.lit(0).alias("side"), "rep")
+def _leaves(crowded: DataFrame, judged: DataFrame, tables: list) -> DataFrame:
+    """Members of the open leaves under crowded regions (region, tree, rep): a part grows to the next of the depths LEAVES while it has more than SMALL documents."""
+    found = None
+    for depth in LEAVES:
+        # a tree that grows deeper goes on with the hashes of the trees after it
+        prefix = F.expr(f"xxhash64(region, substring(concat(sig, sig), {4 * DEPTH} * tree + 1, {4 * depth}))")
+        parts = crowded.join(judged.select("rep", "comp", "n", "sig"), "rep").select(prefix.alias("region"), "tree", "rep", "comp", "n")
+        sizes = parts.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"), (F.min("comp") != F.max("comp")).alias("open"))
+        sizes = _scratch(sizes.where("m > 1 and open"), "parts", tables)
+        fits = (F.col("m") <= SMALL) & (F.col("total") <= TILE_SHINGLES)
+        members = parts.join(sizes.where(fits).select("region"), "region", "left_semi")
+        members = members.select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("tree"), F.lit(0).alias("side"), "rep")
+        found = members if found is None else found.unionAll(members)
+        crowded = _scratch(parts.join(sizes.where(~fits).select("region"), "region", "left_semi").select("region", "tree", "rep"), "crowded", tables)
+    return found
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -394,7 +395,7 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: li
     links = confirmed(_scratch(pairs, "pairs", tables), docs, tables)
     if crowded.isEmpty():
         return components(_stars_of(comps).unionAll(links))
-    deeper = _compared(_scratch(_leaves(crowded, judged), "leaves", tables), judged, docs, tables)
+    deeper = _compared(_scratch(_leaves(crowded, judged, tables), "leaves", tables), judged, docs, tables)
     comps = components(_stars_of(comps).unionAll(links).unionAll(deeper))
     tables.append(comps)
     judged = _judged(judged, comps, tables)
