@@ -11,10 +11,11 @@ The forest holds the signatures in several sorted orders (trees):
    families with a number of checks that is linear in the documents.
 2. *Open regions.* A region is what shares the least-depth prefix in one of all the trees. A region whose
    members are one component is closed: nothing in it can change the result. Of open ones, regions of up to SMALL documents name
-   their pairs. A larger one grows deeper where it is too large: by the depths of LEAVES its prefix is lengthened, and the first, shallowest
-   part of at most SMALL documents is a leaf of its own depth. Leaves are compared, and regions that are still open return to the least depth, where they are cut into tiles.
+   their pairs. The members of a larger one are sorted by the hashes below the region's prefix and each meets the NEAREST rows on either side, which are those of
+   longest common prefix: how deep that is follows from how crowded the region is there. The likeliest partner of another component becomes a candidate, one for each row
+   and tree. Regions that are still open are cut into tiles at the least depth; the largest component of a region that needs more than one tile meets the other rows only, not itself.
    Size ratio and signature agreement (five standard deviations below the threshold) decide which pairs are worth a
-   full comparison, pairs of one component are skipped, and at the least depth a pair is looked at in its first common region only. Leaves and pairs of
+   full comparison, pairs of one component are skipped, and at the least depth a pair is looked at in its first common region only. Pairs of
    tiles travel twice: first signatures alone, which tell the documents that have a pair worth comparing, then these with their texts; a task returns a
    forest of confirmed links, so no task holds a whole region and no region emits its pairs.
 
@@ -45,7 +46,8 @@ ORDERS, ORDER_DEPTH = 4, 16
 #: A tile has about so many documents, and about so many shingles (16 MB of hashes), whichever makes it smaller.
 TILE, TILE_SHINGLES = 1024, 2_000_000
 SMALL = 64
-LEAVES = (6, 9, 12)
+#: Rows on either side that a row of a crowded region meets in a sorted order.
+NEAREST = 8
 HASHES = TREES * DEPTH
 
 _rng = np.random.Generator(np.random.PCG64(20240501))
@@ -128,10 +130,11 @@ class _Nodes:
     """Names of rows in the link graph: doc_id, or for a doc_id that stands for several texts a hash of it and of the text."""
 
     def __init__(self, signed: DataFrame, tables: list, broadcast_ids: int = 500_000):
-        seen = signed.where("doc_id is not null").groupBy("doc_id").agg(F.min("body").alias("low"), F.max("body").alias("high"))
-        self.several = _scratch(seen.where("low <> high").select(F.col("doc_id").alias("several")), "several", tables)
+        seen = signed.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("k"), F.min("body").alias("low"), F.max("body").alias("high"))
+        repeated = _scratch(seen.where("k > 1"), "repeated", tables)
+        self.several = repeated.where("low <> high").select(F.col("doc_id").alias("several"))
         n = self.several.count()
-        self.some, self.few = n > 0, n <= broadcast_ids
+        self.some, self.few, self.repeats = n > 0, n <= broadcast_ids, not repeated.isEmpty()
 
     def named(self, df: DataFrame) -> DataFrame:
         """``df`` (doc_id, body, ...) with node."""
@@ -228,7 +231,7 @@ def _shared(h: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 class _Group:
-    """The rows of one task's tiles: [(side, rep, comp, n, sig, text or None)] in a region of ``tree`` (-1: a leaf)."""
+    """The rows of one task's tiles: [(side, rep, comp, n, sig, text or None)] in a region of ``tree``."""
 
     def __init__(self, tree: int, rows: list[list]):
         rows.sort(key=lambda r: (r[0], r[1]))
@@ -244,8 +247,7 @@ class _Group:
             js = np.arange(i + 1 if self.within else self.split, len(self.rows))
             js = js[self.comp[js] != self.comp[i]]
             js = js[_agreement(self.sig[js], self.sig[i], self.n[js], self.n[i])]
-            if self.tree >= 0:
-                js = js[_first_tree(self.sig[js], self.sig[i]) == self.tree]
+            js = js[_first_tree(self.sig[js], self.sig[i]) == self.tree]
             if len(js):
                 yield i, js
 
@@ -283,7 +285,7 @@ class _Group:
 
 
 _KEY = ["region", "i", "j", "tree"]
-_MEMBER = "region long, i int, j int, tree int, side int, rep long"
+_MEMBER = "region long, i int, j int, tree int, side int, rep long, comp long, n long, sig binary"
 
 
 def _grouped(it):
@@ -313,26 +315,26 @@ def _edges(result):
 
 def _members_worth(it):
     """A mapInArrow function: of each group, the members that are in a pair worth comparing."""
-    types = [pa.int64(), *[pa.int32()] * 4, pa.int64()]
+    types = [pa.int64(), *[pa.int32()] * 4, *[pa.int64()] * 3, pa.binary()]
     for key, rows in _grouped(it):
         group = _Group(key[3], rows)
         at = group.worth()
         if at:
-            columns = [*([v] * len(at) for v in key), [int(group.side[k]) for k in at], [int(group.rep[k]) for k in at]]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*_KEY, "side", "rep"])
+            columns = [*([v] * len(at) for v in key), *([group.rows[k][c] for k in at] for c in range(5))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*_KEY, "side", "rep", "comp", "n", "sig"])
 
 
-def _carrying(members: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members with their representatives' columns (and text, if these have one), each group in one task and together."""
-    text = F.col("text") if "text" in reps.columns else F.lit(None).cast("string").alias("text")
-    return members.join(reps, "rep").select(*_KEY, "side", "rep", "comp", "n", "sig", text).repartition("region", "i", "j").sortWithinPartitions(*_KEY)
+def _together(members: DataFrame) -> DataFrame:
+    """Members with their representatives' columns (and text, if they have one), each group in one task and together."""
+    text = F.col("text") if "text" in members.columns else F.lit(None).cast("string").alias("text")
+    return members.select(*_KEY, "side", "rep", "comp", "n", "sig", text).repartition("region", "i", "j").sortWithinPartitions(*_KEY)
 
 
-def _compared(members: DataFrame, reps: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
-    """Confirmed links (a, b) within groups of members (region, i, j, tree, side, rep): signatures first, texts where they are needed."""
-    worth = _scratch(_carrying(members, reps).mapInArrow(_members_worth, _MEMBER), "worth", tables)
+def _compared(members: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
+    """Confirmed links (a, b) within groups of members (region, i, j, tree, side, rep, comp, n, sig): signatures first, texts where they are needed."""
+    worth = _scratch(_together(members).mapInArrow(_members_worth, _MEMBER), "worth", tables)
     texts = texts_of(worth.select(F.col("rep").alias("node")), docs, tables).withColumnRenamed("node", "rep")
-    return _carrying(worth, reps.join(texts, "rep")).mapInArrow(_edges(_Group.links), "a long, b long")
+    return _together(worth.join(texts, "rep")).mapInArrow(_edges(_Group.links), "a long, b long")
 
 
 def _agreeing(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -347,21 +349,39 @@ def _judged(reps: DataFrame, comps: DataFrame, tables: list) -> DataFrame:
     return _scratch(named.withColumn("comp", F.coalesce("component", "rep")).drop("component"), "reps", tables)
 
 
-def _leaves(crowded: DataFrame, judged: DataFrame, tables: list) -> DataFrame:
-    """Members of the open leaves under crowded regions (region, tree, rep): a part grows to the next of the depths LEAVES while it has more than SMALL documents."""
-    found = None
-    for depth in LEAVES:
-        # a tree that grows deeper goes on with the hashes of the trees after it
-        prefix = F.expr(f"xxhash64(region, substring(concat(sig, sig), {4 * DEPTH} * tree + 1, {4 * depth}))")
-        parts = crowded.join(judged.select("rep", "comp", "n", "sig"), "rep").select(prefix.alias("region"), "tree", "rep", "comp", "n")
-        sizes = parts.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("total"), (F.min("comp") != F.max("comp")).alias("open"))
-        sizes = _scratch(sizes.where("m > 1 and open"), "parts", tables)
-        fits = (F.col("m") <= SMALL) & (F.col("total") <= TILE_SHINGLES)
-        members = parts.join(sizes.where(fits).select("region"), "region", "left_semi")
-        members = members.select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("tree"), F.lit(0).alias("side"), "rep")
-        found = members if found is None else found.unionAll(members)
-        crowded = _scratch(parts.join(sizes.where(~fits).select("region"), "region", "left_semi").select("region", "tree", "rep"), "crowded", tables)
-    return found
+def _likeliest(it):
+    """A mapInArrow function over rows (region, rep, comp, n, sig) in sorted order: each row with the likeliest of the NEAREST before and after it
+    that are in its region and in another component. Where a batch ends, the last rows meet those of the next."""
+    last = None
+    for batch in it:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), ">u4").reshape(batch.num_rows, HASHES))
+        if last is not None:
+            columns = [np.concatenate(c) for c in zip(last, columns)]
+        last = [c[-NEAREST:] for c in columns]
+        region, rep, comp, n, sig = columns
+        most, partner = np.zeros(len(rep)), np.full(len(rep), -1)
+        for step in range(1, min(NEAREST, len(rep) - 1) + 1):
+            i = np.flatnonzero((region[step:] == region[:-step]) & (comp[step:] != comp[:-step]))
+            i = i[_agreement(sig[i], sig[i + step], n[i], n[i + step])]
+            agree = (sig[i] == sig[i + step]).mean(1)
+            for x, y in ((i, i + step), (i + step, i)):
+                better = agree > most[x]
+                most[x[better]], partner[x[better]] = agree[better], y[better]
+        at = np.flatnonzero(partner >= 0)
+        a, b = rep[at], rep[partner[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+
+def _within(crowded: DataFrame) -> DataFrame:
+    """Candidates (a, b) of crowded regions (region, tree, rep, comp, n, sig): rows whose hashes after the region's own agree longest."""
+    # a tree that grows deeper goes on with the hashes of the trees after it
+    key = F.expr(f"substring(concat(sig, sig), {4 * DEPTH} * (tree + 1) + 1, {4 * ORDER_DEPTH})")
+    partitions = int(crowded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = crowded.withColumn("key", key).repartitionByRange(partitions, "region", "key", "rep").sortWithinPartitions("region", "key", "rep")
+    return ordered.select("region", "rep", "comp", "n", "sig").mapInArrow(_likeliest, "a long, b long").distinct()
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -370,13 +390,26 @@ def _open(rows: DataFrame) -> DataFrame:
     return regions.where("m > 1 and low <> high").drop("low", "high")
 
 
-def _tiled(crowded: DataFrame, reps: DataFrame) -> DataFrame:
-    """Members of the pairs of tiles of regions (region, tree, rep)."""
-    weights = crowded.join(reps.select("rep", "n"), "rep").groupBy("region").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_SHINGLES)).cast("int").alias("tiles"))
-    placed = crowded.join(weights, "region").withColumn("tile", F.pmod(F.xxhash64("rep", "region"), F.col("tiles")).cast("int"))
+def _tiles(m: str, total: str) -> str:
+    return f"cast(ceil(greatest(({m}) / {TILE}, ({total}) / {TILE_SHINGLES})) as int)"
+
+
+def _tiled(crowded: DataFrame, tables: list) -> DataFrame:
+    """Members of the pairs of tiles of those regions (region, tree, rep, comp, n, sig) that are open.
+
+    A region that fits one tile is one. Of others, the rows of the largest component have tiles of their own, after those of all other rows, and no pair of two of these is made:
+    a family of any size and the few rows that are not in it cost a number of rows that is linear in the family.
+    """
+    parts = crowded.groupBy("region", "comp").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    regions = parts.groupBy("region").agg(F.count("*").alias("parts"), F.sum("m").alias("m"), F.sum("total").alias("total"), F.max(F.struct("m", "total", "comp")).alias("top")).where("parts > 1")
+    one = f"{_tiles('m', 'total')} = 1"
+    few = f"if({one}, 1, {_tiles('m - top.m', 'total - top.total')}) as few"
+    regions = _scratch(regions.selectExpr("region", "top.comp as top", few, f"if({one}, 0, {_tiles('top.m', 'top.total')}) as own"), "tiles", tables)
+    placed = crowded.join(regions, "region").withColumn("large", F.expr("own > 0 and comp = top"))
+    placed = placed.withColumn("tile", F.expr("cast(if(large, few + pmod(xxhash64(rep, region), own), pmod(xxhash64(rep, region), few)) as int)"))
     # the pair (i, j), i <= j, of tiles gets the rows of both; side 1 marks the second of two different tiles
-    spread = F.expr("transform(sequence(0, tiles - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
-    return placed.select("region", "tree", "rep", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep")
+    spread = F.expr("transform(sequence(0, if(large, few, few + own) - 1), o -> struct(least(o, tile) as i, greatest(o, tile) as j, if(o < tile, 1, 0) as side))")
+    return placed.select("region", "tree", "rep", "comp", "n", "sig", F.explode(spread).alias("p")).select("region", "p.i", "p.j", "tree", "p.side", "rep", "comp", "n", "sig")
 
 
 def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: list) -> DataFrame:
@@ -390,18 +423,18 @@ def _open_regions(reps: DataFrame, comps: DataFrame, docs: DataFrame, tables: li
     two = two.join(light.toDF("a", "sa", "na"), "a").join(light.toDF("b", "sb", "nb"), "b").select("a", "b", "sa", "na", "sb", "nb").mapInArrow(batches(_agreeing), "a long, b long")
     open_rows = rows.drop("comp").join(regions.where("m > 2").select("region", "m"), "region")
     small = open_rows.where(f"m <= {SMALL}").select("region", F.lit(0).alias("i"), F.lit(0).alias("j"), "tree", F.lit(0).alias("side"), "rep")
-    pairs = two.unionAll(_carrying(small, judged).mapInArrow(_edges(_Group.pairs), "a long, b long")).distinct()
-    crowded = _scratch(open_rows.where(f"m > {SMALL}").select("region", "tree", "rep"), "crowded", tables)
-    links = confirmed(_scratch(pairs, "pairs", tables), docs, tables)
-    if crowded.isEmpty():
-        return components(_stars_of(comps).unionAll(links))
-    deeper = _compared(_scratch(_leaves(crowded, judged, tables), "leaves", tables), judged, docs, tables)
-    comps = components(_stars_of(comps).unionAll(links).unionAll(deeper))
+    pairs = two.unionAll(_together(small.join(judged, "rep")).mapInArrow(_edges(_Group.pairs), "a long, b long"))
+    crowded = _scratch(open_rows.where(f"m > {SMALL}").join(judged, "rep").select("region", "tree", "rep", "comp", "n", "sig"), "crowded", tables)
+    some = not crowded.isEmpty()
+    if some:
+        pairs = pairs.unionAll(_within(crowded))
+    comps = components(_stars_of(comps).unionAll(confirmed(_scratch(pairs.distinct(), "pairs", tables), docs, tables)))
+    if not some:
+        return comps
     tables.append(comps)
-    judged = _judged(judged, comps, tables)
-    still = _open(crowded.join(judged.select("rep", "comp"), "rep")).select("region")
-    tiles = _scratch(_tiled(crowded.join(still, "region", "left_semi"), judged), "tiles", tables)
-    return components(_stars_of(comps).unionAll(_compared(tiles, judged, docs, tables)))
+    now = crowded.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    tiles = _tiled(_scratch(now, "crowded", tables), tables)
+    return components(_stars_of(comps).unionAll(_compared(tiles, docs, tables)))
 
 
 def _stars_of(comps: DataFrame) -> DataFrame:
@@ -414,6 +447,8 @@ def _linked(docs: DataFrame, tables: list) -> tuple[DataFrame, DataFrame, DataFr
     nodes = _Nodes(signed, tables)
     signed = nodes.named(signed)
     docs = nodes.named(docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("body"), "text"))
+    if nodes.repeats:  # a text is fetched once, however often its row is there
+        docs = docs.select("node", "text").dropDuplicates(["node"])
     usable = signed.where("print is not null and node is not null")
     classes = _scratch(usable.groupBy("print").agg(F.min("node").alias("rep")), "classes", tables)
     reps = usable.join(classes, "print").where("node = rep").dropDuplicates(["rep"]).select("rep", "sig", F.col("n_shingles").alias("n"))

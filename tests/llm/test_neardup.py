@@ -69,31 +69,56 @@ def test_against_brute_force(docs_of):
 
 
 def test_crowded_regions(docs_of, monkeypatch):
-    """Small limits send regions through leaves and tiles."""
+    """Small limits send regions through sorted neighbours and tiles, of one tile and of many."""
     monkeypatch.setattr(neardup, "SMALL", 3)
-    monkeypatch.setattr(neardup, "TILE", 8)
-    for depths in ((6, 9, 12), (4,)):
-        monkeypatch.setattr(neardup, "LEAVES", depths)
-        rows = rows_of(3, 4, 40)
+    rows = rows_of(3, 4, 40)
+    for tile in (8, 1000):
+        monkeypatch.setattr(neardup, "TILE", tile)
         assert got(docs_of(rows)) == brute(rows)
+    repeated = rows + [rows[0], rows[1]] * 20
+    assert got(docs_of(repeated)) == brute(repeated)
 
 
-def test_leaves_have_a_depth_of_their_own(spark, monkeypatch):
-    """Parts of a crowded region end where they are small, each at its own depth; what stays crowded at the last one is in none."""
-    monkeypatch.setattr(neardup, "SMALL", 3)
-    head, rows, rep = [1, 2, 3], [], 0
-    for third, sizes in ((10, [2]), (20, [2, 2]), (30, [4])):  # small at depth 6; at depth 9, one of them closed; too large at 12 as well
-        for k, n in enumerate(sizes):
-            for _ in range(n):
-                sig = head + [third] * 3 + [k] * 3 + list(range(7, 94))
-                rows.append((rep, 5, bytearray(b"".join(x.to_bytes(4, "big") for x in sig))))
-                rep += 1
-    reps = spark.createDataFrame(rows, "rep long, n int, sig binary").selectExpr("*", "if(rep = 5, 4, rep) as comp")
-    crowded = reps.selectExpr("99L as region", "0 as tree", "rep")
-    leaves = {}
-    for r in neardup._leaves(crowded, reps, []).collect():
-        leaves.setdefault(r.region, set()).add(r.rep)
-    assert sorted(map(sorted, leaves.values())) == [[0, 1], [2, 3]]
+def signature(numbers):
+    return bytearray(b"".join(x.to_bytes(4, "big") for x in numbers))
+
+
+def test_neighbours_within_a_region(spark):
+    """In a region's sorted order each row names its likeliest partner of another component, however deep the common prefix is; rows that cannot link name none."""
+    rows = []
+    for k in range(60):  # three thirds: of each other component the first row of the next third agrees best
+        tail = [k // 20, k % 20, *range(100, 100 + 90 - 2)]
+        rows.append((k, k, 10, signature([1, 2, 3, *tail, *range(3)])))
+    rows += [(100 + k, 100 + k, 10, signature([1, 2, 3, 7, *(1000 * (k + 1) + x for x in range(92))])) for k in range(5)]
+    reps = spark.createDataFrame(rows, "rep long, comp long, n long, sig binary")
+    crowded = reps.selectExpr("99L as region", "0 as tree", "*")
+    found = {tuple(r) for r in neardup._within(crowded).collect()}
+    # within a third 95 of 96 hashes agree, over its border 94 or 95
+    assert {x for pair in found for x in pair} == set(range(60))
+    assert all(0 < b - a <= neardup.NEAREST for a, b in found)
+    alike = crowded.selectExpr("region", "tree", "rep", "5L as comp", "n", "sig")
+    assert not neardup._within(alike).count()
+
+
+def test_tiles_leave_out_pairs_of_the_largest_component_only(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TILE", 8)
+    sizes = {1: [70, 3, 1, 1, 1], 2: [30] * 2, 3: [5, 2], 4: [40], 5: [1] * 20}  # 4 is closed, 3 fits a tile
+    rows = [(region, 0, 1000 * region + 100 * c + k, 1000 * region + 100 * c, 10, b"") for region, parts in sizes.items() for c, m in enumerate(parts) for k in range(m)]
+    crowded = spark.createDataFrame(rows, "region long, tree int, rep long, comp long, n long, sig binary")
+    comp = {r[2]: r[3] for r in rows}
+    groups, made = {}, {}
+    for r in neardup._tiled(crowded, []).collect():
+        groups.setdefault((r.region, r.i, r.j), []).append((r.side, r.rep))
+        made[r.region] = made.get(r.region, 0) + 1
+    met = {}
+    for (region, i, j), members in groups.items():
+        for x, (side, a) in enumerate(members):
+            for other, b in members[:x]:
+                if i == j or side != other:
+                    met[frozenset((a, b))] = met.get(frozenset((a, b)), 0) + 1
+    want = {frozenset((a[2], b[2])) for a in rows for b in rows if a[0] == b[0] and comp[a[2]] != comp[b[2]]}
+    assert want <= set(met) and set(met.values()) == {1}
+    assert made[1] <= 70 + 6 * 11 and made[3] == 7 and 4 not in made
 
 
 def test_hashes_are_the_set():
