@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, done, small_batches, table, utf8, written
+from .common import batches, done, forget, small_batches, table, utf8, written
 from .components import components
 
 WORDS = 5
@@ -482,14 +482,18 @@ def without_near_duplicates(docs: DataFrame, broadcast_ids: int = 500_000) -> Da
     signed, classes, comps, _ = _linked(docs.select("doc_id", "text"), tables)
     tables.append(comps)
     rows = signed.where("doc_id is not null").join(classes, "print", "left").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-    rows = rows.select("doc_id", "body", F.coalesce("component", "rep").alias("component"))
-    best = rows.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("best"))
+    rows = _scratch(rows.select("doc_id", "body", F.coalesce("component", "rep").alias("component")).where("component is not null"), "rows", tables)
+    # written first: a join with a table, not with the aggregate's own partitions, lets Spark split the rows of a large group
+    best = _scratch(rows.groupBy("component").agg(F.min(F.struct("doc_id", "body")).alias("best")), "best", tables)
     gone = rows.join(best, "component").where(F.struct("doc_id", "body") != F.col("best")).select(F.col("doc_id").alias("gone_id"), F.col("body").alias("gone_body")).distinct()
     gone = _scratch(gone, "gone", tables)
     again = _scratch(signed.where("doc_id is not null").groupBy("doc_id", "body").agg(F.count("*").alias("k")).where("k > 1").select(F.col("doc_id").alias("again_id"), F.col("body").alias("again_body")), "again", tables)
     plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     at = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     key, body = F.col(at["doc_id"]), F.xxhash64(at["text"])
+    for t in tables:
+        if t is not gone and t is not again:
+            forget(t)
     n = gone.count()
     kept = plain.join(_near(gone, n <= broadcast_ids), (key == F.col("gone_id")) & (body == F.col("gone_body")), "left_anti")
     n = again.count()
