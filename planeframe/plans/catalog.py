@@ -564,16 +564,16 @@ def stream_admit(spark, sf_dir):
 
 @query(f"select vec_id // 4 as t, (vec_id % 4)::int as z, {_NUMBERS} as samples from (select row_number() over (order by vec_id) - 1 as vec_id, {SPARSE_SQL} as v from embeddings)")
 def stream_zarr(spark, sf_dir):
-    """A streaming query that appends planes to a Zarr dataset, then a scan of it."""
+    """A streaming query that appends planes to a Zarr dataset and goes on from its checkpoint when more have come, then a scan of it. A batch is as many files as there are."""
     folder = new_path(spark, "stream")
     source = plane_frames(spark, sf_dir, sparse())
     n = source.count()
     cut = n // 2
-    for k, part in enumerate((source.where(F.col("seq") < cut), source.where(F.col("seq") >= cut))):
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
     appender = FrameAppender(plane_settings(f"{folder}/planes.ome.zarr", "ome-zarr", z_count=4), f"{folder}/staging")
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    append_stream(stream, appender, f"{folder}/checkpoint").awaitTermination()
+    for part in (source.where(F.col("seq") < cut), source.where(F.col("seq") >= cut)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).parquet(f"{folder}/in")
+        append_stream(stream, appender, f"{folder}/checkpoint").awaitTermination()
     appender.close(spark)
     rows = dataset.scan(spark, f"{folder}/planes.ome.zarr", "ome-zarr").where(F.col("frame_number") < n)
     return rows.select("t", "z", _samples(F.col("bytes")).alias("samples"))

@@ -1,8 +1,9 @@
-"""Files by local path or URI: whole reads, atomic writes, removal. Remote stores go through pyarrow's file systems."""
+"""Files by local path or URI: whole reads, atomic writes, listing, removal. Remote stores go through pyarrow's file systems."""
 
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import os
 import shutil
 import uuid
@@ -38,6 +39,14 @@ def read(path: str) -> bytes:
         return f.read()
 
 
+def read_or_none(path: str) -> bytes | None:
+    """The bytes of a file, None where there is none: one request, not two."""
+    try:
+        return read(path)
+    except FileNotFoundError:
+        return None
+
+
 def opened(path: str):
     """A file for random reads."""
     if is_local(path):
@@ -49,8 +58,11 @@ def opened(path: str):
 def stream(path: str):
     """A file for one sequential write; its folders are made."""
     if is_local(path):
-        os.makedirs(os.path.dirname(local(path)) or ".", exist_ok=True)
-        return open(local(path), "wb")
+        try:
+            return open(local(path), "wb")
+        except FileNotFoundError:
+            os.makedirs(os.path.dirname(local(path)) or ".", exist_ok=True)
+            return open(local(path), "wb")
     fs, name = _fs(path)
     fs.create_dir(os.path.dirname(name), recursive=True)
     return fs.open_output_stream(name)
@@ -69,14 +81,16 @@ def replace(source: str, target: str) -> None:
         fs.move(_fs(source)[1], name)
 
 
-def write(path: str, raw: bytes) -> None:
-    """Writes a temporary file beside ``path``, flushes it to disk and moves it there: readers see the old or the new file whole."""
+def write(path: str, raw: bytes, flush: bool = True) -> None:
+    """Writes a temporary file beside ``path``, flushes it to disk and moves it there: readers see the old or the new file whole.
+
+    Without ``flush`` the file is safe only after ``settle``."""
     hidden = temporary(path)
     try:
         with stream(hidden) as f:
             f.write(raw)
-            f.flush()
-            if is_local(path):
+            if flush and is_local(path):
+                f.flush()
                 os.fsync(f.fileno())
         replace(hidden, path)
     except BaseException:
@@ -85,6 +99,22 @@ def write(path: str, raw: bytes) -> None:
         raise
 
 
+def settle(folder: str) -> None:
+    """Flushes what was written below a folder to disk: one flush of its file system, however many files there are. Remote stores keep a file once it is closed."""
+    if not is_local(folder):
+        return
+    sync = getattr(ctypes.CDLL(None, use_errno=True), "syncfs", None)
+    if sync is None:
+        os.sync()
+        return
+    at = os.open(local(folder), os.O_RDONLY)
+    try:
+        if sync(at):
+            raise OSError(ctypes.get_errno(), os.strerror(ctypes.get_errno()), folder)
+    finally:
+        os.close(at)
+
+
 def remove(path: str) -> None:
     if is_local(path):
         p = local(path)
@@ -104,6 +134,18 @@ def walk(path: str) -> list[str]:
     return sorted(prefix + i.path for i in found if i.type == pafs.FileType.File and not i.base_name.startswith("."))
 
 
+def entries(path: str) -> tuple[list[str], list[str]]:
+    """The folders and the files right in a folder."""
+    if is_local(path):
+        with os.scandir(local(path)) as found:
+            inside = [(e.path, e.is_dir()) for e in found if not e.name.startswith(".")]
+    else:
+        fs, name = _fs(path)
+        prefix = path[: len(path) - len(name)]
+        inside = [(prefix + i.path, i.type == pafs.FileType.Directory) for i in fs.get_file_info(pafs.FileSelector(name)) if not i.base_name.startswith(".")]
+    return [p for p, folder in inside if folder], [p for p, folder in inside if not folder]
+
+
 def folders(path: str) -> list[str]:
     """Names of the folders in a folder, in order."""
     if is_local(path):

@@ -32,6 +32,12 @@ SCHEMA = (
 )
 KEYS = ("position_index", "t", "c", "z", "frame_number")
 PAGES_A_TASK = 64
+TASKS, BYTES_A_TASK = 256, 1 << 26
+
+
+def pages_a_task(pages: int, size: int) -> int:
+    """64 pages of ``size`` bytes, more where there are very many small ones: beyond some hundred tasks their start takes longer than their pages."""
+    return max(PAGES_A_TASK, min(-(-pages // TASKS), BYTES_A_TASK // max(1, size)))
 
 
 def tests_of(only: dict) -> list:
@@ -110,7 +116,7 @@ class PlaneReader(DataSourceReader):
                 shape = zarr_meta.parse_array(files.read(f"{group}/0/zarr.json"))["shape"]
                 times = shape[0]
                 first, last = reach(self.tests, "t", times)
-                step = max(1, PAGES_A_TASK // (shape[1] * shape[2]))
+                step = max(1, pages_a_task((last - first) * shape[1] * shape[2], 2 * shape[3] * shape[4]) // (shape[1] * shape[2]))
                 out += [Part("zarr", group, position, t, min(last, t + step), {"tests": self.tests}) for t in range(first, last, step)]
         return out
 
@@ -145,7 +151,8 @@ class PlaneReader(DataSourceReader):
             if self._keep(frame_number=k, position_index=0):
                 chosen.append((k, offset, fields))
             offset += size
-        return [Part("binary", self.path, 0, 0, 1, {"records": chosen[k : k + PAGES_A_TASK]}) for k in range(0, len(chosen), PAGES_A_TASK)]
+        step = pages_a_task(len(chosen), max((payload_size(fields) for _, _, fields in chosen), default=0))
+        return [Part("binary", self.path, 0, 0, 1, {"records": chosen[k : k + step]}) for k in range(0, len(chosen), step)]
 
     # tasks --------------------------------------------------------------------
     def read(self, part: Part):
@@ -209,8 +216,7 @@ def zarr_plane(group: str, array: dict, t: int, c: int, z: int) -> np.ndarray:
     out = np.zeros((height, width), kind)
     for y in range(-(-height // (h * sy))):
         for x in range(-(-width // (w * sx))):
-            path = f"{group}/0/c/{t}/{c}/{z}/{y}/{x}"
-            raw = files.read(path) if files.exists(path) else None
+            raw = files.read_or_none(f"{group}/0/c/{t}/{c}/{z}/{y}/{x}")
             for k, tile in read_shard(raw, sy * sx, (h, w), kind, array["compressed"]):
                 top, left = (y * sy + k // sx) * h, (x * sx + k % sx) * w
                 if tile is not None and top < height and left < width:

@@ -27,6 +27,8 @@ from .tiff_codec import PageWriter, patch_description
 #: Fixed format: the columns of the binary index.
 INDEX_HEADER = "camera_id,frame_index,timestamp_ns,width,height,bits_per_sample,stride,pixel_format,pixel_format_id,payload_bytes,source_roi_x,source_roi_y,source_roi_width,source_roi_height"
 ROI = ("x", "y", "width", "height")
+#: Bytes of a plane up to which Zarr planes are dealt over all cores.
+SMALL_PLANE = 1 << 16
 
 
 @dataclass
@@ -93,10 +95,15 @@ def with_defaults(planes: DataFrame) -> DataFrame:
 
 
 def together(planes: DataFrame, s: Settings) -> DataFrame:
-    """Planes as a task must hold them: those of a TIFF or binary file in page order, those of a Zarr array as they are."""
+    """Planes as a task must hold them: those of a TIFF or binary file in page order, those of a Zarr array as they are, or dealt over all cores where they are small."""
     if s.format == "ome-tiff":
         return planes.repartition("position_index").sortWithinPartitions("position_index", "plane_index")
-    return planes if s.format == "ome-zarr" else planes.repartition(1).sortWithinPartitions("output_index")
+    if s.format == "ome-zarr":
+        if s.row_bytes * s.height > SMALL_PLANE:
+            return planes
+        # rows of small planes are cheap to move, their files are the work: an input in one file would leave it to one task
+        return planes.repartition(2 * planes.sparkSession.sparkContext.defaultParallelism, "position_index", "t")
+    return planes.repartition(1).sortWithinPartitions("output_index")
 
 
 def join_lines(spark: SparkSession, s: Settings, folder: str) -> None:
@@ -173,8 +180,10 @@ class PlaneWriter(DataSourceArrowWriter):
             position = row["position_index"]
             group = zarr_group(s, position)
             for y, x, tiles in shard_tiles(packed_plane(row["bytes"], s, row["stride"] or 0), s):
-                files.write(f"{group}/0/c/{row['t']}/{row['c']}/{row['z']}/{y}/{x}", build_shard(tiles, s))
+                files.write(f"{group}/0/c/{row['t']}/{row['c']}/{row['z']}/{y}/{x}", build_shard(tiles, s), flush=False)
             planes[position] = max(planes.get(position, 0), row["t"] + 1)
+        if planes:
+            files.settle(s.output_path)  # before the task counts as done
         return Written([], planes)
 
     @staticmethod

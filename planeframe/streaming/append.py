@@ -70,7 +70,7 @@ class FrameAppender:
         """Shards of the batch, then the documents. The writer's own commit would only know this batch, so its documents are written again for all."""
         s = self.settings
         planes = writers.with_defaults(planes)
-        planes.write.format("planeframe").option("settings", s.to_json()).mode("append").save()
+        writers.together(planes, s).write.format("planeframe").option("settings", s.to_json()).mode("append").save()
         staging = self.staging
         writers.write_lines(planes.where("not is_fill").drop("bytes"), s, lambda k: f"{staging}/lines/{k}/{batch_id:09d}.jsonl")
         writers.write_zarr_metadata(s, reach)
