@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STRIP_BYTES = 65536
@@ -39,9 +39,25 @@ def rows_per_strip(row_bytes: Column, height: Column) -> Column:
 
 def strips(row_bytes: Column, height: Column) -> Column:
     """array<struct<first_row, rows>> of a plane's strips; the last may be short."""
-    per = rows_per_strip(row_bytes, height)
-    starts = F.sequence(F.lit(0).cast("long"), height.cast("long") - 1, per)
-    return F.transform(starts, lambda r: F.struct(r.alias("first_row"), F.least(per, height.cast("long") - r).alias("rows")))
+    return F.transform(strip_starts(row_bytes, height), lambda r: F.struct(r.alias("first_row"), strip_rows(r, row_bytes, height).alias("rows")))
+
+
+def strip_starts(row_bytes: Column, height: Column) -> Column:
+    """The first row of each strip of a plane."""
+    return F.sequence(F.lit(0).cast("long"), height.cast("long") - 1, rows_per_strip(row_bytes, height))
+
+
+def strip_rows(first_row: Column, row_bytes: Column, height: Column) -> Column:
+    """The number of rows in the strip that begins with ``first_row``."""
+    return F.least(rows_per_strip(row_bytes, height), height.cast("long") - first_row)
+
+
+def strip_table(planes: DataFrame, row_bytes: str, height: str) -> DataFrame:
+    """A row for each strip of each plane, with first_row and rows added. A plane has hundreds of strips, so planes are dealt over all cores
+    before they are cut: a narrow table of very many planes may be one file and one task."""
+    n = 4 * planes.sparkSession.sparkContext.defaultParallelism
+    cut = planes.repartition(n).withColumn("first_row", F.explode(strip_starts(F.col(row_bytes), F.col(height))))
+    return cut.withColumn("rows", strip_rows(F.col("first_row"), F.col(row_bytes), F.col(height)))
 
 
 def destrided(values: Column, stride: Column, row: Column) -> Column:

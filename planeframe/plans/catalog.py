@@ -146,8 +146,8 @@ r as (select *, least(greatest(65536 // row_bytes, 1), height) as per from p)
 select p_partkey, per as rows_per_strip, first_row, least(per, height - first_row) as rows from (select *, unnest(range(0, height, per)) as first_row from r)""")
 def tiff_strips(spark, sf_dir):
     row, height = F.col("p_size").cast("long") * 700, (F.col("p_partkey") % 50 + 1) * 20
-    rows = table(spark, sf_dir, "part").select("p_partkey", layout.rows_per_strip(row, height).alias("rows_per_strip"), F.explode(layout.strips(row, height)).alias("strip"))
-    return rows.select("p_partkey", "rows_per_strip", "strip.first_row", "strip.rows")
+    planes = table(spark, sf_dir, "part").select("p_partkey", row.alias("row_bytes"), height.alias("height"), layout.rows_per_strip(row, height).alias("rows_per_strip"))
+    return layout.strip_table(planes, "row_bytes", "height").select("p_partkey", "rows_per_strip", "first_row", "rows")
 
 
 @query("""select p_partkey, color as xml_color, hex as hex_color, ((1::bigint << (p_size % 16 + 1)) - 1) as window_end from

@@ -45,3 +45,9 @@ def test_stream_takes_many_files_in_two_batches(spark, sf, tmp_path, monkeypatch
     monkeypatch.setattr(catalog, "plane_frames", lambda *a, real=catalog.plane_frames: real(*a).repartition(4))
     assert catalog.stream_zarr(spark, sf).count() == 500
     assert seen == [0, 1] and len([p for p in files.walk(f"{tmp_path}/stream/in") if p.endswith(".parquet")]) == 8
+
+
+def test_strips_are_cut_by_many_tasks(spark, sf):
+    assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1
+    rows = catalog.tiff_strips(spark, sf)
+    assert rows.where("rows > 0").groupBy(F.spark_partition_id()).count().count() > 4
