@@ -7,6 +7,7 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +89,38 @@ def scan(spark: SparkSession, path: str, kind: str, index: str = "", pixels: boo
     return spark.read.format("planeframe").options(path=path, kind=kind, index=index, pixels=str(pixels).lower(), vendor=vendor, only=json.dumps(wanted)).load()
 
 
+def stored(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of every file below a folder that all machines see. One task lists its upper levels until there are folders enough, all tasks what is below them:
+    Spark's own file sources send the status of every file to the driver and plan them there, which a Zarr dataset of millions of shards does not bear."""
+    schema, many = "path string, folder boolean", 1000
+
+    def table(paths: list[str], folder: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([folder] * len(paths), pa.bool_())], ["path", "folder"])
+
+    def upper(it):
+        for batch in it:
+            for path in batch.column(0).to_pylist():
+                folders = [path]
+                while folders and len(folders) < many:
+                    level, folders = folders, []
+                    for f in level:
+                        below, found = files.entries(f)
+                        folders += below
+                        yield table(found, False)
+                for k in range(0, len(folders), 10_000):
+                    yield table(folders[k : k + 10_000], True)
+
+    def lower(it):
+        for batch in it:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            for k in range(0, len(rows), 100):
+                yield table([p for path, folder in rows[k : k + 100] for p in (files.walk(path) if folder else [path])], False)
+
+    start = spark.createDataFrame([(root,)], "path string").coalesce(1)
+    dealt = start.mapInArrow(upper, schema).repartition(4 * spark.sparkContext.defaultParallelism, "path")
+    return dealt.mapInArrow(lower, schema).select("path")
+
+
 @dataclass(frozen=True)
 class Location:
     """Where a frame is: the frame number for TIFF and binary files, t, c and z for Zarr."""

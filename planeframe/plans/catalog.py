@@ -378,7 +378,7 @@ union all select unnest(['0/zarr.json', 'zarr.json', 'planeframe.frames.jsonl'])
 def write_zarr(spark, sf_dir):
     """Every file of a dataset."""
     root = _written(spark, sf_dir, "ome-zarr", sparse()).output_path
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    rows = dataset.stored(spark, root)
     inside = F.element_at(F.split("path", root.rsplit("/", 1)[1] + "/"), 2)
     return rows.select(inside.alias("path"), inside.startswith("0/c/").alias("shard"))
 

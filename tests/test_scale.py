@@ -5,6 +5,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from planeframe import dataset
 from planeframe.model import Settings
 from planeframe.plans import catalog
 from planeframe.sources import files, readers, writers
@@ -51,3 +52,14 @@ def test_strips_are_cut_by_many_tasks(spark, sf):
     assert spark.read.parquet(f"{sf}/part.parquet").rdd.getNumPartitions() == 1
     rows = catalog.tiff_strips(spark, sf)
     assert rows.where("rows > 0").groupBy(F.spark_partition_id()).count().count() > 4
+
+
+def test_files_of_a_dataset_are_listed_by_tasks(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "a.zarr")
+    for path in ("zarr.json", "0/zarr.json", *(f"0/c/{t}/0/{z}/0/0" for t in range(1200) for z in range(2))):
+        files.write(f"{root}/{path}", b"x", flush=False)
+    files.write(f"{root}/0/c/3/.hidden", b"x", flush=False)
+    rows = dataset.stored(spark, root)
+    assert sorted(r.path for r in rows.collect()) == files.walk(root) and len(files.walk(root)) == 2402
+    assert rows.groupBy(F.spark_partition_id()).count().count() > 4
+    assert not rows.inputFiles()  # no file of the dataset is planned by the driver
