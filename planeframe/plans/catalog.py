@@ -444,17 +444,17 @@ select k // 4 as t, (k % 4)::int as z, (cy // 2)::int as shard_y, (cx // 2)::int
 union all select k // 4, (k % 4)::int, sy, sx, q, false from n, unnest([0, 1]) as a(sy), unnest([0, 1]) as b(sx), unnest([0, 1, 2, 3]) as d(q) where sy * 2 + q // 2 >= 3 or sx * 2 + q % 2 >= 3""")
 def shard_index(spark, sf_dir):
     s = _written(spark, sf_dir, "ome-zarr", sparse())
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{s.output_path}/0/c")
+    rows = dataset.stored(spark, f"{s.output_path}/0/c")
 
     def entries(it):
         for pdf in it:
             out = []
-            for path, raw in zip(pdf.path, pdf.content):
+            for path in pdf.path:
                 t, _, z, y, x = map(int, path.rsplit("/", 5)[1:])
-                out += [(t, z, y, x, k, e is not None) for k, e in enumerate(shards.shard_index(raw, 4))]
+                out += [(t, z, y, x, k, e is not None) for k, e in enumerate(shards.shard_index(files.read(path), 4))]
             yield pd.DataFrame(out, columns=["t", "z", "shard_y", "shard_x", "chunk_index", "stored"])
 
-    return rows.select("path", "content").mapInPandas(entries, "t long, z int, shard_y int, shard_x int, chunk_index int, stored boolean")
+    return rows.mapInPandas(entries, "t long, z int, shard_y int, shard_x int, chunk_index int, stored boolean")
 
 
 _HEX = "array_to_string(list_transform({}, lambda x: printf('%02X', (x)::bigint)), '')"
