@@ -17,7 +17,7 @@ from ..operators import admission, summary, tiling
 from ..sources import files, shards, tiff_codec, zarr_meta
 from ..sources.readers import zarr_plane
 from ..streaming.append import FrameAppender, append_stream
-from ..workspace import new_path
+from ..workspace import forget, new_path, written
 from .adapter import ADMITTED_SQL, DENSE_SQL, EVENTS_SQL, LOG, ORDER, SPARSE_SQL, dense, events, plane_frames, plane_settings, sparse, table
 
 QUERIES: dict = {}
@@ -554,10 +554,13 @@ def stream_admit(spark, sf_dir):
     e = events(spark, sf_dir)
     edges = e.agg(F.min("us"), F.max("us")).first()
     step = F.floor((F.col("us") - edges[0]) * 4 / (edges[1] - edges[0] + 1)).cast("int")
-    rows = e.withColumn("seq", (F.col("us") - edges[0]) * 100_000 + F.col("event_id") % 100_000).withColumn("bytes", F.unhex(F.lit("00" * 64)))
+    # numbered by (us, event_id), whatever the ids are; written once, as every batch reads it
+    numbered = written(admission.output_index(e, ORDER, bucket=F.col("hour")).withColumnRenamed("output_index", "seq"), "numbered")
+    rows = numbered.withColumn("bytes", F.unhex(F.lit("00" * 64)))
     appender = FrameAppender(replace(LOG, output_path=f"{folder}/log.ome.tiff", format="ome-tiff", overwrite=True), f"{folder}/staging")
     for k in range(4):
         appender.append(rows.where(step == k), k)
+    forget(numbered)
     planes = spark.read.parquet(f"{folder}/staging/planes/*")
     return planes.select("position_index", "plane_index", "is_fill", "t", "c", "z")
 

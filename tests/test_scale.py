@@ -63,3 +63,11 @@ def test_files_of_a_dataset_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert sorted(r.path for r in rows.collect()) == files.walk(root) and len(files.walk(root)) == 2402
     assert rows.groupBy(F.spark_partition_id()).count().count() > 4
     assert not rows.inputFiles()  # no file of the dataset is planned by the driver
+
+
+def test_a_log_with_large_ids_keeps_its_order(spark, tmp_path):
+    """Ids a multiple of 100,000 apart at one time, as in copies of a table."""
+    rows = [(k * 100_000, 3 * k, "signup") for k in range(3)]
+    log = spark.createDataFrame(rows, "event_id long, user_id long, event_type string").selectExpr("*", "timestamp'2024-01-01 01:00:00' as ts", "1.0D as value", "'{}' as props")
+    log.write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(r.plane_index for r in catalog.stream_admit(spark, str(tmp_path)).collect()) == [0, 1, 2]
