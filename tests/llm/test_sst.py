@@ -23,6 +23,32 @@ def test_encoder_agrees_with_whole_texts():
         assert np.frombuffer(encode(text), "<u2").tolist() == want, text
 
 
+def test_many_texts_agree_with_whole_texts():
+    whole = tokenizers.Tokenizer.from_file(PATH)
+    encode = sst.Encoder(PATH, keep=300)
+    latin = [*map(chr, range(256)), *"''''strevmdl  lllsss" * 8, "'s", "don't", " "]
+    letters = [*latin, *"ʼİıßſ́ 日本ΣςΑ٣😀ŉǅ", "<|endoftext|>"]
+    rng = random.Random(5)
+    for k in range(60):
+        texts = [None, "", "  ", *("".join(rng.choice(letters if k % 3 == 0 else latin) for _ in range(rng.randrange(40))) for _ in range(100))]
+        got = [np.frombuffer(x, "<u2").tolist() for x in encode.many(texts)]
+        assert got == [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_many_texts_are_cut_by_arrays(monkeypatch):
+    """A text costs array steps and each new unit once; only texts beyond Latin-1, with added tokens or very long go alone."""
+    encode, alone, units = sst.Encoder(PATH), [], []
+    monkeypatch.setattr(sst, "CHUNK_BYTES", 4000)
+    monkeypatch.setattr(sst.Encoder, "__call__", lambda self, text: alone.append(text) or b"")
+    monkeypatch.setattr(sst.Encoder, "_unit", lambda self, unit, real=sst.Encoder._unit: (units.append(unit), real(self, unit))[1])
+    odd = ["日本", "a <|endoftext|> b", "x" * 4001]
+    texts = ["Überall water, water,*** it's 10 %"] * 1000 + odd
+    encode.units.clear()
+    got = encode.many(texts)
+    assert encode.by_units and alone == odd and len(set(got[:1000])) == 1 and got[0]
+    assert sorted(units) == sorted({x.encode("latin-1") for x in ("überall", "water", ",", ",***", "it", "'s", "1", "0", "%")})
+
+
 def test_keys_keep_order():
     ids = [None, -(2**63), -5, -1, 0, 1, 2**40, 2**63 - 1]
     keys = [sst.key_of(i) for i in ids]
