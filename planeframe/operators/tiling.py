@@ -58,19 +58,17 @@ def packed_plane(payload: bytes | None, s: Settings, stride: int = 0) -> np.ndar
 
 def shard_tiles(plane: np.ndarray, s: Settings) -> Iterator[tuple[int, int, list[tuple[int, np.ndarray | None]]]]:
     """(shard_y, shard_x, [(chunk_index, samples or None)]) of a plane; None marks chunks beyond the edge or without a non-zero sample."""
-    (h, w), (ny, nx), (sy, sx), (gy, gx) = s.chunk, s.chunks, s.shard_chunks, s.shards
+    (h, w), (sy, sx), (gy, gx) = s.chunk, s.shard_chunks, s.shards
+    rows, columns = sy * h, gx * sx * w
     for shard_y in range(gy):
-        for shard_x in range(gx):
-            tiles: list[tuple[int, np.ndarray | None]] = []
-            for k in range(sy * sx):
-                y, x = (shard_y * sy + k // sx) * h, (shard_x * sx + k % sx) * w
-                part = plane[y : y + h, x : x + w]
-                tile = None
-                if part.size and part.any():
-                    tile = np.zeros((h, w), plane.dtype)
-                    tile[: part.shape[0], : part.shape[1]] = part
-                tiles.append((k, tile))
-            yield shard_y, shard_x, tiles
+        band = plane[shard_y * rows : (shard_y + 1) * rows]
+        if band.shape != (rows, columns):
+            whole = np.zeros((rows, columns), plane.dtype)
+            whole[: band.shape[0], : band.shape[1]] = band
+            band = whole
+        cut = np.ascontiguousarray(band.reshape(sy, h, gx, sx, w).transpose(2, 0, 3, 1, 4)).reshape(gx, sy * sx, h, w)
+        for shard_x, (parts, full) in enumerate(zip(cut, cut.any(axis=(2, 3)).tolist())):
+            yield shard_y, shard_x, [(k, parts[k] if x else None) for k, x in enumerate(full)]
 
 
 def paste_tiles(s: Settings, parts: list[tuple[int, int, list[tuple[int, np.ndarray | None]]]]) -> np.ndarray:

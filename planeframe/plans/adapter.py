@@ -71,12 +71,13 @@ SPARSE_SQL = "list_transform(embedding, lambda x: greatest(0, floor(x::double *
 
 def packed(samples: Column) -> Column:
     """Samples of 0..255 as bytes."""
-    return F.unhex(F.array_join(F.transform(samples, lambda v: F.lpad(F.hex(v.cast("long").bitwiseAND(255)), 2, "0")), ""))
+    return F.encode(F.array_join(F.transform(samples, lambda v: F.char(v.cast("long").bitwiseAND(255))), ""), "ISO-8859-1")
 
 
 def plane_frames(spark: SparkSession, sf_dir: str, samples: Column, z_count: int = 4) -> DataFrame:
     """Embeddings as frames of one position in vec_id order, coordinates assigned."""
-    e = table(spark, sf_dir, "embeddings")
+    # packing samples is the work, and an input in one file would leave it to one task
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").repartition(2 * spark.sparkContext.defaultParallelism, "vec_id")
     return e.select(F.lit(0).alias("position_index"), F.col("vec_id").alias("seq"), F.lit(None).cast("long").alias("t"), F.col("vec_id").alias("frame_index"), (F.col("vec_id") * 1000 + START * 1000).alias("timestamp_ns"), packed(samples).alias("bytes"), F.concat(F.lit("cam, "), F.col("label").cast("string")).alias("camera_id"))
 
 

@@ -99,6 +99,36 @@ def write(path: str, raw: bytes, flush: bool = True) -> None:
         raise
 
 
+def many():
+    """``write`` without flush as a function for the very many small files of one task: a folder is made once and temporary names share their random part."""
+    mark, made = uuid.uuid4().hex, ""
+
+    def put(path: str, raw: bytes) -> None:
+        nonlocal made
+        if not is_local(path):
+            return write(path, raw, flush=False)
+        folder, _, name = local(path).rpartition("/")
+        if folder != made:
+            os.makedirs(folder or ".", exist_ok=True)
+            made = folder
+        hidden = os.path.join(folder, f".{name}.{mark}.tmp")
+        try:
+            f = os.open(hidden, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | os.O_CLOEXEC, 0o666)
+            try:
+                rest = memoryview(raw)
+                while rest:
+                    rest = rest[os.write(f, rest) :]
+            finally:
+                os.close(f)
+            os.replace(hidden, local(path))
+        except BaseException:
+            with contextlib.suppress(OSError):
+                os.remove(hidden)
+            raise
+
+    return put
+
+
 def settle(folder: str) -> None:
     """Flushes what was written below a folder to disk: one flush of its file system, however many files there are. Remote stores keep a file once it is closed."""
     if not is_local(folder):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
+from .. import workspace
 from ..functions.text import csv_field
 from ..model import PIXEL_FORMATS, PlaneFrameError, Settings, new_uuid
 from ..operators.tiling import packed_plane, shard_tiles
@@ -29,6 +30,14 @@ INDEX_HEADER = "camera_id,frame_index,timestamp_ns,width,height,bits_per_sample,
 ROI = ("x", "y", "width", "height")
 #: Bytes of a plane up to which Zarr planes are dealt over all cores.
 SMALL_PLANE = 1 << 16
+LINES_A_PIECE = 8192
+#: What a task of each format needs of a plane.
+COLUMNS = {
+    "ome-zarr": ["position_index", "t", "c", "z", "stride", "bytes"],
+    "ome-tiff": ["position_index", "t", "c", "z", "timestamp_ns", "exposure_ms", "stage", "metadata", "stride", "bytes"],
+    "tiff": ["camera_id", "frame_index", "timestamp_ns", "source_roi", "stride", "bytes"],
+    "binary": ["camera_id", "frame_index", "timestamp_ns", "source_roi", "stride", "bytes"],
+}
 
 
 @dataclass
@@ -106,19 +115,19 @@ def together(planes: DataFrame, s: Settings) -> DataFrame:
     return planes.repartition(1).sortWithinPartitions("output_index")
 
 
-def join_lines(spark: SparkSession, s: Settings, folder: str) -> None:
-    """The frame lines of each position from the files of its batches, ``folder``/position/batch.jsonl, copied in batch order by a task for each position."""
+def join_lines(spark: SparkSession, s: Settings, folder: str, path=None) -> None:
+    """The frame lines of each position from the files of its batches or pieces, ``folder``/position/number.jsonl, copied in their order by a task for each position."""
     text = s.to_json()
 
     def copy(it):
         settings = Settings.from_json(text)
         for batch in it:
             for k in batch.column(0).to_pylist():
-                target = f"{zarr_group(settings, k)}/{zarr_meta.frames_name(settings)}"
+                target = path(k) if path else f"{zarr_group(settings, k)}/{zarr_meta.frames_name(settings)}"
                 hidden = files.temporary(target)
                 with files.stream(hidden) as out:
-                    for path in files.walk(f"{folder}/{k}"):
-                        with files.opened(path) as f:
+                    for source in files.walk(f"{folder}/{k}"):
+                        with files.opened(source) as f:
                             while piece := f.read(1 << 20):
                                 out.write(piece)
                 files.replace(hidden, target)
@@ -129,37 +138,41 @@ def join_lines(spark: SparkSession, s: Settings, folder: str) -> None:
 
 
 def write_lines(frames: DataFrame, s: Settings, path=None) -> None:
-    """The frame lines of each position, in output order, one file and one task for each: ``path(position)`` or beside the position's group.
+    """The frame lines of each position, in output order, one file for each: ``path(position)`` or beside the position's group.
 
-    ``frames`` are the real ones without their payloads; a task streams its rows. Positions without frames get an empty file.
+    ``frames`` are the real ones without their payloads. Tasks write pieces of some thousand lines, which a task for each position then joins. Positions without frames get an empty file.
     """
-    text = s.to_json()
+    spark, text = frames.sparkSession, s.to_json()
     target = path or (lambda k: f"{zarr_group(s, k)}/{zarr_meta.frames_name(s)}")
+    pieces = workspace.new_path(spark, "lines")
 
     def write(it):
         settings = Settings.from_json(text)
         current = out = hidden = None
+
+        def close():
+            if out:
+                out.close()
+                files.replace(hidden, f"{pieces}/{current[0]}/{current[1]:012d}.jsonl")
+
         for batch in it:
             for row in batch.to_pylist():
-                if row["position_index"] != current:
-                    if out:
-                        out.close()
-                        files.replace(hidden, target(current))
-                        yield pa.RecordBatch.from_pydict({"position_index": pa.array([current], pa.int32())})
-                    current = row["position_index"]
-                    hidden = files.temporary(target(current))
+                piece = row["position_index"], row["piece"]
+                if piece != current:
+                    close()
+                    current, hidden = piece, files.temporary(f"{pieces}/{piece[0]}/{piece[1]:012d}.jsonl")
                     out = files.stream(hidden)
                 out.write((zarr_meta.frame_line(settings, row) + "\n").encode())
-        if out:
-            out.close()
-            files.replace(hidden, target(current))
-            yield pa.RecordBatch.from_pydict({"position_index": pa.array([current], pa.int32())})
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], ["lines"])
+        close()
 
-    ordered = frames.repartition("position_index").sortWithinPartitions("position_index", "output_index")
-    done = {r.position_index for r in ordered.mapInArrow(write, "position_index int").collect()}
-    for k in range(s.position_count):
-        if k not in done:
-            files.write(target(k), b"")
+    rows = frames.select("position_index", F.call_function("div", "output_index", F.lit(LINES_A_PIECE)).alias("piece"), "output_index", "t", "c", "z", "frame_index", "timestamp_ns", "exposure_ms", "stage", "metadata")
+    dealt = rows.repartition(2 * spark.sparkContext.defaultParallelism, "position_index", "piece").sortWithinPartitions("position_index", "piece", "output_index")
+    try:
+        dealt.mapInArrow(write, "lines long").count()
+        join_lines(spark, s, pieces, target)
+    finally:
+        files.remove(pieces)
 
 
 class PlaneWriter(DataSourceArrowWriter):
@@ -171,16 +184,17 @@ class PlaneWriter(DataSourceArrowWriter):
     # tasks --------------------------------------------------------------------
     def write(self, iterator):
         s = Settings.from_json(self.settings)
-        rows = (row for batch in iterator for row in batch.to_pylist())
+        rows = (row for batch in iterator for row in batch.select(COLUMNS[s.format]).to_pylist())
         return {"ome-zarr": self._zarr, "ome-tiff": self._pages, "tiff": self._pages, "binary": self._binary}[s.format](s, rows)
 
     def _zarr(self, s: Settings, rows) -> Written:
         planes: dict[int, int] = {}
+        put = files.many()
         for row in rows:
             position = row["position_index"]
             group = zarr_group(s, position)
             for y, x, tiles in shard_tiles(packed_plane(row["bytes"], s, row["stride"] or 0), s):
-                files.write(f"{group}/0/c/{row['t']}/{row['c']}/{row['z']}/{y}/{x}", build_shard(tiles, s), flush=False)
+                put(f"{group}/0/c/{row['t']}/{row['c']}/{row['z']}/{y}/{x}", build_shard(tiles, s))
             planes[position] = max(planes.get(position, 0), row["t"] + 1)
         if planes:
             files.settle(s.output_path)  # before the task counts as done

@@ -1,5 +1,6 @@
 """Work that must not lie with one task, one flush or the driver, however the input is cut."""
 
+import json
 import os
 from dataclasses import replace
 
@@ -65,6 +66,41 @@ def test_files_of_a_dataset_are_listed_by_tasks(spark, tmp_path, monkeypatch):
     assert not rows.inputFiles()  # no file of the dataset is planned by the driver
 
 
+def test_frames_are_packed_by_many_tasks(spark, sf):
+    assert spark.read.parquet(f"{sf}/embeddings.parquet").rdd.getNumPartitions() == 1
+    rows = catalog.plane_frames(spark, sf, F.sequence(F.lit(0), F.lit(255)))
+    assert rows.groupBy(F.spark_partition_id()).count().count() > 4
+    assert rows.select("bytes").distinct().collect() == [(bytes(range(256)),)]
+
+
+def test_frame_lines_are_written_in_pieces(spark, tmp_path, monkeypatch):
+    s = replace(S, output_path=f"file://{tmp_path}/a.zarr", position_count=3)
+    files.write(f"{s.output_path}/1/old", b"")
+    rows = [(k % 2 * 2, 10 * k + 1 if k % 2 else 7 * k) for k in range(40)]
+    frames = spark.createDataFrame(rows, "position_index int, output_index long").selectExpr("*", "output_index as t", "0 as c", "0 as z", "cast(1 as decimal(20,0)) as frame_index", "cast(2 as decimal(20,0)) as timestamp_ns", "0.0D as exposure_ms", "cast(null as struct<x_um:double,y_um:double,z_um:double>) as stage", "cast(null as map<string,string>) as metadata")
+    monkeypatch.setattr(writers, "LINES_A_PIECE", 50)
+    moved, joined = [], []
+    monkeypatch.setattr(writers, "join_lines", lambda spark, s, folder, *a, real=writers.join_lines: (moved.append(folder), joined.extend(files.walk(folder)), real(spark, s, folder, *a)))
+    writers.write_lines(frames, s)
+    for k in (0, 1, 2):
+        lines = files.read(f"{s.output_path}/{k}/{writers.zarr_meta.frames_name(s)}").decode().splitlines()
+        assert [int(json.loads(x)["outputIndex"]) for x in lines] == sorted(i for p, i in rows if p == k)
+    assert len(joined) == len({(p, i // 50) for p, i in rows}) > 10 and not files.exists(moved[0])
+
+
+def test_small_files_cost_one_opening_each(tmp_path, monkeypatch):
+    made, opened = [], []
+    monkeypatch.setattr(os, "makedirs", lambda path, *a, real=os.makedirs, **b: (made.append(path), real(path, *a, **b)))
+    monkeypatch.setattr(os, "open", lambda path, *a, real=os.open, **b: (opened.append(path), real(path, *a, **b))[1])
+    put = files.many()
+    for k in range(20):
+        put(f"file://{tmp_path}/z/{k // 10}/{k}", b"old" * (k + 1))
+    put(f"{tmp_path}/z/1/19", b"new")
+    assert len(opened) == 21 and len([x for x in made if x.startswith(f"{tmp_path}/z/")]) == 2
+    assert sorted(n for _, _, names in os.walk(tmp_path) for n in names) == sorted(map(str, range(20)))
+    assert files.read(f"{tmp_path}/z/0/3") == b"old" * 4 and files.read(f"{tmp_path}/z/1/19") == b"new"
+
+
 def test_a_log_with_large_ids_keeps_its_order(spark, tmp_path):
     """Ids a multiple of 100,000 apart at one time, as in copies of a table."""
     rows = [(k * 100_000, 3 * k, "signup") for k in range(3)]
